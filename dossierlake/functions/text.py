@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters Python's str.strip() removes, usable inside a regex class
 # by Java and by RE2 alike (both treat only ASCII blanks as \s by default).
@@ -22,6 +22,16 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def explode_rows(df: DataFrame, keep: list[str], values: Column, name: str) -> DataFrame:
+    """One row per array element; rows without elements vanish.
+
+    A plain explode makes the optimizer push `size(values) > 0` below the projection that
+    computes `values`, which then runs twice. The outer form with a filter on the element
+    computes it once.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def text_or_empty(value: Column | str) -> Column:
     """NULL and '' are the same thing throughout the model."""
     return F.coalesce(as_col(value).cast("string"), F.lit(""))

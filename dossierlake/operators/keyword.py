@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dossierlake.functions.text import as_col, bind, text_or_empty
+from dossierlake.functions.text import as_col, bind, explode_rows, text_or_empty
 from dossierlake.functions.tokens import coverage, expand_synonyms, matched_tokens, query_terms, tokenize
 
 # BM25 constants of the full-text index.
@@ -29,15 +29,18 @@ def haystack(*columns: Column | str) -> Column:
     return F.lower(expand_synonyms(F.concat_ws(" ", *[text_or_empty(c) for c in columns])))
 
 
-def coverage_of(query: Column, hay: Column) -> Column:
-    terms = query_terms(query)
-    return bind(terms, lambda ts: coverage(F.size(matched_tokens(ts, hay)), F.size(ts)))
+def one_value(rows: DataFrame, value: Column) -> Column:
+    """A constant expression evaluated once for the whole query, not once per row."""
+    return rows.sparkSession.range(1).select(value.alias("value")).scalar()
 
 
 def coverage_scores(rows: DataFrame, query: str, hay: Column) -> DataFrame:
     """R1 for one query: a narrow scan that keeps rows with at least one token."""
-    scored = rows.withColumn("keyword_score", F.round(coverage_of(F.lit(query), hay), SCORE_DIGITS))
-    return scored.filter(F.col("keyword_score") > 0)
+    hits = bind(hay, lambda h: F.size(matched_tokens(F.col("query_terms"), h)))
+    scored = rows.withColumn("query_terms", one_value(rows, query_terms(F.lit(query)))).withColumn(
+        "keyword_score", F.round(coverage(hits, F.size("query_terms")), SCORE_DIGITS)
+    )
+    return scored.filter(F.col("keyword_score") > 0).drop("query_terms")
 
 
 def top_rows(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
@@ -66,31 +69,22 @@ def batch_coverage(rows: DataFrame, key: str, hay: Column, queries: DataFrame) -
     distinct word run are equi-joined with the query terms, and the matches go back to the
     rows through the postings. `queries` has columns (query_id, query_text).
     """
-    terms = queries.select("query_id", F.explode(query_terms(F.col("query_text"))).alias("term"))
+    terms = explode_rows(queries, ["query_id"], query_terms(F.col("query_text")), "term")
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("term_count"))
     distinct_terms = terms.select("term").distinct()
     lengths = distinct_terms.agg(F.sort_array(F.collect_set(F.length("term")))).scalar()
     longest = distinct_terms.agg(F.coalesce(F.max(F.length("term")), F.lit(1))).scalar()
 
-    runs = rows.select(
-        F.col(key), F.explode(F.array_distinct(F.regexp_extract_all(hay, F.lit(RUN_PATTERN), F.lit(0)))).alias("run")
-    )
-    postings = runs.withColumn("longest", longest).select(
-        key, F.explode(_pieces(F.col("run"), F.col("longest"))).alias("piece")
-    )
+    words = F.array_distinct(F.regexp_extract_all(hay, F.lit(RUN_PATTERN), F.lit(0)))
+    runs = explode_rows(rows, [key], words, "run").withColumn("longest", longest)
+    postings = explode_rows(runs, [key], _pieces(F.col("run"), F.col("longest")), "piece")
     vocabulary = postings.select("piece").distinct()
-    parts = vocabulary.select("piece", F.explode(lengths).alias("size")).filter(F.col("size") <= F.length("piece"))
-    parts = parts.select(
-        "piece",
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1),
-                    lambda at: F.substr(F.col("piece"), at, F.col("size")),
-                )
-            )
-        ).alias("term"),
+    sized = explode_rows(vocabulary, ["piece"], lengths, "size").filter(F.col("size") <= F.length("piece"))
+    substrings = F.transform(
+        F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1),
+        lambda at: F.substr(F.col("piece"), at, F.col("size")),
     )
+    parts = explode_rows(sized, ["piece"], F.array_distinct(substrings), "term")
     matches = parts.join(distinct_terms, "term", "left_semi")
     row_terms = postings.join(matches, "piece").select(key, "term").distinct()
     hits = row_terms.join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("hits"))
@@ -102,14 +96,14 @@ def batch_coverage(rows: DataFrame, key: str, hay: Column, queries: DataFrame) -
 
 def inverted_index(rows: DataFrame, key: str, body: Column | str) -> DataFrame:
     """(token, key, tf, length): one row per token and text, counted inside the text's partition first."""
-    tokens = rows.select(F.col(key), tokenize(as_col(body)).alias("tokens"))
-    words = tokens.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    tokens = rows.select(F.col(key), tokenize(as_col(body)).alias("tokens")).withColumn("length", F.size("tokens"))
+    words = explode_rows(tokens, [key, "length"], F.col("tokens"), "token")
     return words.groupBy("token", key, "length").agg(F.count("*").alias("tf"))
 
 
 def bm25_scores(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """R2 first stage: BM25 per (query_id, key). `queries` has (query_id, query_text)."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize("query_text"))).alias("token"))
+    terms = explode_rows(queries, ["query_id"], F.array_distinct(tokenize("query_text")), "token")
     lengths = index.groupBy(key).agg(F.first("length").alias("length"))
     totals = lengths.agg(F.count("*").alias("texts"), F.avg("length").alias("mean_length"))
     texts, mean = totals.select("texts").scalar(), totals.select("mean_length").scalar()

@@ -87,11 +87,11 @@ def search_batch(
 
 def result_rows(ranked: DataFrame, query: Column) -> DataFrame:
     """Matched and missing tokens, coverage, snippet and page label of each result."""
-    terms = unique_tokens(query)
-    hay = row_haystack(ranked.columns)
-    return ranked.withColumns({
-        "matched_keywords": matched_tokens(terms, hay),
-        "missing_keywords": missing_tokens(terms, hay),
+    columns = [c for c in ranked.columns]
+    ranked = ranked.withColumns({"query_terms": unique_tokens(query), "hay": row_haystack(columns)})
+    rows = ranked.withColumns({
+        "matched_keywords": matched_tokens(F.col("query_terms"), F.col("hay")),
+        "missing_keywords": missing_tokens(F.col("query_terms"), F.col("hay")),
         "matched_text": trim_snippet("chunk_text"),
         "display_page": first_filled(
             "display_page" if "display_page" in ranked.columns else F.lit(""),
@@ -101,3 +101,4 @@ def result_rows(ranked: DataFrame, query: Column) -> DataFrame:
         "keyword_coverage",
         coverage(F.size("matched_keywords"), F.size("matched_keywords") + F.size("missing_keywords")),
     )
+    return rows.drop("query_terms", "hay")

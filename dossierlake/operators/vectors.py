@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dossierlake.functions.text import explode_rows
 from dossierlake.functions.tokens import tokenize
 from dossierlake.operators.keyword import SCORE_DIGITS, top_rows_per
 
@@ -23,7 +24,7 @@ def sign_of(token: Column) -> Column:
 
 def sparse_embedding(rows: DataFrame, key: str, body: Column | str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, slot, weight): integer weights before normalisation, zero slots dropped."""
-    tokens = rows.select(F.col(key), F.explode(tokenize(body)).alias("token"))
+    tokens = explode_rows(rows, [key], tokenize(body), "token")
     return (
         tokens.groupBy(key, slot_of(F.col("token"), dimensions).alias("slot"))
         .agg(F.sum(sign_of(F.col("token"))).cast("bigint").alias("weight"))
@@ -93,7 +94,9 @@ def flat_search(
     packed = queries.agg(
         F.collect_list(F.struct(F.col(query_key).alias("query_id"), F.col(query_vector).alias("query_vector")))
     ).scalar()
-    pairs = vectors.select(key, vector, packed.alias("packed")).select(key, vector, F.explode("packed").alias("q"))
+    pairs = vectors.select(key, vector, packed.alias("packed")).transform(
+        lambda d: explode_rows(d, [key, vector], F.col("packed"), "q")
+    )
     scored = pairs.select(
         key, "q.query_id", F.round(dot(F.col(vector), F.col("q.query_vector")), SCORE_DIGITS).alias("score")
     )

@@ -58,7 +58,8 @@ def keyword_coverage_topk(spark, sf_dir):
 )
 def matched_missing_keywords(spark, sf_dir):
     rows = searchable(spark, sf_dir).select("doc_id", doc_haystack().alias("hay"))
-    terms = K.unique_tokens(F.lit(TOPIC))
+    rows = rows.withColumn("terms", KW.one_value(rows, K.unique_tokens(F.lit(TOPIC))))
+    terms = F.col("terms")
     return rows.select(
         "doc_id",
         F.concat_ws(",", K.matched_tokens(terms, F.col("hay"))).alias("matched"),

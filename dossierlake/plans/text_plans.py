@@ -42,7 +42,7 @@ def tokenize_counts(spark, sf_dir):
 def token_doc_freq(spark, sf_dir):
     # Per document first, inside the row's own partition, so that a word in every document
     # reaches the shuffle once per partition and not once per occurrence.
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(K.tokenize("text")).alias("token"))
+    words = T.explode_rows(table(spark, sf_dir, "documents"), ["doc_id"], K.tokenize("text"), "token")
     per_document = words.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
     return per_document.groupBy("token").agg(
         F.sum("tf").cast("bigint").alias("occurrences"), F.count("*").cast("bigint").alias("documents")

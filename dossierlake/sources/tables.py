@@ -7,8 +7,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dossierlake.functions.text import stable_id
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy text work every core when the input has fewer splits than cores.
+
+    A large table has far more splits than cores and is left as it was read.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

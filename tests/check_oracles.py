@@ -58,7 +58,7 @@ def main(names):
     from dossierlake.session import build_session
 
     sf_dir = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+    spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",spark__ui__showConsoleProgress="false",
                           spark__driver__memory="12g", spark__sql__ansi__enabled="true")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)

@@ -70,9 +70,12 @@ def chapter_report(chunks: DataFrame, document: str = "document_id", limit: int
     )
 
 
-def top_words(words: DataFrame, labels: list[str], word: str, limit: int, out: str) -> DataFrame:
+def top_words(
+    words: DataFrame, labels: list[str], word: str, limit: int, out: str, weight: Column | None = None
+) -> DataFrame:
     """The most frequent words per label, joined by commas; equal counts in word order."""
-    counted = words.groupBy(*labels, word).agg(F.count("*").alias("uses"))
+    uses = F.count("*") if weight is None else F.sum(weight)
+    counted = words.groupBy(*labels, word).agg(uses.alias("uses"))
     order = Window.partitionBy(*labels).orderBy(F.desc("uses"), F.asc(word))
     best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
     packed = best.groupBy(*labels).agg(F.array_sort(F.collect_list(F.struct("place", word))).alias("items"))
@@ -90,11 +93,18 @@ def heading_tree(chunks: DataFrame, document: str = "document_id", subsection: C
     rows = explode_rows(chunks, [document, "page_no", "domain_keywords"], levels, "h").select(
         F.col("h.level").alias("level"), F.col("h.label").alias("label"), document, "page_no", "domain_keywords"
     ).filter(F.col("label") != "")
-    counted = label_counts(rows, ["level", "label"], document, "page_no")
+    # One shuffle of combined rows feeds the counts and the keywords alike.
+    cells = rows.groupBy("level", "label", document, "page_no", "domain_keywords").agg(F.count("*").alias("n"))
+    pages = cells.groupBy("level", "label", document, "page_no").agg(F.sum("n").alias("n"))
+    documents = pages.groupBy("level", "label", document).agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    counted = documents.groupBy("level", "label").agg(
+        F.sum("n").cast("bigint").alias("chunk_count"), F.count("*").cast("bigint").alias("document_count"),
+        F.sum("pages").cast("bigint").alias("page_count"),
+    )
     order = Window.partitionBy("level").orderBy(F.desc("chunk_count"), "label")
     kept = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TREE_LIMIT)
-    words = explode_rows(rows, ["level", "label"], F.split("domain_keywords", "[,;\\s]+"), "word").filter("word <> ''")
-    keywords = top_words(words, ["level", "label"], "word", TREE_KEYWORDS, "top_keywords")
+    words = explode_rows(cells, ["level", "label", "n"], F.split("domain_keywords", "[,;\\s]+"), "word").filter("word <> ''")
+    keywords = top_words(words, ["level", "label"], "word", TREE_KEYWORDS, "top_keywords", F.col("n"))
     return kept.join(keywords, ["level", "label"], "left").select(
         "level", "label", "chunk_count", "document_count", "page_count", text_or_empty("top_keywords").alias("top_keywords")
     )
@@ -162,7 +172,7 @@ def document_area() -> Column:
 
 
 def _result_words(results: DataFrame, keep: list[str]) -> DataFrame:
-    words = F.concat("matched_keywords", F.transform(F.split(text_or_empty("domain_keywords"), ","), F.trim))
+    words = F.concat("matched_keywords", F.transform(F.split(text_or_empty("domain_keywords"), ","), lambda w: F.trim(w)))
     return explode_rows(results, keep, words, "word").filter(F.col("word") != "")
 
 

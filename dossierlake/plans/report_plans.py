@@ -23,7 +23,11 @@ def report_chunks(spark, sf_dir):
     units = units.withColumn(
         "domain_keywords", F.concat_ws(", ", TG.domain_tags(F.concat_ws(" ", "unit_text", "document_title"), CORPUS_TAGS))
     )
-    units = units.withColumn("canonical_chapter_title", F.nullif(F.col("chapter_title"), F.lit(HD.DEFAULT_CHAPTER)))
+    absent = F.lit(None).cast("string")
+    units = units.withColumns({
+        "canonical_chapter_title": F.nullif(F.col("chapter_title"), F.lit(HD.DEFAULT_CHAPTER)),
+        "canonical_section_title": absent, "canonical_subsection_title": absent, "canonical_heading_path": absent,
+    })
     chunks = IN.with_chunks(units)
     return chunks.withColumn("chunk_id", IN.chunk_id("document_id", "file_name", "page_no", "chunk_index", "chunk_text"))
 
@@ -88,10 +92,10 @@ _SUB_SQL = S.canonical_case(
       UNION ALL SELECT 2, section_title, document_id, page_no, domain_keywords FROM rc WHERE section_title <> ''
       UNION ALL SELECT 3, sub, document_id, page_no, domain_keywords FROM (SELECT *, {_SUB_SQL} AS sub FROM rc) WHERE sub <> ''),
     ct AS (SELECT level, label, count(*) AS chunk_count, count(DISTINCT document_id) AS document_count,
-             count(DISTINCT document_id || ':' || page_no) AS page_count FROM lv GROUP BY ALL
+             count(DISTINCT document_id || ':' || page_no) AS page_count FROM lv GROUP BY level, label
            QUALIFY row_number() OVER (PARTITION BY level ORDER BY count(*) DESC, label) <= 200),
     wd AS (SELECT level, label, unnest(string_split_regex(domain_keywords, '[,;\\s]+')) AS w FROM lv),
-    wc AS (SELECT level, label, w, count(*) AS n FROM wd WHERE w <> '' GROUP BY ALL
+    wc AS (SELECT level, label, w, count(*) AS n FROM wd WHERE w <> '' GROUP BY level, label, w
            QUALIFY row_number() OVER (PARTITION BY level, label ORDER BY count(*) DESC, w) <= 5),
     tk AS (SELECT level, label, string_agg(w, ', ' ORDER BY n DESC, w) AS top_keywords FROM wc GROUP BY ALL)
     SELECT CAST(level AS INT) AS level, label, CAST(chunk_count AS BIGINT) AS chunk_count, CAST(document_count AS BIGINT) AS document_count,
@@ -210,7 +214,7 @@ def result_metrics(spark, sf_dir):
 @register(
     "area_distribution",
     f"""WITH RECURSIVE {RESULTS_SQL}, {_RESULT_WORDS},
-    wc AS (SELECT area, w, count(*) AS n FROM rw WHERE w <> '' GROUP BY ALL
+    wc AS (SELECT area, w, count(*) AS n FROM rw WHERE w <> '' GROUP BY area, w
            QUALIFY row_number() OVER (PARTITION BY area ORDER BY count(*) DESC, w) <= 6),
     tk AS (SELECT area, string_agg(w, ', ' ORDER BY n DESC, w) AS top_keywords FROM wc GROUP BY area),
     ct AS (SELECT heading_path AS area, count(*) AS c, count(DISTINCT document_id) AS d, count(DISTINCT document_id || ':' || page_no) AS p FROM results GROUP BY 1)

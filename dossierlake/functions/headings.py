@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -18,7 +19,9 @@ CHAPTER_PREFIX = f"^\\s*{CHAPTER_WORD}\\s*[.)．:]?\\s*"
 NUMERAL_PREFIX = f"^\\s*{NUMERALS}\\s*[.)．:]?\\s*"
 NUMBER_PREFIX = "^\\s*\\d+(?:\\.\\d+)*\\s*[.)．:]?\\s*"
 HEADING_PREFIX = f"^\\s*(?:{CHAPTER_WORD}|{NUMERALS}|\\d+(?:\\.\\d+)*)\\s*[.)．:]?\\s*\\S"
-NOT_TITLE_CHARS = "[^0-9a-zA-Z가-힣]+"
+# Everything but digits, Latin letters and Hangul syllables, as ranges: the JVM matches
+# listed ranges several times faster than the negated class.
+NOT_TITLE_CHARS = "[\\x00-/:-@\\[-`{-\\x{abff}\\x{d7a4}-\\x{10ffff}]+"
 DROPPED_WORDS = "챕터|chapter|장|절"
 SAME_TITLE_ENDINGS = ("수립", "설계")
 TAXONOMY_PREFIX = (
@@ -45,15 +48,11 @@ def normalize_taxonomy(value: Column | str) -> Column:
 
 def plain_norm(value: str) -> str:
     """The chapter norm of a lexicon entry; entries carry no numbering."""
-    import re
-
-    return re.sub(NOT_TITLE_CHARS, "", re.sub(DROPPED_WORDS, "", value.strip().lower()))
+    return plain_compact(re.sub(DROPPED_WORDS, "", value.strip()))
 
 
 def plain_compact(value: str) -> str:
-    import re
-
-    return re.sub(NOT_TITLE_CHARS, "", value.lower())
+    return re.sub("[^0-9a-zA-Z가-힣]+", "", value.lower())
 
 
 def _distinct(values) -> list[str]:

@@ -31,7 +31,14 @@ BOOST_COLUMNS = (
 def normalise_by_max(rows: DataFrame, score: str, group: str | None, out: str) -> DataFrame:
     """Divide by the best score of the query. Only bounded candidate sets come here."""
     best = F.max(score).over(Window.partitionBy(group) if group else Window.partitionBy(F.lit(0)))
-    return rows.withColumn(out, F.col(score) / best)
+    return rows.withColumn(out, F.coalesce(F.try_divide(F.col(score), best), F.lit(0.0)))
+
+
+def mean_score(
+    keyword: Column, vector: Column, keyword_weight: float = KEYWORD_WEIGHT, vector_weight: float = VECTOR_WEIGHT
+) -> Column:
+    """Weighted mean of both scores."""
+    return keyword * keyword_weight + vector * vector_weight
 
 
 def fuse(
@@ -42,10 +49,8 @@ def fuse(
     both = keyword.join(vector, keys, "full_outer").fillna(0.0, ["keyword_score", "vector_score"])
     if not allow_vector_only:
         both = both.filter(F.col("keyword_score") > 0)
-    return both.withColumn(
-        "score",
-        F.round(F.col("keyword_score") * keyword_weight + F.col("vector_score") * vector_weight, SCORE_DIGITS),
-    )
+    mean = mean_score(F.col("keyword_score"), F.col("vector_score"), keyword_weight, vector_weight)
+    return both.withColumn("score", F.round(mean, SCORE_DIGITS))
 
 
 def recency_factor(mtime: Column, group: str | None) -> Column:

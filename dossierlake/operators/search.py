@@ -34,30 +34,30 @@ def apply_filters(rows: DataFrame, filters: dict | None) -> DataFrame:
     return rows
 
 
-def hashed_scores(candidates: DataFrame, key: str, body: Column | str, queries: DataFrame) -> DataFrame:
-    """Rescore the candidates of each query; drop non-positive, divide by the best."""
-    texts = candidates.select(F.col(key), body.alias("body") if isinstance(body, Column) else F.col(body).alias("body"))
-    item_vectors = V.sparse_embedding(texts.dropDuplicates([key]), key, "body")
-    query_vectors = V.sparse_embedding(queries, "query_id", "query_text")
-    cosines = V.pair_cosine(candidates.select("query_id", key), query_vectors, item_vectors, "query_id", key)
-    positive = cosines.filter(F.col("cosine") > 0)
-    return R.normalise_by_max(positive, "cosine", "query_id", "vector_score").select("query_id", key, "vector_score")
-
-
-def rank_candidates(candidates: DataFrame, key: str, body: str, queries: DataFrame, k: int, scope: dict | None) -> DataFrame:
-    """R5-R8 over bounded candidate sets: fusion, scope and recency boosts, best k per query."""
-    vector = hashed_scores(candidates, key, body, queries)
-    scores = R.fuse(candidates.select("query_id", key, "keyword_score"), vector, ["query_id", key], allow_vector_only=False)
-    rows = candidates.drop("keyword_score").join(scores, ["query_id", key])
+def rank_candidates(candidates: DataFrame, key: str, body: str, k: int, scope: dict | None) -> DataFrame:
+    """R3, R5-R8 over bounded candidate sets, each row with its `query_text`.
+
+    The candidate texts are embedded where they are; the only exchange brings the at most
+    max(2k, 40) rows of a query together for the two scalings and the cut.
+    """
     scope = scope or {}
-    boost = R.scope_factor(
-        scope.get("scope"), R.boost_haystack(rows.columns), F.col("file_path"),
-        scope.get("report", []), scope.get("proposal", []),
-        scope.get("report_rules", R.REPORT_BOOSTS), scope.get("proposal_rules", R.PROPOSAL_BOOSTS),
+    cosine = V.cells_cosine(F.col("item_cells"), F.col("query_cells"))
+    rows = candidates.withColumns({
+        "item_cells": V.sparse_cells(body), "query_cells": V.sparse_cells("query_text"),
+        "scope_boost": R.scope_factor(
+            scope.get("scope"), R.boost_haystack(candidates.columns), F.col("file_path"),
+            scope.get("report", []), scope.get("proposal", []),
+            scope.get("report_rules", R.REPORT_BOOSTS), scope.get("proposal_rules", R.PROPOSAL_BOOSTS),
+        ),
+    }).withColumn("cosine", cosine).drop("item_cells", "query_cells")
+    rows = rows.withColumn("cosine", F.greatest("cosine", F.lit(0.0)))
+    rows = R.normalise_by_max(rows, "cosine", "query_id", "vector_score").withColumn(
+        "recency_boost", R.recency_factor(F.col("file_mtime"), "query_id")
     )
+    base = F.round(R.mean_score(F.col("keyword_score"), F.col("vector_score")), KW.SCORE_DIGITS)
     boosted = rows.withColumn(
-        "score", F.round(F.col("score") * boost * R.recency_factor(F.col("file_mtime"), "query_id"), KW.SCORE_DIGITS)
-    )
+        "score", F.round(base * F.col("scope_boost") * F.col("recency_boost"), KW.SCORE_DIGITS)
+    ).drop("cosine", "scope_boost", "recency_boost")
     return KW.top_rows_per(boosted, "query_id", "score", key, k)
 
 
@@ -68,9 +68,9 @@ def search(
     """R8 for one query: one scan with top-k, then everything runs on at most max(2k, 40) rows."""
     filtered = apply_filters(rows, filters)
     scored = KW.coverage_scores(filtered, query, row_haystack(rows.columns))
-    candidates = KW.top_rows(scored, "keyword_score", key, KW.candidate_limit(k)).withColumn("query_id", F.lit(0))
-    queries = rows.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("query_text"))
-    return rank_candidates(candidates, key, body, queries, k, scope)
+    top = KW.top_rows(scored, "keyword_score", key, KW.candidate_limit(k))
+    candidates = top.withColumns({"query_id": F.lit(0), "query_text": F.lit(query)})
+    return rank_candidates(candidates, key, body, k, scope)
 
 
 def search_batch(
@@ -81,8 +81,8 @@ def search_batch(
     filtered = apply_filters(rows, filters)
     scores = KW.batch_coverage(filtered, key, row_haystack(rows.columns), queries)
     top = KW.top_rows_per(scores, "query_id", "keyword_score", key, KW.candidate_limit(k))
-    candidates = top.select("query_id", key, "keyword_score").join(filtered, key)
-    return rank_candidates(candidates, key, body, queries, k, scope)
+    candidates = top.select("query_id", key, "keyword_score").join(queries, "query_id").join(filtered, key)
+    return rank_candidates(candidates, key, body, k, scope)
 
 
 def result_rows(ranked: DataFrame, query: Column) -> DataFrame:

@@ -10,7 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossierlake.functions.headings import NOT_TITLE_CHARS, TAXONOMY_PREFIX
+from dossierlake.functions.headings import TAXONOMY_PREFIX, plain_compact
 from dossierlake.lexicons import fixed_values as V
 
 # Thresholds and confidences of heading matches.
@@ -26,7 +26,7 @@ Aliases = Mapping[str, Sequence[str]]
 
 
 def _norm(text: str) -> str:
-    return re.sub(NOT_TITLE_CHARS, "", re.sub(TAXONOMY_PREFIX, "", (text or "").strip()).lower())
+    return plain_compact(re.sub(TAXONOMY_PREFIX, "", (text or "").strip()))
 
 
 def _words(text: str) -> frozenset[str]:

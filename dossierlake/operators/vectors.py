@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossierlake.functions.text import explode_rows
+from dossierlake.functions.text import bind, explode_rows
 from dossierlake.functions.tokens import tokenize
 from dossierlake.operators.keyword import SCORE_DIGITS, top_rows_per
 
@@ -12,28 +12,65 @@ from dossierlake.operators.keyword import SCORE_DIGITS, top_rows_per
 DIMENSIONS = 384
 
 
-def slot_of(token: Column, dimensions: int = DIMENSIONS) -> Column:
-    """First four MD5 bytes, modulo the width."""
-    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % dimensions
+def sparse_cells(body: Column | str, dimensions: int = DIMENSIONS) -> Column:
+    """array<struct(slot, weight)> of a text, integer weights before normalisation.
 
+    The tokens of a text lie in its own row, so its slots are summed there: sorted by slot,
+    one pass closes a cell whenever the slot changes. Nothing is shuffled.
+    """
 
-def sign_of(token: Column) -> Column:
-    """+1 when the fifth MD5 byte is even."""
-    return F.when(F.substring(F.md5(token), 10, 1).isin(*"02468ace"), 1).otherwise(-1)
+    def hit(token: Column) -> Column:
+        return bind(
+            F.md5(token),
+            lambda m: F.struct(
+                (F.conv(F.substring(m, 1, 8), 16, 10).cast("bigint") % dimensions).alias("slot"),
+                F.when(F.substring(m, 10, 1).isin(*"02468ace"), 1).otherwise(-1).cast("bigint").alias("weight"),
+            ),
+        )
+
+    start = F.struct(
+        F.lit(-1).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("weight"),
+        F.array().cast("array<struct<slot:bigint,weight:bigint>>").alias("cells"),
+    )
 
+    def closed(s: Column) -> Column:
+        cell = F.struct(s["slot"].alias("slot"), s["weight"].alias("weight"))
+        return F.when(s["weight"] != 0, F.concat(s["cells"], F.array(cell))).otherwise(s["cells"])
+
+    def step(s: Column, h: Column) -> Column:
+        same = s["slot"] == h["slot"]
+        return F.struct(
+            h["slot"].alias("slot"), (F.when(same, s["weight"]).otherwise(0) + h["weight"]).alias("weight"),
+            F.when(same, s["cells"]).otherwise(closed(s)).alias("cells"),
+        )
+
+    return F.aggregate(F.array_sort(F.transform(tokenize(body), hit)), start, step, closed)
+
+
+def square_of(cells: Column) -> Column:
+    return F.aggregate(cells, F.lit(0).cast("bigint"), lambda acc, c: acc + c["weight"] * c["weight"])
 
-def sparse_embedding(rows: DataFrame, key: str, body: Column | str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, slot, weight): integer weights before normalisation, zero slots dropped."""
-    tokens = explode_rows(rows, [key], tokenize(body), "token")
-    return (
-        tokens.groupBy(key, slot_of(F.col("token"), dimensions).alias("slot"))
-        .agg(F.sum(sign_of(F.col("token"))).cast("bigint").alias("weight"))
-        .filter(F.col("weight") != 0)
-    )
 
+def cells_cosine(left: Column, right: Column) -> Column:
+    """Cosine of two sparse texts; 0 when either is empty."""
 
-def norms(sparse: DataFrame, key: str) -> DataFrame:
-    return sparse.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("square"))
+    def product(cells: Column) -> Column:
+        weights = F.map_from_entries(right)
+        return bind(
+            weights,
+            lambda w: F.aggregate(
+                cells, F.lit(0).cast("bigint"), lambda acc, c: acc + c["weight"] * F.coalesce(F.try_element_at(w, c["slot"]), F.lit(0))
+            ),
+        )
+
+    scale = F.sqrt(square_of(left).cast("double")) * F.sqrt(square_of(right).cast("double"))
+    return F.coalesce(F.try_divide(product(left).cast("double"), scale), F.lit(0.0))
+
+
+def sparse_embedding(rows: DataFrame, key: str, body: Column | str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, slot, weight, square): one row per slot, `square` is the squared norm of the whole text."""
+    packed = rows.select(F.col(key), sparse_cells(body, dimensions).alias("cells")).withColumn("square", square_of(F.col("cells")))
+    return explode_rows(packed, [key, "square"], F.col("cells"), "c").select(key, "c.slot", "c.weight", "square")
 
 
 def dense_embedding(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -47,25 +84,6 @@ def dense_embedding(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS) -
     return entries.select(key, value.alias("embedding"))
 
 
-def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Cosine for the given (left_key, right_key) pairs only, from sparse rows; pairs without overlap give 0."""
-    left_sq = norms(left, left_key).withColumnRenamed("square", "left_square")
-    right_sq = norms(right, right_key).withColumnRenamed("square", "right_square")
-    products = (
-        pairs.select(left_key, right_key)
-        .join(right.withColumnRenamed("weight", "right_weight"), right_key)
-        .join(left.withColumnRenamed("weight", "left_weight"), [left_key, "slot"])
-        .groupBy(left_key, right_key)
-        .agg(F.sum(F.col("left_weight") * F.col("right_weight")).alias("dot"))
-    )
-    scale = F.sqrt(F.col("left_square").cast("double")) * F.sqrt(F.col("right_square").cast("double"))
-    return (
-        products.join(left_sq, left_key)
-        .join(right_sq, right_key)
-        .select(left_key, right_key, (F.col("dot") / scale).alias("cosine"))
-    )
-
-
 def dot(a: Column, b: Column) -> Column:
     """Inner product, summed left to right."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

@@ -28,9 +28,7 @@ def sparse_sql(key: str, body: str, source: str) -> str:
 def hash_embedding_sparse(spark, sf_dir):
     sparse = V.sparse_embedding(table(spark, sf_dir, "documents"), "doc_id", "text")
     norm = F.sqrt(F.col("square").cast("double"))
-    return sparse.join(V.norms(sparse, "doc_id"), "doc_id").select(
-        "doc_id", "slot", "weight", F.round(F.col("weight") / norm, 6).alias("value")
-    )
+    return sparse.select("doc_id", "slot", "weight", F.round(F.col("weight") / norm, 6).alias("value"))
 
 
 _VEC = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"

@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class Settings:
+    root_folders: tuple[str, ...] = ()
     data_dir: str = "data"
     chunk_size: int = 1000
     chunk_overlap: int = 150
@@ -17,12 +18,12 @@ class Settings:
     keyword_weight: float = 0.4
     vector_weight: float = 0.6
     embedding_dimensions: int = 384
-    exclude_patterns: tuple[str, ...] = ()
+    exclude_patterns: tuple[str, ...] = ("견적", "원가", "계약", "개인정보")
     exclude_reference_materials: bool = True
 
 
 YAML_KEYS = {
-    ("storage", "data_dir"): "data_dir", ("indexing", "chunk_size"): "chunk_size", ("indexing", "chunk_overlap"): "chunk_overlap",
+    ("indexing", "chunk_size"): "chunk_size", ("indexing", "chunk_overlap"): "chunk_overlap",
     ("indexing", "supported_extensions"): "supported_extensions", ("search", "top_k"): "top_k",
     ("search", "keyword_weight"): "keyword_weight", ("search", "vector_weight"): "vector_weight",
     ("embedding", "dimensions"): "embedding_dimensions", ("security", "exclude_patterns"): "exclude_patterns",
@@ -37,6 +38,9 @@ def load_settings(path: str) -> Settings:
     with open(path, encoding="utf-8") as handle:
         document = yaml.safe_load(handle) or {}
     found = {}
+    for name in ("root_folders", "data_dir"):
+        if document.get(name) is not None:
+            found[name] = tuple(document[name]) if isinstance(document[name], list) else document[name]
     for (section, key), name in YAML_KEYS.items():
         value = (document.get(section) or {}).get(key)
         if value is not None:

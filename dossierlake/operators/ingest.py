@@ -226,9 +226,17 @@ def embedding_text() -> Column:
 
 def chunk_table(docs: DataFrame, groups: HD.Groups = CHAPTER_SYNONYMS, tags=None, taxonomy=None) -> DataFrame:
     """Documents -> the chunk table. `docs` carries the columns of `corpus_documents`."""
+    units = units_of(docs, "text", groups).withColumn("display_page", F.col("page_no").cast("string"))
+    return chunks_of_units(units, groups, tags, taxonomy)
+
+
+def chunks_of_units(
+    units: DataFrame, groups: HD.Groups = CHAPTER_SYNONYMS, tags=None, taxonomy=None, size: int = CHUNK_CHARS,
+    overlap: int = OVERLAP_CHARS,
+) -> DataFrame:
+    """Units with headings, document and project columns -> the chunk table."""
     from dossierlake.operators import tagging, taxonomy as TX
 
-    units = units_of(docs, "text", groups).withColumn("display_page", F.col("page_no").cast("string"))
     contexts = parent_contexts(units)
     units = units.join(contexts, ["document_id", "heading_path"])
     units = units.withColumns({
@@ -268,7 +276,7 @@ def chunk_table(docs: DataFrame, groups: HD.Groups = CHAPTER_SYNONYMS, tags=None
             ),
         ),
     )
-    chunks = with_chunks(units)
+    chunks = with_chunks(units, size, overlap)
     if "client_name" not in chunks.columns:
         chunks = chunks.withColumn("client_name", F.lit(""))
     return chunks.withColumns({

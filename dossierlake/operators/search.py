@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dossierlake.functions import labels
 from dossierlake.functions.text import first_filled, text_or_empty, trim_snippet
 from dossierlake.functions.tokens import coverage, matched_tokens, missing_tokens, unique_tokens
+from dossierlake.session import checkpoint
 from dossierlake.operators import keyword as KW, ranking as R, vectors as V
 
 HAYSTACK_COLUMNS = (
@@ -34,23 +35,24 @@ def apply_filters(rows: DataFrame, filters: dict | None) -> DataFrame:
     return rows
 
 
-def rank_candidates(candidates: DataFrame, key: str, body: str, k: int, scope: dict | None) -> DataFrame:
-    """R3, R5-R8 over bounded candidate sets, each row with its `query_text`.
+def with_item_columns(items: DataFrame, body: str, scope: dict | None) -> DataFrame:
+    """What a result needs whichever query found it, computed once per item."""
+    scope = scope or {}
+    boost = R.scope_factor(
+        scope.get("scope"), R.boost_haystack(items.columns), F.col("file_path"), scope.get("report", []),
+        scope.get("proposal", []), scope.get("report_rules", R.REPORT_BOOSTS), scope.get("proposal_rules", R.PROPOSAL_BOOSTS),
+    )
+    return items.withColumns({"item_cells": V.sparse_cells(body), "scope_boost": boost})
+
+
+def rank_candidates(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """R3, R5-R8 over bounded candidate sets (query_id, key, keyword_score, item and query columns).
 
-    The candidate texts are embedded where they are; the only exchange brings the at most
-    max(2k, 40) rows of a query together for the two scalings and the cut.
+    One exchange brings the at most max(2k, 40) rows of a query together for the two
+    scalings and the cut.
     """
-    scope = scope or {}
     cosine = V.cells_cosine(F.col("item_cells"), F.col("query_cells"))
-    rows = candidates.withColumns({
-        "item_cells": V.sparse_cells(body), "query_cells": V.sparse_cells("query_text"),
-        "scope_boost": R.scope_factor(
-            scope.get("scope"), R.boost_haystack(candidates.columns), F.col("file_path"),
-            scope.get("report", []), scope.get("proposal", []),
-            scope.get("report_rules", R.REPORT_BOOSTS), scope.get("proposal_rules", R.PROPOSAL_BOOSTS),
-        ),
-    }).withColumn("cosine", cosine).drop("item_cells", "query_cells")
-    rows = rows.withColumn("cosine", F.greatest("cosine", F.lit(0.0)))
+    rows = rows.withColumn("cosine", F.greatest(cosine, F.lit(0.0))).drop("item_cells", "query_cells")
     rows = R.normalise_by_max(rows, "cosine", "query_id", "vector_score").withColumn(
         "recency_boost", R.recency_factor(F.col("file_mtime"), "query_id")
     )
@@ -68,21 +70,28 @@ def search(
     """R8 for one query: one scan with top-k, then everything runs on at most max(2k, 40) rows."""
     filtered = apply_filters(rows, filters)
     scored = KW.coverage_scores(filtered, query, row_haystack(rows.columns))
-    top = KW.top_rows(scored, "keyword_score", key, KW.candidate_limit(k))
-    candidates = top.withColumns({"query_id": F.lit(0), "query_text": F.lit(query)})
-    return rank_candidates(candidates, key, body, k, scope)
+    top = with_item_columns(KW.top_rows(scored, "keyword_score", key, KW.candidate_limit(k)), body, scope)
+    asked = top.withColumns({
+        "query_id": F.lit(0), "query_text": F.lit(query), "query_cells": KW.one_value(rows, V.sparse_cells(F.lit(query))),
+    })
+    return rank_candidates(asked, key, k)
 
 
 def search_batch(
     rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "chunk_id", body: str = "embedding_text",
     filters: dict | None = None, scope: dict | None = None,
 ) -> DataFrame:
-    """R8 for a table of queries (query_id, query_text) in one plan."""
+    """R8 for a table of queries (query_id, query_text) in one plan.
+
+    Favourite texts are candidates of many queries: each is embedded once, then joined.
+    """
     filtered = apply_filters(rows, filters)
     scores = KW.batch_coverage(filtered, key, row_haystack(rows.columns), queries)
-    top = KW.top_rows_per(scores, "query_id", "keyword_score", key, KW.candidate_limit(k))
-    candidates = top.select("query_id", key, "keyword_score").join(queries, "query_id").join(filtered, key)
-    return rank_candidates(candidates, key, body, k, scope)
+    top = KW.top_rows_per(scores, "query_id", "keyword_score", key, KW.candidate_limit(k)).select("query_id", key, "keyword_score")
+    wanted = checkpoint(top)
+    items = with_item_columns(filtered.join(wanted.select(key).distinct(), key, "left_semi"), body, scope)
+    asked = queries.withColumn("query_cells", V.sparse_cells("query_text"))
+    return rank_candidates(wanted.join(items, key).join(asked, "query_id"), key, k)
 
 
 def result_rows(ranked: DataFrame, query: Column) -> DataFrame:

@@ -101,20 +101,37 @@ def with_headings(docs: DataFrame, groups: HD.Groups = CHAPTER_SYNONYMS) -> Data
         "seen", F.aggregate("events", start, carry, lambda s: s["seen"])
     )
     kept = [c for c in docs.columns if c != "units"]
-    rows = explode_rows(carried, kept, F.arrays_zip("units", "seen"), "pair")
-    unit, state = F.col("pair.units"), F.col("pair.seen")
-    own = unit["section_title"]
-    section = F.when((own == "") | (own == state["chapter"]), state["section"]).otherwise(own)
-    return (
-        rows.withColumns({
-            "page_no": unit["page_no"], "unit_text": unit["text"], "chapter_title": state["chapter"],
-            "section_title": section,
-        })
-        .withColumn("heading_path", HD.heading_path(F.col("chapter_title"), F.col("section_title")))
-        .drop("pair")
+
+    def placed(pair: Column) -> Column:
+        unit, state = pair["units"], pair["seen"]
+        own = unit["section_title"]
+        section = F.when((own == "") | (own == state["chapter"]), state["section"]).otherwise(own)
+        return F.struct(
+            unit["page_no"].alias("page_no"), unit["text"].alias("text"), state["chapter"].alias("chapter"),
+            section.alias("section"), HD.heading_path(state["chapter"], section).alias("path"),
+        )
+
+    rows = carried.withColumn("placed", F.transform(F.arrays_zip("units", "seen"), placed)).drop("events", "seen", "units")
+    rows = rows.withColumn("contexts", parent_contexts(F.col("placed")))
+    rows = explode_rows(rows, kept + ["contexts"], F.col("placed"), "u")
+    return rows.select(
+        *kept, F.col("u.page_no").alias("page_no"), F.col("u.text").alias("unit_text"), F.col("u.chapter").alias("chapter_title"),
+        F.col("u.section").alias("section_title"), F.col("u.path").alias("heading_path"),
+        F.element_at("contexts", F.col("u.path")).alias("parent_context"),
     )
 
 
+def parent_contexts(placed: Column) -> Column:
+    """Map heading path -> start of the joined text of all its units, inside the document's row."""
+
+    def context(path: Column) -> Column:
+        texts = F.transform(F.filter(placed, lambda u: u["path"] == path), lambda u: u["text"])
+        return F.substring(F.array_join(texts, "\n"), 1, PARENT_CHARS)
+
+    paths = F.array_distinct(F.transform(placed, lambda u: u["path"]))
+    return bind(paths, lambda ps: F.map_from_arrays(ps, F.transform(ps, context)))
+
+
 def units_of(docs: DataFrame, body: str = "text", groups: HD.Groups = CHAPTER_SYNONYMS) -> DataFrame:
     """Documents -> one row per unit with its headings."""
     with_paragraphs = docs.withColumn("paragraphs", paragraphs_of(body)).drop(body)
@@ -201,15 +218,6 @@ def major_chapter(groups: HD.Groups) -> Column:
     return F.coalesce(*named, F.lit(HD.DEFAULT_CHAPTER))
 
 
-def parent_contexts(docs_units: DataFrame, document: str = "document_id") -> DataFrame:
-    """(document, heading_path) -> start of the joined text of all its units."""
-    grouped = docs_units.groupBy(document, "heading_path").agg(
-        F.array_sort(F.collect_list(F.struct("page_no", "unit_text"))).alias("members")
-    )
-    joined = F.array_join(F.transform("members", lambda m: m["unit_text"]), "\n")
-    return grouped.select(document, "heading_path", F.substring(clean_text(joined), 1, PARENT_CHARS).alias("parent_context"))
-
-
 def embedding_text() -> Column:
     """Labelled lines, empty ones left out."""
     labelled = (
@@ -237,8 +245,6 @@ def chunks_of_units(
     """Units with headings, document and project columns -> the chunk table."""
     from dossierlake.operators import tagging, taxonomy as TX
 
-    contexts = parent_contexts(units)
-    units = units.join(contexts, ["document_id", "heading_path"])
     units = units.withColumns({
         "raw_chapter_title": F.col("chapter_title"), "raw_section_title": F.col("section_title"),
         "raw_heading_path": F.col("heading_path"), "major": major_chapter(groups),

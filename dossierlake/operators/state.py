@@ -89,6 +89,20 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """K8: report rows as JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """K9: result rows for spreadsheets; lists become comma-separated text."""
+    flat = [
+        F.concat_ws(", ", f.name).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name)
+        for f in df.schema.fields if f.dataType.typeName() not in ("map", "struct")
+    ]
+    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+
+
 def normalize_chapters(chunks: DataFrame, groups: HD.Groups = CHAPTER_SYNONYMS) -> DataFrame:
     """The heading columns of stored chunks, computed again from the stored titles."""
     named = [

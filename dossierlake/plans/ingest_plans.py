@@ -133,10 +133,9 @@ def table_type(spark, sf_dir):
     covers="P15",
 )
 def parent_context(spark, sf_dir):
-    contexts = IN.parent_contexts(corpus_units(spark, sf_dir), "doc_id")
+    contexts = corpus_units(spark, sf_dir).groupBy("doc_id", "heading_path").agg(F.first("parent_context").alias("c"))
     return contexts.select(
-        "doc_id", "heading_path", F.md5("parent_context").alias("digest"),
-        F.length("parent_context").cast("bigint").alias("chars"),
+        "doc_id", "heading_path", F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("chars")
     )
 
 

@@ -7,7 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierlake.config import Settings
-from dossierlake.operators import dedup as D, ingest as IN, reports as RP, requests as RQ, search as H, state as ST, tagging as TG
+from dossierlake.functions import headings as HD
+from dossierlake.functions.text import first_filled, text_or_empty
+from dossierlake.operators import (
+    dedup as D, ingest as IN, intents as Q, keyword as KW, reports as RP, requests as RQ, rerank as RR, search as H, state as ST,
+    tagging as TG, taxonomy as TX,
+)
 from dossierlake.session import checkpoint
 from dossierlake.sources.files import scan_folder, with_metadata
 from dossierlake.sources.parsers import parse_files, units_of_files
@@ -19,6 +24,32 @@ DOCUMENT_COLUMNS = (
 )
 
 
+DIAGNOSTIC_HAYSTACK = (
+    "document_title", "project_name", "client_name", "canonical_heading_path", "heading_path", "domain_keywords", "matched_text",
+)
+# The test queries of the search diagnostics.
+QUALITY_QUERIES = (
+    "목표모델에서 DR 관련 산출물 찾아줘",
+    "목표 아키텍처에서 재해복구 관련 내용 찾아줘",
+    "To-Be 인프라에서 RTO RPO 관련 내용 찾아줘",
+    "목표시스템에서 이중화 방안 찾아줘",
+    "정보기술동향에서 MSA 관련 내용 찾아줘",
+    "기술 트렌드에서 마이크로서비스 관련 내용 찾아줘",
+    "비용산정에서 클라우드 TCO 근거 찾아줘",
+    "소요예산에서 클라우드 사용량 기반 비용 찾아줘",
+    "투입인력에서 ISP 경험 있는 PM 찾아줘",
+    "참여인력 주요경력에서 ISMP 경험자 찾아줘",
+)
+
+
+class ChapterNotFound(ValueError):
+    """No chunk lies in the requested chapter; carries the closest known chapters."""
+
+    def __init__(self, chapter: str, suggestions: list[str]):
+        super().__init__(f"no chapter {chapter!r}; close: {', '.join(suggestions) or 'none'}")
+        self.chapter, self.suggestions = chapter, suggestions
+
+
 @dataclass(frozen=True)
 class IndexTables:
     projects: DataFrame
@@ -102,6 +133,38 @@ class Dossiers:
         ranked = H.search(self.tables().chunks, query, k or self.settings.top_k, filters=filters, scope=scope)
         return H.result_rows(ranked, F.lit(query))
 
+    def chapter_filters(self, chapter: str, filters: dict | None = None) -> dict:
+        """Filters with the norms of a chapter, or ChapterNotFound with suggestions."""
+        norms = HD.chapter_norms(chapter)
+        rows = H.apply_filters(self.tables().chunks, filters)
+        filled = rows.filter((F.col("heading_path") != "") & (F.col("heading_norm") != ""))
+        if filled.isEmpty() or rows.filter(KW.in_chapter(norms)).isEmpty():
+            close = TX.suggest_chapters(RP.chapter_names(rows, 500), "chapter_title", norms)
+            raise ChapterNotFound(chapter, [r.chapter_title for r in close.collect()])
+        return {**(filters or {}), "chapter_norms": norms}
+
+    def topic_search(self, queries: DataFrame, k: int | None = None, filters: dict | None = None, scope: dict | None = None) -> DataFrame:
+        """Parse, expand, search wide, rerank: the best k results of every query (query_id, query_text)."""
+        k = k or self.settings.top_k
+        parsed = checkpoint(Q.expand_queries(Q.parse_queries(queries)))
+        asked = parsed.select("query_id", first_filled("semantic_query", "query_text").alias("query_text"))
+        found = H.search_batch(self.tables().chunks, asked, max(3 * k, k + 20), filters=filters, scope=scope)
+        rows = H.result_rows(found, F.col("query_text")).drop("rank", "query_text")
+        return RR.rerank(rows.join(parsed, "query_id"), "chunk_id", k).withColumn("score", F.col("final_score"))
+
+    def diagnostics(self, k: int = 10) -> DataFrame:
+        """The fixed test queries with their results and matched or missing keywords."""
+        queries = self.spark.createDataFrame(list(enumerate(QUALITY_QUERIES)), "query_id int, query_text string")
+        rows = self.topic_search(queries, k)
+        hay = F.lower(F.concat_ws(" ", *[text_or_empty(c) for c in DIAGNOSTIC_HAYSTACK]))
+        return rows.withColumn("hay", hay).select(
+            "query_id", "query_text", "search_domain", "target_chapter", "target_section", "target_subsection", "confidence",
+            "rank", "score", "keyword_score", "vector_score", "project_name", "client_name", "document_title", "display_page",
+            RP.document_area().alias("area"), "matched_text",
+            F.filter("expanded_keywords", lambda w: F.contains(F.col("hay"), F.lower(w))).alias("matched_expanded"),
+            F.slice(F.filter("expanded_keywords", lambda w: ~F.contains(F.col("hay"), F.lower(w))), 1, 20).alias("missing_expanded"),
+        )
+
     def match_request(self, requests: DataFrame, k: int | None = None) -> dict[str, DataFrame]:
         """G1-G7 for a table (id, text): summaries, best chunks and similar projects."""
         k = k or self.settings.top_k

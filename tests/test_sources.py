@@ -7,7 +7,7 @@ import pytest
 
 from dossierlake.config import Settings, load_settings
 from dossierlake.operators import ingest as IN, state as ST
-from dossierlake.service import Dossiers
+from dossierlake.service import ChapterNotFound, Dossiers
 from dossierlake.sources import files as FS, parsers as P
 from dossierlake.streaming import incremental as INC
 
@@ -77,6 +77,15 @@ def test_job_chain(spark, folder, tmp_path):
     assert dossiers.validate().first().metadata_ready
     again = dossiers.index([folder], version=2, rebuild=False)
     assert again["documents"] == 2 and again["chunks"] == counts["chunks"]
+    assert dossiers.search("클라우드", 3, filters=dossiers.chapter_filters("To-Be")).first().document_title == "목표모델 보고서"
+    with pytest.raises(ChapterNotFound) as missing:
+        dossiers.chapter_filters("이행계획")
+    assert "목표모델" in str(missing.value.suggestions) or missing.value.suggestions == []
+    report = dossiers.diagnostics(5)
+    ST.write_report(report, str(tmp_path / "report"))
+    ST.export_csv(report, str(tmp_path / "csv"))
+    first = report.filter("query_id = 4 and rank = 1").first()
+    assert first.search_domain == "technology_trend" and "MSA" in first.matched_text
     requests = spark.createDataFrame([("r", "상세 요구사항\n클라우드 전환 방안을 제시하고 MSA 설계")], "id string, text string")
     assert dossiers.match_request(requests, 5)["projects"].first().project_name.startswith("클라우드")
 

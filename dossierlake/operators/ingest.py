@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dossierlake.functions import headings as HD, tables as TB
-from dossierlake.functions.text import bind, clean_lines, clean_text, explode_rows, first_filled, stable_id, text_or_empty
+from dossierlake.functions.text import bind, clean_lines, explode_rows, first_filled, stable_id, text_or_empty
 from dossierlake.functions.tokens import tokenize
 from dossierlake.lexicons.fixed_values import CHAPTER_SYNONYMS
 

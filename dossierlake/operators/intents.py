@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake.functions.headings import canonical_chapter
 from dossierlake.functions.labels import EXPERIENCE_YEARS
-from dossierlake.functions.text import bind, contains_any, count_contained, first_filled, literal_array, squeeze
+from dossierlake.functions.text import contains_any, count_contained, first_filled, literal_array, squeeze
 from dossierlake.functions.tokens import WORD
 from dossierlake.lexicons import fixed_values as V
 from dossierlake.operators import taxonomy as TX

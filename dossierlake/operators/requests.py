@@ -151,10 +151,6 @@ def is_valid_keyword(word: Column, lexicon: RequestLexicon = KOREAN_REQUESTS) ->
     )
 
 
-def _ballots(rows: DataFrame, keys: list[str], words: Column, name: str) -> DataFrame:
-    return explode_rows(rows, keys, words, name)
-
-
 def request_keywords(
     requests: DataFrame, key: str, sections: str, body: str, limit: int = KEYWORD_LIMIT,
     lexicon: RequestLexicon = KOREAN_REQUESTS,
@@ -169,7 +165,7 @@ def request_keywords(
         F.when(contains_any(low, [v.lower() for v in variants]), F.struct(F.lit(word).alias("keyword"), F.lit(i).alias("at")))
         for i, (word, variants) in enumerate(lexicon.priority)
     ])
-    fixed = _ballots(rows, [key], F.filter(phrases, lambda p: p.isNotNull()), "b").select(
+    fixed = explode_rows(rows, [key], F.filter(phrases, lambda p: p.isNotNull()), "b").select(
         key, F.col("b.keyword").alias("keyword"), F.lit(PRIORITY_VOTE).alias("votes"), F.col("b.at").cast("bigint").alias("at")
     )
     design = design_places(rows, key, "source", limit * 2).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossierlake.lexicons.corpus import CORPUS_CHAPTERS
-from dossierlake.operators import intents as Q, keyword as KW, rerank as RR, search as H
+from dossierlake.operators import intents as Q, keyword as KW, rerank as RR
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.keyword_plans import BATCH_COVERAGE_SQL, benchmark_queries, doc_haystack, searchable
 from dossierlake.plans.registry import register

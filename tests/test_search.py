@@ -142,3 +142,25 @@ def test_request(spark):
     assert {q.weight for q in queries} == {1.45, 1.35}
     assert queries[0].query_text == " ".join(words[:4])
     assert len({q.query_text for q in queries}) == len(queries)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_single_search_is_one_scan_with_top_k(spark):
+    rows = spark.createDataFrame([chunk("1", "a", "x/a", "데이터")], COLUMNS)
+    plan = plan_of(H.search(rows, "데이터", 3))
+    assert "TakeOrderedAndProject" in plan and "Join" not in plan
+
+
+def test_batch_coverage_only_equi_joins(spark):
+    rows = spark.createDataFrame([(1, "a b")], "id int, body string")
+    queries = spark.createDataFrame([(1, "ab cd")], "query_id int, query_text string")
+    plan = plan_of(KW.batch_coverage(rows, "id", KW.haystack("body"), queries))
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_top_k_per_query_is_cut_before_the_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id % 3 as q", "id", "cast(id as double) as s")
+    assert "WindowGroupLimit" in plan_of(KW.top_rows_per(rows, "q", "s", "id", 5))

@@ -128,7 +128,7 @@ def request_keywords(spark, sf_dir):
     return RQ.request_keywords(corpus_requests(spark, sf_dir), "doc_id", "sections", "text", lexicon=CORPUS_REQUESTS)
 
 
-@register("rfp_weighted_queries", covers="G6: checked against a row-wise reading in the tests")
+@register("rfp_weighted_queries", covers="G6: no SQL; weights, order and uniqueness are tested on a literal request")
 def rfp_weighted_queries(spark, sf_dir):
     return RQ.weighted_queries(corpus_requests(spark, sf_dir), "doc_id", "sections", "text", CORPUS_REQUESTS)
 

@@ -11,7 +11,9 @@ Merging the postings never lists the pairs of a group:
 2. Every member of a posting list meets only the list's first member; the pairs found are counted and
    confirmed on the full sets, and confirmed links are joined into components.
 3. Lists whose members are then all in one component are skipped whole. Of the rest only pairs across
-   components are left, and these are confirmed in the same way.
+   components are left. Lists of up to `DIRECT` members give these pairs directly. Longer ones come from
+   passages that many documents share, and most of their pairs are not similar; their members are posted
+   under their rarest shingles instead, which loses none. All pairs are confirmed in the same way.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; with fewer than five
 words the whole sequence is the one shingle; rows without a doc_id are linked with nothing, have no
@@ -24,8 +26,9 @@ from collections.abc import Iterator
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossierlake.llm.common import checkpoint
 
@@ -33,6 +36,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 COORDINATES, MINIMA = 32, 4
 MATCHES = 1
+DIRECT = 32
 BLOCK = 1 << 22
 COLUMNS_AT_ONCE = 4096
 
@@ -190,6 +194,34 @@ def collided(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     return counted.where(F.col("collisions") >= MATCHES).select("a", "b")
 
 
+def across(posts: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of different components and fitting sizes that meet under one key."""
+    left, right = (posts.select(*key, *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label"))) for side in ("a", "b"))
+    met = left.join(right, key).where((F.col("label_a") < F.col("label_b")) & sizes_fit("n_a", "n_b"))
+    return collided(met, F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))
+
+
+def rare_posts(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rarest shingles of each set, as many as must hold one that every similar enough set shares.
+
+    Two sets of similarity 0.75 share at least ceil(0.75 n) of the n members of either, so one of the
+    first n - ceil(0.75 n) + 1 in any common order; ordered by how many sets have them, these are the
+    shingles that a common passage does not bring. Members of one set alone count in the order only.
+    """
+
+    @F.pandas_udf("array<bigint>")
+    def unpacked(members: pd.Series) -> pd.Series:
+        return members.map(lambda x: np.frombuffer(x, np.int64))
+
+    posts = checkpoint(sets.join(ids, "id").select("id", "n", "label", F.explode(unpacked("members")).alias("shingle")))
+    often = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    of_set = Window.partitionBy("id")
+    ranked = posts.join(often, "shingle").withColumn("shared", F.count(F.lit(1)).over(of_set)).withColumn(
+        "rank", F.row_number().over(of_set.orderBy("sets", "shingle")))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return ranked.where(F.col("n") - F.col("shared") + F.col("rank") <= first).select("id", "n", "label", "shingle")
+
+
 def linked(rows: DataFrame, features: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, label) of the class representatives that are linked with others."""
     posts = classes.select("id", "n", F.posexplode("signature").alias("coordinate", "value"))
@@ -206,16 +238,13 @@ def linked(rows: DataFrame, features: DataFrame, classes: DataFrame) -> DataFram
     labels = components(first)
 
     labelled = shared.where("length > 2").join(labels, F.col("id") == F.col("node"), "left").select(
-        "coordinate", "value", "id", "n", "head", F.coalesce("label", "id").alias("label"))
+        "coordinate", "value", "length", "id", "n", "head", F.coalesce("label", "id").alias("label"))
     unsettled = labelled.groupBy("coordinate", "value").agg(
         F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("coordinate", "value")
-    open_ = checkpoint(labelled.where("id <> head").join(unsettled, ["coordinate", "value"]))
-    left, right = (
-        open_.select("coordinate", "value", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label")))
-        for side in ("a", "b"))
-    crossing = left.join(right, ["coordinate", "value"]).where(
-        (F.col("label_a") < F.col("label_b")) & sizes_fit("n_a", "n_b"))
-    second = checkpoint(verified(collided(crossing, F.least("id_a", "id_b"), F.greatest("id_a", "id_b")), sets))
+    open_ = checkpoint(labelled.join(unsettled, ["coordinate", "value"]))
+    short = across(open_.where((F.col("length") <= DIRECT) & (F.col("id") != F.col("head"))), ["coordinate", "value"])
+    skipped = across(rare_posts(open_.where(F.col("length") > DIRECT).select("id", "n", "label").distinct(), sets), ["shingle"])
+    second = checkpoint(verified(short.union(skipped).distinct(), sets))
     if second.limit(1).count() == 0:
         return labels
     return components(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).union(second))

@@ -135,7 +135,8 @@ def fit(labelled: DataFrame) -> Model:
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
     ranked = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= SAMPLE_PER_LANGUAGE).select("doc_id", "lang").distinct()
-    sample = rows.join(F.broadcast(ranked) if False else ranked, ["doc_id", "lang"], "left_semi")
+    # bounded: SAMPLE_PER_LANGUAGE ids for each language
+    sample = rows.join(F.broadcast(ranked), ["doc_id", "lang"], "left_semi")
 
     def centres(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"], kind="stable")
@@ -153,13 +154,27 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score and rejected; no shuffle. The model's size depends on its languages only."""
+    """`docs` with lang_pred, score and rejected (columns of these names are replaced); no shuffle.
+
+    The model's size depends on the number of languages only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            [shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+
+    rest = docs.drop("lang_pred", "score", "rejected")
+    return rest.select("*", predicted("text").alias("__found")).select(
+        *(F.col(f"`{c}`") for c in rest.columns), "__found.lang_pred", "__found.score", "__found.rejected")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that the model does not reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def fits(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.predict(t)[2] for t in texts], dtype=bool)
 
-    return docs.withColumn("_found", predicted("text")).select(
-        *(F.col(f"`{c}`") for c in docs.columns), "_found.lang_pred", "_found.score", "_found.rejected")
+    return docs.where(fits("text"))

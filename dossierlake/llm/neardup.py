@@ -8,12 +8,15 @@ probability 0.75^4, so one collision in 32 is missed about five times in a milli
 Merging the postings never lists the pairs of a group:
 
 1. Documents of equal sets fold into one class before anything is posted.
-2. Every member of a posting list meets only the list's first member; the pairs found are counted and
-   confirmed on the full sets, and confirmed links are joined into components.
+2. Every member of a posting list meets only the list's smallest set; the pairs found are counted and
+   confirmed on the full sets, and confirmed links are joined into components. Sets that are alike
+   because of a passage in all of them are most alike with the smallest of them.
 3. Lists whose members are then all in one component are skipped whole. Of the rest only pairs across
    components are left. Lists of up to `DIRECT` members give these pairs directly. Longer ones come from
    passages that many documents share, and most of their pairs are not similar; their members are posted
-   under their rarest shingles instead, which loses none. All pairs are confirmed in the same way.
+   under their rarest shingles instead, which loses none, and meet only if the rest of both sets, from the
+   shared shingle on, is large enough: first the smallest set of each such list with all others, then
+   what is still in different components. All pairs are confirmed in the same way.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; with fewer than five
 words the whole sequence is the one shingle; rows without a doc_id are linked with nothing, have no
@@ -194,10 +197,12 @@ def collided(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     return counted.where(F.col("collisions") >= MATCHES).select("a", "b")
 
 
-def across(posts: DataFrame, key: list[str]) -> DataFrame:
+def across(posts: DataFrame, key: list[str], enough: Column | None = None) -> DataFrame:
     """Pairs of different components and fitting sizes that meet under one key."""
-    left, right = (posts.select(*key, *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "label"))) for side in ("a", "b"))
-    met = left.join(right, key).where((F.col("label_a") < F.col("label_b")) & sizes_fit("n_a", "n_b"))
+    columns = [c for c in posts.columns if c not in key]
+    left, right = (posts.select(*key, *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in ("a", "b"))
+    fit = (F.col("label_a") < F.col("label_b")) & sizes_fit("n_a", "n_b")
+    met = left.join(right, key).where(fit if enough is None else fit & enough)
     return collided(met, F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))
 
 
@@ -218,15 +223,25 @@ def rare_posts(ids: DataFrame, sets: DataFrame) -> DataFrame:
     of_set = Window.partitionBy("id")
     ranked = posts.join(often, "shingle").withColumn("shared", F.count(F.lit(1)).over(of_set)).withColumn(
         "rank", F.row_number().over(of_set.orderBy("sets", "shingle")))
-    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    return ranked.where(F.col("n") - F.col("shared") + F.col("rank") <= first).select("id", "n", "label", "shingle")
+    before = F.col("n") - F.col("shared") + F.col("rank") - 1
+    return ranked.withColumn("before", before).where(
+        100 * (F.col("n") - F.col("before")) >= PERCENT * F.col("n")).select("id", "n", "label", "shingle", "before")
+
+
+def rest_is_enough() -> Column:
+    """What follows the first shared shingle in both orders can still hold the overlap that the sizes ask for.
+
+    Later shared shingles leave less, so a pair is lost only if its first one fails.
+    """
+    rest = F.least(F.col("n_a") - F.col("before_a"), F.col("n_b") - F.col("before_b"))
+    return (100 + PERCENT) * rest >= PERCENT * (F.col("n_a") + F.col("n_b"))
 
 
 def linked(rows: DataFrame, features: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, label) of the class representatives that are linked with others."""
     posts = classes.select("id", "n", F.posexplode("signature").alias("coordinate", "value"))
     lists = posts.groupBy("coordinate", "value").agg(
-        F.count(F.lit(1)).alias("length"), F.min(F.struct("id", "n")).alias("head")).where("length > 1")
+        F.count(F.lit(1)).alias("length"), F.min(F.struct("n", "id")).alias("head")).where("length > 1")
     shared = checkpoint(posts.join(lists, ["coordinate", "value"]).select(
         "coordinate", "value", "id", "n", "length", F.col("head.id").alias("head"), F.col("head.n").alias("head_n")))
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
@@ -242,12 +257,32 @@ def linked(rows: DataFrame, features: DataFrame, classes: DataFrame) -> DataFram
     unsettled = labelled.groupBy("coordinate", "value").agg(
         F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("coordinate", "value")
     open_ = checkpoint(labelled.join(unsettled, ["coordinate", "value"]))
-    short = across(open_.where((F.col("length") <= DIRECT) & (F.col("id") != F.col("head"))), ["coordinate", "value"])
-    skipped = across(rare_posts(open_.where(F.col("length") > DIRECT).select("id", "n", "label").distinct(), sets), ["shingle"])
-    second = checkpoint(verified(short.union(skipped).distinct(), sets))
-    if second.limit(1).count() == 0:
+    short = across(open_.where((F.col("length") <= DIRECT) & (F.col("id") != F.col("head"))).drop("length", "head"), ["coordinate", "value"])
+    rare = checkpoint(rare_posts(open_.where(F.col("length") > DIRECT).select("id", "n", "label").distinct(), sets))
+    tried = checkpoint(short.union(to_smallest(rare, ["shingle"], rest_is_enough())).distinct())
+    labels = extended(labels, checkpoint(verified(tried, sets)))
+
+    relabelled = rare.drop("label").join(labels, F.col("id") == F.col("node"), "left").select(
+        *(c for c in rare.columns if c != "label"), F.coalesce("label", "id").alias("label"))
+    left = across(relabelled, ["shingle"], rest_is_enough()).join(tried, ["a", "b"], "left_anti")
+    return extended(labels, checkpoint(verified(left, sets)))
+
+
+def to_smallest(posts: DataFrame, key: list[str], enough: Column) -> DataFrame:
+    """Pairs of the smallest set under each key with every other of another component."""
+    columns = [c for c in posts.columns if c not in key]
+    least = posts.groupBy(*key).agg(F.min(F.struct("n", *(c for c in columns if c != "n"))).alias("least"))
+    met = posts.select(*key, *(F.col(c).alias(f"{c}_a") for c in columns)).join(
+        least.select(*key, *(F.col(f"least.{c}").alias(f"{c}_b") for c in columns)), key)
+    fit = (F.col("label_a") != F.col("label_b")) & sizes_fit("n_a", "n_b") & enough
+    return collided(met.where(fit), F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links."""
+    if links.limit(1).count() == 0:
         return labels
-    return components(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).union(second))
+    return components(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).union(links))
 
 
 def bridges(features: DataFrame, classes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dossierlake.llm import fingerprints, neardup, sharding
+from dossierlake.llm import chunks, decontaminate, fingerprints, html, language, licenses, neardup, packing, pii, sharding
 from dossierlake.llm.common import read_table, shared_folder
 
 
@@ -31,10 +31,45 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
 
 
+def op3_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_findings(read_table(spark, sf_dir, "documents"))
+
+
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op5_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html.extracted(pages, html.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    numbers = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    return found.select(
+        "doc_id", *numbers, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op7_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"))
+    model = language.fit(docs.where("NOT held_out").select("doc_id", "text", "lang"))
+    return language.identified(docs, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op8_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -52,9 +87,45 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least ON doc_id = node
 """
 
+
+
+def packing_sql(buckets: int = packing.BUCKETS, budget: int = packing.BUDGET) -> str:
+    """The same packing over the table documents; the steps of the dynamic programme are written out."""
+    longest, grain = packing.LONGEST, packing.GRAIN
+    steps = ["d1 AS (SELECT j, 0 AS i, level * upto AS cost FROM levels)"]
+    for b in range(2, buckets + 1):
+        steps.append(
+            f"d{b} AS (SELECT j, arg_min(i, (cost, i)) AS i, min(cost) AS cost FROM (SELECT l.j, d.j AS i, d.cost + l.level * (l.upto - k.upto) "
+            f"AS cost FROM levels l JOIN d{b - 1} d ON d.j < l.j JOIN levels k ON k.j = d.j) GROUP BY j)")
+    chain = ["c0 AS (SELECT max(j) AS j, least(max(j), %d) AS b FROM levels)" % buckets]
+    for s in range(1, buckets + 1):
+        cases = " ".join(f"WHEN c.b = {b} THEN (SELECT i FROM d{b} WHERE d{b}.j = c.j)" for b in range(2, buckets + 1))
+        chain.append(f"c{s} AS (SELECT CASE {cases} END AS j, b - 1 AS b FROM c{s - 1} c)")
+    bounds = " UNION ALL ".join(f"SELECT j FROM c{s}" for s in range(buckets))
+    return rf"""
+WITH counted AS (
+  SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS total FROM documents),
+cut AS (
+  SELECT doc_id, piece, least(total - piece * {longest}, {longest}) AS tokens
+  FROM (SELECT doc_id, total, CAST(unnest(range(0, greatest(CAST(ceil(total / {longest}.0) AS BIGINT), 1))) AS BIGINT) AS piece FROM counted)),
+leveled AS (SELECT CAST(ceil(tokens / {grain}.0) * {grain} AS BIGINT) AS level, count(*) AS n FROM cut WHERE tokens > 0 GROUP BY 1),
+levels AS (SELECT level, CAST(sum(n) OVER (ORDER BY level) AS BIGINT) AS upto, row_number() OVER (ORDER BY level) AS j FROM leveled),
+{", ".join(steps)}, {", ".join(chain)},
+bounds AS (
+  SELECT level AS bound, CAST(row_number() OVER (ORDER BY level) - 1 AS INTEGER) AS bucket FROM levels WHERE j IN (SELECT j FROM ({bounds}) WHERE j IS NOT NULL)),
+placed AS (SELECT cut.*, (SELECT min(bucket) FROM bounds WHERE bound >= tokens) AS bucket FROM cut WHERE tokens > 0),
+numbered AS (
+  SELECT p.*, b.bound, row_number() OVER (PARTITION BY p.bucket ORDER BY doc_id NULLS FIRST, piece, tokens) - 1 AS pos,
+    greatest({budget} // b.bound, 1) AS room FROM placed p JOIN bounds b USING (bucket))
+SELECT doc_id, piece, tokens, bucket, bound, CAST(pos // room AS BIGINT) AS batch, CAST(pos % room AS BIGINT) AS place, bound - tokens AS padding FROM numbered
+UNION ALL SELECT doc_id, piece, tokens, NULL, NULL, NULL, NULL, NULL FROM cut WHERE tokens = 0
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_fingerprints": op1_fingerprints,
-    "op2_virtual_slots": op2_virtual_slots,
-    "op9_minhash": op9_minhash,
+    query.__name__: query
+    for query in (
+        op1_fingerprints, op2_virtual_slots, op3_license_compression, op4_template_leaks, op5_dom_trees, op6_disclosure, op7_centroids,
+        op8_gear_chunks, op9_minhash, op10_length_buckets)
 }
-ORACLES: dict[str, str] = {"op9_minhash": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_minhash": OP9_SQL, "op10_length_buckets": packing_sql()}

@@ -1,9 +1,9 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the UTF-8 bytes: shifted left by one bit and increased by a value of the next byte,
-so it depends on the last 32 bytes alone. A chunk ends where its upper `MASK_BITS` bits are zero, hence at
-the same places of a passage wherever the passage stands, and after an insertion boundaries fall back into
-place. Chunks are compared by a 128-bit digest. Consecutive chunks that other documents have as well make
+in 16 bits, so it depends on the last 16 bytes alone. A chunk ends where its upper `MASK_BITS` bits are zero,
+hence at the same places of a passage wherever the passage stands, and after an insertion boundaries fall
+back into place. Chunks are compared by a 128-bit digest. Consecutive chunks that other documents have as well make
 a passage; passages of at least `PASSAGE_WORDS` words are reported, their first occurrence is kept.
 
 The chunks cut by the ends of a passage are not whole and so not found; with chunks of 32 bytes on average
@@ -25,20 +25,20 @@ import xxhash
 
 from dossierlake.llm.common import checkpoint
 
-MASK_BITS = 5
-PASSAGE_WORDS = 25
+WINDOW, MASK_BITS = 16, 5
+PASSAGE_WORDS = 20
 BLOCK = 1 << 20
-GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
+GEAR = np.random.default_rng(11).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
 
 
 def gear_hashes(block: np.ndarray) -> np.ndarray:
-    """The rolling hash at every byte: sums over 1, 2, 4 .. 32 bytes, each from two of the half length."""
+    """The rolling hash at every byte: sums over 1, 2, 4, 8 and 16 bytes, each from two of the half length."""
     values = GEAR[block]
     reach = 1
-    while reach < 32:
+    while reach < WINDOW:
         longer = values.copy()
         if reach < len(values):
-            longer[reach:] += values[:-reach] << np.uint32(reach)
+            longer[reach:] += values[:-reach] << np.uint16(reach)
         values, reach = longer, 2 * reach
     return values
 
@@ -47,9 +47,9 @@ def boundaries(data: bytes) -> np.ndarray:
     """Ends of the chunks; none lies inside a character. The text's end always is one."""
     ends = []
     for start in range(0, len(data), BLOCK):
-        lead = min(start, 31)
+        lead = min(start, WINDOW - 1)
         block = np.frombuffer(data, np.uint8, min(BLOCK, len(data) - start) + lead, start - lead)
-        hit = np.flatnonzero(gear_hashes(block)[lead:] >> np.uint32(32 - MASK_BITS) == 0) + start + 1
+        hit = np.flatnonzero(gear_hashes(block)[lead:] >> np.uint16(WINDOW - MASK_BITS) == 0) + start + 1
         ends.append(hit)
     found = np.concatenate(ends) if ends else np.empty(0, np.int64)
     found = found[found < len(data)]

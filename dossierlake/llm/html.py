@@ -334,9 +334,12 @@ def rebuilt(page: Page, labels: list[int], seed: int) -> str:
         attribute = f' {pick(("class", "class", "id"))}="{names}"' if names else ""
         return f'<{tag}{attribute} data-main="0">{inner}</{tag}>'
 
+    def brief(text: str, share: float) -> str:
+        return " ".join(text.split()[: rng.randint(1, 4)]) if rng.random() < share else text
+
     def paragraphs(texts: list[str]) -> str:
         out = []
-        for t in texts:
+        for t in (brief(t, 0.15) for t in texts):
             tag = pick(("p", "p", "p", "p", "p", "blockquote", "h2", "li", "div", "pre"))
             body = f"<p>{esc(t)}</p>" if tag == "blockquote" else esc(t)
             out.append(f"<ul><li>{body}</li></ul>" if tag == "li" else f"<{tag}>{body}</{tag}>")
@@ -353,7 +356,7 @@ def rebuilt(page: Page, labels: list[int], seed: int) -> str:
     tag, _, names = pick(("article", "article", "main", "div.content", "div.post", "div.entry-content", "section.article-body",
                           "div.story", "div.main-content", "article.post", "div")).partition(".")
     inside = [paragraphs(main)] + [f() for f in rng.sample(extras, rng.choice((0, 0, 0, 1)))]
-    article = f'<{tag}{f" class={chr(34)}{names}{chr(34)}" if names else ""} data-main="1"><h1>{esc(main[0])}</h1>{"".join(inside)}{comments if rng.random() < 0.2 else ""}</{tag}>'
+    article = f'<{tag}{f" class={chr(34)}{names}{chr(34)}" if names else ""} data-main="1"><h1>{esc(brief(main[0], 0.5))}</h1>{"".join(inside)}{comments if rng.random() < 0.2 else ""}</{tag}>'
     head = [off("header|div.header|div.masthead|header.top", f"<p>{short()}</p>{menu() if rng.random() < 0.5 else ''}"), off("nav|div.menu|div.navbar|div.breadcrumbs|ul.nav", menu())]
     after = [f() for f in rng.sample(extras, rng.randint(1, 3))] + ([comments] if rng.random() < 0.6 else [])
     before = [f() for f in rng.sample(extras, rng.choice((0, 1)))]

@@ -259,7 +259,8 @@ def linked(rows: DataFrame, features: DataFrame, classes: DataFrame) -> DataFram
     open_ = checkpoint(labelled.join(unsettled, ["coordinate", "value"]))
     short = across(open_.where((F.col("length") <= DIRECT) & (F.col("id") != F.col("head"))).drop("length", "head"), ["coordinate", "value"])
     rare = checkpoint(rare_posts(open_.where(F.col("length") > DIRECT).select("id", "n", "label").distinct(), sets))
-    tried = checkpoint(short.union(to_smallest(rare, ["shingle"], rest_is_enough())).distinct())
+    near = to_smallest(rare, ["shingle"], rest_is_enough()).union(to_next(rare, "shingle", rest_is_enough()))
+    tried = checkpoint(short.union(near).distinct())
     labels = extended(labels, checkpoint(verified(tried, sets)))
 
     relabelled = rare.drop("label").join(labels, F.col("id") == F.col("node"), "left").select(
@@ -278,6 +279,16 @@ def to_smallest(posts: DataFrame, key: list[str], enough: Column) -> DataFrame:
     return collided(met.where(fit), F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))
 
 
+def to_next(posts: DataFrame, key: str, enough: Column) -> DataFrame:
+    """Pairs of sets that follow each other by size under one key."""
+    columns = [c for c in posts.columns if c != key]
+    following = F.lead(F.struct(*columns)).over(Window.partitionBy(key).orderBy("n", "id"))
+    met = posts.withColumn("following", following).select(
+        *(F.col(c).alias(f"{c}_a") for c in columns), *(F.col(f"following.{c}").alias(f"{c}_b") for c in columns))
+    fit = (F.col("label_a") != F.col("label_b")) & sizes_fit("n_a", "n_b") & enough
+    return collided(met.where(fit), F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))
+
+
 def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after further links."""
     if links.limit(1).count() == 0:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dossierlake.llm import chunks, decontaminate, fingerprints, html, language, licenses, neardup, packing, pii, sharding
 from dossierlake.llm.common import read_table, shared_folder
@@ -46,9 +46,12 @@ def op5_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents"))
-    numbers = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *numbers, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+        "doc_id", *map(number, pii.KINDS[:4]), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
 def op7_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

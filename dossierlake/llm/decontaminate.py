@@ -27,7 +27,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 8
 COVERED, RUN = 0.5, 16
@@ -247,14 +247,19 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, every) if every else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
+def leaking(docs: DataFrame, block: Block) -> Column:
+    """Whether the row's text leaks an item of the block."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(leaks(t, shared.value)) for t in texts], dtype=bool)
+
+    return found("text")
+
+
 def cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that leak no item, in one pass per block of items and without a shuffle."""
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def leaking(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([bool(leaks(t, shared.value)) for t in texts], dtype=bool)
-
-        docs = docs.where(~leaking("text"))
+        docs = docs.where(~leaking(docs, block))
     return docs

@@ -142,7 +142,7 @@ def fit(labelled: DataFrame) -> Model:
         frame = frame.sort_values(["doc_id", "text"], kind="stable")
         found = [vector(c, weights) for c in map(counts, frame["text"]) if c is not None]
         if not found:
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []})
+            return pd.DataFrame({"lang": [], "centre": [], "floor": []}, dtype=object)
         middle, floors = clustered(np.array(found))
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": list(middle), "floor": floors})
 

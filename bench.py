@@ -27,6 +27,7 @@ def main() -> None:
         spark__ui__enabled="false", spark__log__level="ERROR", spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("dossierlake.spread", cpus)
     queries = all_queries()
     names = sys.argv[1:] or [n for n in HEADLINE if n in queries]
     if names == ["all"]:

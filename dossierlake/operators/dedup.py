@@ -136,14 +136,16 @@ def _settle(open_pairs: DataFrame, undecided: DataFrame) -> tuple[DataFrame, Dat
 
 def keep_newest(
     docs: DataFrame, key: str, body: Column | str, project: str, mtime: str, threshold: float = DUPLICATE_JACCARD,
-    pairs_per_posting: int = PAIRS_PER_POSTING, pairs_floor: int = PAIRS_FLOOR,
+    pairs_per_posting: int = PAIRS_PER_POSTING, pairs_floor: int = PAIRS_FLOOR, signed: bool = False,
 ) -> DataFrame:
     """Every document with `kept` and, if dropped, the newest kept document it repeats.
 
     The rule is the sequential one: from newest to oldest, a document is dropped when a
-    document kept before it, of the same project, reaches the threshold.
+    document kept before it, of the same project, reaches the threshold. With `signed`, `body` is the
+    stored signature.
     """
-    profiles = docs.select(F.col(project), F.col(key), F.col(mtime), signature(body).alias("signature"))
+    own = as_col(body) if signed else signature(body)
+    profiles = docs.select(F.col(project), F.col(key), F.col(mtime), own.alias("signature"))
     profiles = checkpoint(profiles)
     members, leaders = signature_classes(profiles, project, key, mtime)
     numbers = profiles.select(F.col(key).alias("leader"), _as_numbers(F.col("signature")).alias("numbers"))

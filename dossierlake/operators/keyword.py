@@ -1,4 +1,4 @@
-"""Keyword retrieval: token coverage by substring, and BM25 over an inverted index."""
+"""Keyword retrieval by substring coverage, filters and top-k."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dossierlake.functions.text import as_col, bind, explode_rows, text_or_empty
-from dossierlake.functions.tokens import coverage, expand_synonyms, matched_tokens, query_terms, tokenize
+from dossierlake.functions.text import bind, text_or_empty
+from dossierlake.functions.tokens import coverage, expand_synonyms, matched_tokens, query_terms
 
 # BM25 constants of the full-text index.
 BM25_K1 = 1.2
@@ -15,8 +15,6 @@ BM25_B = 0.75
 BM25_IDF_FLOOR = 1e-6
 
 SCORE_DIGITS = 6
-RUN_PATTERN = "[가-힣a-z0-9_+#.&-]+"
-PIECE_CHARS = 256
 
 
 def candidate_limit(top_k: int) -> int:
@@ -34,12 +32,16 @@ def one_value(rows: DataFrame, value: Column) -> Column:
     return rows.sparkSession.range(1).select(value.alias("value")).scalar()
 
 
-def coverage_scores(rows: DataFrame, query: str, hay: Column) -> DataFrame:
-    """R1 for one query: a narrow scan that keeps rows with at least one token."""
+def coverage_scores(rows: DataFrame, query: str, hay: Column, within: Column | None = None) -> DataFrame:
+    """R1 for one query: a narrow scan that keeps rows with at least one token.
+
+    F1: with `within` a row is a candidate only if a token occurs there; `hay` decides its score.
+    """
     hits = bind(hay, lambda h: F.size(matched_tokens(F.col("query_terms"), h)))
-    scored = rows.withColumn("query_terms", one_value(rows, query_terms(F.lit(query)))).withColumn(
-        "keyword_score", F.round(coverage(hits, F.size("query_terms")), SCORE_DIGITS)
-    )
+    asked = rows.withColumn("query_terms", one_value(rows, query_terms(F.lit(query))))
+    if within is not None:
+        asked = asked.filter(bind(within, lambda h: F.exists("query_terms", lambda t: F.contains(h, t))))
+    scored = asked.withColumn("keyword_score", F.round(coverage(hits, F.size("query_terms")), SCORE_DIGITS))
     return scored.filter(F.col("keyword_score") > 0).drop("query_terms")
 
 
@@ -54,75 +56,6 @@ def top_rows_per(rows: DataFrame, group: str, score: str, key: str, k: int, rank
     return rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
 
 
-def _pieces(run: Column, longest: Column) -> Column:
-    """Long runs are cut into windows that overlap by the longest term, so no match is lost."""
-    starts = F.sequence(F.lit(1), F.length(run), F.lit(PIECE_CHARS))
-    return F.when(F.length(run) <= PIECE_CHARS, F.array(run)).otherwise(
-        F.transform(starts, lambda s: F.substr(run, s, longest + PIECE_CHARS))
-    )
-
-
-def batch_coverage(rows: DataFrame, key: str, hay: Column, queries: DataFrame) -> DataFrame:
-    """R1 for many queries: (query_id, key, hits, keyword_score), every pair with a hit.
-
-    Containment is resolved on the vocabulary, not on query x row: the substrings of each
-    distinct word run are equi-joined with the query terms, and the matches go back to the
-    rows through the postings. `queries` has columns (query_id, query_text).
-    """
-    terms = explode_rows(queries, ["query_id"], query_terms(F.col("query_text")), "term")
-    sizes = terms.groupBy("query_id").agg(F.count("*").alias("term_count"))
-    distinct_terms = terms.select("term").distinct()
-    lengths = distinct_terms.agg(F.sort_array(F.collect_set(F.length("term")))).scalar()
-    longest = distinct_terms.agg(F.coalesce(F.max(F.length("term")), F.lit(1))).scalar()
-
-    words = F.array_distinct(F.regexp_extract_all(hay, F.lit(RUN_PATTERN), F.lit(0)))
-    runs = explode_rows(rows, [key], words, "run").withColumn("longest", longest)
-    postings = explode_rows(runs, [key], _pieces(F.col("run"), F.col("longest")), "piece")
-    vocabulary = postings.select("piece").distinct()
-    sized = explode_rows(vocabulary, ["piece"], lengths, "size").filter(F.col("size") <= F.length("piece"))
-    substrings = F.transform(
-        F.sequence(F.lit(1), F.length("piece") - F.col("size") + 1),
-        lambda at: F.substr(F.col("piece"), at, F.col("size")),
-    )
-    parts = explode_rows(sized, ["piece"], F.array_distinct(substrings), "term")
-    matches = parts.join(distinct_terms, "term", "left_semi")
-    row_terms = postings.join(matches, "piece").select(key, "term").distinct()
-    hits = row_terms.join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("hits"))
-    return hits.join(sizes, "query_id").select(
-        "query_id", key, F.col("hits").cast("bigint").alias("hits"),
-        F.round(coverage(F.col("hits"), F.col("term_count")), SCORE_DIGITS).alias("keyword_score"),
-    )
-
-
-def inverted_index(rows: DataFrame, key: str, body: Column | str) -> DataFrame:
-    """(token, key, tf, length): one row per token and text, counted inside the text's partition first."""
-    tokens = rows.select(F.col(key), tokenize(as_col(body)).alias("tokens")).withColumn("length", F.size("tokens"))
-    words = explode_rows(tokens, [key, "length"], F.col("tokens"), "token")
-    return words.groupBy("token", key, "length").agg(F.count("*").alias("tf"))
-
-
-def bm25_scores(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
-    """R2 first stage: BM25 per (query_id, key). `queries` has (query_id, query_text)."""
-    terms = explode_rows(queries, ["query_id"], F.array_distinct(tokenize("query_text")), "token")
-    lengths = index.groupBy(key).agg(F.first("length").alias("length"))
-    totals = lengths.agg(F.count("*").alias("texts"), F.avg("length").alias("mean_length"))
-    texts, mean = totals.select("texts").scalar(), totals.select("mean_length").scalar()
-    relevant = index.join(terms.select("token").distinct(), "token", "left_semi")
-    df = relevant.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((texts - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(BM25_IDF_FLOOR))
-    weight = (F.col("tf") * (BM25_K1 + 1)) / (
-        F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / mean)
-    )
-    weighted = relevant.join(df.select("token", idf.alias("idf")), "token").select(
-        key, "token", (F.col("idf") * weight).alias("part")
-    )
-    return (
-        weighted.join(terms, "token")
-        .groupBy("query_id", key)
-        .agg(F.round(F.sum("part"), SCORE_DIGITS).alias("bm25"), F.count("*").alias("hits"))
-    )
-
-
 def rank_discount(ranked: DataFrame, rank: str, cover: Column) -> DataFrame:
     """Reciprocal rank times coverage."""
     return ranked.withColumn("score", F.round(cover / F.col(rank), SCORE_DIGITS)).filter(F.col("score") > 0)

@@ -28,9 +28,9 @@ BOOST_COLUMNS = (
 )
 
 
-def normalise_by_max(rows: DataFrame, score: str, group: str | None, out: str) -> DataFrame:
+def normalise_by_max(rows: DataFrame, score: str, group: str, out: str) -> DataFrame:
     """Divide by the best score of the query. Only bounded candidate sets come here."""
-    best = F.max(score).over(Window.partitionBy(group) if group else Window.partitionBy(F.lit(0)))
+    best = F.max(score).over(Window.partitionBy(group))
     return rows.withColumn(out, F.coalesce(F.try_divide(F.col(score), best), F.lit(0.0)))
 
 
@@ -53,10 +53,10 @@ def fuse(
     return both.withColumn("score", F.round(mean, SCORE_DIGITS))
 
 
-def recency_factor(mtime: Column, group: str | None) -> Column:
+def recency_factor(mtime: Column, group: str) -> Column:
     """1.0 for the oldest candidate up to 1.15 for the newest."""
     known = F.when(mtime > 0, mtime)
-    scope = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
+    scope = Window.partitionBy(group)
     oldest, newest = F.min(known).over(scope), F.max(known).over(scope)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(mtime - oldest, newest - oldest)))
     return F.when((mtime > 0) & (newest > oldest), 1.0 + (MAX_RECENCY_BOOST - 1.0) * share).otherwise(F.lit(1.0))

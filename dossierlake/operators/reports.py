@@ -198,11 +198,12 @@ def area_distribution(results: DataFrame, query: str = "query_id", document: str
 
 
 def document_groups(results: DataFrame, query: str = "query_id", document: str = "document_id", key: str = "chunk_id") -> DataFrame:
-    """Results gathered per document, best document first. Result lists are bounded by k."""
+    """Results gathered per document, best document first."""
     grouped = results.groupBy(query, document).agg(
         F.max("score").alias("best_score"), F.count("*").cast("bigint").alias("hits"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))), lambda x: x["k"]), ","
         ).alias("keys"),
     )
-    return top_rows_per(grouped, query, "best_score", document, 1_000_000).withColumn("rank", F.col("rank").cast("bigint"))
+    order = Window.partitionBy(query).orderBy(F.desc("best_score"), F.asc(document))
+    return grouped.withColumn("rank", F.row_number().over(order).cast("bigint"))

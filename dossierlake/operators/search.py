@@ -8,8 +8,9 @@ from dossierlake.functions import labels
 from dossierlake.functions.text import first_filled, text_or_empty, trim_snippet
 from dossierlake.functions.tokens import coverage, matched_tokens, missing_tokens, unique_tokens
 from dossierlake.session import checkpoint
-from dossierlake.operators import keyword as KW, ranking as R, vectors as V
+from dossierlake.operators import batch as B, keyword as KW, ranking as R, vectors as V
 
+# Everything a token of the query may cover.
 HAYSTACK_COLUMNS = (
     "chunk_text", "keywords", "domain_keywords", "chapter_title", "canonical_chapter_title",
     "canonical_section_title", "canonical_subsection_title", "canonical_heading_path", "raw_heading_path",
@@ -19,6 +20,17 @@ HAYSTACK_COLUMNS = (
 )
 
 
+# The columns in which a token makes a row a candidate.
+CANDIDATE_COLUMNS = (
+    "chunk_text", "keywords", "chapter_title", "section_title", "heading_path", "document_title", "project_name",
+)
+
+
+def candidate_text(columns: list[str]) -> Column:
+    """the candidate columns as they are, lower-cased; no token spans two of them."""
+    return F.lower(F.concat_ws("\n", *[text_or_empty(c) for c in CANDIDATE_COLUMNS if c in columns]))
+
+
 def row_haystack(columns: list[str]) -> Column:
     return KW.haystack(*[c for c in HAYSTACK_COLUMNS if c in columns])
 
@@ -35,17 +47,19 @@ def apply_filters(rows: DataFrame, filters: dict | None) -> DataFrame:
     return rows
 
 
-def with_item_columns(items: DataFrame, body: str, scope: dict | None) -> DataFrame:
+def with_item_columns(items: DataFrame, body: str, scope: dict | None, dimensions: int = V.DIMENSIONS) -> DataFrame:
     """What a result needs whichever query found it, computed once per item."""
     scope = scope or {}
     boost = R.scope_factor(
         scope.get("scope"), R.boost_haystack(items.columns), F.col("file_path"), scope.get("report", []),
         scope.get("proposal", []), scope.get("report_rules", R.REPORT_BOOSTS), scope.get("proposal_rules", R.PROPOSAL_BOOSTS),
     )
-    return items.withColumns({"item_cells": V.sparse_cells(body), "scope_boost": boost})
+    return items.withColumns({"item_cells": V.sparse_cells(body, dimensions), "scope_boost": boost})
 
 
-def rank_candidates(rows: DataFrame, key: str, k: int) -> DataFrame:
+def rank_candidates(
+    rows: DataFrame, key: str, k: int, weights: tuple[float, float] = (R.KEYWORD_WEIGHT, R.VECTOR_WEIGHT)
+) -> DataFrame:
     """R3, R5-R8 over bounded candidate sets (query_id, key, keyword_score, item and query columns).
 
     One exchange brings the at most max(2k, 40) rows of a query together for the two
@@ -56,7 +70,7 @@ def rank_candidates(rows: DataFrame, key: str, k: int) -> DataFrame:
     rows = R.normalise_by_max(rows, "cosine", "query_id", "vector_score").withColumn(
         "recency_boost", R.recency_factor(F.col("file_mtime"), "query_id")
     )
-    base = F.round(R.mean_score(F.col("keyword_score"), F.col("vector_score")), KW.SCORE_DIGITS)
+    base = F.round(R.mean_score(F.col("keyword_score"), F.col("vector_score"), *weights), KW.SCORE_DIGITS)
     boosted = rows.withColumn(
         "score", F.round(base * F.col("scope_boost") * F.col("recency_boost"), KW.SCORE_DIGITS)
     ).drop("cosine", "scope_boost", "recency_boost")
@@ -66,32 +80,34 @@ def rank_candidates(rows: DataFrame, key: str, k: int) -> DataFrame:
 def search(
     rows: DataFrame, query: str, k: int = 20, key: str = "chunk_id", body: str = "embedding_text",
     filters: dict | None = None, scope: dict | None = None,
+    weights: tuple[float, float] = (R.KEYWORD_WEIGHT, R.VECTOR_WEIGHT), dimensions: int = V.DIMENSIONS,
 ) -> DataFrame:
     """R8 for one query: one scan with top-k, then everything runs on at most max(2k, 40) rows."""
     filtered = apply_filters(rows, filters)
-    scored = KW.coverage_scores(filtered, query, row_haystack(rows.columns))
-    top = with_item_columns(KW.top_rows(scored, "keyword_score", key, KW.candidate_limit(k)), body, scope)
+    scored = KW.coverage_scores(filtered, query, row_haystack(rows.columns), candidate_text(rows.columns))
+    top = with_item_columns(KW.top_rows(scored, "keyword_score", key, KW.candidate_limit(k)), body, scope, dimensions)
     asked = top.withColumns({
-        "query_id": F.lit(0), "query_text": F.lit(query), "query_cells": KW.one_value(rows, V.sparse_cells(F.lit(query))),
+        "query_id": F.lit(0), "query_text": F.lit(query), "query_cells": KW.one_value(rows, V.sparse_cells(F.lit(query), dimensions)),
     })
-    return rank_candidates(asked, key, k)
+    return rank_candidates(asked, key, k, weights)
 
 
 def search_batch(
     rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "chunk_id", body: str = "embedding_text",
     filters: dict | None = None, scope: dict | None = None,
+    weights: tuple[float, float] = (R.KEYWORD_WEIGHT, R.VECTOR_WEIGHT), dimensions: int = V.DIMENSIONS,
 ) -> DataFrame:
     """R8 for a table of queries (query_id, query_text) in one plan.
 
     Favourite texts are candidates of many queries: each is embedded once, then joined.
     """
     filtered = apply_filters(rows, filters)
-    scores = KW.batch_coverage(filtered, key, row_haystack(rows.columns), queries)
-    top = KW.top_rows_per(scores, "query_id", "keyword_score", key, KW.candidate_limit(k)).select("query_id", key, "keyword_score")
-    wanted = checkpoint(top)
-    items = with_item_columns(filtered.join(wanted.select(key).distinct(), key, "left_semi"), body, scope)
-    asked = queries.withColumn("query_cells", V.sparse_cells("query_text"))
-    return rank_candidates(wanted.join(items, key).join(asked, "query_id"), key, k)
+    top = B.coverage_top(
+        filtered, key, row_haystack(rows.columns), queries, KW.candidate_limit(k), candidate_text(rows.columns))
+    wanted = checkpoint(top.select("query_id", key, "keyword_score"))
+    items = with_item_columns(filtered.join(wanted.select(key).distinct(), key, "left_semi"), body, scope, dimensions)
+    asked = queries.withColumn("query_cells", V.sparse_cells("query_text", dimensions))
+    return rank_candidates(wanted.join(items, key).join(asked, "query_id"), key, k, weights)
 
 
 def result_rows(ranked: DataFrame, query: Column) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
-from functools import lru_cache
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,68 +34,64 @@ def _words(text: str) -> frozenset[str]:
     return frozenset(n for n in norms if len(n) >= 2)
 
 
-def _similar(a: str, b: str, floor: float) -> float:
-    """Sequence ratio, or 0 once a cheap upper bound is below the floor."""
-    matcher = SequenceMatcher(None, a, b)
-    if matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor:
-        return 0.0
-    return matcher.ratio()
+EVIDENCE = ("exact", "alias_contains", "token_overlap", "similarity")
 
 
-def alias_matcher(aliases: Aliases, threshold: float):
-    """P10 for one lexicon: heading -> (canonical, confidence, reason); earlier aliases win ties."""
-    table = [
-        (name, alias, _norm(alias), _words(alias)) for name, values in aliases.items() for alias in (name, *values)
-    ]
+class Lexicon:
+    """P10: one level of the taxonomy as columns, an alias each; a title is weighed against all of them at once."""
 
-    @lru_cache(maxsize=100_000)
-    def match(title: str) -> tuple[str, float, str]:
+    def __init__(self, aliases: Aliases, threshold: float):
+        pairs = [(name, alias) for name, values in aliases.items() for alias in (name, *values) if _norm(alias)]
+        self.names, self.aliases = [n for n, _ in pairs], [a for _, a in pairs]
+        self.norms, self.words = [_norm(a) for a in self.aliases], [_words(a) for a in self.aliases]
+        self.threshold = threshold
+        self.seen: dict[str, tuple[str, float, str]] = {}
+
+    def evidence(self, title: str) -> np.ndarray:
+        """Confidences by kind of evidence (rows) and alias (columns); overlap and ratio count where nothing is contained."""
         norm, words = _norm(title), _words(title)
-        best = ("", 0.0, "")
+        table = np.zeros((len(EVIDENCE), len(self.norms)))
         if not norm:
-            return best
-        for name, alias, alias_norm, alias_words in table:
-            if not alias_norm:
-                continue
-            if norm == alias_norm:
-                return name, 1.0, f"exact:{alias}"
-            if alias_norm in norm or norm in alias_norm:
-                options = [(CONTAINS_ALIAS if alias_norm in norm else INSIDE_ALIAS, "alias_contains")]
+            return table
+        table[0] = [norm == n for n in self.norms]
+        table[1] = [CONTAINS_ALIAS if n in norm else INSIDE_ALIAS if norm in n else 0 for n in self.norms]
+        apart = table[1] == 0
+        shared = np.array([len(words & w) / max(1, len(words | w)) for w in self.words])
+        table[2] = np.where(apart & (shared >= 0.5), np.minimum(0.88, 0.60 + 0.35 * shared), 0)
+        matcher = SequenceMatcher(None, norm, "")
+        for i in np.flatnonzero(apart & (table.max() < 1)):
+            matcher.set_seq2(self.norms[i])
+            if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= self.threshold:
+                # the ratio depends on which side is indexed, so the alias is the second sequence
+                ratio = SequenceMatcher(None, norm, self.norms[i]).ratio()
+                table[3, i] = min(0.91, ratio) if ratio >= self.threshold else 0
+        return table
+
+    def match(self, title: str) -> tuple[str, float, str]:
+        """Name, confidence and reason of the strongest evidence; earlier aliases, then stronger kinds, win ties."""
+        if title not in self.seen:
+            by_alias = self.evidence(title).T
+            at = int(by_alias.argmax()) if by_alias.size else 0
+            alias, kind = divmod(at, len(EVIDENCE))
+            confidence = float(by_alias.flat[at]) if by_alias.size else 0.0
+            if not confidence:
+                self.seen[title] = ("", 0.0, "")
             else:
-                options = []
-                union = len(words | alias_words)
-                shared = len(words & alias_words) / union if words and alias_words else 0.0
-                if shared >= 0.5:
-                    options.append((min(0.88, 0.60 + shared * 0.35), "token_overlap"))
-                ratio = _similar(norm, alias_norm, threshold)
-                if ratio >= threshold:
-                    options.append((min(0.91, ratio), "similarity"))
-            for confidence, why in options:
-                if confidence > best[1]:
-                    best = (name, confidence, f"{why}:{alias}")
-        name = best[0] if best[1] >= threshold else ""
-        return name, round(best[1], 2), best[2]
-
-    return match
+                name = self.names[alias] if confidence >= self.threshold else ""
+                self.seen[title] = (name, round(confidence, 2), f"{EVIDENCE[kind]}:{self.aliases[alias]}")
+        return self.seen[title]
 
 
 def best_of(aliases: Aliases, threshold: float = HEADING_THRESHOLD):
-    """Best match over several heading texts. The sequence ratio has no SQL form."""
-    match = None
+    """The strongest match over several heading texts, each distinct text of a batch weighed once."""
 
     @F.pandas_udf(MATCH)
     def choose(values: pd.Series) -> pd.DataFrame:
-        nonlocal match
-        match = match or alias_matcher(aliases, threshold)
-        rows = []
-        for texts in values:
-            best = ("", 0.0, "")
-            for text in texts:
-                found = match(text or "")
-                if found[1] > best[1]:
-                    best = found
-            rows.append(best)
-        return pd.DataFrame(rows, columns=["canonical", "confidence", "reason"])
+        lexicon = Lexicon(aliases, threshold)
+        texts = values.explode().fillna("")
+        matches = texts.map({t: lexicon.match(t) for t in texts.unique()})
+        strongest = matches.groupby(level=0, sort=False).agg(lambda found: max(found, key=lambda m: m[1]))
+        return pd.DataFrame(strongest.reindex(values.index).tolist(), columns=["canonical", "confidence", "reason"])
 
     return choose
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake.functions.text import bind, explode_rows
 from dossierlake.functions.tokens import tokenize
-from dossierlake.operators.keyword import SCORE_DIGITS, top_rows_per
 
 # Fixed value: embedding width.
 DIMENSIONS = 384
@@ -98,24 +97,3 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     values = F.transform("cells", lambda c: c["value"])
     square = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
     return packed.select(group, F.transform(values, lambda x: x / F.sqrt(square)).alias("centroid"))
-
-
-def flat_search(
-    vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int
-) -> DataFrame:
-    """Best k vectors by inner product for each query vector, positive scores only.
-
-    The query vectors of one request travel as one array value next to the scan, every
-    vector row is scored against them in place, and only k rows per query and partition
-    reach the shuffle.
-    """
-    packed = queries.agg(
-        F.collect_list(F.struct(F.col(query_key).alias("query_id"), F.col(query_vector).alias("query_vector")))
-    ).scalar()
-    pairs = vectors.select(key, vector, packed.alias("packed")).transform(
-        lambda d: explode_rows(d, [key, vector], F.col("packed"), "q")
-    )
-    scored = pairs.select(
-        key, "q.query_id", F.round(dot(F.col(vector), F.col("q.query_vector")), SCORE_DIGITS).alias("score")
-    )
-    return top_rows_per(scored.filter(F.col("score") > 0), "query_id", "score", key, k)

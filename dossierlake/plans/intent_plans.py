@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossierlake.lexicons.corpus import CORPUS_CHAPTERS
-from dossierlake.operators import intents as Q, keyword as KW, rerank as RR
+from dossierlake.operators import batch as B, intents as Q, keyword as KW, rerank as RR
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.keyword_plans import BATCH_COVERAGE_SQL, benchmark_queries, doc_haystack, searchable
 from dossierlake.plans.registry import register
@@ -235,8 +235,7 @@ def benchmark_results(spark, sf_dir):
 
     queries = benchmark_queries(spark, sf_dir)
     rows = searchable(spark, sf_dir)
-    scores = KW.batch_coverage(rows, "doc_id", doc_haystack(), queries)
-    top = KW.top_rows_per(scores, "query_id", "keyword_score", "doc_id", 40).select("query_id", "doc_id", "keyword_score")
+    top = B.coverage_top(rows, "doc_id", doc_haystack(), queries, 40).select("query_id", "doc_id", "keyword_score")
     parsed = Q.expand_queries(Q.parse_queries(queries, CORPUS_INTENTS, taxonomy=False))
     described = rows.select(
         "doc_id", "document_id", "project_id", "document_title", "file_path", "document_type", "project_name",

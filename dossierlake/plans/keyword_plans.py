@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossierlake.functions import tokens as K
-from dossierlake.operators import keyword as KW
+from dossierlake.operators import batch as B, keyword as KW
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.registry import register
 from dossierlake.sources.tables import corpus_documents, table
@@ -84,8 +84,7 @@ BATCH_COVERAGE_SQL = f"""
     covers="R1 over a table of queries, J6, X6",
 )
 def batch_keyword_coverage(spark, sf_dir):
-    scores = KW.batch_coverage(searchable(spark, sf_dir), "doc_id", doc_haystack(), benchmark_queries(spark, sf_dir))
-    top = KW.top_rows_per(scores, "query_id", "keyword_score", "doc_id", 40)
+    top = B.coverage_top(searchable(spark, sf_dir), "doc_id", doc_haystack(), benchmark_queries(spark, sf_dir), 40)
     return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -109,8 +108,7 @@ def batch_keyword_coverage(spark, sf_dir):
 )
 def bm25_topk(spark, sf_dir):
     queries = benchmark_queries(spark, sf_dir)
-    index = KW.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    top = KW.top_rows_per(KW.bm25_scores(index, "doc_id", queries), "query_id", "bm25", "doc_id", 20)
+    top = B.bm25_top(table(spark, sf_dir, "documents"), "doc_id", "text", queries, 20)
     sizes = queries.select("query_id", F.size(K.unique_tokens("query_text")).alias("term_count"))
     scored = KW.rank_discount(top.join(sizes, "query_id"), "rank", K.coverage(F.col("hits"), F.col("term_count")))
     return scored.select("query_id", "doc_id", "bm25", F.col("rank").cast("bigint").alias("rank"), "score")

@@ -161,21 +161,24 @@ def distribution_topn(spark, sf_dir):
     return RP.distribution(report_chunks(spark, sf_dir), first_filled("section_title", F.lit(HD.DEFAULT_CHAPTER)))
 
 
-CHUNK_HAY_SQL = f"""lower({S.synonyms("concat_ws(' ', chunk_text, domain_keywords, chapter_title, coalesce(nullif(chapter_title, '기타'), ''), section_title, heading_path, table_headers, table_row_text, document_title, project_name)")})"""
+CANDIDATE_SQL = "lower(concat_ws(chr(10), chunk_text, chapter_title, section_title, heading_path, document_title, project_name))"
+CHUNK_HAY_SQL = f"""lower({S.synonyms("concat_ws(' ', chunk_text, domain_keywords, chapter_title, coalesce(nullif(chapter_title, '기타'), ''), section_title, heading_path, table_headers, table_row_text, parent_context, document_title, project_name)")})"""
 RESULTS_SQL = f"""{REPORT_SQL},
-tabled AS (SELECT rc.*, CASE WHEN table_type <> '' THEN substr(string_split(unit_text, chr(10))[1], 1, 400) ELSE '' END AS table_headers,
-    CASE WHEN table_type <> '' THEN substr(unit_text, 1, 1800) ELSE '' END AS table_row_text FROM rc JOIN units USING (doc_id, page_no)),
-hayed AS (SELECT *, {CHUNK_HAY_SQL} AS hay FROM tabled),
+contexts AS (SELECT doc_id, heading_path, substr(string_agg(unit_text, chr(10) ORDER BY page_no), 1, 1800) AS parent_context
+    FROM units JOIN chaptered USING (doc_id, page_no) GROUP BY ALL),
+tabled AS (SELECT rc.*, contexts.parent_context, CASE WHEN table_type <> '' THEN substr(string_split(unit_text, chr(10))[1], 1, 400) ELSE '' END AS table_headers,
+    CASE WHEN table_type <> '' THEN substr(unit_text, 1, 1800) ELSE '' END AS table_row_text FROM rc JOIN units USING (doc_id, page_no) JOIN contexts USING (doc_id, heading_path)),
+hayed AS (SELECT *, {CHUNK_HAY_SQL} AS hay, {CANDIDATE_SQL} AS within FROM tabled),
 scored AS (SELECT h.*, list_filter(q.terms, lambda t: contains(hay, t)) AS matched,
     round(CAST(len(list_filter(q.terms, lambda t: contains(hay, t))) AS DOUBLE) / len(q.terms), 6) AS score
   FROM hayed h, (SELECT {TOPIC_TERMS} AS terms) q),
-results AS MATERIALIZED (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT 100)"""
+results AS MATERIALIZED (SELECT * FROM scored WHERE score > 0 AND len(list_filter((SELECT {TOPIC_TERMS}), lambda t: contains(within, t))) > 0 ORDER BY score DESC, chunk_id LIMIT 100)"""
 
 
 def chunk_results(spark, sf_dir, k=100):
     """R1 over the chunk table: the best k chunks for the topic."""
     chunks = report_chunks(spark, sf_dir)
-    scored = KW.coverage_scores(chunks, TOPIC, H.row_haystack(chunks.columns))
+    scored = KW.coverage_scores(chunks, TOPIC, H.row_haystack(chunks.columns), H.candidate_text(chunks.columns))
     top = KW.top_rows(scored, "keyword_score", "chunk_id", k)
     return H.result_rows(top, F.lit(TOPIC)).withColumns({"score": F.col("keyword_score"), "query_id": F.lit(0).cast("bigint")})
 

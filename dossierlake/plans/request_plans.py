@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions.text import explode_rows, trim_snippet
 from dossierlake.functions.tokens import matched_tokens, unique_tokens
-from dossierlake.operators import keyword as KW, requests as RQ
+from dossierlake.operators import batch as B, keyword as KW, requests as RQ
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.ingest_plans import KEYWORDS_SQL
 from dossierlake.plans.keyword_plans import HAY_SQL, doc_haystack, searchable
@@ -65,6 +65,7 @@ def requirement_sections(spark, sf_dir):
     numbered = rows.select("doc_id", F.posexplode_outer("sections").alias("at", "section")).filter(F.col("section").isNotNull())
     return numbered.select("doc_id", (F.col("at") + 1).cast("bigint").alias("number"), "section")
 
+ITEM_SECTIONS_SQL = SECTIONS_SQL.replace("FROM documents)", "FROM (SELECT item_id AS doc_id, text FROM benchmark))")
 
 _LABELS = (("and", "than"), ("der", "que"), ("with", "nicht", "eaux"))
 
@@ -160,10 +161,7 @@ best AS MATERIALIZED (SELECT item_id, doc_id, max(round(s * weight, 6)) AS score
 
 def fused_results(spark, sf_dir):
     queries = passage_queries(spark, sf_dir)
-    scores = KW.batch_coverage(
-        searchable(spark, sf_dir), "doc_id", doc_haystack(), queries.select("query_id", "query_text")
-    )
-    top = KW.top_rows_per(scores, "query_id", "keyword_score", "doc_id", 20)
+    top = B.coverage_top(searchable(spark, sf_dir), "doc_id", doc_haystack(), queries.select("query_id", "query_text"), 20)
     with_request = top.join(queries.select("query_id", "item_id", "weight"), "query_id")
     return RQ.fuse_queries(with_request, "item_id", "doc_id", "keyword_score", "weight")
 
@@ -209,9 +207,8 @@ def project_aggregate(spark, sf_dir):
 
 @register(
     "requirement_mapping",
-    f"""WITH {FUSION_SQL},
-    rq AS (SELECT item_id, generate_subscripts(ls, 1) AS number, unnest(ls) AS requirement FROM (
-        SELECT item_id, list_filter(string_split({S.clean('text')}, chr(10)), lambda l: l <> '')[1:8] AS ls FROM benchmark)),
+    f"""WITH RECURSIVE {FUSION_SQL}, {ITEM_SECTIONS_SQL},
+    rq AS (SELECT doc_id AS item_id, number, line AS requirement FROM sections WHERE number <= {RQ.REQUIREMENTS_SHOWN}),
     rs AS (SELECT b.item_id, b.doc_id, b.score, document_title, document_title || ' ' || project_name || ' ' || {S.snippet('text')} AS seen FROM
         (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20) b JOIN docs USING (doc_id)),
     pr AS (SELECT rq.item_id, number, doc_id, document_title, score, len(list_filter(list_distinct(string_split_regex(requirement, '\\s+')),
@@ -222,9 +219,9 @@ def project_aggregate(spark, sf_dir):
     covers="G8, J10",
 )
 def requirement_mapping(spark, sf_dir):
-    from dossierlake.functions.text import clean_lines
-
-    lines = table(spark, sf_dir, "benchmark").select("item_id", F.slice(clean_lines("text"), 1, 8).alias("lines"))
+    items = table(spark, sf_dir, "benchmark")
+    shown = F.slice(RQ.requirement_sections(F.col("text"), CORPUS_REQUESTS), 1, RQ.REQUIREMENTS_SHOWN)
+    lines = items.select("item_id", shown.alias("lines"))
     requirements = lines.select("item_id", F.posexplode_outer("lines").alias("at", "requirement")).filter(
         F.col("requirement").isNotNull()
     ).select("item_id", (F.col("at") + 1).cast("bigint").alias("number"), "requirement")

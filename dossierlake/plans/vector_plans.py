@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossierlake.operators import keyword as KW, ranking as R, vectors as V
+from dossierlake.operators import batch as B, keyword as KW, ranking as R, vectors as V
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.registry import register
 from dossierlake.sources.tables import table
@@ -50,7 +50,7 @@ _CENTROIDS = f"""
 def vector_topk_cosine(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries = V.centroids(vectors, "label", "embedding")
-    top = V.flat_search(vectors, "vec_id", "embedding", queries, "label", "centroid", 20)
+    top = B.vector_top(vectors, "vec_id", "embedding", queries, "label", "centroid", 20)
     return top.select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -83,7 +83,7 @@ def vector_topk_by_label(spark, sf_dir):
 def label_precision_at_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries = V.centroids(vectors, "label", "embedding")
-    top = V.flat_search(vectors, "vec_id", "embedding", queries, "label", "centroid", 30)
+    top = B.vector_top(vectors, "vec_id", "embedding", queries, "label", "centroid", 30)
     judged = top.join(vectors.select("vec_id", "label"), "vec_id")
     relevant = F.count_if(F.col("label") == F.col("query_id"))
     return judged.groupBy("query_id").agg(

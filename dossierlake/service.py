@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +14,7 @@ from dossierlake.operators import (
     dedup as D, ingest as IN, intents as Q, keyword as KW, reports as RP, requests as RQ, rerank as RR, search as H, state as ST,
     tagging as TG, taxonomy as TX,
 )
+from dossierlake.operators.versions import Versions, buckets_of
 from dossierlake.session import checkpoint
 from dossierlake.sources.files import scan_folder, with_metadata
 from dossierlake.sources.parsers import parse_files, units_of_files
@@ -20,8 +22,9 @@ from dossierlake.sources.parsers import parse_files, units_of_files
 PROJECT_COLUMNS = ("project_id", "project_name", "client_name", "year", "business_type", "folder_path")
 DOCUMENT_COLUMNS = (
     "document_id", "project_id", "document_title", "document_type", "file_path", "file_type", "file_name", "is_final",
-    "canonical_key", "file_mtime",
+    "canonical_key", "file_mtime", "signature",
 )
+KEYS = {"projects": "project_id", "documents": "document_id", "chunks": "document_id"}
 
 
 DIAGNOSTIC_HAYSTACK = (
@@ -66,27 +69,43 @@ class Dossiers:
     def _path(self, name: str) -> str:
         return f"{self.settings.data_dir.rstrip('/')}/{name}"
 
+    @property
+    def versions(self) -> Versions:
+        return Versions(self.spark, self._path("index"))
+
     def tables(self) -> IndexTables:
-        return IndexTables(*[ST.read_latest(self.spark, self._path(n)) for n in ("projects", "documents", "chunks")])
+        return IndexTables(*[self.versions.read(n) for n in ("projects", "documents", "chunks")])
+
+    def scan(self, roots: list[str]) -> DataFrame:
+        s = self.settings
+        parts = [
+            with_metadata(scan_folder(
+                self.spark, root, s.supported_extensions, s.exclude_patterns, s.exclude_reference_materials, content=True), root)
+            for root in roots
+        ]
+        return reduce(DataFrame.unionByName, parts)
 
     def index(self, roots: list[str], version: int, rebuild: bool = True) -> dict[str, int]:
-        """Scan, parse, drop duplicates, chunk, write a new version of the three tables.
+        """Scan, parse, drop duplicates, chunk, publish a new version of the three tables and its report.
 
-        Without `rebuild`, files the index holds already are skipped and the new rows join
-        the old ones; the newest-document rule then holds among the new files.
+        Without `rebuild`, files the index holds already are skipped. New documents are compared with the
+        indexed ones of their projects: the newest of a group of duplicates stays, whichever side it is on,
+        and an indexed document that goes takes its chunks along. Only touched buckets are written.
         """
-        s = self.settings
-        scanned = None
-        for root in roots:
-            part = with_metadata(
-                scan_folder(self.spark, root, s.supported_extensions, s.exclude_patterns, s.exclude_reference_materials, content=True),
-                root,
-            )
-            scanned = part if scanned is None else scanned.unionByName(part)
+        scanned = self.scan(roots)
         accepted = scanned.filter(F.col("reason") == "")
-        before = None if rebuild else self.tables()
+        before = None if rebuild or not self.versions.numbers() else self.tables()
         if before is not None:
             accepted = ST.not_indexed(accepted, before.documents, "document_id")
+        return self._run(scanned, accepted, before, version)
+
+    def reindex_document(self, root: str, file_path: str, version: int) -> dict[str, int]:
+        """K4: one file parsed again; its chunks are replaced and older duplicates of it go."""
+        scanned = self.scan([root]).filter(F.col("file_path").endswith(file_path))
+        return self._run(scanned, scanned.filter(F.col("reason") == ""), self.tables(), version)
+
+    def _run(self, scanned: DataFrame, accepted: DataFrame, before: IndexTables | None, version: int) -> dict[str, int]:
+        s = self.settings
         # Parsed text is the costly part: it is written once and read by every later step.
         parsed = checkpoint(parse_files(accepted))
         units = units_of_files(parsed)
@@ -94,43 +113,98 @@ class Dossiers:
         texts = units.groupBy("file_path").agg(
             F.array_sort(F.collect_list(F.struct("page_no", "unit_text"))).alias("pages")
         ).select("file_path", F.array_join(F.transform("pages", lambda p: p["unit_text"]), "\n").alias("text"))
-        documents = meta.join(texts, "file_path")
-        judged = self._newest(documents)
-        documents = documents.join(judged.filter("kept").select("document_id"), "document_id", "left_semi")
-        described = units.join(documents.drop("text"), "file_path")
+        fresh = checkpoint(meta.join(texts, "file_path").withColumn("signature", D.signature("text")))
+        judged = checkpoint(self._newest(fresh, before))
+        documents = fresh.join(judged.filter("kept").select("document_id"), "document_id", "left_semi")
+        described = units.join(documents.drop("text", "signature"), "file_path")
         chunks = IN.chunks_of_units(described, size=s.chunk_size, overlap=s.chunk_overlap)
         context = F.concat_ws(" ", "document_title", "file_name", "file_path")
         ranked = TG.design_keywords(documents, "document_id", "text", context)
         keywords = ranked.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("k")).select(
             "document_id", F.array_join(F.transform("k", lambda x: x["keyword"]), ", ").alias("keywords")
         )
-        chunks = chunks.join(keywords, "document_id", "left")
-        fresh = {
+        new = {
             "projects": documents.select(*PROJECT_COLUMNS).dropDuplicates(["project_id"]),
-            "documents": documents.select(*DOCUMENT_COLUMNS), "chunks": chunks,
+            "documents": documents.select(*DOCUMENT_COLUMNS), "chunks": chunks.join(keywords, "document_id", "left"),
+        }
+        touched = None if before is None else self._merge(new, judged)
+        self.versions.publish(version, {n: (t, KEYS[n]) for n, t in new.items()}, touched)
+        return self._report(scanned, parsed, judged, version)
+
+    def _merge(self, new: dict[str, DataFrame], judged: DataFrame) -> dict[str, set[int]]:
+        """Put the touched buckets with the changes in them in place of the new tables; gives the buckets."""
+        gone = judged.filter("NOT kept").select("document_id")
+        touched = {
+            "projects": buckets_of(new["projects"], "project_id"),
+            "documents": buckets_of(new["documents"].select("document_id").union(gone), "document_id"),
         }
+        touched["chunks"] = touched["documents"]
+        old = {n: self.versions.read(n, touched[n]) for n in new}
+        left = {n: old[n].join(gone, "document_id", "left_anti").select(*old[n].columns) for n in ("documents", "chunks")}
+        new["projects"] = ST.upsert(old["projects"], new["projects"], "project_id")
+        new["chunks"] = ST.replace_by_key(
+            ST.not_indexed(left["chunks"], new["documents"], "document_id"), new["chunks"], "document_id")
+        new["documents"] = ST.upsert(left["documents"], new["documents"], "document_id")
+        return touched
+
+    def _newest(self, fresh: DataFrame, before: IndexTables | None) -> DataFrame:
+        """document_id, kept and duplicate_document_id of the new documents and the indexed ones of their projects.
+
+        The duplicate rule needs a number as key; it is the leading part of the document id.
+        """
+        columns = ("document_id", "project_id", "file_mtime", "signature")
+        every = fresh.select(*columns)
         if before is not None:
-            fresh = {
-                "projects": ST.upsert(before.projects, fresh["projects"], "project_id"),
-                "documents": ST.upsert(before.documents, fresh["documents"], "document_id"),
-                "chunks": ST.replace_by_key(before.chunks, fresh["chunks"], "document_id"),
-            }
-        for name, table in fresh.items():
-            ST.write_version(table, self._path(name), version)
+            own = before.documents.join(every.select("project_id").distinct(), "project_id", "left_semi")
+            every = every.unionByName(ST.not_indexed(own, every, "document_id").select(*columns))
+        keyed = every.withColumn("number", F.conv(F.substring("document_id", 5, 15), 16, 10).cast("bigint"))
+        judged = D.keep_newest(keyed, "number", "signature", "project_id", "file_mtime", signed=True)
+        named = keyed.select("number", "document_id")
+        other = named.select(F.col("number").alias("duplicate_of"), F.col("document_id").alias("duplicate_document_id"))
+        return named.join(judged.select("number", "kept", "duplicate_of"), "number").join(other, "duplicate_of", "left").select(
+            "document_id", "kept", "duplicate_document_id")
+
+    def _report(self, scanned: DataFrame, parsed: DataFrame, judged: DataFrame, version: int) -> dict[str, int]:
+        """K8: a row for each excluded, failed, duplicate and indexed file, as JSON lines next to the index."""
         now = self.tables()
+        path = scanned.select("document_id", "file_path")
+        sizes = now.chunks.groupBy("document_id").agg(
+            F.count("*").alias("chunk_count"), F.concat_ws(", ", F.array_sort(F.collect_set("chapter_title"))).alias("chapters"))
+        kind = lambda name: F.lit(name).alias("kind")
+        parts = [
+            scanned.filter(F.col("reason") != "").select(kind("excluded"), "document_id", "file_path", F.col("reason").alias("detail")),
+            parsed.filter(F.col("error").isNotNull()).select(kind("failed"), "file_path", F.col("error").alias("detail")),
+            judged.filter("NOT kept").join(path, "document_id", "left").select(
+                kind("duplicate"), "document_id", "file_path", F.col("duplicate_document_id").alias("detail")),
+            judged.filter("kept").join(path, "document_id").join(sizes, "document_id").select(
+                kind("indexed"), "document_id", "file_path", "chunk_count", F.col("chapters").alias("detail")),
+        ]
+        report = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        target = self._path(f"reports/version={version:010d}")
+        ST.write_report(report, target)
+        kinds = {r["kind"]: r["count"] for r in self.spark.read.schema(report.schema).json(target).groupBy("kind").count().collect()}
         return {
             "projects": now.projects.count(), "documents": now.documents.count(), "chunks": now.chunks.count(),
-            "failed": parsed.filter(F.col("error").isNotNull()).count(), "excluded": scanned.filter(F.col("reason") != "").count(),
+            "failed": kinds.get("failed", 0), "excluded": kinds.get("excluded", 0), "duplicates": kinds.get("duplicate", 0),
         }
 
-    def _newest(self, documents: DataFrame) -> DataFrame:
-        """The duplicate rule needs a number as key; it is the leading part of the document id."""
-        keyed = documents.withColumn("number", F.conv(F.substring("document_id", 5, 15), 16, 10).cast("bigint"))
-        judged = D.keep_newest(keyed.select("number", "project_id", "file_mtime", "text"), "number", "text", "project_id", "file_mtime")
-        return keyed.select("number", "document_id").join(judged.select("number", "kept"), "number")
+    def remove_excluded(self, roots: list[str], version: int) -> dict[str, int]:
+        """Indexed documents whose files the rules exclude by now go, with their chunks."""
+        excluded = self.scan(roots).filter(F.col("reason") != "").select("document_id")
+        now = self.tables()
+        gone = checkpoint(now.documents.join(excluded, "document_id", "left_semi").select("document_id"))
+        documents, chunks, _ = ST.delete_documents(now.documents, now.chunks, gone)
+        tables = {"projects": now.projects, "documents": documents, "chunks": chunks}
+        self.versions.publish(version, {n: (t, KEYS[n]) for n, t in tables.items()})
+        return {"documents": documents.count(), "removed": gone.count()}
+
+    @property
+    def _ranking(self) -> dict:
+        s = self.settings
+        return {"weights": (s.keyword_weight, s.vector_weight), "dimensions": s.embedding_dimensions}
 
     def search(self, query: str, k: int | None = None, filters: dict | None = None, scope: dict | None = None) -> DataFrame:
-        ranked = H.search(self.tables().chunks, query, k or self.settings.top_k, filters=filters, scope=scope)
+        ranked = H.search(self.tables().chunks, query, k or self.settings.top_k, filters=filters, scope=scope, **self._ranking)
         return H.result_rows(ranked, F.lit(query))
 
     def chapter_filters(self, chapter: str, filters: dict | None = None) -> dict:
@@ -144,11 +218,29 @@ class Dossiers:
         return {**(filters or {}), "chapter_norms": norms}
 
     def topic_search(self, queries: DataFrame, k: int | None = None, filters: dict | None = None, scope: dict | None = None) -> DataFrame:
-        """Parse, expand, search wide, rerank: the best k results of every query (query_id, query_text)."""
+        """Parse, expand, search wide, rerank: the best k results of every query (query_id, query_text).
+
+        Q11, F8: a chapter found in a query filters its results; where nothing is left, the query is searched
+        again without that filter. There are as many filtered searches as chapters in the lexicon at most.
+        """
         k = k or self.settings.top_k
         parsed = checkpoint(Q.expand_queries(Q.parse_queries(queries)))
-        asked = parsed.select("query_id", first_filled("semantic_query", "query_text").alias("query_text"))
-        found = H.search_batch(self.tables().chunks, asked, max(3 * k, k + 20), filters=filters, scope=scope)
+        asked = parsed.select("query_id", first_filled("semantic_query", "query_text").alias("query_text"), "target_chapter")
+        chunks, wide = self.tables().chunks, max(3 * k, k + 20)
+
+        def searched(rows: DataFrame, filters_: dict | None) -> DataFrame:
+            return H.search_batch(chunks, rows.drop("target_chapter"), wide, filters=filters_, scope=scope, **self._ranking)
+
+        found = parsed.filter(F.col("target_chapter") != "").select("target_chapter").distinct().collect()
+        chapters = [] if "chapter_norms" in (filters or {}) else [r[0] for r in found]
+        narrow = [
+            searched(asked.filter(F.col("target_chapter") == c), {**(filters or {}), "chapter_norms": HD.chapter_norms(c)}) for c in chapters]
+        if narrow:
+            within = checkpoint(reduce(DataFrame.unionByName, narrow))
+            rest = asked.join(within.select("query_id").distinct(), "query_id", "left_anti")
+            found = within.unionByName(searched(rest, filters))
+        else:
+            found = searched(asked, filters)
         rows = H.result_rows(found, F.col("query_text")).drop("rank", "query_text")
         return RR.rerank(rows.join(parsed, "query_id"), "chunk_id", k).withColumn("score", F.col("final_score"))
 
@@ -173,7 +265,7 @@ class Dossiers:
             "query_id", F.concat_ws("/", F.col("id").cast("string"), F.col("position").cast("string"))
         )
         queries = checkpoint(queries)
-        found = H.search_batch(self.tables().chunks, queries.select("query_id", "query_text"), k)
+        found = H.search_batch(self.tables().chunks, queries.select("query_id", "query_text"), k, **self._ranking)
         weighted = found.join(queries.select("query_id", "id", "weight"), "query_id")
         best = RQ.fuse_queries(weighted, "id", "chunk_id", "score", "weight")
         asked = summary.select("id", F.col("summary_text").alias("asked"))
@@ -184,3 +276,12 @@ class Dossiers:
     def validate(self) -> DataFrame:
         now = self.tables()
         return RP.validation_counts(now.chunks, now.documents, IN.INDEX_VERSION)
+
+    def validation(self) -> dict[str, DataFrame]:
+        """A5: the counts, three distributions and the least certain headings."""
+        chunks = self.tables().chunks
+        levels = ("canonical_chapter_title", "canonical_section_title", "canonical_subsection_title")
+        return {
+            "counts": self.validate(), **{c: RP.distribution(chunks, F.col(c)) for c in levels},
+            "low_confidence": RP.low_confidence_examples(chunks),
+        }

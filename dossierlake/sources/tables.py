@@ -11,12 +11,12 @@ TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_i
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy text work every core when the input has fewer splits than cores.
+    """Deal the rows out to as many tasks as `dossierlake.spread` names; without that setting nothing is moved.
 
-    A large table has far more splits than cores and is left as it was read.
+    For small inputs of one split, as in tests and the bench.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
+    tasks = df.sparkSession.conf.get("dossierlake.spread", None)
+    return df.repartition(int(tasks), key) if tasks else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

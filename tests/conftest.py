@@ -15,6 +15,7 @@ def spark():
         spark__ui__showConsoleProgress="false", spark__driver__memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("dossierlake.spread", "8")
     yield session
     session.stop()
 

@@ -72,13 +72,16 @@ def test_canonical_chapter(one, text, chapter):
     assert one(HD.canonical_chapter(F.lit(text))) == chapter
 
 
-def test_taxonomy_match():
-    chapters, sections, subsections = (TX.alias_matcher(a, TX.HEADING_THRESHOLD) for a in TX.KOREAN_TAXONOMY)
+def test_taxonomy_match(one):
+    levels = [TX.Lexicon(a, TX.HEADING_THRESHOLD).match for a in TX.KOREAN_TAXONOMY]
+    chapters, sections, subsections = levels
     assert chapters("Ⅲ. 목표 아키텍처 수립")[0] == "목표모델"
     assert sections("3.1 인프라 구성 방안")[0] == "인프라 아키텍처"
     assert subsections("3.1.2 원격지 재해복구센터 구축")[0] == "DR/백업/이중화"
     assert chapters("목표모델") == ("목표모델", 1.0, "exact:목표모델")
-    assert chapters("zzzz") [0] == ""
+    assert chapters("zzzz") == chapters("") == ("", 0.0, "")
+    several = one(TX.best_of(TX.KOREAN_TAXONOMY[0])(F.array(F.lit("zzzz"), F.lit("목표모델"), F.lit("기타"))))
+    assert several["canonical"] == "목표모델" and several["confidence"] == 1.0
 
 
 def test_table_type(one):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from dossierlake.functions.headings import chapter_norms
-from dossierlake.operators import evidence as EV, intents as Q, keyword as KW, ranking as R, requests as RQ, rerank as RR, search as H
+from dossierlake.operators import batch as B, evidence as EV, intents as Q, keyword as KW, ranking as R, requests as RQ, rerank as RR, search as H
 
 COLUMNS = (
     "chunk_id string, document_id string, document_title string, document_type string, file_path string, project_name string, "
@@ -46,7 +46,7 @@ def test_batch_equals_single(spark):
     texts = ["alpha beta", "alphabet gamma", "beta.gamma-x", "x" * 300 + "needle" + "y" * 300, "r&d alpha", "가나다 알파"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, body string")
     queries = spark.createDataFrame([(1, "alpha gamma"), (2, "needle beta"), (3, "lpha"), (4, "R&D 가나"), (5, "")], "query_id int, query_text string")
-    got = {(r.query_id, r.id): r.keyword_score for r in KW.batch_coverage(rows, "id", KW.haystack("body"), queries).collect()}
+    got = {(r.query_id, r.id): r.keyword_score for r in B.coverage_top(rows, "id", KW.haystack("body"), queries, 100).collect()}
     want = {}
     for query in queries.collect():
         for r in KW.coverage_scores(rows, query.query_text, KW.haystack("body")).collect():
@@ -154,11 +154,11 @@ def test_single_search_is_one_scan_with_top_k(spark):
     assert "TakeOrderedAndProject" in plan and "Join" not in plan
 
 
-def test_batch_coverage_only_equi_joins(spark):
+def test_batch_coverage_joins_nothing(spark):
     rows = spark.createDataFrame([(1, "a b")], "id int, body string")
     queries = spark.createDataFrame([(1, "ab cd")], "query_id int, query_text string")
-    plan = plan_of(KW.batch_coverage(rows, "id", KW.haystack("body"), queries))
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    plan = plan_of(B.coverage_top(rows, "id", KW.haystack("body"), queries, 5))
+    assert "Join" not in plan and "WindowGroupLimit" in plan
 
 
 def test_top_k_per_query_is_cut_before_the_shuffle(spark):

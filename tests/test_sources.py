@@ -1,5 +1,6 @@
 """Folder rules, office parsers, the job chain and the incremental stream."""
 
+import os
 import zipfile
 
 from pyspark.sql import functions as F
@@ -90,6 +91,75 @@ def test_job_chain(spark, folder, tmp_path):
     assert dossiers.match_request(requests, 5)["projects"].first().project_name.startswith("클라우드")
 
 
+def test_versions_survive_failures(spark, tmp_path):
+    from dossierlake.operators.versions import BUCKETS, Versions, bucket_of, buckets_of
+
+    store = Versions(spark, str(tmp_path / "v"))
+    rows = spark.range(500).selectExpr("concat('d', id) AS document_id", "id AS n")
+    empty = spark.createDataFrame([], "project_id string")
+    store.publish(1, {"documents": (rows, "document_id"), "projects": (empty, "project_id")})
+    assert store.read("documents").count() == 500 and store.read("projects").count() == 0
+    for number in (1, 0):  # a repeated number changes nothing
+        with pytest.raises(ValueError):
+            store.publish(number, {"documents": (rows.limit(1), "document_id")})
+    broken = rows.withColumn("n", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):  # fails after the first of two tables
+        store.publish(2, {"projects": (empty, "project_id"), "documents": (broken, "document_id")})
+    assert store.numbers() == [1] and store.read("documents").count() == 500
+    one = rows.filter("document_id = 'd7'")
+    touched = buckets_of(one, "document_id")
+    before = {r["bucket"]: r["folder"] for r in store.manifest(1) if r["name"] == "documents"}
+    changed = store.read("documents", touched).withColumn("n", F.when(F.col("document_id") == "d7", -1).otherwise(F.col("n")).cast("bigint"))
+    store.publish(3, {"documents": (changed, "document_id"), "projects": (empty, "project_id")}, {"documents": touched, "projects": set()})
+    after = {r["bucket"]: r["folder"] for r in store.manifest(3) if r["name"] == "documents"}
+    assert {b for b in after if after[b] != before[b]} == touched and len(touched) == 1 < BUCKETS
+    now = {r["document_id"]: r["n"] for r in store.read("documents").collect()}
+    assert len(now) == 500 and now["d7"] == -1 and store.read("documents", version=1).filter("n = 7").count() == 1
+    store.clear()
+    assert store.read("documents").count() == 0 and store.read("documents").columns == ["document_id", "n"]
+    assert rows.select(bucket_of(F.col("document_id")).alias("b")).filter("b < 0").count() == 0
+
+
+def test_newest_rule_across_runs(spark, tmp_path):
+    """A newer copy takes the place of the indexed one; an older copy is left out; the report says so."""
+    top = tmp_path / "in"
+    root = top / "20240101_공항_사업"
+    root.mkdir(parents=True)
+
+    def put(name, text, mtime):
+        docx(root / name, [(line, i == 0) for i, line in enumerate(text.split("\n"))])
+        os.utime(root / name, (mtime, mtime))
+
+    body = "목표모델 수립\n" + "\n".join(f"클라우드 전환 {i} 단계의 데이터 이관 절차와 검증 방안" for i in range(60))
+    put("a.docx", body, 1000)
+    dossiers = Dossiers(spark, Settings(data_dir=str(tmp_path / "index")))
+    assert dossiers.index([str(top)], 1)["documents"] == 1
+    put("b.docx", body + "\n추가 내용", 2000)
+    put("c.docx", body + "\n더 오래된 내용", 500)
+    counts = dossiers.index([str(top)], 2, rebuild=False)
+    assert counts["documents"] == 1 and counts["duplicates"] == 2
+    assert [r.file_name for r in dossiers.tables().documents.collect()] == ["b.docx"]
+    assert {r.document_id for r in dossiers.tables().chunks.collect()} == {dossiers.tables().documents.first().document_id}
+    report = spark.read.json(str(tmp_path / "index/reports/version=0000000002"))
+    assert {r["kind"]: r["count"] for r in report.groupBy("kind").count().collect()} == {"duplicate": 2, "indexed": 1}
+    put("b.docx", "목표모델 수립\n전혀 다른 내용의 문서", 3000)
+    assert dossiers.reindex_document(str(top), "b.docx", 3)["documents"] == 1
+    assert "전혀 다른" in dossiers.tables().chunks.first().chunk_text
+    assert dossiers.validation()["counts"].count() == 1
+    with pytest.raises(ValueError):
+        dossiers.index([str(top)], 3)
+
+
+def test_weights_of_the_settings_change_the_ranking(spark):
+    from dossierlake.operators import search as H
+
+    rows = spark.createDataFrame(
+        [("1", "클라우드 전환 계획 데이터", "클라우드", "p", "a", 1.0), ("2", "클라우드", "클라우드", "p", "b", 1.0)],
+        "chunk_id string, chunk_text string, embedding_text string, project_name string, file_path string, file_mtime double")
+    firsts = {w: H.search(rows, "클라우드 전환", 2, weights=w).orderBy("rank").first()["score"] for w in ((1.0, 0.0), (0.0, 1.0))}
+    assert firsts[1.0, 0.0] != firsts[0.0, 1.0] or H.search(rows, "클라우드 전환", 2, weights=(0.2, 0.1)).first()["score"] < 0.31
+
+
 def test_settings(tmp_path):
     path = tmp_path / "config.yaml"
     path.write_text("root_folders:\n  - a\n  - b\nsearch:\n  top_k: 7\n", encoding="utf-8")

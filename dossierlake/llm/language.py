@@ -28,6 +28,7 @@ UNKNOWN = "und"
 CELLS = 8192
 CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 400
+RANK_PARTS = 64
 ROUNDS = 8
 FLOOR_SHARE, FLOOR_QUANTILE = 0.4, 0.01
 BLOCK = 1 << 20
@@ -132,9 +133,12 @@ def fit(labelled: DataFrame) -> Model:
     held[list(map(int, by_cell))] = list(by_cell.values())
     weights = np.log((1 + total) / (1 + held)) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    ranked = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= SAMPLE_PER_LANGUAGE).select("doc_id", "lang").distinct()
+    # the smallest hashes of each language, first of each part of it, so that no task ranks a whole language
+    ranked = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("hash")).withColumn("part", F.pmod("hash", F.lit(RANK_PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*keys).orderBy("hash", "doc_id")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANGUAGE).drop("rank")
+    ranked = ranked.select("doc_id", "lang").distinct()
     # bounded: SAMPLE_PER_LANGUAGE ids for each language
     sample = rows.join(F.broadcast(ranked), ["doc_id", "lang"], "left_semi")
 

@@ -22,10 +22,10 @@ def bucket_of(key: Column) -> Column:
 
 
 class Versions:
-    """The tables below one path."""
+    """The tables below one path; `files` is the number of files of a bucket, to be raised with its size."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, files: int = 1):
+        self.spark, self.path, self.files = spark, path.rstrip("/"), files
 
     def _list(self, path: str) -> list[str]:
         jvm = self.spark._jvm
@@ -58,7 +58,10 @@ class Versions:
         rows = []
         for name, (table, key) in tables.items():
             folder = f"{self.path}/{name}/run-{version:010d}-{uuid.uuid4().hex}"
-            table.withColumn("bucket", bucket_of(F.col(key))).write.partitionBy("bucket").parquet(folder)
+            placed = table.withColumn("bucket", bucket_of(F.col(key)))
+            # a bucket's rows meet in `files` tasks, so a run writes few files and no task a whole large bucket
+            part = F.pmod(F.floor(F.xxhash64(F.col(key)) / BUCKETS), F.lit(self.files))
+            placed.repartition(F.col("bucket"), part).write.partitionBy("bucket").parquet(folder)
             new = {int(n.split("=")[1]) for n in self._list(folder) if n.startswith("bucket=")}
             schema = table.schema.json()
             rows.append((version, name, -1, None, schema))

@@ -3,7 +3,8 @@
 A gear hash rolls over the UTF-8 bytes: shifted left by one bit and increased by a value of the next byte,
 in 16 bits, so it depends on the last 16 bytes alone. A chunk ends where its upper `MASK_BITS` bits are zero,
 hence at the same places of a passage wherever the passage stands, and after an insertion boundaries fall
-back into place. Chunks are compared by a 128-bit digest. Consecutive chunks that other documents have as well make
+back into place. Chunks are compared by a 64-bit digest; several in a row must agree, so a chance collision makes no
+passage. Consecutive chunks that other documents have as well make
 a passage; passages of at least `PASSAGE_WORDS` words are reported, their first occurrence is kept.
 
 The chunks cut by the ends of a passage are not whole and so not found; with chunks of 32 bytes on average
@@ -58,13 +59,13 @@ def boundaries(data: bytes) -> np.ndarray:
     return np.append(found, len(data)) if len(data) else found
 
 
-COLUMNS = "doc_id bigint, ordinal int, start int, end int, first_word int, end_word int, digest binary"
+COLUMNS = "doc_id bigint, ordinal int, start int, end int, first_word int, end_word int, digest bigint"
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        digests: list[bytes] = []
+        digests: list[int] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = text.as_py().encode("utf-8", "surrogatepass")
             if not data:
@@ -78,11 +79,11 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = (np.full(len(ends), doc_id), np.arange(len(ends)), points[starts], points[ends], begins[starts], begins[ends])
             for held, column in zip(parts, columns, strict=True):
                 held.append(column)
-            digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            digests += [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         if digests:
             kinds = (pa.int64(), *[pa.int32()] * 5)
             arrays = [pa.array(np.concatenate(x)).cast(k) for x, k in zip(parts, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(digests, pa.binary())], [c.split()[0] for c in COLUMNS.split(", ")])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(digests, np.uint64).view(np.int64))], [c.split()[0] for c in COLUMNS.split(", ")])
 
 
 def chunked(docs: DataFrame) -> DataFrame:

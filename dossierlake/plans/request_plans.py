@@ -129,7 +129,27 @@ def request_keywords(spark, sf_dir):
     return RQ.request_keywords(corpus_requests(spark, sf_dir), "doc_id", "sections", "text", lexicon=CORPUS_REQUESTS)
 
 
-@register("rfp_weighted_queries", covers="G6: no SQL; weights, order and uniqueness are tested on a literal request")
+_OF_REQUESTS = REQUEST_KEYWORDS_SQL[len(SECTIONS_SQL):].lstrip(",\n")
+_OF_PARTS = _OF_REQUESTS.replace("FROM documents LEFT JOIN", "FROM parts LEFT JOIN").replace(
+    "<= 30)", f"<= {2 * RQ.REQUIREMENT_KEYWORDS})").replace("<= 15", f"<= {RQ.REQUIREMENT_KEYWORDS}")
+WEIGHTED_SQL = f"""{REQUEST_KEYWORDS_SQL},
+parts AS (SELECT doc_id || '/' || (number - 1) AS doc_id, doc_id AS own, number - 1 AS number, line AS text, line FROM sections
+    WHERE number <= {RQ.REQUIREMENT_QUERIES}),
+of_parts AS (WITH sections AS (SELECT doc_id, line, 1 AS number FROM parts), {_OF_PARTS}
+    SELECT doc_id AS part, string_agg(keyword, ' ' ORDER BY place) AS query_text FROM request_keywords WHERE place <= 6 GROUP BY doc_id),
+wq AS (
+    SELECT doc_id, (place - 1) // {RQ.KEYWORDS_PER_QUERY} AS position, string_agg(keyword, ' ' ORDER BY place) AS query_text,
+      {RQ.KEYWORD_QUERY_WEIGHT}::DOUBLE AS weight FROM request_keywords GROUP BY 1, 2
+    UNION ALL SELECT own, number + 100, query_text, {RQ.REQUIREMENT_QUERY_WEIGHT}::DOUBLE FROM of_parts JOIN parts ON part = parts.doc_id)"""
+
+
+@register(
+    "rfp_weighted_queries",
+    f"""WITH RECURSIVE {WEIGHTED_SQL}
+    SELECT doc_id, CAST(position AS BIGINT) AS position, query_text, weight FROM wq WHERE trim(query_text) <> ''
+    QUALIFY row_number() OVER (PARTITION BY doc_id, query_text ORDER BY position) = 1""",
+    covers="G6",
+)
 def rfp_weighted_queries(spark, sf_dir):
     return RQ.weighted_queries(corpus_requests(spark, sf_dir), "doc_id", "sections", "text", CORPUS_REQUESTS)
 

@@ -131,25 +131,26 @@ def doc_type_filter(spark, sf_dir):
     "source_prefix_filter",
     f"""WITH {S.DOCS}
     SELECT project_name, document_type, CAST(count(*) AS BIGINT) AS documents FROM docs
-    WHERE starts_with(file_path, 'src1') OR starts_with(file_path, 'source_1') OR starts_with(file_path, 's')
+    WHERE starts_with(file_path, 'src1') OR starts_with(file_path, 'source_1') OR starts_with(file_path, 'src7/fr')
     GROUP BY ALL""",
     covers="F4, F6, X23",
 )
 def source_prefix_filter(spark, sf_dir):
     scope = KW.scope_prefixes("all", ("src1\\", "source_1/"))
-    rows = corpus_documents(spark, sf_dir).filter(KW.under_prefixes(F.col("file_path"), scope["active"] + ["s"]))
+    rows = corpus_documents(spark, sf_dir).filter(KW.under_prefixes(F.col("file_path"), scope["active"] + ["src7\\fr"]))
     return rows.groupBy("project_name", "document_type").agg(F.count("*").cast("bigint").alias("documents"))
 
 
 @register(
     "existence_probe",
     f"""WITH {S.DOCS}
-    SELECT project_name, bool_or(contains(text, 'nicht')) AS has_match FROM docs GROUP BY project_name""",
+    SELECT project_name, bool_or(contains(text, project_name || ' ') OR contains(text, 'Licensed under CC')) AS has_match FROM docs GROUP BY project_name""",
     covers="F7",
 )
 def existence_probe(spark, sf_dir):
     rows = corpus_documents(spark, sf_dir)
-    matched = rows.filter(F.contains("text", F.lit("nicht"))).select("project_name").distinct()
+    matched = rows.filter(
+        F.contains("text", F.concat("project_name", F.lit(" "))) | F.contains("text", F.lit("Licensed under CC"))).select("project_name").distinct()
     projects = rows.select("project_name").distinct()
     return projects.join(matched.withColumn("has_match", F.lit(True)), "project_name", "left").fillna(
         False, ["has_match"]

@@ -20,6 +20,7 @@ PLAN_MODULES = (
     "report_plans",
     "intent_plans",
     "evidence_plans",
+    "extraction_plans",
     "request_plans",
     "state_plans",
 )

@@ -110,6 +110,12 @@ def regex_amounts(spark, sf_dir):
     )
 
 
+_FOOTED = """CASE CAST(doc_id % 6 AS INT)
+  WHEN 0 THEN concat(text, chr(10), '- ', CAST(doc_id % 977 + 1 AS {text}), ' -')
+  WHEN 1 THEN concat(text, chr(10), 'Page ', CAST(doc_id % 977 + 1 AS {text}), chr(10), 'a footer line')
+  WHEN 2 THEN concat(text, chr(10), 'III-', CAST(doc_id % 977 + 1 AS {text}))
+  WHEN 3 THEN concat(CAST(doc_id % 977 + 1 AS {text}), ' / 999', chr(10), text)
+  ELSE text END"""
 _LABEL_CASES = " ".join(
     f"WHEN regexp_matches(x, {S.quote(p)}) THEN regexp_extract(x, {S.quote(p)}, 1)"
     for p in labels.PAGE_LABELS_ONE_GROUP[:4]
@@ -130,13 +136,14 @@ _LABEL_SQL = f"""
 
 @register(
     "display_page_label",
-    _LABEL_SQL.replace("WITH l AS", "WITH src AS (SELECT doc_id AS id, text AS body FROM documents), l AS"),
+    _LABEL_SQL.replace("WITH l AS", f"WITH src AS (SELECT doc_id AS id, {_FOOTED.format(text='VARCHAR')} AS body FROM documents), l AS"),
     covers="P21",
 )
 def display_page_label(spark, sf_dir):
+    """Four of six documents get a footer with a page number of their own."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        labels.display_page(F.col("text"), F.col("doc_id").cast("string")).alias("display_page"),
+        labels.display_page(F.expr(_FOOTED.format(text="STRING")), F.col("doc_id").cast("string")).alias("display_page"),
     )
 
 

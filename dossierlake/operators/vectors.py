@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake.functions.text import bind, explode_rows
@@ -12,38 +16,32 @@ DIMENSIONS = 384
 
 
 def sparse_cells(body: Column | str, dimensions: int = DIMENSIONS) -> Column:
-    """array<struct(slot, weight)> of a text, integer weights before normalisation.
+    """array<struct(slot, weight)> of a text, integer weights before normalisation, by slot.
 
-    The tokens of a text lie in its own row, so its slots are summed there: sorted by slot,
-    one pass closes a cell whenever the slot changes. Nothing is shuffled.
+    The tokens of a text lie in its own row and are counted there, a batch of rows at a time; a worker
+    hashes every distinct token once. Nothing is shuffled.
     """
-
-    def hit(token: Column) -> Column:
-        return bind(
-            F.md5(token),
-            lambda m: F.struct(
-                (F.conv(F.substring(m, 1, 8), 16, 10).cast("bigint") % dimensions).alias("slot"),
-                F.when(F.substring(m, 10, 1).isin(*"02468ace"), 1).otherwise(-1).cast("bigint").alias("weight"),
-            ),
-        )
-
-    start = F.struct(
-        F.lit(-1).cast("bigint").alias("slot"), F.lit(0).cast("bigint").alias("weight"),
-        F.array().cast("array<struct<slot:bigint,weight:bigint>>").alias("cells"),
-    )
-
-    def closed(s: Column) -> Column:
-        cell = F.struct(s["slot"].alias("slot"), s["weight"].alias("weight"))
-        return F.when(s["weight"] != 0, F.concat(s["cells"], F.array(cell))).otherwise(s["cells"])
-
-    def step(s: Column, h: Column) -> Column:
-        same = s["slot"] == h["slot"]
-        return F.struct(
-            h["slot"].alias("slot"), (F.when(same, s["weight"]).otherwise(0) + h["weight"]).alias("weight"),
-            F.when(same, s["cells"]).otherwise(closed(s)).alias("cells"),
-        )
-
-    return F.aggregate(F.array_sort(F.transform(tokenize(body), hit)), start, step, closed)
+    known: dict[str, tuple[int, int]] = {}
+
+    def cell(token: str) -> tuple[int, int]:
+        if token not in known:
+            digest = hashlib.md5(token.encode("utf-8")).hexdigest()
+            known[token] = (int(digest[:8], 16) % dimensions, 1 if digest[9] in "02468ace" else -1)
+        return known[token]
+
+    def counted(tokens: list[str]) -> list[dict[str, int]]:
+        if not len(tokens):
+            return []
+        slots, signs = np.array([cell(t) for t in tokens]).T
+        sums = np.bincount(slots, signs, dimensions).astype(int)
+        at = np.flatnonzero(sums)
+        return [{"slot": s, "weight": w} for s, w in zip(at.tolist(), sums[at].tolist(), strict=True)]
+
+    @F.pandas_udf("array<struct<slot:bigint,weight:bigint>>")
+    def cells(tokens: pd.Series) -> pd.Series:
+        return tokens.map(counted)
+
+    return cells(tokenize(body))
 
 
 def square_of(cells: Column) -> Column:

@@ -21,6 +21,13 @@ def bucket_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store Spark reaches; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+
+
 class Versions:
     """The tables below one path; `files` is the number of files of a bucket, to be raised with its size."""
 
@@ -28,10 +35,7 @@ class Versions:
         self.spark, self.path, self.files = spark, path.rstrip("/"), files
 
     def _list(self, path: str) -> list[str]:
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+        return entries(self.spark, path)
 
     def numbers(self) -> list[int]:
         """The published versions, ascending; a folder without its success mark is not one."""

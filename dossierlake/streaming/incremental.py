@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from dossierlake.operators.state import log_rows, not_indexed
+from dossierlake.operators.versions import entries
 
 
 def document_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -22,13 +23,9 @@ def _batch_writer(index: str, build: Callable[[DataFrame], DataFrame], key: str)
         # The batch owns one folder: a repeated batch overwrites what the failed try left.
         target = f"{index}/batch={batch_id:010d}"
         fresh = batch.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(index).filter(F.col("batch") != batch_id).select(key).distinct()
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-            known = None
-        if known is not None:
+        others = [n for n in entries(spark, index) if n.startswith("batch=") and int(n.split("=")[1]) != batch_id]
+        if others:
+            known = spark.read.option("basePath", index).parquet(*[f"{index}/{n}" for n in others]).select(key)
             fresh = not_indexed(fresh, known, key)
         build(fresh).write.mode("overwrite").parquet(target)
 

@@ -95,7 +95,7 @@ def test_domain_tags(one):
     assert tags[:4] == ["CLOUD_COST", "클라우드", "MSA", "컨테이너"] and "CLOUD" in tags and len(tags) <= 24
 
 
-def test_hashed_cosine(one):
+def test_hashed_cosine(spark, one):
     import hashlib
     import math
 
@@ -113,13 +113,14 @@ def test_hashed_cosine(one):
     assert got == a
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     want = sum(a[k] * b.get(k, 0) for k in a) / norm(a) / norm(b)
-    assert one(V.cells_cosine(V.sparse_cells(F.lit(left)), V.sparse_cells(F.lit(right)))) == pytest.approx(want)
-    assert one(V.cells_cosine(V.sparse_cells(F.lit("")), V.sparse_cells(F.lit(right)))) == 0.0
+    rows = spark.createDataFrame([(left, right), ("", right)], "l string, r string")
+    cells = rows.select(V.sparse_cells("l").alias("l"), V.sparse_cells("r").alias("r"))
+    assert [r.c for r in cells.select(V.cells_cosine(F.col("l"), F.col("r")).alias("c")).collect()] == [pytest.approx(want), 0.0]
 
 
 def test_recency_boost(spark):
     from dossierlake.operators.ranking import recency_factor
 
-    rows = spark.createDataFrame([(1, 100.0), (2, 200.0), (3, 0.0)], "id int, m double")
-    got = {r.id: r.b for r in rows.select("id", recency_factor(F.col("m"), None).alias("b")).collect()}
+    rows = spark.createDataFrame([(1, 100.0), (2, 200.0), (3, 0.0)], "id int, m double").withColumn("q", F.lit(1))
+    got = {r.id: r.b for r in rows.select("id", recency_factor(F.col("m"), "q").alias("b")).collect()}
     assert got[1] == 1.0 and got[2] == pytest.approx(MAX_RECENCY_BOOST) and got[3] == 1.0

@@ -4,8 +4,8 @@ Words are lower-cased; numbers, names and units become typed placeholders, each
 `WINDOW` canonical words of the items are hashed and looked up for every window of every document, so a
 question whose numbers, names or units were changed still meets its template. Hits on one diagonal (the
 same shift between item and document) make an alignment; the words are compared one by one, and the
-placeholders must be filled consistently: one value of the item stands for one value of the document. An
-alignment counts as a leak if it covers `COVERED` of the item's words or `RUN` words in a row.
+placeholders must be filled consistently: one value of the item stands for one value of the document. An item
+is leaked if `COVERED` of its words agree, over all its alignments, or `RUN` words in a row.
 
 Items are read in blocks of at most `BLOCK_WORDS` words, each block small enough to hand to every task; the
 documents are scanned once for each block, whatever the number of items, and no window is left out.
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 8
-COVERED, RUN = 0.5, 16
+COVERED, RUN = 0.5, 13
 BLOCK_WORDS = 1 << 20
 PIECE = 1 << 20
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
@@ -156,14 +156,14 @@ def hits(words: list[str], block: Block) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def aligned(item: Canonical, doc: Canonical, shift: int) -> tuple[int, int, int, int, int]:
-    """Words that agree along one diagonal, the longest run, changed slots, and the run's first and end word.
+def aligned(item: Canonical, doc: Canonical, shift: int) -> tuple[np.ndarray, int]:
+    """Which words of the item agree along one diagonal, and how many slots are filled anew.
 
     A placeholder agrees if its filling is consistent with those before, in both directions.
     """
     there: dict[tuple[str, str], str] = {}
     back: dict[tuple[str, str], str] = {}
-    agree = run = best = best_end = changed = 0
+    agree, changed = np.zeros(len(item.words), bool), 0
     for at in range(max(0, -shift), min(len(item.words), len(doc.words) - shift)):
         word = item.words[at]
         same = word == doc.words[at + shift]
@@ -171,11 +171,13 @@ def aligned(item: Canonical, doc: Canonical, shift: int) -> tuple[int, int, int,
             mine, theirs = item.values[at], doc.values[at + shift]
             same = there.setdefault((word, mine), theirs) == theirs and back.setdefault((word, theirs), mine) == mine
             changed += same and mine != theirs
-        run = run + 1 if same else 0
-        agree += same
-        if run > best:
-            best, best_end = run, at + shift + 1
-    return agree, best, changed, best_end - best, best_end
+        agree[at] = same
+    return agree, changed
+
+
+def stretches(agree: np.ndarray) -> np.ndarray:
+    """(start, end) of the runs of agreeing words."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], agree, [False]]).view(np.int8))).reshape(-1, 2)
 
 
 Leak = tuple[int, float, int, int, int, int]
@@ -188,13 +190,24 @@ def leaks_of_piece(text: str, offset: int, block: Block) -> Iterator[Leak]:
     doc = canonical(text)
     for i, shifts in groupby(found, key=lambda x: x[0]):
         item, size = block.items[i], len(block.items[i].words)
-        agree, run, changed, first, end = max((aligned(item, doc, s) for _, s in shifts), key=lambda x: x[:2])
-        if (agree >= COVERED * size and run >= min(WINDOW, size)) or run >= RUN:
-            yield block.ids[i], agree / size, run, changed, offset + doc.places[first][0], offset + doc.places[end - 1][1]
+        covered = np.zeros(size, bool)
+        best = (0, 0, 0, 0)
+        for _, shift in shifts:
+            agree, changed = aligned(item, doc, shift)
+            runs = stretches(agree)
+            # words left out or put in move an item to other diagonals: long runs count together
+            for start, end in runs[runs[:, 1] - runs[:, 0] >= min(WINDOW, size)].tolist():
+                covered[start:end] = True
+                best = max(best, (end - start, changed, offset + doc.places[start + shift][0], offset + doc.places[end - 1 + shift][1]))
+            if agree.sum() >= COVERED * size:
+                covered |= agree
+        share = float(covered.mean())
+        if share >= COVERED or best[0] >= RUN:
+            yield block.ids[i], share, *best
 
 
 def leaks(text: str | None, block: Block) -> list[Leak]:
-    """(item id, covered, run, changed slots, start, end) of each item that the text leaks, at its best alignment.
+    """(item id, covered, run, changed slots, start, end) of each item that the text leaks; the last four of its longest run.
 
     Very long texts are read in pieces that overlap by more than the longest item.
     """

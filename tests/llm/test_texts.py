@@ -110,6 +110,15 @@ def test_leaks_with_other_numbers_and_names(spark, odd_docs, no_docs, monkeypatc
     assert decontaminate.leaks(ITEM.replace("Then Tom", "Then Bob").replace("Tom has", "Al has"), block)[0][1] < 1
 
 
+def test_leaks_with_words_put_in():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    block = decontaminate.block_of([(1, " ".join(words))])
+    moved = words[:11] + ["new"] + words[11:22] + words[24:36]
+    (leak,) = decontaminate.leaks("before it " + " ".join(moved) + " after", block)
+    assert 0.8 < leak[1] < 0.95 and leak[2] == 12
+    assert decontaminate.leaks(" ".join(words[:9] + ["other", "words"] * 9), block) == []
+
+
 def test_canonical_forms_agree(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
         assert decontaminate.canonical(r["text"]).words == decontaminate.canonical_words(r["text"])

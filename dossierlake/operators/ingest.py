@@ -5,7 +5,10 @@ No step shuffles: units and chunks are derived where the document was read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -147,22 +150,32 @@ SPAN = T.ArrayType(
 )
 
 
-def _cuts(text: str, size: int, overlap: int, breaks: tuple[str, ...], statute) -> Iterator[tuple[int, int]]:
-    """Window ends, pulled back to the last soft break and past a statute name."""
-    begin, total = 0, len(text)
-    while begin < total:
-        stop = min(total, begin + size)
-        soft = max(text.rfind(mark, begin, stop) for mark in breaks) - begin
-        if soft > size * 0.55:
-            stop = begin + soft + 1
-        if stop < total:
-            for name in statute.finditer(text, max(0, stop - 90), min(total, stop + 90)):
-                if name.start() < stop < name.end():
-                    stop = name.end()
-                    break
+# The share of a window a soft break must lie beyond, and how far around a cut statute names are read.
+SOFT_SHARE, STATUTE_REACH = 0.55, 90
+
+
+def _cuts(text: str, size: int, overlap: int, breaks: tuple[str, ...], statute: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Windows of `size` that end behind their last soft break and never inside a statute name.
+
+    All breaks are found at once; the last one before a cut is then a binary search.
+    """
+    marks = sorted((m.end(), m.start()) for mark in breaks for m in re.finditer(re.escape(mark), text))
+    ends, latest = [e for e, _ in marks], list(accumulate((s for _, s in marks), max))
+
+    def softened(begin: int, stop: int) -> int:
+        known = bisect_right(ends, stop)
+        at = latest[known - 1] if known else -1
+        return at + 1 if at - begin > size * SOFT_SHARE else stop
+
+    def unbroken(stop: int) -> int:
+        near = statute.finditer(text, max(0, stop - STATUTE_REACH), min(len(text), stop + STATUTE_REACH))
+        return next((m.end() for m in near if m.start() < stop < m.end()), stop)
+
+    begin, stop = 0, 0
+    while stop < len(text):
+        stop = softened(begin, min(len(text), begin + size))
+        stop = stop if stop == len(text) else unbroken(stop)
         yield begin, stop
-        if stop >= total:
-            return
         begin = max(0, stop - overlap)
 
 
@@ -172,8 +185,6 @@ def window_splitter(size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
 
     @F.pandas_udf(SPAN)
     def split(texts: pd.Series) -> pd.Series:
-        import re
-
         statute = re.compile(STATUTE)
         return texts.map(
             lambda t: [
@@ -186,7 +197,7 @@ def window_splitter(size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
 
 
 def with_chunks(units: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """One row per chunk. Only units that need cutting go through the Python worker."""
+    """One row per chunk. Units that need no cutting pass the Python worker as empty strings."""
     whole = TB.looks_like_table(F.col("unit_text")) | (F.length("unit_text") <= size)
     span = F.struct(
         F.col("unit_text").alias("text"), F.lit(0).alias("char_start"), F.length("unit_text").alias("char_end")

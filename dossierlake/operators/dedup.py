@@ -1,11 +1,10 @@
 """Near-duplicate removal: shingle signatures, exact Jaccard matching, newest document kept.
 
-No pair list is built for a crowded group. Documents with equal signatures fold into one
-class first. Between classes, only signatures that share one of their rarest hashes can
-reach the threshold, so those are the only candidates. While the candidate pairs would
-outgrow the postings they come from, a round compares every class with the newest open
-class of each posting list only: work linear in the postings, one round settles a crowd
-of copies.
+Documents with equal signatures fold into one class first. Between classes, only signatures
+that share one of their rarest hashes, with enough of both sets behind it, can reach the
+threshold, so those are the only candidates. A fixed number of leader rounds compares every
+class with the newest open class of each posting list only: work linear in the postings,
+one round settles a crowd of copies. What is still open meets in pairs.
 """
 
 from __future__ import annotations
@@ -21,8 +20,7 @@ SHINGLE_TOKENS = 5
 SIGNATURE_HASHES = 2000
 DUPLICATE_JACCARD = 0.8
 
-PAIRS_PER_POSTING = 8
-PAIRS_FLOOR = 2_000_000
+LEADER_ROUNDS = 2
 
 
 def _short_sha(value: Column) -> Column:
@@ -71,7 +69,7 @@ def signature_classes(profiles: DataFrame, project: str, key: str, mtime: str) -
 
 
 def prefix_postings(classes: DataFrame, project: str, threshold: float) -> DataFrame:
-    """(project, hash, leader, rank, hashes) for the rarest hashes of each class.
+    """(project, hash, leader, rank, hashes, before) for the rarest hashes of each class; `before` counts the rarer ones.
 
     Two sets with Jaccard >= t share an element among the first n - ceil(t n) + 1 of either
     set under one global order; rarest first keeps the lists short. Hashes no other prefix
@@ -89,9 +87,10 @@ def prefix_postings(classes: DataFrame, project: str, threshold: float) -> DataF
     prefix = F.col("hashes") - F.ceil(F.col("hashes") * threshold - 1e-9).cast("int") + 1
     unique = F.col("hashes") - F.size("ordered")
     room = F.greatest(prefix - unique, F.lit(0))
-    kept = gathered.withColumn("kept", F.slice("ordered", 1, room)).drop("ordered")
+    numbered = F.transform(F.slice("ordered", 1, room), lambda c, i: F.struct(c["hash"].alias("hash"), (unique + i).alias("before")))
+    kept = gathered.withColumn("kept", numbered).drop("ordered")
     postings = explode_rows(kept, [project, "leader", "rank", "hashes"], F.col("kept"), "cell").select(
-        project, F.col("cell.hash").alias("hash"), "leader", "rank", "hashes"
+        project, F.col("cell.hash").alias("hash"), "leader", "rank", "hashes", F.col("cell.before").alias("before")
     )
     crowded = postings.groupBy(project, "hash").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     return postings.join(crowded.drop("n"), [project, "hash"])
@@ -108,17 +107,22 @@ def _similar(candidates: DataFrame, classes: DataFrame, threshold: float) -> Dat
     )
 
 
-def _size_fits(threshold: float) -> Column:
-    """Sets of too different size cannot be that similar."""
+def _can_reach(threshold: float) -> Column:
+    """Sets of too different size cannot be that similar, nor sets with too little behind their first shared hash.
+
+    Later shared hashes have less behind them, so a pair is lost only if its first one fails.
+    """
     small, large = F.least("p.hashes", "q.hashes"), F.greatest("p.hashes", "q.hashes")
-    return small >= large * threshold - 1e-9
+    rest = F.least(F.col("p.hashes") - F.col("p.before"), F.col("q.hashes") - F.col("q.before"))
+    overlap = (F.col("p.hashes") + F.col("q.hashes")) * (threshold / (1 + threshold))
+    return (small >= large * threshold - 1e-9) & (rest >= overlap - 1e-9)
 
 
 def _candidates(newer: DataFrame, older: DataFrame, project: str, threshold: float) -> DataFrame:
     """(newer, older) class pairs that share a posting list, each once."""
     return (
         newer.alias("p").join(older.alias("q"), [project, "hash"])
-        .filter((F.col("p.rank") > F.col("q.rank")) & _size_fits(threshold))
+        .filter((F.col("p.rank") > F.col("q.rank")) & _can_reach(threshold))
         .select(F.col("p.leader").alias("newer"), F.col("q.leader").alias("older"), F.col("p.rank").alias("rank"))
         .distinct()
     )
@@ -136,7 +140,7 @@ def _settle(open_pairs: DataFrame, undecided: DataFrame) -> tuple[DataFrame, Dat
 
 def keep_newest(
     docs: DataFrame, key: str, body: Column | str, project: str, mtime: str, threshold: float = DUPLICATE_JACCARD,
-    pairs_per_posting: int = PAIRS_PER_POSTING, pairs_floor: int = PAIRS_FLOOR, signed: bool = False,
+    leader_rounds: int = LEADER_ROUNDS, signed: bool = False,
 ) -> DataFrame:
     """Every document with `kept` and, if dropped, the newest kept document it repeats.
 
@@ -152,17 +156,10 @@ def keep_newest(
     classes = checkpoint(leaders.join(numbers, "leader"))
     postings = checkpoint(prefix_postings(classes, project, threshold))
 
-    undecided = postings.select("leader", "rank").distinct()
     kept_parts: list[DataFrame] = []
     open_postings = postings
-    # Crowded phase: compare with the newest open class of each list until the pairs are few.
-    while True:
-        lists = open_postings.groupBy(project, "hash").agg(F.count("*").alias("n"), F.max("rank").alias("top"))
-        load = lists.agg(
-            F.sum("n").alias("postings"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")
-        ).first()
-        if (load["pairs"] or 0) <= max(pairs_floor, pairs_per_posting * (load["postings"] or 0)):
-            break
+    for _ in range(leader_rounds):
+        lists = open_postings.groupBy(project, "hash").agg(F.max("rank").alias("top"))
         headed = open_postings.join(lists.select(project, "hash", "top"), [project, "hash"])
         state = headed.groupBy("leader").agg(F.bool_and(F.col("rank") == F.col("top")).alias("leads"))
         kept = checkpoint(state.filter("leads").select("leader"))
@@ -173,7 +170,7 @@ def keep_newest(
         ).distinct()
         open_postings = checkpoint(rest.join(dropped, "leader", "left_anti"))
         kept_parts.append(kept)
-    # Sparse phase: all similar pairs among the open classes, then greedy rounds over them.
+    # All similar pairs among the open classes, then greedy rounds over them: as many as a chain of copies is long.
     pairs = checkpoint(_similar(_candidates(open_postings, open_postings, project, threshold), classes, threshold))
     undecided = open_postings.select("leader").distinct()
     while not pairs.isEmpty():

@@ -48,11 +48,23 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("floor,seed", [(2_000_000, 1), (0, 1), (0, 2)])
-def test_keepers_match_the_sequential_rule(spark, floor, seed):
-    rows = corpus(seed)
+def crowd(seed):
+    """Texts that share a long passage and are not copies of each other, with some that are."""
+    random.seed(seed)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for doc in range(120):
+        own = [f"x{random.randrange(10**6)}" for _ in range(random.choice([4, 8, 12, 30]))]
+        rows.append((doc, "p", " ".join(passage + own), float(random.randrange(60))))
+    rows += [(200 + i, "p", rows[i][2] + " tail", 70.0 + i) for i in range(20)]
+    return rows
+
+
+@pytest.mark.parametrize("rounds,make,seed", [(0, corpus, 1), (2, corpus, 1), (2, corpus, 2), (2, crowd, 3), (0, crowd, 3)])
+def test_keepers_match_the_sequential_rule(spark, rounds, make, seed):
+    rows = make(seed)
     docs = spark.createDataFrame(rows, "doc bigint, project string, text string, mtime double")
-    got = D.keep_newest(docs, "doc", "text", "project", "mtime", pairs_floor=floor, pairs_per_posting=0 if floor == 0 else 8)
+    got = D.keep_newest(docs, "doc", "text", "project", "mtime", leader_rounds=rounds)
     assert {r.doc: (r.kept, r.duplicate_of) for r in got.collect()} == sequential(rows)
 
 

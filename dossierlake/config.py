@@ -20,6 +20,7 @@ class Settings:
     embedding_dimensions: int = 384
     exclude_patterns: tuple[str, ...] = ("견적", "원가", "계약", "개인정보")
     exclude_reference_materials: bool = True
+    stop_words: tuple[str, ...] = ()
 
 
 YAML_KEYS = {
@@ -27,7 +28,7 @@ YAML_KEYS = {
     ("indexing", "supported_extensions"): "supported_extensions", ("search", "top_k"): "top_k",
     ("search", "keyword_weight"): "keyword_weight", ("search", "vector_weight"): "vector_weight",
     ("embedding", "dimensions"): "embedding_dimensions", ("security", "exclude_patterns"): "exclude_patterns",
-    ("security", "exclude_reference_materials"): "exclude_reference_materials",
+    ("security", "exclude_reference_materials"): "exclude_reference_materials", ("indexing", "stop_words"): "stop_words",
 }
 
 

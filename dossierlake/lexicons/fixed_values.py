@@ -157,10 +157,10 @@ GENERIC_ANCHOR_TERMS = ('목표모델', '목표 모델', '목표아키텍처', '
  '아키텍처', '구조', 'isp', 'ismp', 'bpr', 'bprisp', 'bprismp', 'ispismp', 'api', 'gateway', 'cloud', 'native',
  '네이티브', '분석보고서', '종합보고서', 'iiac', '성과물', '제출', '발전법', '주요내용', 'rev', '버전관리', '번호', '원본제안사', '원본 제안사', '일반현황',
  '일반 현황', 'tsp', '컨설팅', '고도화', '전사', '제안요약', '제안요약서', '정성', '정량', '정성제안', '정량제안', '표지', '목차', '참고', '참조',
- '수행실적', '수립', '투입인력', '넥스트아이앤아', '제안사', '컨소시엄', '중심', '구축', '통합', '기능', '업무', 'rnd', 'r&d')
+ '수행실적', '수립', '투입인력', '제안사', '컨소시엄', '중심', '구축', '통합', '기능', '업무', 'rnd', 'r&d')
 
 DOMAIN_STOPWORDS = ('01', '02', '03', '04', '05', 'h', 'pdf', 'ppt', 'pptx', 'final', 'copy', '제안', '제안서', '제안요약', '제안요약서', '정성',
- '정량', '정성제안', '정량제안', '표지', '목차', '참고', '참조', '수행실적', '수립', '투입인력', '넥스트아이앤아', '제안사', '컨소시엄', '보고서', '사업수행',
+ '정량', '정성제안', '정량제안', '표지', '목차', '참고', '참조', '수행실적', '수립', '투입인력', '제안사', '컨소시엄', '보고서', '사업수행',
  '수행', '산출물', '최종', '초안', '본문', '별첨', '사본', '용역', '사업', '프로젝트', '목표모델', '목표아키텍처', '목표시스템', '설계', 'isp',
  'ismp', 'bpr', 'bprisp', 'bprismp', 'ispismp', '분석보고서', '종합보고서', 'iiac', '성과물', '제출', '발전법', '주요내용', 'rev',
  '버전관리', '번호', '원본제안사', '원본 제안사', '컨설팅', '고도화', '전사', '중심', '구축', '통합', '기능', '업무', 'rnd', 'r&d', '일반현황',

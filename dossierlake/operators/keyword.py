@@ -74,6 +74,7 @@ def under_prefixes(path: Column, prefixes: list[str]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+# The heading columns of the chapter filter.
 CHAPTER_COLUMNS = (
     "normalized_chapter_title",
     "canonical_chapter_title",

@@ -19,6 +19,7 @@ from dossierlake.operators.reports import UNKNOWN
 # Patterns, scores, limits and labels.
 MONEY_OR_PERIOD = "(?:\\d[\\d,]*(?:원|천원|만원|백만원|억원)|\\d+\\s*(?:개월|일|년)|\\d{4}[./-]\\d{1,2}(?:[./-]\\d{1,2})?)"
 SECTION_NUMBER = "(?i)^\\s*(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|[IVX]+|\\d+(?:\\.\\d+)*)[.)]?\\s+"
+# Words that mark a line as a title.
 TITLE_MARKERS = ("한다", "하여", "하고", "위해", "통해", "방안", "체계")
 COMPACT_MARKS = " \t\n./\\-_,·:：()[]"
 TITLE_CHARS = 32

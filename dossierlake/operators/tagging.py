@@ -29,7 +29,7 @@ TECHNICAL_PARTS = (
 PREDICATE_ENDINGS = ("한다", "된다", "했다", "있다", "없다", "한다면", "되도록")
 ORGANIZATION_ENDINGS = ("공사", "공단", "평가원", "연구원", "재단", "위원회", "진흥원", "협회", "청", "부")
 VENDOR_ENDINGS = ("컨소시엄", "주식회사")
-STOP_PARTS = ("ismp", "bpr", "제안서", "보고서", "아이앤아")
+STOP_PARTS = ("ismp", "bpr", "제안서", "보고서")
 GENERIC_MARKS = " ./\\-_,·"
 COMMON_RATIO = 0.7
 COMMON_MINIMUM = 5
@@ -70,8 +70,8 @@ def _ends_with(value: Column, endings: Sequence[str]) -> Column:
     return F.rlike(value, F.lit("(?:" + "|".join(endings) + ")$"))
 
 
-def is_stop_token(token: Column) -> Column:
-    """P20: tokens that never name a design topic."""
+def is_stop_token(token: Column, more: Sequence[str] = ()) -> Column:
+    """P20: tokens that never name a design topic; `more` are parts the caller adds, such as names of vendors."""
     compact = compact_generic(token)
     plain_word = F.rlike(token, F.lit("^[A-Za-z]{3,}$")) & ~F.lower(token).isin(*V.ALLOWED_ACRONYMS)
     return (
@@ -79,7 +79,7 @@ def is_stop_token(token: Column) -> Column:
         | F.rlike(token, F.lit("^\\d+$")) | F.rlike(compact, F.lit("^\\d+$")) | (F.length(compact) > 14)
         | _ends_with(compact, ORGANIZATION_ENDINGS + VENDOR_ENDINGS) | plain_word
         | F.rlike(compact, F.lit("[가-힣]{3,}r$")) | _ends_with(token, PREDICATE_ENDINGS)
-        | contains_any(compact, STOP_PARTS)
+        | contains_any(compact, STOP_PARTS + tuple(_compact(w) for w in more if _compact(w)))
     )
 
 
@@ -97,7 +97,9 @@ def context_text(context: Column) -> Column:
     return F.translate(expand_synonyms(context), "\\/_-.()[]", " " * 9)
 
 
-def design_votes(rows: DataFrame, key: str, body: Column | str, context: Column | str) -> DataFrame:
+def design_votes(
+    rows: DataFrame, key: str, body: Column | str, context: Column | str, more_stops: Sequence[str] = ()
+) -> DataFrame:
     """(key, keyword, votes, first_at), before the cut to the best twelve."""
     source = rows.select(F.col(key), text_or_empty(body).alias("body"), text_or_empty(context).alias("context"))
     source = source.withColumn("context_words", context_text(F.col("context")))
@@ -112,12 +114,12 @@ def design_votes(rows: DataFrame, key: str, body: Column | str, context: Column
         F.array_distinct(
             F.filter(
                 tokenize("context_words"),
-                lambda t: ~t.isin(*V.DOMAIN_STOPWORDS) & ~is_generic_token(t) & ~is_stop_token(t) & (F.length(t) >= 2),
+                lambda t: ~t.isin(*V.DOMAIN_STOPWORDS) & ~is_generic_token(t) & ~is_stop_token(t, more_stops) & (F.length(t) >= 2),
             )
         ),
         1, CONTEXT_TOKENS,
     )
-    from_text = F.filter(tokenize(hay), lambda t: ~(is_generic_token(t) | is_variant_token(t) | is_stop_token(t)))
+    from_text = F.filter(tokenize(hay), lambda t: ~(is_generic_token(t) | is_variant_token(t) | is_stop_token(t, more_stops)))
 
     def vote(votes: Column):
         return lambda t: F.struct(t.alias("keyword"), votes.alias("votes"))
@@ -135,11 +137,12 @@ def design_votes(rows: DataFrame, key: str, body: Column | str, context: Column
 
 
 def design_keywords(
-    rows: DataFrame, key: str, body: Column | str, context: Column | None = None, limit: int = KEYWORD_LIMIT
+    rows: DataFrame, key: str, body: Column | str, context: Column | None = None, limit: int = KEYWORD_LIMIT,
+    more_stops: Sequence[str] = (),
 ) -> DataFrame:
     """(key, keyword, votes, place) with place 1..limit; ties go to the earlier keyword."""
     ctx = F.lit("") if context is None else context
-    votes = design_votes(rows, key, body, ctx)
+    votes = design_votes(rows, key, body, ctx, more_stops)
     order = Window.partitionBy(key).orderBy(F.desc("votes"), F.asc("first_at"))
     ranked = votes.withColumn("place", F.row_number().over(order).cast("bigint"))
     return ranked.filter(F.col("place") <= limit).drop("first_at")

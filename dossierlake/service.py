@@ -119,7 +119,7 @@ class Dossiers:
         described = units.join(documents.drop("text", "signature"), "file_path")
         chunks = IN.chunks_of_units(described, size=s.chunk_size, overlap=s.chunk_overlap)
         context = F.concat_ws(" ", "document_title", "file_name", "file_path")
-        ranked = TG.design_keywords(documents, "document_id", "text", context)
+        ranked = TG.design_keywords(documents, "document_id", "text", context, more_stops=s.stop_words)
         keywords = ranked.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("k")).select(
             "document_id", F.array_join(F.transform("k", lambda x: x["keyword"]), ", ").alias("keywords")
         )

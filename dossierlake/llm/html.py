@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from dossierlake.llm.common import checkpoint
 
-SAMPLE_PAGES, VARIANTS = 150, 4
-TREES, DEPTH = 12, 5
+SAMPLE_PAGES, VARIANTS = 150, 6
+TREES, DEPTH = 16, 5
 PAGES_AT_ONCE = 100
+CUT = 2.0
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<", re.S)
@@ -267,7 +268,8 @@ def flattened(tree) -> tuple[np.ndarray, ...]:
 def kept(page: Page, odds: np.ndarray) -> list[bool]:
     """The labels of largest total in which only children of kept nodes are kept.
 
-    A node weighs by its own text; containers without text weigh little.
+    A node weighs by its own text; containers without text weigh little. To cut a subtree off a kept parent
+    costs `CUT`, so weak evidence against a short block does not take it out of its section.
     """
     n = len(page.nodes)
     own = np.zeros(n)
@@ -276,11 +278,11 @@ def kept(page: Page, odds: np.ndarray) -> list[bool]:
     gain = (np.clip(odds, -4, 4) * (0.2 + np.log1p(own))).tolist()
     best = gain[:]
     for i in range(n - 1, 0, -1):
-        best[page.nodes[i].parent] += max(best[i], 0.0)
+        best[page.nodes[i].parent] += max(best[i], -CUT)
     keep = [False] * n
-    keep[0] = best[0] > 0
+    keep[0] = best[0] > -CUT
     for i in range(1, n):
-        keep[i] = keep[page.nodes[i].parent] and best[i] > 0
+        keep[i] = keep[page.nodes[i].parent] and best[i] > -CUT
     return keep
 
 
@@ -325,6 +327,8 @@ def rebuilt(page: Page, labels: list[int], seed: int) -> str:
     pick, esc = rng.choice, entities.escape
     main = [t for n, t, _ in page.runs if labels[n]] or ["Text."]
     rest = [t for n, t, _ in page.runs if not labels[n]] or ["Text"]
+    if rng.random() < 0.3:
+        main = main[: rng.randint(1, 3)]
     short = lambda: esc(" ".join(pick(rest).split()[: rng.randint(1, 4)]))
     long = lambda: esc(pick(main))
     menu = lambda: "<ul>" + "".join(f'<li><a href="#">{short()}</a></li>' for _ in range(rng.randint(2, 9))) + "</ul>"
@@ -340,13 +344,15 @@ def rebuilt(page: Page, labels: list[int], seed: int) -> str:
     def paragraphs(texts: list[str]) -> str:
         out = []
         for t in (brief(t, 0.15) for t in texts):
-            tag = pick(("p", "p", "p", "p", "p", "blockquote", "h2", "li", "div", "pre"))
+            tag = pick(("p", "p", "p", "p", "p", "blockquote", "h2", "li", "div", "pre", "td"))
             body = f"<p>{esc(t)}</p>" if tag == "blockquote" else esc(t)
-            out.append(f"<ul><li>{body}</li></ul>" if tag == "li" else f"<{tag}>{body}</{tag}>")
+            cells = "".join(f"<td>{esc(brief(t, 0.8))}</td>" for _ in range(rng.randint(1, 4)))
+            out.append({"li": f"<ul><li>{body}</li></ul>", "td": f"<table><tr>{cells}</tr></table>"}.get(tag, f"<{tag}>{body}</{tag}>"))
         return "".join(out)
 
     extras = [
         lambda: off("div.ad|div.advert|aside.ads|div.banner|div.promo|div.sponsored|section.advertisement", pick((short, long))()),
+        lambda: off("aside|aside|aside.note|div.sidebar", f"<p>{pick((short, long))()}</p>"),
         lambda: off("aside|aside.sidebar|div.sidebar|div.widget|section.related|div.side-rail", f"<h3>{short()}</h3>{menu()}<p>{long()}</p>"),
         lambda: off("div.cookie-notice|div.notice|div.consent|section.alert|div.popup|div.cookie-banner", f"<p>{pick((short, long))()}</p><button>{short()}</button>"),
         lambda: off("form|form.search|div.newsletter|form.subscribe|div.login|div.share|div.social", f"<label>{short()}</label><input><p>{short()}</p><button>{short()}</button>"),
@@ -354,14 +360,19 @@ def rebuilt(page: Page, labels: list[int], seed: int) -> str:
     comments = off("section.comments|div.comments|div#comments|ol.comment-list|div.disqus|div.discussion".replace("#", "."),
                    "".join(f'<div class="{pick(("comment", "reply", "comment-body"))}"><p>{short()}</p><p>{long()}</p></div>' for _ in range(rng.randint(1, 5))))
     tag, _, names = pick(("article", "article", "main", "div.content", "div.post", "div.entry-content", "section.article-body",
-                          "div.story", "div.main-content", "article.post", "div")).partition(".")
+                          "div.story", "div.main-content", "article.post", "div", "")).partition(".")
     inside = [paragraphs(main)] + [f() for f in rng.sample(extras, rng.choice((0, 0, 0, 1)))]
-    article = f'<{tag}{f" class={chr(34)}{names}{chr(34)}" if names else ""} data-main="1"><h1>{esc(brief(main[0], 0.5))}</h1>{"".join(inside)}{comments if rng.random() < 0.2 else ""}</{tag}>'
+    if rng.random() < 0.2:
+        inside.append(off("footer|div.tags|div.share|ul.links", short()))
+    title = f"<h1>{esc(brief(main[0], 0.5))}</h1>" if tag or rng.random() < 0.5 else ""
+    article = f'<{tag}{f" class={chr(34)}{names}{chr(34)}" if names else ""} data-main="1">{title}{"".join(inside)}{comments if rng.random() < 0.2 else ""}</{tag}>'
+    if not tag:
+        article = title + "".join(inside)
     head = [off("header|div.header|div.masthead|header.top", f"<p>{short()}</p>{menu() if rng.random() < 0.5 else ''}"), off("nav|div.menu|div.navbar|div.breadcrumbs|ul.nav", menu())]
     after = [f() for f in rng.sample(extras, rng.randint(1, 3))] + ([comments] if rng.random() < 0.6 else [])
     before = [f() for f in rng.sample(extras, rng.choice((0, 1)))]
     foot = off("footer|div.footer|footer.site-footer|div.copyright", f"<p>{pick((short, long))()}</p>{menu() if rng.random() < 0.4 else ''}")
-    body = "".join([*head, *before, article, *after, foot])
+    body = "".join([*head, *before, article, *after, foot]) if tag or rng.random() < 0.5 else article
     if rng.random() < 0.5:
         body = f'<div class="{pick(("wrapper", "container", "page", "site", "layout"))}" data-main="1">{body}</div>'
     return f"<html><body>{body}</body></html>"

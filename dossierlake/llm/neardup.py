@@ -3,7 +3,7 @@
 A document is the set of its five-word shingles (64-bit hashes of lower-cased words). Its signature has
 `COORDINATES` coordinates, each a hash of four minima, and the document is posted under every
 (coordinate, value) pair. Two documents of Jaccard similarity 0.75 agree in a coordinate with
-probability 0.75^4, so one collision in 32 is missed about five times in a million.
+probability 0.75^4, so `ENOUGH` coordinates all miss such a pair about once in 100,000 times.
 
 Merging the postings never lists the pairs of a group:
 
@@ -13,8 +13,9 @@ Merging the postings never lists the pairs of a group:
    because of a passage in all of them are most alike with the smallest of them.
 3. Lists whose members are then all in one component are skipped whole. Of the rest only pairs across
    components are left. Lists of up to `DIRECT` members give these pairs directly. Longer ones come from
-   passages that many documents share, and most of their pairs are not similar; their members are posted
-   under their rarest shingles instead, which loses none, and meet only if the rest of both sets, from the
+   passages that many documents share, and most of their pairs are not similar. They are skipped for a
+   document that keeps `ENOUGH` coordinates outside of them. The others, mostly made of such passages, are
+   posted under their rarest shingles instead, which loses none, and meet only if the rest of both sets, from the
    shared shingle on, is large enough: first the smallest set of each such list with all others, then
    what is still in different components. All pairs are confirmed in the same way.
 
@@ -37,9 +38,9 @@ from dossierlake.llm.common import checkpoint
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-COORDINATES, MINIMA = 32, 4
+COORDINATES, MINIMA = 36, 4
 MATCHES = 1
-DIRECT = 32
+DIRECT, ENOUGH = 32, 32
 BLOCK = 1 << 22
 COLUMNS_AT_ONCE = 4096
 
@@ -258,7 +259,8 @@ def linked(rows: DataFrame, features: DataFrame, classes: DataFrame) -> DataFram
         F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("coordinate", "value")
     open_ = checkpoint(labelled.join(unsettled, ["coordinate", "value"]))
     short = across(open_.where((F.col("length") <= DIRECT) & (F.col("id") != F.col("head"))).drop("length", "head"), ["coordinate", "value"])
-    rare = checkpoint(rare_posts(open_.where(F.col("length") > DIRECT).select("id", "n", "label").distinct(), sets))
+    in_long = open_.where(F.col("length") > DIRECT).groupBy("id", "n", "label").agg(F.count(F.lit(1)).alias("lists"))
+    rare = checkpoint(rare_posts(in_long.where(COORDINATES - F.col("lists") < ENOUGH).drop("lists"), sets))
     near = to_smallest(rare, ["shingle"], rest_is_enough()).union(to_next(rare, "shingle", rest_is_enough()))
     tried = checkpoint(short.union(near).distinct())
     labels = extended(labels, checkpoint(verified(tried, sets)))

@@ -119,10 +119,11 @@ def brute_near(docs):
     return {d: (len(sets[d]), top(d), top(d) == d) for d in sets}
 
 
-@pytest.mark.parametrize("direct", [32, 1])
-def test_near_duplicates(spark, monkeypatch, direct):
+@pytest.mark.parametrize("direct, enough", [(32, 32), (1, 32), (1, neardup.COORDINATES + 1)])
+def test_near_duplicates(spark, monkeypatch, direct, enough):
     """A crowd that shares a passage, chains of edits, copies; with long lists and without."""
     monkeypatch.setattr(neardup, "DIRECT", direct)
+    monkeypatch.setattr(neardup, "ENOUGH", enough)
     rng = np.random.default_rng(9)
     word = lambda: "".join(rng.choice(list("abcdefg"), 4))
     passage = [word() for _ in range(60)]

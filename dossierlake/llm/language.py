@@ -4,7 +4,7 @@ A text is the TF-IDF vector of its letter n-grams (one to three letters, lower-c
 being a word gap), hashed to `CELLS` cells and scaled to length one. Every language has up to `CENTROIDS`
 centroids, found by clustering a sample of its labelled rows; a text takes the language of the centroid of
 largest cosine. A text whose cosine is below the centroid's floor is marked as rejected: it is nothing
-like what was learned.
+like what was learned. One of fewer than `FEW_GRAMS` n-grams says too little to be rejected.
 
 Document counts of n-grams run over all labelled rows. The centroids are fitted on at most
 `SAMPLE_PER_LANGUAGE` rows of each language, those of smallest hash of doc_id.
@@ -31,6 +31,7 @@ SAMPLE_PER_LANGUAGE = 400
 RANK_PARTS = 64
 ROUNDS = 8
 FLOOR_SHARE, FLOOR_QUANTILE = 0.4, 0.01
+FEW_GRAMS = 60
 BLOCK = 1 << 20
 GRAM_FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -85,7 +86,7 @@ class Model:
         near = self.centroids @ vector(cells, self.weights)
         best = int(np.argmax(near))
         score = float(min(1.0, max(0.0, near[best])))
-        return self.languages[best], score, score < self.floors[best]
+        return self.languages[best], score, score < self.floors[best] and cells.sum() >= FEW_GRAMS
 
 
 def clustered(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 400
 RANK_PARTS = 64
 ROUNDS = 8
-FLOOR_SHARE, FLOOR_QUANTILE = 0.4, 0.01
+FLOOR_SHARE, FLOOR_QUANTILE = 0.25, 0.01
 FEW_GRAMS = 60
 BLOCK = 1 << 20
 GRAM_FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))

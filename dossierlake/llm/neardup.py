@@ -16,8 +16,8 @@ Merging the postings never lists the pairs of a group:
    passages that many documents share, and most of their pairs are not similar. They are skipped for a
    document that keeps `ENOUGH` coordinates outside of them. The others, mostly made of such passages, are
    posted under their rarest shingles instead, which loses none, and meet only if the rest of both sets, from the
-   shared shingle on, is large enough: first the smallest set of each such list with all others, then
-   what is still in different components. All pairs are confirmed in the same way.
+   shared shingle on, is large enough: first the smallest set of each such list with all others and
+   one in `HUBS` documents with all others, then what is still in different components. All pairs are confirmed in the same way.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; with fewer than five
 words the whole sequence is the one shingle; rows without a doc_id are linked with nothing, have no
@@ -40,7 +40,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 COORDINATES, MINIMA = 36, 4
 MATCHES = 1
-DIRECT, ENOUGH = 32, 32
+DIRECT, ENOUGH, HUBS = 32, 32, 8
 BLOCK = 1 << 22
 COLUMNS_AT_ONCE = 4096
 
@@ -198,11 +198,14 @@ def collided(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
     return counted.where(F.col("collisions") >= MATCHES).select("a", "b")
 
 
-def across(posts: DataFrame, key: list[str], enough: Column | None = None) -> DataFrame:
-    """Pairs of different components and fitting sizes that meet under one key."""
+def across(posts: DataFrame, key: list[str], enough: Column | None = None, hubs: DataFrame | None = None) -> DataFrame:
+    """Pairs of different components and fitting sizes that meet under one key; with `hubs` one of each pair is a hub."""
     columns = [c for c in posts.columns if c not in key]
-    left, right = (posts.select(*key, *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in ("a", "b"))
-    fit = (F.col("label_a") < F.col("label_b")) & sizes_fit("n_a", "n_b")
+    left, right = (
+        side.select(*key, *(F.col(c).alias(f"{c}_{name}") for c in columns))
+        for side, name in ((posts if hubs is None else hubs, "a"), (posts, "b")))
+    apart = F.col("label_a") < F.col("label_b") if hubs is None else F.col("label_a") != F.col("label_b")
+    fit = apart & sizes_fit("n_a", "n_b")
     met = left.join(right, key).where(fit if enough is None else fit & enough)
     return collided(met, F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))
 
@@ -261,7 +264,8 @@ def linked(rows: DataFrame, features: DataFrame, classes: DataFrame) -> DataFram
     short = across(open_.where((F.col("length") <= DIRECT) & (F.col("id") != F.col("head"))).drop("length", "head"), ["coordinate", "value"])
     in_long = open_.where(F.col("length") > DIRECT).groupBy("id", "n", "label").agg(F.count(F.lit(1)).alias("lists"))
     rare = checkpoint(rare_posts(in_long.where(COORDINATES - F.col("lists") < ENOUGH).drop("lists"), sets))
-    near = to_smallest(rare, ["shingle"], rest_is_enough()).union(to_next(rare, "shingle", rest_is_enough()))
+    hubs = rare.where(F.pmod(F.xxhash64("id"), F.lit(HUBS)) == 0)
+    near = to_smallest(rare, ["shingle"], rest_is_enough()).union(across(rare, ["shingle"], rest_is_enough(), hubs))
     tried = checkpoint(short.union(near).distinct())
     labels = extended(labels, checkpoint(verified(tried, sets)))
 
@@ -281,16 +285,6 @@ def to_smallest(posts: DataFrame, key: list[str], enough: Column) -> DataFrame:
     return collided(met.where(fit), F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))
 
 
-def to_next(posts: DataFrame, key: str, enough: Column) -> DataFrame:
-    """Pairs of sets that follow each other by size under one key."""
-    columns = [c for c in posts.columns if c != key]
-    following = F.lead(F.struct(*columns)).over(Window.partitionBy(key).orderBy("n", "id"))
-    met = posts.withColumn("following", following).select(
-        *(F.col(c).alias(f"{c}_a") for c in columns), *(F.col(f"following.{c}").alias(f"{c}_b") for c in columns))
-    fit = (F.col("label_a") != F.col("label_b")) & sizes_fit("n_a", "n_b") & enough
-    return collided(met.where(fit), F.least("id_a", "id_b"), F.greatest("id_a", "id_b"))
-
-
 def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after further links."""
     if links.limit(1).count() == 0:

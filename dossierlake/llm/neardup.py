@@ -16,9 +16,8 @@ Merging the postings never lists the pairs of a group:
    passages that many documents share, and most of their pairs are not similar. They are skipped for a
    document that keeps `ENOUGH` coordinates outside of them. The others, mostly made of such passages, are
    posted under their rarest shingles instead, which loses none, and meet only if the rest of both sets, from the
-   shared shingle on, is large enough: first the smallest set of each such list with all others, then one
-   document in 64, one in 8 and at last every one with all that is still in another component. All pairs are
-   confirmed in the same way.
+   shared shingle on, is large enough: first the smallest set of each such list and one document in `HUBS`
+   with all others, then what is still in different components. All pairs are confirmed in the same way.
 
 Defined cases: a null or blank text has no shingles and is linked with nothing; with fewer than five
 words the whole sequence is the one shingle; rows without a doc_id are linked with nothing, have no
@@ -42,7 +41,7 @@ PERCENT = 75
 COORDINATES, MINIMA = 36, 4
 MATCHES = 1
 DIRECT, ENOUGH = 32, 32
-HUB_SHARES = (64, 8, 1)
+HUBS = 16
 BLOCK = 1 << 22
 COLUMNS_AT_ONCE = 4096
 
@@ -266,15 +265,12 @@ def linked(rows: DataFrame, features: DataFrame, classes: DataFrame) -> DataFram
     short = across(open_.where((F.col("length") <= DIRECT) & (F.col("id") != F.col("head"))).drop("length", "head"), ["coordinate", "value"])
     in_long = open_.where(F.col("length") > DIRECT).groupBy("id", "n", "label").agg(F.count(F.lit(1)).alias("lists"))
     rare = checkpoint(rare_posts(in_long.where(COORDINATES - F.col("lists") < ENOUGH).drop("lists"), sets))
-    tried = checkpoint(short.union(to_smallest(rare, ["shingle"], rest_is_enough())).distinct())
+    hubs = rare.where(F.pmod(F.xxhash64("id"), F.lit(HUBS)) == 0)
+    near = to_smallest(rare, ["shingle"], rest_is_enough()).union(across(rare, ["shingle"], rest_is_enough(), hubs))
+    tried = checkpoint(short.union(near).distinct())
     labels = extended(labels, checkpoint(verified(tried, sets)))
-    for share in HUB_SHARES:
-        now = relabelled(rare, labels)
-        hubs = now.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else None
-        pairs = checkpoint(across(now, ["shingle"], rest_is_enough(), hubs).join(tried, ["a", "b"], "left_anti"))
-        labels = extended(labels, checkpoint(verified(pairs, sets)))
-        tried = tried.union(pairs)
-    return labels
+    rest = across(relabelled(rare, labels), ["shingle"], rest_is_enough()).join(tried, ["a", "b"], "left_anti")
+    return extended(labels, checkpoint(verified(rest, sets)))
 
 
 def relabelled(posts: DataFrame, labels: DataFrame) -> DataFrame:

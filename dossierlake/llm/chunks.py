@@ -95,6 +95,8 @@ def chunked(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (code points), words, occurrences (of its rarest chunk), first_doc_id, kept; one row per passage.
 
+    A passage ends where chunks that first occur here meet chunks that occur earlier.
+
     Counts are combined before they are shuffled; a digest that very many chunks have meets its count in a
     join, which Spark splits, and is never gathered.
     """
@@ -103,19 +105,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("times"))
     shared = counts.where("first_doc_id < last_doc_id").select("digest", "first_doc_id", "times")
     found = chunks.join(shared, "digest").drop("digest")
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
-    runs = found.withColumn("run", F.col("ordinal") - F.dense_rank().over(order)).groupBy("doc_id", "run").agg(
+    first = F.col("first_doc_id") == F.col("doc_id")
+    order = Window.partitionBy("doc_id", "kept").orderBy("ordinal")
+    runs = found.withColumn("kept", first).withColumn("run", F.col("ordinal") - F.dense_rank().over(order)).groupBy("doc_id", "kept", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"),
         (F.max("end_word") - F.min("first_word")).cast("bigint").alias("words"),
         F.min("times").alias("occurrences"), F.max("first_doc_id").alias("first_doc_id"))
     return runs.where(F.col("words") >= PASSAGE_WORDS).select(
-        "doc_id", "start", "end", "words", "occurrences", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
+        "doc_id", "start", "end", "words", "occurrences", "first_doc_id", "kept")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with all but the first occurrence of every passage cut out of the texts.
 
-    A passage counts as first where its own document is the first to have each of its chunks.
+    Each chunk counts by itself: next to a first occurrence, a copy is still cut out.
     """
     passages = checkpoint(repeated_passages(docs).where("NOT kept"))
     cuts = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))

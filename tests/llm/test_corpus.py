@@ -93,6 +93,20 @@ def test_repeated_passages(spark, odd_docs, no_docs, monkeypatch):
     assert (chunks.boundaries(text) == whole).all() and 20 < len(text) / len(whole) < 50
 
 
+def test_copies_next_to_first_occurrences(spark):
+    """Document 2 is document 1 with one sentence edited, 3 an exact copy of 2."""
+    rng = np.random.default_rng(3)
+    sentences = [" ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(60)) + "." for _ in range(7)]
+    one = " ".join(sentences[:6])
+    two = " ".join([*sentences[:3], sentences[6], *sentences[4:6]])
+    docs = spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id bigint, text string")
+    found = chunks.repeated_passages(docs).collect()
+    repeats = {d: "".join(two[r["start"] : r["end"]] for r in sorted(found, key=lambda r: r["start"]) if r["doc_id"] == d and not r["kept"]) for d in (2, 3)}
+    assert len(repeats[2]) > 0.7 * len(one) and len(repeats[3]) > 0.9 * len(two)
+    texts = {r["doc_id"]: r["text"] for r in chunks.without_repeats(docs).collect()}
+    assert texts[1] == one and sentences[6][70:-70] in texts[2] and len(texts[2]) < 0.3 * len(two) and len(texts[3]) < 0.1 * len(two)
+
+
 def brute_near(docs):
     sets = {}
     for doc_id, text in docs:

@@ -1,14 +1,20 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the UTF-8 bytes: shifted left by one bit and increased by a value of the next byte,
-in 16 bits, so it depends on the last 16 bytes alone. A chunk ends where its upper `MASK_BITS` bits are zero,
-hence at the same places of a passage wherever the passage stands, and after an insertion boundaries fall
-back into place. Chunks are compared by a 64-bit digest; several in a row must agree, so a chance collision makes no
-passage. Consecutive chunks that other documents have as well make
-a passage; passages of at least `PASSAGE_WORDS` words are reported, their first occurrence is kept.
+in 16 bits, so it depends on the last 16 bytes alone. A chunk ends where the hash is the least of some
+`SPAN` places in a row, hence at the same places of a passage wherever the passage stands; no chunk is longer than
+`SPAN` bytes (but of text that repeats itself), so a repeated passage of `SURE` bytes always holds whole chunks, which
+reach to less than `MARGIN` bytes from its ends. Chunks are compared by a 64-bit digest. A chunk that another document
+has as well is a seed.
 
-The chunks cut by the ends of a passage are not whole and so not found; with chunks of 32 bytes on average
-a repeated passage of more than 50 words leaves far more than `PASSAGE_WORDS` words of whole chunks.
+Chunks are cut by the ends of a passage, so seeds say only where to look: within `MARGIN` characters of a seed every
+window of `PASSAGE_WORDS` words is hashed and compared in the same way, byte for byte of its text. Windows that other
+documents have as well and that overlap make a passage, which so reaches to its last whole words. Windows that
+occur in an earlier document and windows that occur here first make passages of their own, which may overlap.
+A passage of fewer than `SURE` bytes is found if a whole chunk of it or near it is shared.
+
+A word is what stands between white space; in scripts written without it (Chinese, Japanese, Thai, Lao, Khmer,
+Burmese) every character counts as a word.
 
 Defined cases: null and empty texts have no chunks; repeated rows of one doc_id are one document, and its
 texts are laid over each other where they differ; rows without a doc_id take part in nothing; a passage that
@@ -18,6 +24,7 @@ only its own document repeats is not reported.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,8 @@ import xxhash
 
 from dossierlake.llm.common import checkpoint
 
-WINDOW, MASK_BITS = 16, 5
+WINDOW, SPAN = 16, 63
+SURE, MARGIN = WINDOW + 4 * SPAN, WINDOW + 2 * SPAN
 PASSAGE_WORDS = 20
 BLOCK = 1 << 20
 GEAR = np.random.default_rng(11).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
@@ -44,81 +52,170 @@ def gear_hashes(block: np.ndarray) -> np.ndarray:
     return values
 
 
+def least_in_span(values: np.ndarray) -> np.ndarray:
+    """The least of `values` over each SPAN places in a row, doubling the length of the row."""
+    reach = 1
+    while 2 * reach <= SPAN:
+        values, reach = np.minimum(values[:-reach], values[reach:]), 2 * reach
+    return np.minimum(values[: len(values) - (SPAN - reach)], values[SPAN - reach :])
+
+
 def boundaries(data: bytes) -> np.ndarray:
-    """Ends of the chunks; none lies inside a character. The text's end always is one."""
-    ends = []
+    """Ends of the chunks; none lies inside a character. The text's end always is one.
+
+    Text that repeats itself within WINDOW bytes has the same hash again and again; of such ends one in SPAN // 2
+    bytes is taken, counted from the first.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    ends, marks = [np.empty(0, np.int64)], [np.empty(0, np.uint16)]
     for start in range(0, len(data), BLOCK):
-        lead = min(start, WINDOW - 1)
-        block = np.frombuffer(data, np.uint8, min(BLOCK, len(data) - start) + lead, start - lead)
-        hit = np.flatnonzero(gear_hashes(block)[lead:] >> np.uint16(WINDOW - MASK_BITS) == 0) + start + 1
-        ends.append(hit)
-    found = np.concatenate(ends) if ends else np.empty(0, np.int64)
+        stop = min(start + BLOCK, len(data))
+        low, high = max(0, start - SPAN + 1), min(stop + SPAN - 1, len(data))
+        lead = min(low, WINDOW - 1)
+        values = gear_hashes(raw[low - lead : high])[lead:]
+        inside = (raw[low + 1 : high + 1] & 0xC0) == 0x80
+        values[: len(inside)][inside] = 0xFFFF
+        if len(values) < SPAN:
+            continue
+        least = least_in_span(values)
+        edge = np.zeros(SPAN - 1, np.uint16)
+        most = 0xFFFF - least_in_span(0xFFFF - np.concatenate([edge, least, edge]))
+        hit = np.flatnonzero((values == most) & (values < 0xFFFF))
+        hit = hit[(hit + low >= start) & (hit + low < stop)]
+        ends.append(hit + low + 1)
+        marks.append(values[hit])
+    found, mark = np.concatenate(ends), np.concatenate(marks)
+    if len(found):
+        alike = np.concatenate([[False], (np.diff(found) <= WINDOW) & (mark[1:] == mark[:-1])])
+        first = np.maximum.accumulate(np.where(alike, 0, np.arange(len(found))))
+        step = (found - found[first]) // (SPAN // 2)
+        found = found[~alike | np.concatenate([[False], step[1:] != step[:-1]])]
     found = found[found < len(data)]
-    raw = np.frombuffer(data, np.uint8)
-    found = found[(raw[found] & 0xC0) != 0x80]
     return np.append(found, len(data)) if len(data) else found
 
 
-COLUMNS = "doc_id bigint, ordinal int, start int, end int, first_word int, end_word int, digest bigint"
+def packed(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Start and end in one number."""
+    return starts.astype(np.int64) << 32 | ends.astype(np.int64)
+
+
+def batch_of(columns: list[list[np.ndarray]], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], [c.split()[0] for c in schema.split(", ")])
+
+
+CHUNKS = "doc_id bigint, place bigint, digest bigint"
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        digests: list[int] = []
+        parts: list[list[np.ndarray]] = [[], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = text.as_py().encode("utf-8", "surrogatepass")
             if not data:
                 continue
             ends = boundaries(data)
             starts = np.concatenate([[0], ends[:-1]])
-            raw = np.frombuffer(data, np.uint8)
-            points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-            space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-            begins = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
-            columns = (np.full(len(ends), doc_id), np.arange(len(ends)), points[starts], points[ends], begins[starts], begins[ends])
+            points = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+            digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            columns = (np.full(len(ends), doc_id), packed(points[starts], points[ends]), np.array(digests, np.uint64).view(np.int64))
             for held, column in zip(parts, columns, strict=True):
                 held.append(column)
-            digests += [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if digests:
-            kinds = (pa.int64(), *[pa.int32()] * 5)
-            arrays = [pa.array(np.concatenate(x)).cast(k) for x, k in zip(parts, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.array(digests, np.uint64).view(np.int64))], [c.split()[0] for c in COLUMNS.split(", ")])
+        if parts[0]:
+            yield batch_of(parts, CHUNKS)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Every chunk of every whole text; no shuffle."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.where("doc_id IS NOT NULL").mapInArrow(chunks_of, COLUMNS)
+# Scripts without spaces between words (Thai, Lao; Burmese; Khmer; kana; Han and its extensions).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points), words, occurrences (of its rarest chunk), first_doc_id, kept; one row per passage.
+def words_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text given as code points."""
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    alone = np.zeros(len(points), bool)
+    if len(points) and points.max() >= UNSPACED[0][0]:
+        for low, high in UNSPACED:
+            alone |= (points >= low) & (points <= high)
+    cut = np.ones(len(points) + 1, bool)
+    cut[1:-1] = space[1:] | space[:-1] | alone[1:] | alone[:-1]
+    return np.flatnonzero(cut[:-1] & ~space), np.flatnonzero(cut[1:] & ~space) + 1
+
 
-    A passage ends where chunks that first occur here meet chunks that occur earlier.
+BASE = 0x9E3779B97F4A7C15
 
-    Counts are combined before they are shuffled; a digest that very many chunks have meets its count in a
+
+@lru_cache(maxsize=2)
+def powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
+
+
+def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the characters of each span: differences of one polynomial's running sums, shifted to the span's start."""
+    size = 1 << max(16, len(points).bit_length())
+    values = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ values >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    values ^= values >> np.uint64(32)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(BASE, size)[: len(points)], dtype=np.uint64)])
+    out = (sums[ends] - sums[starts]) * powers(pow(BASE, -1, 1 << 64), size)[starts]
+    return out ^ out >> np.uint64(31)
+
+
+WINDOWS = "doc_id bigint, word bigint, place bigint, digest bigint"
+
+
+def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of PASSAGE_WORDS words that lies within MARGIN characters of seeds."""
+    for batch in batches:
+        for doc_id, text, seeds in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            points = np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
+            starts, ends = words_of(points)
+            starts, ends = starts[: max(0, len(starts) - PASSAGE_WORDS + 1)], ends[PASSAGE_WORDS - 1 :]
+            places = seeds.values.to_numpy()
+            change = np.zeros(len(points) + 1, np.int64)
+            # a row of a repeated doc_id can be shorter than the one that a seed comes from
+            np.add.at(change, np.clip((places >> 32) - MARGIN, 0, len(points)), 1)
+            np.add.at(change, np.clip((places & 0xFFFFFFFF) + MARGIN, 0, len(points)), -1)
+            near = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
+            held = np.flatnonzero(near[ends] - near[starts] == ends - starts)
+            if len(held):
+                digests = span_hashes(points, starts[held], ends[held]).view(np.int64)
+                yield batch_of([[np.full(len(held), doc_id)], [held], [packed(starts[held], ends[held])], [digests]], WINDOWS)
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """digest, first_doc_id and times of the digests that more than one document has.
+
+    Counts are combined before they are shuffled; a digest that very many rows have meets its count in a
     join, which Spark splits, and is never gathered.
     """
-    chunks = chunked(docs)
-    counts = chunks.groupBy("digest").agg(
+    counts = rows.groupBy("digest").agg(
         F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"), F.count(F.lit(1)).alias("times"))
-    shared = counts.where("first_doc_id < last_doc_id").select("digest", "first_doc_id", "times")
-    found = chunks.join(shared, "digest").drop("digest")
-    first = F.col("first_doc_id") == F.col("doc_id")
-    order = Window.partitionBy("doc_id", "kept").orderBy("ordinal")
-    runs = found.withColumn("kept", first).withColumn("run", F.col("ordinal") - F.dense_rank().over(order)).groupBy("doc_id", "kept", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"),
-        (F.max("end_word") - F.min("first_word")).cast("bigint").alias("words"),
-        F.min("times").alias("occurrences"), F.max("first_doc_id").alias("first_doc_id"))
-    return runs.where(F.col("words") >= PASSAGE_WORDS).select(
-        "doc_id", "start", "end", "words", "occurrences", "first_doc_id", "kept")
+    return counts.where("first_doc_id < last_doc_id").select("digest", "first_doc_id", "times")
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end (code points), words, occurrences (of its rarest window), first_doc_id, kept; one row per passage.
+
+    A row with `kept` false holds the words of windows that occur in an earlier document; first_doc_id is the last of
+    the documents in which its windows first occur.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    chunks = rows.mapInArrow(chunks_of, CHUNKS)
+    seeds = checkpoint(chunks.join(shared(chunks).select("digest"), "digest").groupBy("doc_id").agg(F.collect_list("place").alias("seeds")))
+    windows = rows.join(seeds, "doc_id").mapInArrow(windows_of, WINDOWS)
+    found = windows.join(shared(windows), "digest").withColumn("kept", F.col("first_doc_id") == F.col("doc_id"))
+    order = Window.partitionBy("doc_id", "kept").orderBy("word")
+    apart = F.col("word") >= F.lag("word").over(order) + PASSAGE_WORDS
+    runs = found.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("run", F.sum("apart").over(order))
+    return runs.groupBy("doc_id", "kept", "run").agg(
+        F.min(F.shiftright("place", 32)).cast("int").alias("start"), F.max(F.col("place").bitwiseAND(0xFFFFFFFF)).cast("int").alias("end"),
+        (F.max("word") + PASSAGE_WORDS - F.min("word")).alias("words"), F.min("times").alias("occurrences"),
+        F.max("first_doc_id").alias("first_doc_id")).select("doc_id", "start", "end", "words", "occurrences", "first_doc_id", "kept")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with all but the first occurrence of every passage cut out of the texts.
 
-    Each chunk counts by itself: next to a first occurrence, a copy is still cut out.
+    What an earlier document has is cut out, also next to or inside of a passage that first occurs here as a whole.
     """
     passages = checkpoint(repeated_passages(docs).where("NOT kept"))
     cuts = passages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))

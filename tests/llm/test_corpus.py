@@ -1,6 +1,7 @@
 """Sharding, repeated passages, near-duplicates, packing, and the pipeline."""
 
 from collections import defaultdict
+import re
 import zlib
 
 import numpy as np
@@ -107,6 +108,55 @@ def test_copies_next_to_first_occurrences(spark):
     assert texts[1] == one and sentences[6][70:-70] in texts[2] and len(texts[2]) < 0.3 * len(two) and len(texts[3]) < 0.1 * len(two)
 
 
+def earlier_windows(texts, size):
+    """(doc_id, start, end) of every window of `size` words that stands, byte for byte, in an earlier document."""
+    first, held = {}, []
+    for doc_id in sorted(texts):
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[doc_id])]
+        for i in range(len(words) - size + 1):
+            start, end = words[i][0], words[i + size - 1][1]
+            part = texts[doc_id][start:end]
+            if first.setdefault(part, doc_id) != doc_id:
+                held.append((doc_id, start, end))
+    return held
+
+
+def test_every_repeated_window_is_reported(spark):
+    """All 50-word windows of sf0.01, and single passages of about that size, which chunks alone miss."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9))))
+    some = lambda n: " ".join(word() for _ in range(n))
+    at = max(texts)
+    for i in range(300):
+        passage = some(int(rng.integers(50, 61)))
+        for _ in range(2):
+            at += 1
+            texts[at] = f"{some(30)} {passage} {some(30)}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(8)
+    repeats = defaultdict(list)
+    for r in chunks.repeated_passages(docs).where("NOT kept").collect():
+        repeats[r["doc_id"]].append((r["start"], r["end"]))
+    windows = earlier_windows(texts, 50)
+    assert len({d for d, _, _ in windows}) > 300
+    assert [w for w in windows if not any(a <= w[1] and w[2] <= b for a, b in repeats[w[0]])] == []
+    twenty = defaultdict(set)
+    for d, a, b in earlier_windows(texts, 20):
+        twenty[d].update(range(a, b))
+    for d, found in repeats.items():
+        assert all(set(range(a, b)) <= twenty[d] for a, b in found)
+
+
+def test_repeats_without_spaces_and_of_one_word(spark):
+    rng = np.random.default_rng(5)
+    passage = "".join(map(chr, rng.integers(0x4E00, 0x9000, 120)))
+    others = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 60))) for _ in range(4)]
+    docs = spark.createDataFrame([
+        (1, others[0] + passage + others[1]), (2, others[2] + passage + others[3]), (3, "x " * 3000), (4, "y " + "x " * 2000)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in chunks.repeated_passages(docs).where("NOT kept").collect()}
+    assert (found[2]["start"], found[2]["end"]) == (60, 180) and set(found) == {2, 4} and found[4]["words"] == 2000
+
+
 def brute_near(docs):
     sets = {}
     for doc_id, text in docs:

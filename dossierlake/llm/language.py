@@ -3,8 +3,14 @@
 A text is the TF-IDF vector of its letter n-grams (one to three letters, lower-cased, everything else
 being a word gap), hashed to `CELLS` cells and scaled to length one. Every language has up to `CENTROIDS`
 centroids, found by clustering a sample of its labelled rows; a text takes the language of the centroid of
-largest cosine. A text whose cosine is below the centroid's floor is marked as rejected: it is nothing
-like what was learned. One of fewer than `FEW_GRAMS` n-grams says too little to be rejected.
+largest cosine. A text whose cosine is below the centroid's floor for texts of its length is marked as rejected: it
+is nothing like what was learned. One of fewer different n-grams than the first of `LENGTHS` says too little to be rejected.
+
+Cosines grow with the number of different n-grams, so each centroid has a floor for each class of `LENGTHS`. One in `HELD_OUT` rows
+of the sample does not go into the centroids; snippets of all lengths of these rows set the floors, `FLOOR_SHARE` of
+the `FLOOR_QUANTILE` of their cosines. A centroid with fewer than `ENOUGH` snippets of a class takes the floor of its
+language, a class with fewer in the whole language that of the class below. Of a language with fewer
+than `ENOUGH` rows in the sample all rows serve both ends, and the floors are halved.
 
 Document counts of n-grams run over all labelled rows. The centroids are fitted on at most
 `SAMPLE_PER_LANGUAGE` rows of each language, those of smallest hash of doc_id.
@@ -30,8 +36,10 @@ CENTROIDS = 4
 SAMPLE_PER_LANGUAGE = 400
 RANK_PARTS = 64
 ROUNDS = 8
-FLOOR_SHARE, FLOOR_QUANTILE = 0.25, 0.01
-FEW_GRAMS = 60
+FLOOR_SHARE, FLOOR_QUANTILE = 0.65, 0.01
+LENGTHS = np.array([40, 80, 160, 320, 640])
+SNIPPETS = (25, 35, 50, 80, 130, 200, 300, 500, 1000, 2000)
+HELD_OUT, ENOUGH = 4, 20
 BLOCK = 1 << 20
 GRAM_FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -71,6 +79,11 @@ def vector(cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out / length if length else out
 
 
+def length_class(cells: np.ndarray) -> int:
+    """The class of LENGTHS of a text, by its different n-grams, as repeated words say nothing new; -1 below the first."""
+    return int(np.searchsorted(LENGTHS, np.count_nonzero(cells), "right")) - 1
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -86,11 +99,12 @@ class Model:
         near = self.centroids @ vector(cells, self.weights)
         best = int(np.argmax(near))
         score = float(min(1.0, max(0.0, near[best])))
-        return self.languages[best], score, score < self.floors[best] and cells.sum() >= FEW_GRAMS
+        length = length_class(cells)
+        return self.languages[best], score, length >= 0 and score < self.floors[best, length]
 
 
-def clustered(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means: centroids and for each the cosine below which a text is rejected.
+def clustered(vectors: np.ndarray) -> np.ndarray:
+    """The centroids of spherical k-means.
 
     Starts from the vectors spread furthest from those taken before, so the result depends on the rows alone.
     """
@@ -103,9 +117,28 @@ def clustered(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         centres = np.array([vectors[of == i].mean(axis=0) if (of == i).any() else centres[i] for i in range(len(centres))])
         lengths = np.linalg.norm(centres, axis=1, keepdims=True)
         centres = centres / np.where(lengths > 0, lengths, 1)
-    near = (vectors @ centres.T).max(axis=1)
-    floor = FLOOR_SHARE * np.quantile(near, FLOOR_QUANTILE)
-    return centres, np.full(len(centres), floor)
+    return centres
+
+
+def floors_of(centres: np.ndarray, weights: np.ndarray, texts: list[str], share: float) -> np.ndarray:
+    """For each centroid and class of lengths the cosine below which a text is rejected, from the texts and snippets of them."""
+    seen: list[list[tuple[int, float]]] = [[] for _ in LENGTHS]
+    for text in texts:
+        for size in (*(n for n in SNIPPETS if n < len(text)), len(text)):
+            for start in {0, (len(text) - size) // 2, len(text) - size}:
+                cells = counts(text[start : start + size])
+                if cells is not None and (length := length_class(cells)) >= 0:
+                    near = centres @ vector(cells, weights)
+                    seen[length].append((int(np.argmax(near)), float(near.max())))
+    out, below = np.zeros((len(centres), len(LENGTHS))), 0.0
+    for length, held in enumerate(seen):
+        of, near = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+        if len(near) >= ENOUGH:
+            below = share * np.quantile(near, FLOOR_QUANTILE)
+        for i in range(len(centres)):
+            own = near[of == i] if len(near) else near
+            out[i, length] = share * np.quantile(own, FLOOR_QUANTILE) if len(own) >= ENOUGH else below
+    return out
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -145,17 +178,20 @@ def fit(labelled: DataFrame) -> Model:
 
     def centres(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"], kind="stable")
-        found = [vector(c, weights) for c in map(counts, frame["text"]) if c is not None]
+        found = [(text, vector(c, weights)) for text, c in zip(frame["text"], map(counts, frame["text"]), strict=True) if c is not None]
         if not found:
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []}, dtype=object)
-        middle, floors = clustered(np.array(found))
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": list(middle), "floor": floors})
-
-    fitted = sample.groupBy("lang").applyInPandas(centres, "lang string, centre array<double>, floor double").toPandas()
+            return pd.DataFrame({"lang": [], "centre": [], "floors": []}, dtype=object)
+        few = len(found) < ENOUGH
+        middle = clustered(np.array([v for i, (_, v) in enumerate(found) if few or i % HELD_OUT]))
+        texts = [text for i, (text, _) in enumerate(found) if few or i % HELD_OUT == 0]
+        floors = floors_of(middle, weights, texts, FLOOR_SHARE / 2 if few else FLOOR_SHARE)
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": list(middle), "floors": list(floors)})
+
+    fitted = sample.groupBy("lang").applyInPandas(centres, "lang string, centre array<double>, floors array<double>").toPandas()
     fitted = fitted.sort_values("lang", kind="stable")
     return Model(
         list(fitted["lang"]), weights, np.array(list(fitted["centre"])) if len(fitted) else np.zeros((0, CELLS)),
-        fitted["floor"].to_numpy(float))
+        np.array(list(fitted["floors"])) if len(fitted) else np.zeros((0, len(LENGTHS))))
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

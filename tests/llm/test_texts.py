@@ -245,3 +245,28 @@ def test_languages(spark, odd_docs, no_docs):
     nothing = language.fit(no_docs.select("doc_id", "text", "lang"))
     assert nothing.predict("words")[0] == "und" and language.accepted(no_docs, model).count() == 0
     assert language.accepted(odd_docs.where("doc_id = 1"), model).columns == odd_docs.columns
+
+
+OTHERS = {
+    "it": "Il governo ha annunciato ieri una nuova legge sulla scuola che entrerà in vigore dal prossimo anno, mentre i sindacati hanno chiesto di discutere ancora il testo con gli insegnanti.",
+    "nl": "De regering heeft gisteren een nieuwe wet over het onderwijs aangekondigd die volgend jaar in werking treedt, terwijl de vakbonden om nader overleg met de leraren hebben gevraagd.",
+    "fi": "Hallitus ilmoitti eilen uudesta koululaista, joka tulee voimaan ensi vuonna, kun taas ammattiliitot ovat pyytäneet keskustelemaan tekstistä vielä opettajien ja perheiden kanssa.",
+    "tr": "Hükümet dün gelecek yıl yürürlüğe girecek olan yeni bir okul yasasını duyurdu, sendikalar ise metnin öğretmenler ve ailelerle yeniden tartışılmasını istedi.",
+    "pl": "Rząd ogłosił wczoraj nową ustawę o szkołach, która wejdzie w życie w przyszłym roku, natomiast związki zawodowe poprosiły o ponowne omówienie tekstu.",
+}
+
+
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs.where("doc_id % 5 <> 0"))
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    junk = [" ".join(letters(int(rng.integers(2, 10))) for _ in range(n)) for n in (15, 60, 400)]
+    junk += ["".join(rng.choice(list("0123456789abcdef"), n)) for n in (100, 600, 5000)]
+    others = [text[: len(text) // k] * n for text in OTHERS.values() for k, n in ((1, 1), (1, 20))]
+    assert [t for t in junk + others if not model.predict(t)[2]] == []
+    # clean loss on snippets of rows that were not learned from
+    texts = [r["text"] for r in docs.where("doc_id % 5 = 0").collect() if r["text"]]
+    for size, most in ((100, 0.01), (400, 0.01), (2000, 0.002)):
+        parts = [t[i : i + size] for t in texts for i in range(0, len(t), size) if len(t) - i >= size]
+        assert sum(model.predict(p)[2] for p in parts) <= most * len(parts)

@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
 Blocks of a text that speak of licensing are compressed alone and with each license template as a raw
-zstandard dictionary; the share of bytes that the template saves ranks the templates. The best ones are
-then compared word by word, and a template is reported only if the wording bears it out: at least
-`AGREEING` of its words stand there in order. The differences in wording are kept with the finding.
+zstandard dictionary; the share of bytes that the template saves ranks the templates. Every template that can
+still reach `AGREEING`, by how many of its words the block has at all, is then compared word by word, and reported only
+if the wording bears it out: at least `AGREEING` of its words stand there in order. The differences in wording are kept
+with the finding.
 
 A block is a run of lines with at most `LINES_BETWEEN` lines between two that hold a cue word. Blocks much
 longer than the templates are read in windows that overlap by the longest template.
@@ -14,6 +15,7 @@ theirs; overlapping findings of one block are settled by rank, then by the templ
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -24,13 +26,18 @@ from pyspark.sql import DataFrame, functions as F
 import zstandard
 
 AGREEING = 0.85
-TRIED = 3
-LEAST_SAVED = 0.25
 LINES_BETWEEN = 3
 CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|permission is hereby|public domain|spdx-"
 CUE = re.compile(CUES)
 WORDS = re.compile(r"\w+(?:[.'-]\w+)*")
 
+BSD_WARRANTY = (
+    "BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
 # License notices as their publishers word them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
@@ -51,6 +58,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
         "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
         "NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -67,6 +76,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
         "following disclaimer.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission. THIS SOFTWARE IS PROVIDED " + BSD_WARRANTY,
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
@@ -84,6 +99,49 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED "
+        + BSD_WARRANTY,
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR "
+        "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+        "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+        "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to "
+        "the public domain worldwide. This software is distributed without any warranty.",
+    ),
+    "Unlicense": (
+        "Released under the Unlicense.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
+    ),
     "Proprietary": ("All rights reserved. Copyright.",),
 }
 
@@ -92,6 +150,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 class Template:
     license: str
     words: tuple[str, ...]
+    counted: Counter[str]
     compressor: zstandard.ZstdCompressor
 
 
@@ -103,9 +162,10 @@ def prepared(templates: dict[str, tuple[str, ...]] | None = None) -> list[Templa
     found = []
     for name, wordings in (templates or TEMPLATES).items():
         for wording in wordings:
-            words = canonical(wording)
-            data = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            found.append(Template(name, tuple(words.decode("utf-8", "surrogatepass").split()), zstandard.ZstdCompressor(level=9, dict_data=data)))
+            data = canonical(wording)
+            words = tuple(data.decode("utf-8", "surrogatepass").split())
+            data = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            found.append(Template(name, words, Counter(words), zstandard.ZstdCompressor(level=9, dict_data=data)))
     return found
 
 
@@ -160,6 +220,11 @@ def compared(template: Template, words: list[str]) -> tuple[float, int, int, tup
     return sum(p.size for p in chosen) / len(template.words), chosen[0].b, chosen[-1].b + chosen[-1].size, tuple(differences)
 
 
+def reachable(template: Template, counted: Counter[str]) -> float:
+    """The largest share of the template's words that can stand in these words in any order."""
+    return sum(min(n, counted[w]) for w, n in template.counted.items()) / len(template.words)
+
+
 def findings_in(text: str, offset: int, templates: list[Template]) -> list[Finding]:
     """Findings of one block; after each, its words are taken out and the rest is ranked again."""
     plain = zstandard.ZstdCompressor(level=9)
@@ -170,11 +235,17 @@ def findings_in(text: str, offset: int, templates: list[Template]) -> list[Findi
     for low in range(0, max(1, len(spans) - step), step):
         rest = [s for s in spans[low : low + longest] if not any(f.start - offset < s[2] and s[1] < f.end - offset for f in found)]
         while rest:
-            data = " ".join(s[0] for s in rest).encode("utf-8", "surrogatepass")
-            alone = len(plain.compress(data))
-            ranked = sorted(((1 - len(t.compressor.compress(data)) / alone, t.license, -len(t.words), i) for i, t in enumerate(templates)), key=lambda x: (-x[0], x[1:]))
             words, best = [s[0] for s in rest], None
-            for saved, name, _, i in ranked[: max(TRIED, sum(r[0] >= LEAST_SAVED for r in ranked))]:
+            counted = Counter(words)
+            able = [i for i, t in enumerate(templates) if reachable(t, counted) >= AGREEING]
+            if not able:
+                break
+            data = " ".join(words).encode("utf-8", "surrogatepass")
+            alone = len(plain.compress(data))
+            ranked = sorted(
+                ((1 - len(templates[i].compressor.compress(data)) / alone, templates[i].license, -len(templates[i].words), i) for i in able),
+                key=lambda x: (-x[0], x[1:]))
+            for saved, name, _, i in ranked:
                 share, first, end, differences = compared(templates[i], words)
                 if share >= AGREEING and (best is None or (share, len(templates[i].words)) > best[0]):
                     best = ((share, len(templates[i].words)), Finding(name, offset + rest[first][1], offset + rest[end - 1][2], saved, share, differences), first, end)

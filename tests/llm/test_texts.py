@@ -85,6 +85,24 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.license_findings(odd_docs).count() == 0 and licenses.license_findings(no_docs).count() == 0
 
 
+PARAGRAPH = """You may not think so, but the use of the word without any of the conditions that are subject to the law in this form is, as far as
+we can see, not permitted in most of the countries that have signed the agreement, and to the extent that it is, the person who made the
+copy has to include a notice of the source, either in the text or in the files which are distributed with it, and to obtain the
+permission of those who hold the rights. Any person who is free to publish, sell or modify a work has to say so at the start. """
+
+
+def test_every_license_that_the_words_allow_is_confirmed():
+    """Short notices in a long line of common English words, where long templates save more bytes, and whole notices."""
+    ready = licenses.prepared()
+    for notice, name in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under the ISC License.", "ISC")):
+        for text in (PARAGRAPH.replace("\n", " ") + notice + " And so on.", PARAGRAPH.replace("\n", " ") * 3 + notice + " " + PARAGRAPH.replace("\n", " ")):
+            (found,) = licenses.scan(text, ready)
+            assert found.license == name and text[found.start : found.end] + "." == notice
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            assert name in {f.license for f in licenses.scan(f"before it {wording} after it", ready)} or not licenses.CUE.search(wording), wording
+
+
 ITEM = "Tom has 3 apples and 5 kg of pears. Then Tom eats 2 apples at the house of Ann Bell."
 
 

@@ -7,6 +7,11 @@ same shift between item and document) make an alignment; the words are compared
 placeholders must be filled consistently: one value of the item stands for one value of the document. An item
 is leaked if `COVERED` of its words agree, over all its alignments, or `RUN` words in a row.
 
+A capital at the start of a sentence may be a name or not, and numbers may be spelled. So items and documents are
+looked up in a second form too, in which number words are numbers and a capital word at a sentence start is a name
+unless the items have it in lower case. Slots that only the second form has need not agree and add nothing to the
+share: `COVERED` must be reached by the other words.
+
 Items are read in blocks of at most `BLOCK_WORDS` words, each block small enough to hand to every task; the
 documents are scanned once for each block, whatever the number of items, and no window is left out.
 
@@ -46,6 +51,11 @@ degree degrees celsius fahrenheit percent dollar dollars cent cents euro euros y
 
 # A capital after a word of the same sentence makes a name; after a stop, a line end or at the start it says nothing.
 NAMES = re.compile(r"(?<=[^\s.!?:\"“(|] )[A-ZÀ-ÖØ-Þ][^\W\d_]*")
+CAPITALS = re.compile(r"(?<![^\W_])[A-ZÀ-ÖØ-Þ][^\W\d_]*")
+NUMBER_WORDS = frozenset("""
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty
+thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+""".split())
 NUMBERS = re.compile(r"[0-9]+(?:[.,][0-9]+)*")
 UNIT_WORDS = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![^\W\d_])"
 UNITS_AFTER = re.compile(rf"{NUMBER}[\s-]*{UNIT_WORDS}")
@@ -55,14 +65,16 @@ DETAILED = re.compile(
     rf"(?P<name>{NAMES.pattern})|(?P<number>{NUMBERS.pattern})(?P<gap>[\s-]*)(?P<unit>(?i:{UNIT_WORDS}))?|(?P<sign>{SIGNS.pattern})|[^\W\d_]+")
 
 
-def canonical_words(text: str) -> list[str]:
+def canonical_words(text: str, common: frozenset[str] | None = None) -> list[str]:
     """Lower-case words with numbers, names and units as placeholders, by substitutions over the whole text.
 
-    A text written in capitals throughout has no names.
+    A text written in capitals throughout has no names. With `common` the second form, but for number words.
     """
     text = text.translate(dict.fromkeys(map(ord, PLACEHOLDERS), " "))
     if not text.isupper():
         text = NAMES.sub(NAME, text)
+        if common is not None:
+            text = CAPITALS.sub(lambda m: m.group() if m.group().lower() in common else NAME, text)
     text = NUMBERS.sub(NUMBER, text.lower())
     return TOKENS.findall(SIGNS.sub(UNIT, UNITS_AFTER.sub(NUMBER + UNIT, text)))
 
@@ -74,6 +86,7 @@ class Canonical:
     words: list[str]
     values: list[str]
     places: list[tuple[int, int]]
+    weak: np.ndarray | None = None  # slots that only the second form has
 
 
 def canonical(text: str) -> Canonical:
@@ -100,6 +113,19 @@ def canonical(text: str) -> Canonical:
     return Canonical(words, values, places)
 
 
+def second_words(text: str, words: list[str], places: list[tuple[int, int]], common: frozenset[str]) -> list[str]:
+    """The words of the first form with number words and names at sentence starts as placeholders."""
+    shouting = text.isupper()
+    return [
+        w if w in PLACEHOLDERS else NUMBER if w in NUMBER_WORDS else NAME if not shouting and w not in common and CAPITALS.match(text, a) else w
+        for w, (a, _) in zip(words, places, strict=True)]
+
+
+def second(text: str, first: Canonical, common: frozenset[str]) -> Canonical:
+    words = second_words(text, first.words, first.places, common)
+    return Canonical(words, first.values, first.places, np.array([a != b for a, b in zip(words, first.words, strict=True)], bool))
+
+
 @dataclass
 class Block:
     """Items with the smaller side of the hash join: window hash to (item, place)."""
@@ -110,6 +136,8 @@ class Block:
     vocabulary: dict[str, int]
     sizes: list[int]
     places: dict[int, list[tuple[int, int]]]
+    common: frozenset[str] = frozenset()
+    second: Block | None = None
 
 
 STEPS = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * (WINDOW - 1), np.uint64))
@@ -130,6 +158,14 @@ def word_number(word: str) -> int:
 
 def block_of(rows: list[tuple[int, str]]) -> Block:
     items = [canonical(text) for _, text in rows]
+    common = frozenset(w for (_, text), x in zip(rows, items, strict=True) for w, (a, _) in zip(x.words, x.places, strict=True) if text[a].islower())
+    block = indexed(rows, items)
+    block.common, block.second = common, indexed(rows, [second(text, x, common) for (_, text), x in zip(rows, items, strict=True)])
+    block.second.vocabulary.update(dict.fromkeys(NUMBER_WORDS, word_number(NUMBER)))
+    return block
+
+
+def indexed(rows: list[tuple[int, str]], items: list[Canonical]) -> Block:
     vocabulary = {w: word_number(w) for item in items for w in item.words}
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i, item in enumerate(items):
@@ -184,13 +220,21 @@ Leak = tuple[int, float, int, int, int, int]
 
 
 def leaks_of_piece(text: str, offset: int, block: Block) -> Iterator[Leak]:
-    found = hits(canonical_words(text), block)
-    if not found:
+    found = hits(canonical_words(text), block), hits(canonical_words(text, block.common), block.second)
+    if not any(found):
         return
     doc = canonical(text)
+    if found[0]:
+        yield from leaks_of_form(found[0], doc, offset, block)
+    if found[1]:
+        yield from leaks_of_form(found[1], second(text, doc, block.common), offset, block.second)
+
+
+def leaks_of_form(found: list[tuple[int, int]], doc: Canonical, offset: int, block: Block) -> Iterator[Leak]:
     for i, shifts in groupby(found, key=lambda x: x[0]):
         item, size = block.items[i], len(block.items[i].words)
         covered = np.zeros(size, bool)
+        counted = np.ones(size, bool) if item.weak is None or item.weak.all() else ~item.weak
         best = (0, 0, 0, 0)
         for _, shift in shifts:
             agree, changed = aligned(item, doc, shift)
@@ -199,9 +243,9 @@ def leaks_of_piece(text: str, offset: int, block: Block) -> Iterator[Leak]:
             for start, end in runs[runs[:, 1] - runs[:, 0] >= min(WINDOW, size)].tolist():
                 covered[start:end] = True
                 best = max(best, (end - start, changed, offset + doc.places[start + shift][0], offset + doc.places[end - 1 + shift][1]))
-            if agree.sum() >= COVERED * size:
+            if agree[counted].sum() >= COVERED * counted.sum():
                 covered |= agree
-        share = float(covered.mean())
+        share = float(covered[counted].mean())
         if share >= COVERED or best[0] >= RUN:
             yield block.ids[i], share, *best
 

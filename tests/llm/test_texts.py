@@ -128,6 +128,17 @@ def test_leaks_with_other_numbers_and_names(spark, odd_docs, no_docs, monkeypatc
     assert decontaminate.leaks(ITEM.replace("Then Tom", "Then Bob").replace("Tom has", "Al has"), block)[0][1] < 1
 
 
+def test_leaks_of_short_sentences_that_start_with_names():
+    item = "Tom has 3 apples. Ann has 5 pears. Sue has 2 figs. Joe has 9 plums. How many fruits do they have in all?"
+    other = "Bob has 8 apples. Eve has 6 pears. Kim has 4 figs. Max has 7 plums. How many fruits do they have in all?"
+    block = decontaminate.block_of([(1, item)])
+    spelled = other.replace("8", "eight").replace("6", "six").replace("4", "four").replace("7", "seven")
+    for text in (other, spelled, "Before it stands this. " + other + " And this comes after."):
+        (leak,) = decontaminate.leaks(text, block)
+        assert leak[0] == 1 and leak[1] == 1 and leak[3] > 0
+    assert decontaminate.leaks("Bob likes apples. Eve has 6 cats. Kim sold 4 figs. Max saw 7 plums. Many people have nothing at all.", block) == []
+
+
 def test_leaks_with_words_put_in():
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
     block = decontaminate.block_of([(1, " ".join(words))])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dossierlake.llm import chunks, decontaminate, fingerprints, html, language, licenses, neardup, packing, pii, sharding, turns, two_fit
+from dossierlake.llm import chunks, decontaminate, fingerprints, html, language, licenses, neardup, packing, pii, sharding, turns, two_fit, whitening
 from dossierlake.llm.common import read_table, shared_folder
 
 
@@ -73,6 +73,10 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_fit.packed(read_table(spark, sf_dir, "documents"))
 
@@ -137,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_fingerprints, op2_virtual_slots, op3_license_compression, op4_template_leaks, op5_dom_trees, op6_disclosure, op7_centroids,
-        op8_gear_chunks, op9_minhash, op10_length_buckets, op12_best_two_fit, op13_wagner_fischer)
+        op8_gear_chunks, op9_minhash, op10_length_buckets, op11_block_whitening,
+        op12_best_two_fit, op13_wagner_fischer)
 }
 ORACLES: dict[str, str] = {"op9_minhash": OP9_SQL, "op10_length_buckets": packing_sql()}

@@ -1,43 +1,47 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased; numbers, names and units become typed placeholders, each with its value. Windows of
-`WINDOW` canonical words of the items are hashed and looked up for every window of every document, so a
-question whose numbers, names or units were changed still meets its template. Hits on one diagonal (the
+`WINDOW` canonical words are hashed, for the items and for every document, and joined by hash, so a question
+whose numbers, names or units were changed still meets its template. Hits on one diagonal (the
 same shift between item and document) make an alignment; the words are compared one by one, and the
 placeholders must be filled consistently: one value of the item stands for one value of the document. An item
 is leaked if `COVERED` of its words agree, over all its alignments, or `RUN` words in a row.
 
-A capital at the start of a sentence may be a name or not, and numbers may be spelled. So items and documents are
-looked up in a second form too, in which number words are numbers and a capital word at a sentence start is a name
-unless the items have it in lower case. Slots that only the second form has need not agree and add nothing to the
-share: `COVERED` must be reached by the other words.
+A capital at the start of a sentence may be a name or not, and numbers may be spelled. So all texts are
+looked up in a second form too, in which number words are numbers and every capital word is a name. Slots that only
+the second form has need not agree and count for nothing: `COVERED` and `RUN` must be reached by the other words. Both forms
+depend on the text alone, so whether a document leaks an item depends on nothing else.
 
-Items are read in blocks of at most `BLOCK_WORDS` words, each block small enough to hand to every task; the
-documents are scanned once for each block, whatever the number of items, and no window is left out.
+Documents are read once, as word numbers in numpy. Of their windows only those leave a task that a bit map of the items'
+hashes lets pass (at most 2 ** `MOST_BITS` bits; a larger benchmark lets more windows pass, all the rest is the same join).
+Equal texts are compared once. Text pieces and the items they may leak meet in sorted streams, so neither the
+texts of an item nor the items of a text are held together.
 
 Defined cases: null and empty texts hold nothing and leak nothing; an item shorter than the window is one
 window of its own length; an item without words is never found; repeated items and rows are each reported;
-item ids of null are left out.
+of equally long runs the first is given; item ids of null are left out; further columns of any name stay as they are.
+Very long texts are compared in pieces that overlap by more than the longest item.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-import hashlib
-from itertools import groupby
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+
+from dossierlake.llm.common import checkpoint
 
 WINDOW = 8
 COVERED, RUN = 0.5, 13
-BLOCK_WORDS = 1 << 20
 PIECE = 1 << 20
+LEAST_BITS, MOST_BITS = 16, 27
+KNOWN_CHUNKS, AT_ONCE = 1 << 20, 1 << 21
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 PLACEHOLDERS = frozenset((NUMBER, NAME, UNIT))
 
@@ -58,25 +62,12 @@ thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
 """.split())
 NUMBERS = re.compile(r"[0-9]+(?:[.,][0-9]+)*")
 UNIT_WORDS = "(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![^\W\d_])"
-UNITS_AFTER = re.compile(rf"{NUMBER}[\s-]*{UNIT_WORDS}")
-SIGNS = re.compile("[%$€£¥°]")
-TOKENS = re.compile(rf"[{NUMBER}{NAME}{UNIT}]|[^\W\d_]+")
+FIRST_UNIT = re.compile(rf"[\s-]*(?i:{UNIT_WORDS})")
+OPEN_NUMBER = re.compile(r"[0-9][\s-]*\Z")
+GAP = re.compile(r"[\s-]*\Z")
 DETAILED = re.compile(
-    rf"(?P<name>{NAMES.pattern})|(?P<number>{NUMBERS.pattern})(?P<gap>[\s-]*)(?P<unit>(?i:{UNIT_WORDS}))?|(?P<sign>{SIGNS.pattern})|[^\W\d_]+")
-
-
-def canonical_words(text: str, common: frozenset[str] | None = None) -> list[str]:
-    """Lower-case words with numbers, names and units as placeholders, by substitutions over the whole text.
-
-    A text written in capitals throughout has no names. With `common` the second form, but for number words.
-    """
-    text = text.translate(dict.fromkeys(map(ord, PLACEHOLDERS), " "))
-    if not text.isupper():
-        text = NAMES.sub(NAME, text)
-        if common is not None:
-            text = CAPITALS.sub(lambda m: m.group() if m.group().lower() in common else NAME, text)
-    text = NUMBERS.sub(NUMBER, text.lower())
-    return TOKENS.findall(SIGNS.sub(UNIT, UNITS_AFTER.sub(NUMBER + UNIT, text)))
+    rf"(?P<name>{NAMES.pattern})|(?P<number>{NUMBERS.pattern})(?P<gap>[\s-]*)(?P<unit>(?i:{UNIT_WORDS}))?|(?P<sign>[%$€£¥°])|[^\W\d_]+")
+NO_NAME_AFTER = frozenset('.!?:"“(|')
 
 
 @dataclass
@@ -113,31 +104,18 @@ def canonical(text: str) -> Canonical:
     return Canonical(words, values, places)
 
 
-def second_words(text: str, words: list[str], places: list[tuple[int, int]], common: frozenset[str]) -> list[str]:
-    """The words of the first form with number words and names at sentence starts as placeholders."""
+def second(text: str, first: Canonical) -> Canonical:
+    """The words of the first form with number words and all capitals as placeholders."""
     shouting = text.isupper()
-    return [
-        w if w in PLACEHOLDERS else NUMBER if w in NUMBER_WORDS else NAME if not shouting and w not in common and CAPITALS.match(text, a) else w
-        for w, (a, _) in zip(words, places, strict=True)]
-
-
-def second(text: str, first: Canonical, common: frozenset[str]) -> Canonical:
-    words = second_words(text, first.words, first.places, common)
+    words = [
+        w if w in PLACEHOLDERS else NUMBER if w in NUMBER_WORDS else NAME if not shouting and CAPITALS.match(text, a) else w
+        for w, (a, _) in zip(first.words, first.places, strict=True)]
     return Canonical(words, first.values, first.places, np.array([a != b for a, b in zip(words, first.words, strict=True)], bool))
 
 
-@dataclass
-class Block:
-    """Items with the smaller side of the hash join: window hash to (item, place)."""
-
-    ids: list[int]
-    items: list[Canonical]
-    longest: int
-    vocabulary: dict[str, int]
-    sizes: list[int]
-    places: dict[int, list[tuple[int, int]]]
-    common: frozenset[str] = frozenset()
-    second: Block | None = None
+def forms(text: str) -> tuple[Canonical, Canonical]:
+    first = canonical(text)
+    return first, second(text, first)
 
 
 STEPS = np.multiply.accumulate(np.array([1] + [0x9E3779B97F4A7C15] * (WINDOW - 1), np.uint64))
@@ -153,43 +131,124 @@ def window_hashes(numbers: np.ndarray, size: int) -> np.ndarray:
 
 
 def word_number(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()) | 1
-
-
-def block_of(rows: list[tuple[int, str]]) -> Block:
-    items = [canonical(text) for _, text in rows]
-    common = frozenset(w for (_, text), x in zip(rows, items, strict=True) for w, (a, _) in zip(x.words, x.places, strict=True) if text[a].islower())
-    block = indexed(rows, items)
-    block.common, block.second = common, indexed(rows, [second(text, x, common) for (_, text), x in zip(rows, items, strict=True)])
-    block.second.vocabulary.update(dict.fromkeys(NUMBER_WORDS, word_number(NUMBER)))
-    return block
-
-
-def indexed(rows: list[tuple[int, str]], items: list[Canonical]) -> Block:
-    vocabulary = {w: word_number(w) for item in items for w in item.words}
-    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, item in enumerate(items):
-        numbers = np.array([vocabulary[w] for w in item.words], np.uint64)
-        for at, value in enumerate(window_hashes(numbers, min(WINDOW, len(numbers))).tolist() if len(numbers) else []):
-            places[value].append((i, at))
-    sizes = sorted({min(WINDOW, len(x.words)) for x in items if x.words})
-    return Block([int(i) for i, _ in rows], items, max((len(t) for _, t in rows), default=0), vocabulary, sizes, dict(places))
-
-
-def hits(words: list[str], block: Block) -> list[tuple[int, int]]:
-    """(item, shift) of every window that the words share with an item; windows with an unknown word are passed over."""
-    get = block.vocabulary.get
-    numbers = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-    unknown = np.concatenate([[0], np.cumsum(numbers == 0)])
-    found = set()
-    for size in block.sizes:
-        if len(numbers) < size:
-            continue
-        whole = np.flatnonzero(unknown[size:] == unknown[:-size])
-        if len(whole):
-            for at, value in zip(whole.tolist(), window_hashes(numbers, size)[whole].tolist(), strict=True):
-                found.update((item, at - place) for item, place in block.places.get(value, ()))
-    return sorted(found)
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def hashed(words: list[str], sizes: list[int]) -> dict[int, np.ndarray]:
+    numbers = np.array([word_number(w) for w in words], np.uint64)
+    return {size: window_hashes(numbers, size) for size in sizes}
+
+
+BREAK, LINE = 0, 1  # chunks that stand for the end of a text and of a line
+
+
+class Scanner:
+    """Window hashes of many texts at once, in both forms.
+
+    A text is cut at blanks and line ends; what a chunk gives is worked out once while it is known (at most
+    `KNOWN_CHUNKS`), and what depends on the chunks before it (a name in mid-sentence, a unit behind a number) by arrays.
+    """
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        # For each chunk: how many words; is its first word a capital, or a unit if a number goes before; may a name follow;
+        # does it end in a number; is it only a gap. Words of all chunks lie in a row, in both forms.
+        self.count, self.begin = np.array([1, 0], np.int32), np.array([0, 1], np.int64)
+        self.flags = np.array([[False, False, False, False, False], [False, False, False, False, True]])
+        self.words = np.array([[word_number("\x00")] * 2], np.uint64)
+
+    def learn(self, chunks: list[str]) -> None:
+        count, flags, words = [], [], []
+        for chunk in chunks:
+            stem = chunk if chunk.isalpha() else chunk[:-1]
+            last = chunk[-1:]
+            follows = bool(last) and last not in NO_NAME_AFTER and not last.isspace()
+            if stem and stem.isalpha() and (last in ",.;:!?)" or stem is chunk):
+                low = stem.lower()
+                capital = CAPITALS.match(stem) is not None if not stem.islower() else False
+                unit = low in UNIT_SET if stem.isascii() else FIRST_UNIT.match(stem) is not None
+                number = word_number(low)
+                count.append(1)
+                flags.append((capital, unit, follows, False, False))
+                words.append((number, NUMBER_NUMBER if low in NUMBER_WORDS else NAME_NUMBER if capital else number))
+                continue
+            first, other = forms(chunk)
+            both = list(zip(first.words, other.words, strict=True))
+            capital = bool(both) and first.places[0][0] == 0 and CAPITALS.match(chunk) is not None
+            count.append(len(both))
+            flags.append((capital, FIRST_UNIT.match(chunk) is not None, follows, OPEN_NUMBER.search(chunk) is not None, GAP.match(chunk) is not None))
+            shouting = chunk.isupper()  # of a chunk that says nothing yet about its text
+            words += [(word_number(a), NAME_NUMBER if shouting and b not in PLACEHOLDERS and CAPITALS.match(chunk, at) else word_number(b))
+                      for (a, b), (at, _) in zip(both, first.places, strict=True)]
+        base = len(self.count)
+        self.known.update(zip(chunks, range(base, base + len(chunks)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.words) + np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)])
+        self.count = np.concatenate([self.count, np.array(count, np.int32)])
+        self.flags = np.concatenate([self.flags, np.array(flags, bool).reshape(-1, 5)])
+        if words:
+            self.words = np.concatenate([self.words, np.array(words, np.uint64)])
+
+    def chunk_numbers(self, texts: list[str]) -> np.ndarray:
+        """The chunks of the texts, a BREAK after each."""
+        out = []
+        lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        new = {chunk for text in lines for line in text for chunk in line if chunk not in self.known}
+        if new:
+            if len(self.known) + len(new) > KNOWN_CHUNKS:
+                self.forget()
+                new = {chunk for text in lines for line in text for chunk in line}
+            self.learn(list(new))
+        get = self.known.__getitem__
+        for text in lines:
+            for line in text:
+                out += map(get, line)
+                out.append(LINE)
+            out[-1] = BREAK
+        return np.array(out, np.int64)
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts in both forms (columns), and where each text ends."""
+        chunks = self.chunk_numbers(texts)
+        capital, unit, follows, opened, gap = self.flags[chunks].T
+        before = np.concatenate([[BREAK], chunks[:-1]])
+        solid = np.maximum.accumulate(np.where(gap, -1, np.arange(len(chunks))))
+        solid = np.concatenate([[-1], solid[:-1]])
+        pending = (solid >= 0) & opened[solid]
+        count, begin = self.count[chunks].astype(np.int64), self.begin[chunks]
+        first = np.cumsum(count) - count
+        words = self.words[np.repeat(begin - first, count) + np.arange(count.sum())]
+        ends = first[chunks == BREAK]
+        shouting = np.array([text.isupper() for text in texts])
+        name = capital & self.flags[before, 2]
+        if shouting.any():
+            loud = np.repeat(shouting, np.diff(np.concatenate([[-1], np.flatnonzero(chunks == BREAK)])))
+            name &= ~loud
+            low = np.repeat(loud, count) & (words[:, 1] == NAME_NUMBER)
+            words[low, 1] = words[low, 0]
+        words[first[name]] = NAME_NUMBER
+        words[first[unit & pending]] = UNIT_NUMBER
+        return words, ends
+
+    def passing(self, texts: list[str], sizes: list[int], bits: int, filled: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, hash) of each different window whose place in the bit map is set."""
+        words, ends = self.numbers(texts)
+        for size in sizes:
+            found = []
+            for form in range(2):
+                hashes = window_hashes(words[:, form], size)
+                place = hashes >> np.uint64(64 - bits)
+                at = np.flatnonzero(filled[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                if len(at):
+                    found.append(np.stack([np.searchsorted(ends, at).astype(np.uint64), hashes[at]], 1))
+            if found:
+                yield from map(tuple, np.unique(np.concatenate(found), axis=0).tolist())
+
+
+UNIT_SET = frozenset(UNITS)
+NUMBER_NUMBER, NAME_NUMBER, UNIT_NUMBER = map(word_number, (NUMBER, NAME, UNIT))
 
 
 def aligned(item: Canonical, doc: Canonical, shift: int) -> tuple[np.ndarray, int]:
@@ -216,107 +275,215 @@ def stretches(agree: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[False], agree, [False]]).view(np.int8))).reshape(-1, 2)
 
 
-Leak = tuple[int, float, int, int, int, int]
-
-
-def leaks_of_piece(text: str, offset: int, block: Block) -> Iterator[Leak]:
-    found = hits(canonical_words(text), block), hits(canonical_words(text, block.common), block.second)
-    if not any(found):
-        return
-    doc = canonical(text)
-    if found[0]:
-        yield from leaks_of_form(found[0], doc, offset, block)
-    if found[1]:
-        yield from leaks_of_form(found[1], second(text, doc, block.common), offset, block.second)
-
-
-def leaks_of_form(found: list[tuple[int, int]], doc: Canonical, offset: int, block: Block) -> Iterator[Leak]:
-    for i, shifts in groupby(found, key=lambda x: x[0]):
-        item, size = block.items[i], len(block.items[i].words)
-        covered = np.zeros(size, bool)
-        counted = np.ones(size, bool) if item.weak is None or item.weak.all() else ~item.weak
-        best = (0, 0, 0, 0)
-        for _, shift in shifts:
-            agree, changed = aligned(item, doc, shift)
-            runs = stretches(agree)
-            # words left out or put in move an item to other diagonals: long runs count together
-            for start, end in runs[runs[:, 1] - runs[:, 0] >= min(WINDOW, size)].tolist():
-                covered[start:end] = True
-                best = max(best, (end - start, changed, offset + doc.places[start + shift][0], offset + doc.places[end - 1 + shift][1]))
-            if agree[counted].sum() >= COVERED * counted.sum():
-                covered |= agree
-        share = float(covered[counted].mean())
-        if share >= COVERED or best[0] >= RUN:
-            yield block.ids[i], share, *best
-
-
-def leaks(text: str | None, block: Block) -> list[Leak]:
-    """(item id, covered, run, changed slots, start, end) of each item that the text leaks; the last four of its longest run.
-
-    Very long texts are read in pieces that overlap by more than the longest item.
-    """
-    text = text or ""
-    overlap = 2 * block.longest + 1000
-    best: dict[int, Leak] = {}
+Leak = tuple[float, int, int, int, int]
+
+
+class Compared:
+    """One piece of text, ready to be compared with items."""
+
+    def __init__(self, text: str):
+        self.forms, self.windows = forms(text), {}
+
+    def found(self, form: int, size: int, wanted: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place in `wanted`, place in the text) of equal windows."""
+        if (form, size) not in self.windows:
+            hashes = hashed(self.forms[form].words, [size])[size]
+            order = np.argsort(hashes, kind="stable")
+            self.windows[form, size] = hashes[order], order
+        hashes, order = self.windows[form, size]
+        low, high = np.searchsorted(hashes, wanted, "left"), np.searchsorted(hashes, wanted, "right")
+        for at in np.flatnonzero(low < high).tolist():
+            for place in order[low[at] : high[at]].tolist():
+                yield at, place
+
+    def leak(self, text: str) -> Leak | None:
+        """(covered, run, changed slots, start, end) if the piece leaks the item with that text; the last four of its longest run."""
+        best = None
+        for form, item in enumerate(forms(text)):
+            size = min(WINDOW, len(item.words))
+            if size:
+                shifts = sorted({place - at for at, place in self.found(form, size, hashed(item.words, [size])[size])})
+                found = leak_of_form(item, self.forms[form], shifts) if shifts else None
+                if found and (best is None or found[:2] > best[:2]):
+                    best = found
+        return best
+
+
+def leak_of_form(item: Canonical, doc: Canonical, shifts: list[int]) -> Leak | None:
+    size = len(item.words)
+    covered = np.zeros(size, bool)
+    counted = np.ones(size, bool) if item.weak is None or item.weak.all() else ~item.weak
+    best = (0, 0, 0, 0)
+    for shift in shifts:
+        agree, changed = aligned(item, doc, shift)
+        runs = stretches(agree)
+        # words left out or put in move an item to other diagonals: long runs count together
+        for start, end in runs[runs[:, 1] - runs[:, 0] >= min(WINDOW, size)].tolist():
+            covered[start:end] = True
+            length = int(counted[start:end].sum())
+            if length > best[0]:
+                best = (length, changed, doc.places[start + shift][0], doc.places[end - 1 + shift][1])
+        if agree[counted].sum() >= COVERED * counted.sum():
+            covered |= agree
+    share = float(covered[counted].mean())
+    return (share, *best) if share >= COVERED or best[0] >= RUN else None
+
+
+def cut(text: str, overlap: int) -> Iterator[tuple[int, str]]:
+    """Pieces of a text and where they begin."""
     for start in range(0, max(1, len(text)), PIECE):
-        for leak in leaks_of_piece(text[max(0, start - overlap) : start + PIECE], max(0, start - overlap), block):
-            if leak[0] not in best or leak[1:3] > best[leak[0]][1:3]:
-                best[leak[0]] = leak
-    return [best[i] for i in sorted(best)]
-
-
-SCHEMA = "doc_id bigint, item_id bigint, covered double, run int, changed_slots int, start int, end int"
-
-
-def blocks(items: DataFrame) -> Iterator[Block]:
-    """The items in the order of their ids, in blocks of at most BLOCK_WORDS words (a larger item is alone)."""
-    held, words = [], 0
-    rows = items.where("item_id IS NOT NULL").select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text")
-    for row in rows.toLocalIterator():
-        n = row["text"].count(" ") + row["text"].count("\n") + 1
-        if held and words + n > BLOCK_WORDS:
-            yield block_of(held)
-            held, words = [], 0
-        held.append((row["item_id"], row["text"]))
-        words += n
-    if held:
-        yield block_of(held)
+        begin = max(0, start - overlap)
+        yield begin, text[begin : start + PIECE]
+
+
+def leaks(text: str | None, items: list[tuple[int, str]]) -> list[tuple]:
+    """The same comparison without a prefilter: (item id, covered, run, changed slots, start, end) of each item that the text leaks."""
+    text, best = text or "", {}
+    overlap = overlap_of(max((len(t or "") for _, t in items), default=0))
+    for begin, piece in cut(text, overlap):
+        compared = Compared(piece)
+        for item_id, item in items:
+            leak = compared.leak(item or "")
+            if leak and (item_id not in best or leak[:2] > best[item_id][:2]):
+                best[item_id] = (*leak[:3], leak[3] + begin, leak[4] + begin)
+    return [(i, *best[i]) for i in sorted(best)]
+
+
+def overlap_of(longest: int) -> int:
+    return 2 * longest + 1000
+
+
+LEAK = "covered double, run int, changed_slots int, start int, end int"
+SCHEMA = f"doc_id bigint, item_id bigint, {LEAK}"
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """item, size and hash of the windows of both forms."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                both = forms(text)
+                size = min(WINDOW, len(both[0].words))
+                if size:
+                    found = {h for form in both for h in hashed(form.words, [size])[size].view(np.int64).tolist()}
+                    out += [(item, size, h) for h in found]
+            yield pd.DataFrame(out, columns=["item", "size", "hash"])
+
+    return items.select("item", "text").mapInPandas(run, "item bigint, size int, hash bigint")
+
+
+def bit_map(windows: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value of the first `bits` bits of a hash, put together in Spark in parts of 32,768 bits."""
+    place = F.shiftrightunsigned("hash", 64 - bits) + 1
+    parts = windows.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("filled"))
+    filled = np.zeros((1 << bits) // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        part = np.frombuffer(bytes(row["filled"]), np.uint8)
+        begin = (row["part"] - 1) * len(part)
+        filled[begin : begin + len(part)] = part[: len(filled) - begin]
+    return filled
+
+
+_scanner: list[Scanner] = []
+
+
+def candidates(docs: DataFrame, windows: DataFrame, longest: int) -> DataFrame:
+    """digest, begin, piece and hash list of the text pieces with a window that may be an item's; equal texts near each other once."""
+    facts = windows.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * facts["n"]).bit_length()))
+    sizes, overlap = facts["sizes"], overlap_of(longest)
+    filled = docs.sparkSession.sparkContext.broadcast(bit_map(windows, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not _scanner:
+            _scanner.append(Scanner())
+
+        def emit(pieces: dict[tuple, str]) -> pa.RecordBatch:
+            found: dict[int, list[int]] = {}
+            for at, value in _scanner[0].passing(list(pieces.values()), sizes, bits, filled.value):
+                found.setdefault(at, []).append(value)
+            hashes = [np.array(v, np.uint64).view(np.int64) for v in found.values()]
+            rows = [(*key, piece) for key, piece in pieces.items()]
+            chosen = [rows[at] for at in found]
+            return pa.RecordBatch.from_arrays([
+                pa.array([p[0] for p in chosen], pa.binary()), pa.array([p[1] for p in chosen], pa.int64()), pa.array([p[2] for p in chosen], pa.string()),
+                pa.array(hashes, pa.list_(pa.int64()))], names=["digest", "begin", "piece", "hashes"])
+
+        pieces, size = {}, 0
+        for batch in batches:
+            for digest, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                for mark in PLACEHOLDERS:
+                    text = text.replace(mark, " ")
+                for begin, piece in cut(text, overlap):
+                    pieces[digest.as_py(), begin] = piece
+                    size += len(piece)
+                    if size > AT_ONCE:
+                        yield emit(pieces)
+                        pieces, size = {}, 0
+        if pieces:
+            yield emit(pieces)
+
+    return docs.where("text IS NOT NULL AND text <> ''").select(digest_of(F.col("text")).alias("digest"), "text").mapInArrow(
+        run, "digest binary, begin bigint, piece string, hashes array<bigint>")
+
+
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def leaking(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """digest, item_id and what was found, for each different text of `docs` and each item that it leaks."""
+    spark = docs.sparkSession
+    listed = checkpoint(items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").withColumn(
+        "item", F.monotonically_increasing_id()))
+    windows = checkpoint(item_windows(listed))
+    longest = listed.agg(F.max(F.length("text")).alias("n")).first()["n"]
+    if windows.isEmpty():
+        return spark.createDataFrame([], f"digest binary, item_id bigint, {LEAK}")
+    pieces = checkpoint(candidates(docs, windows, longest))
+    key = ("digest", "begin")
+    once = pieces.groupBy(*key).agg(F.any_value("piece").alias("piece"), F.any_value("hashes").alias("hashes"))
+    hashes = once.select(*key, F.explode("hashes").alias("hash"))
+    pairs = hashes.join(windows.select("item", "hash"), "hash").select(*key, "item").distinct()
+    asked = pairs.join(listed, "item").select(*key, "item", "item_id", "text")
+    both = asked.unionByName(once.select(*key, F.col("piece").alias("text")), allowMissingColumns=True)
+    stream = both.repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("item")).select(*key, "item", "item_id", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, compared = "", None
+        for batch in batches:
+            out = []
+            for digest, begin, item, item_id, value in zip(*batch.columns, strict=True):
+                item = item.as_py()
+                if item is None:
+                    text, compared = value.as_py(), None
+                    continue
+                compared = compared or Compared(text)
+                leak = compared.leak(value.as_py())
+                if leak:
+                    shift = begin.as_py()
+                    out.append((digest.as_py(), item, item_id.as_py(), *leak[:3], leak[3] + shift, leak[4] + shift))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), *[pa.int32()] * 4)
+            names = ["digest", "item", "item_id", "covered", "run", "changed_slots", "start", "end"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    found = stream.mapInArrow(compare, f"digest binary, item bigint, item_id bigint, {LEAK}")
+    rank = F.struct("covered", "run", (-F.col("start")).alias("early"))
+    best = F.max_by(F.struct("covered", "run", "changed_slots", "start", "end"), rank).alias("best")
+    return checkpoint(found.groupBy("digest", "item", "item_id").agg(best).select("digest", "item_id", "best.*"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each document and item that it leaks; documents without a leak have none. No shuffle."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-
-    def found(block: Block) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = [(doc_id, *x) for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
-                       for x in leaks(text, shared.value)]
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-                frame["doc_id"] = frame["doc_id"].astype("Int64")
-                yield frame
-
-        return rows.mapInPandas(scan, SCHEMA)
-
-    every = [found(block) for block in blocks(items)]
-    return reduce(DataFrame.unionAll, every) if every else docs.sparkSession.createDataFrame([], SCHEMA)
-
-
-def leaking(docs: DataFrame, block: Block) -> Column:
-    """Whether the row's text leaks an item of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    @F.pandas_udf("boolean")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(leaks(t, shared.value)) for t in texts], dtype=bool)
-
-    return found("text")
+    """One row for each document and item that it leaks; documents without a leak have none."""
+    found = leaking(docs, items)
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), digest_of(F.col("text")).alias("digest"))
+    return rows.join(found, "digest").drop("digest")
 
 
 def cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs` that leak no item, in one pass per block of items and without a shuffle."""
-    for block in blocks(items):
-        docs = docs.where(~leaking(docs, block))
-    return docs
+    """The rows of `docs` that leak no item."""
+    found = leaking(docs, items).select("digest").distinct()
+    return docs.join(found, digest_of(docs["text"]) == found["digest"], "left_anti")

@@ -118,12 +118,12 @@ def test_leaks_with_other_numbers_and_names(spark, odd_docs, no_docs, monkeypatc
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
     assert {r["doc_id"]: r["changed_slots"] for r in found.where("item_id = 1").collect()}[2] > 0
     assert {r["doc_id"] for r in decontaminate.cleaned(docs, items).collect()} == {3, 4, 5}
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 5)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == expected
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
     assert decontaminate.cleaned(odd_docs, items).columns == odd_docs.columns and decontaminate.contaminated(no_docs, items).count() == 0
     monkeypatch.setattr(decontaminate, "PIECE", 300)
-    block = decontaminate.block_of([(1, ITEM)])
+    block = [(1, ITEM)]
     assert [x[0] for x in decontaminate.leaks("w " * 1000 + ITEM + " v" * 1000, block)] == [1]
     assert decontaminate.leaks(ITEM.replace("Then Tom", "Then Bob").replace("Tom has", "Al has"), block)[0][1] < 1
 
@@ -131,7 +131,7 @@ def test_leaks_with_other_numbers_and_names(spark, odd_docs, no_docs, monkeypatc
 def test_leaks_of_short_sentences_that_start_with_names():
     item = "Tom has 3 apples. Ann has 5 pears. Sue has 2 figs. Joe has 9 plums. How many fruits do they have in all?"
     other = "Bob has 8 apples. Eve has 6 pears. Kim has 4 figs. Max has 7 plums. How many fruits do they have in all?"
-    block = decontaminate.block_of([(1, item)])
+    block = [(1, item)]
     spelled = other.replace("8", "eight").replace("6", "six").replace("4", "four").replace("7", "seven")
     for text in (other, spelled, "Before it stands this. " + other + " And this comes after."):
         (leak,) = decontaminate.leaks(text, block)
@@ -141,16 +141,56 @@ def test_leaks_of_short_sentences_that_start_with_names():
 
 def test_leaks_with_words_put_in():
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
-    block = decontaminate.block_of([(1, " ".join(words))])
+    block = [(1, " ".join(words))]
     moved = words[:11] + ["new"] + words[11:22] + words[24:36]
     (leak,) = decontaminate.leaks("before it " + " ".join(moved) + " after", block)
     assert 0.8 < leak[1] < 0.95 and leak[2] == 12
     assert decontaminate.leaks(" ".join(words[:9] + ["other", "words"] * 9), block) == []
 
 
-def test_canonical_forms_agree(spark):
-    for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
-        assert decontaminate.canonical(r["text"]).words == decontaminate.canonical_words(r["text"])
+def test_the_scanner_reads_the_canonical_words(spark, monkeypatch):
+    """Word numbers of many texts at once are those of their canonical words, in both forms."""
+    rng = np.random.default_rng(7)
+    parts = ["Tom", "tom", "The", "THE", "x.", "said:", "(Ann", "\"Bob", "5", "5-", "-", "kg", "Kg.", "-km", "m/s", "3kg", "1,000.5", "$5", "50%", "Three", "three,",
+             "Äpfel", "ÄPFEL", "it's", "A-b", "A.", "x_y", "١", "²", "ſ", "5.", "...", "", "\t", "a\tB", "Meters", "METERS", "–", "“Eve", "日本", "Z9z", "I"]
+    seps = [" ", " ", " ", " ", "\n", "  ", "\t", " \n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(seps) for _ in range(rng.integers(0, 30))) for _ in range(3000)]
+    texts += ["TOM HAS THREE APPLES AND 5 KG. ANN TOO", "TOM", "", "\n", " "]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for known in (1 << 20, 300):
+        monkeypatch.setattr(decontaminate, "KNOWN_CHUNKS", known)
+        scanner = decontaminate.Scanner()
+        for i in range(0, len(texts), 250):
+            some = texts[i : i + 250]
+            words, ends = scanner.numbers(some)
+            begin = 0
+            for text, end in zip(some, ends.tolist(), strict=True):
+                expected = [[decontaminate.word_number(w) for w in form.words] for form in decontaminate.forms(text)]
+                assert words[begin:end].T.tolist() == expected, text
+                begin = end + 1
+            assert begin == len(words)
+
+
+def test_leaks_do_not_depend_on_other_items(spark):
+    names = [("Will", "Grace", "Mark", "Rose"), ("Bob", "Eve", "Kim", "Max")]
+    item, text = (f"{a} has 3 apples. {b} has 5 pears. {c} has 2 figs. {d} has 9 plums. How many do they have?" for a, b, c, d in names)
+    other = "they will mark the rose with grace and then the very long day ends as it has begun for all"
+    docs = spark.createDataFrame([(1, text), (2, "nothing of this")], "doc_id bigint, text string")
+    for rows in ([(1, item)], [(1, item), (2, other)], [(i, other) for i in range(3, 50)] + [(1, item)]):
+        items = spark.createDataFrame(rows, "item_id bigint, text string").repartition(3)
+        assert [(r["doc_id"], r["item_id"], r["covered"]) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 1, 1.0)]
+
+
+def test_leaks_are_those_of_comparing_all_pairs(spark, monkeypatch):
+    """Every text with every item, without hashes of windows that a bit map lets pass; also where the map lets all pass."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    expected = sorted((r["doc_id"], *leak) for r in docs.collect() for leak in decontaminate.leaks(r["text"], items))
+    for bits in (decontaminate.LEAST_BITS, 3):
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", bits)
+        monkeypatch.setattr(decontaminate, "MOST_BITS", max(bits, 3))
+        found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+        assert sorted(tuple(r) for r in found.collect()) == expected
 
 
 def test_whole_items_are_found(spark):

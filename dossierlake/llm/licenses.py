@@ -1,16 +1,21 @@
 """License scans by conditional compression.
 
 Blocks of a text that speak of licensing are compressed alone and with each license template as a raw
-zstandard dictionary; the share of bytes that the template saves ranks the templates. Every template that can
-still reach `AGREEING`, by how many of its words the block has at all, is then compared word by word, and reported only
-if the wording bears it out: at least `AGREEING` of its words stand there in order. The differences in wording are kept
-with the finding.
+zstandard dictionary; the share of bytes that the template saves ranks the templates. They are compared word by word
+in that order, and one is reported only if the wording bears it out: at least `AGREEING` of its words stand there in order.
+The comparison goes down the ranking until no template below can agree in a larger share, by how many of
+its words the block has at all; so the result is that of comparing all, and a good ranking saves the work. The differences
+in wording are kept with the finding. What stands before a finding and behind it is searched on its own.
 
-A block is a run of lines with at most `LINES_BETWEEN` lines between two that hold a cue word. Blocks much
-longer than the templates are read in windows that overlap by the longest template.
+Templates are notices and short licenses, and the texts in `license_texts`, each cut at its paragraphs into sections of at most
+`SECTION` words.
+
+A block is a run of lines with at most `LINES_BETWEEN` lines between two that hold a cue word; where it holds a section
+of a whole text, its surroundings are searched too, as far as that text can reach. Blocks much
+longer than the templates are read in windows that overlap by the longest template, so a text of any length is searched whole.
 
 Defined cases: null and empty texts, and texts without a cue, have no finding; repeated rows each have
-theirs; overlapping findings of one block are settled by rank, then by the template's name.
+theirs; of templates that agree in equal shares the longer one is taken, then the one first by name; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from importlib import resources
 import re
 
 import pandas as pd
@@ -27,6 +33,7 @@ import zstandard
 
 AGREEING = 0.85
 LINES_BETWEEN = 3
+SECTION, SHORTEST = 300, 25
 CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|permission is hereby|public domain|spdx-"
 CUE = re.compile(CUES)
 WORDS = re.compile(r"\w+(?:[.'-]\w+)*")
@@ -146,12 +153,42 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
+def sections(text: str) -> list[str]:
+    """The paragraphs of a license text, short ones joined with the next, none above `SECTION` words if it can be cut."""
+    found, held = [], []
+    for paragraph in re.split(r"\n\s*\n", text):
+        words = paragraph.split()
+        if held and len(held) + len(words) > SECTION:
+            found.append(held)
+            held = []
+        held = held + words
+        while len(held) > SECTION:
+            found.append(held[:SECTION])
+            held = held[SECTION:]
+        if len(held) >= SHORTEST:
+            found.append(held)
+            held = []
+    if held:
+        found.append(held)
+    return [" ".join(words) for words in found if len(words) >= SHORTEST]
+
+
+def all_templates() -> dict[str, tuple[str, ...]]:
+    """The notices above and the sections of the whole texts."""
+    found = dict(TEMPLATES)
+    for file in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name = file.name.removesuffix(".txt")
+        found[name] = (*found.get(name, ()), *sections(file.read_text(encoding="utf-8")))
+    return found
+
+
 @dataclass(frozen=True)
 class Template:
     license: str
     words: tuple[str, ...]
     counted: Counter[str]
     compressor: zstandard.ZstdCompressor
+    section: bool = False
 
 
 def canonical(text: str) -> bytes:
@@ -160,12 +197,13 @@ def canonical(text: str) -> bytes:
 
 def prepared(templates: dict[str, tuple[str, ...]] | None = None) -> list[Template]:
     found = []
-    for name, wordings in (templates or TEMPLATES).items():
+    for name, wordings in (templates or all_templates()).items():
         for wording in wordings:
             data = canonical(wording)
             words = tuple(data.decode("utf-8", "surrogatepass").split())
             data = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            found.append(Template(name, words, Counter(words), zstandard.ZstdCompressor(level=9, dict_data=data)))
+            compressor = zstandard.ZstdCompressor(level=9, dict_data=data)
+            found.append(Template(name, words, Counter(words), compressor, wording not in TEMPLATES.get(name, ())))
     return found
 
 
@@ -177,6 +215,7 @@ class Finding:
     saved: float
     agreeing: float
     differences: tuple[str, ...]
+    section: bool = False  # of a whole text
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -225,39 +264,84 @@ def reachable(template: Template, counted: Counter[str]) -> float:
     return sum(min(n, counted[w]) for w, n in template.counted.items()) / len(template.words)
 
 
+Span = tuple[str, int, int]
+
+
+def best_of(words: list[str], templates: list[Template], plain: zstandard.ZstdCompressor) -> tuple | None:
+    """(saved, template, share, first, end, differences) of the template that agrees best.
+
+    Templates are compared in the order of what they save, as long as one below can still agree better.
+    """
+    counted = Counter(words)
+    reach = {i: (share, len(t.words)) for i, t in enumerate(templates) if (share := reachable(t, counted)) >= AGREEING}
+    if not reach:
+        return None
+    data = " ".join(words).encode("utf-8", "surrogatepass")
+    alone = len(plain.compress(data))
+    ranked = sorted((len(templates[i].compressor.compress(data)) - alone, templates[i].license, i) for i in reach)
+    best, key = None, (AGREEING, 0)
+    for place, (growth, _, i) in enumerate(ranked):
+        if best and key > max(reach[j] for _, _, j in ranked[place:]):
+            break
+        if reach[i] < key:
+            continue
+        share, first, end, differences = compared(templates[i], words)
+        this = (share, len(templates[i].words))
+        if this > key or (this == key and best and templates[i].license < best[1].license):
+            best, key = (-growth / alone, templates[i], share, first, end, differences), this
+    return best
+
+
 def findings_in(text: str, offset: int, templates: list[Template]) -> list[Finding]:
-    """Findings of one block; after each, its words are taken out and the rest is ranked again."""
+    """Findings of one block; the words before one and those behind it are searched on their own."""
     plain = zstandard.ZstdCompressor(level=9)
     spans = [(m.group().lower(), m.start(), m.end()) for m in WORDS.finditer(text)]
     longest = 2 * max(len(t.words) for t in templates)
     step = longest // 2
-    found = []
+    found: list[Finding] = []
     for low in range(0, max(1, len(spans) - step), step):
-        rest = [s for s in spans[low : low + longest] if not any(f.start - offset < s[2] and s[1] < f.end - offset for f in found)]
-        while rest:
-            words, best = [s[0] for s in rest], None
-            counted = Counter(words)
-            able = [i for i, t in enumerate(templates) if reachable(t, counted) >= AGREEING]
-            if not able:
-                break
-            data = " ".join(words).encode("utf-8", "surrogatepass")
-            alone = len(plain.compress(data))
-            ranked = sorted(
-                ((1 - len(templates[i].compressor.compress(data)) / alone, templates[i].license, -len(templates[i].words), i) for i in able),
-                key=lambda x: (-x[0], x[1:]))
-            for saved, name, _, i in ranked:
-                share, first, end, differences = compared(templates[i], words)
-                if share >= AGREEING and (best is None or (share, len(templates[i].words)) > best[0]):
-                    best = ((share, len(templates[i].words)), Finding(name, offset + rest[first][1], offset + rest[end - 1][2], saved, share, differences), first, end)
-            if best is None:
-                break
-            found.append(best[1])
-            rest = rest[: best[2]] + rest[best[3] :]
+        waiting = open_stretches(spans[low : low + longest], [(f.start - offset, f.end - offset) for f in found])
+        while waiting:
+            rest = waiting.pop()
+            best = best_of([w for w, _, _ in rest], templates, plain)
+            if best:
+                saved, template, share, first, end, differences = best
+                found.append(Finding(template.license, offset + rest[first][1], offset + rest[end - 1][2], saved, share, differences, template.section))
+                waiting += [part for part in (rest[:first], rest[end:]) if part]
     return found
 
 
+def open_stretches(spans: list[Span], taken: list[tuple[int, int]]) -> list[list[Span]]:
+    """The stretches of words between what is taken."""
+    out: list[list[Span]] = [[]]
+    for span in spans:
+        if any(a < span[2] and span[1] < b for a, b in taken):
+            out.append([])
+        else:
+            out[-1].append(span)
+    return [part for part in out if part]
+
+
+def whole_length(templates: list[Template], license: str) -> int:
+    """A bound on the characters of the license's whole text, between any two of its sections."""
+    return sum(2 * len(w) + 2 for t in templates if t.license == license for w in t.words)
+
+
+def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(stretches):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(text: str, templates: list[Template]) -> list[Finding]:
     found = [f for a, b in blocks(text) for f in findings_in(text[a:b], a, templates)]
+    sizes = {f.license: whole_length(templates, f.license) for f in found if f.section}
+    for a, b in merged([(max(0, f.start - sizes[f.license]), min(len(text), f.end + sizes[f.license])) for f in found if f.section]):
+        found = [f for f in found if f.end <= a or b <= f.start] + findings_in(text[a:b], a, templates)
     return sorted(found, key=lambda f: (f.start, f.end, f.license))
 
 
@@ -267,8 +351,10 @@ SCHEMA = "doc_id bigint, start int, end int, license string, saved double, agree
 def license_findings(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row for each license notice in a text: place, license, saved share, agreeing share, differences; no shuffle."""
 
+    wanted = templates or all_templates()
+
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ready = prepared(templates)
+        ready = prepared(wanted)
         for batch in batches:
             out = [
                 (doc_id, f.start, f.end, f.license, f.saved, f.agreeing, not f.differences, list(f.differences))

@@ -106,7 +106,7 @@ FROM sets JOIN least ON doc_id = node
 
 def packing_sql(buckets: int = packing.BUCKETS, budget: int = packing.BUDGET) -> str:
     """The same packing over the table documents; the steps of the dynamic programme are written out."""
-    longest, grain = packing.LONGEST, packing.GRAIN
+    longest = packing.LONGEST
     steps = ["d1 AS (SELECT j, 0 AS i, level * upto AS cost FROM levels)"]
     for b in range(2, buckets + 1):
         steps.append(
@@ -123,7 +123,7 @@ WITH counted AS (
 cut AS (
   SELECT doc_id, piece, least(total - piece * {longest}, {longest}) AS tokens
   FROM (SELECT doc_id, total, CAST(unnest(range(0, greatest(CAST(ceil(total / {longest}.0) AS BIGINT), 1))) AS BIGINT) AS piece FROM counted)),
-leveled AS (SELECT CAST(ceil(tokens / {grain}.0) * {grain} AS BIGINT) AS level, count(*) AS n FROM cut WHERE tokens > 0 GROUP BY 1),
+leveled AS (SELECT tokens AS level, count(*) AS n FROM cut WHERE tokens > 0 GROUP BY 1),
 levels AS (SELECT level, CAST(sum(n) OVER (ORDER BY level) AS BIGINT) AS upto, row_number() OVER (ORDER BY level) AS j FROM leveled),
 {", ".join(steps)}, {", ".join(chain)},
 bounds AS (

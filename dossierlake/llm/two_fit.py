@@ -17,6 +17,7 @@ tokenised in slices that end at white space, which this tokenizer drops.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 import zlib
 
@@ -29,7 +30,7 @@ from dossierlake.llm.common import checkpoint
 ROOM, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 BIN_ROWS = 200_000
-KNOWN_WORDS, WORD_LENGTH, SLICE = 1 << 20, 64, 1 << 20
+KNOWN_WORDS, WORD_LENGTH, SLICE = 1 << 19, 64, 1 << 20
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 _loaded: dict[str, WordIds] = {}
@@ -38,52 +39,66 @@ _loaded: dict[str, WordIds] = {}
 class WordIds:
     """Ids of texts as bytes, four to an id; each word between blanks is tokenised once while it is known.
 
-    Words are independent for a tokenizer that drops white space. At most `KNOWN_WORDS` short words are kept.
+    Words are independent for a tokenizer that drops white space. Words in Latin-1 letters, with a mark behind them or
+    not, go to the library's model in lower case, all others through the whole library. Known words are kept in two
+    generations of at most `KNOWN_WORDS`; the older one is dropped when the younger is full, words met again move on.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        written = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {c: written(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
 
     def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words. A Latin-1 word in letters with one mark behind it is that word in lower case and that mark."""
-        parts = {}
+        """Ids of words that are not known."""
+        known, older, tokenize, letters = self.known, self.older, self.tokenizer.model.tokenize, self.letters
+        found: dict[str, bytes] = {}
+        others = []
         for w in words:
-            tail = w[-1:] if w[-1:] in ",.;:!?" else ""
-            stem = w[: len(w) - len(tail)]
-            parts[w] = (stem.lower(), tail) if stem.isalpha() and max(stem) < "Ā" else (w, "")
-        units = list({u for pair in parts.values() for u in pair if u and u not in self.known})
-        ids = dict(zip(units, self.encode(units), strict=True)) | {"": b""}
-
-        def get(unit: str) -> bytes:
-            return ids[unit] if unit in ids else self.known[unit]
-
-        fresh = {w: get(a) + get(b) for w, (a, b) in parts.items()}
-        return {u: x for u, x in ids.items() if u} | fresh
+            ids = older.get(w)
+            if ids is None:
+                stem, mark = (w, "") if w.isalpha() else (w[:-1], w[-1])
+                if not (mark in ",.;:!?" and stem.isalpha() and (stem.isascii() or max(stem) < "Ā")):
+                    others.append(w)
+                    continue
+                low = stem.lower()
+                ids = known.get(low) or found.get(low) or older.get(low)
+                if ids is None:
+                    ids = array("I", [t.id for t in tokenize(low.translate(letters))]).tobytes()
+                    found[low] = ids
+                ids += self.mark(mark)
+            found[w] = ids
+        found.update(zip(others, self.encode(others), strict=True))
+        return found
+
+    def mark(self, mark: str) -> bytes:
+        if mark not in self.known:
+            self.known[mark] = self.encode([mark])[0]
+        return self.known[mark]
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text:  # the strings of special tokens may hold blanks' neighbours; left to the library as a whole
+        if "<|" in text:  # the strings of special tokens, which the library takes out of words
             return self.encode([text])[0]
         out, at = [], 0
         while at < len(text):
             end = len(text) if len(text) - at <= SLICE else text.find(" ", at + SLICE)
             end = len(text) if end < 0 else end
             words = text[at:end].replace("\n", " ").split(" ")
-            new = {w for w in words if w not in self.known}
-            if new:
-                if len(self.known) + 2 * len(new) > KNOWN_WORDS:
-                    self.known.clear()
-                    new = set(words)
-                learned = self.learn(new)
+            ids = list(map(self.known.get, words))
+            if None in ids:
+                learned = self.learn({w for w, x in zip(words, ids, strict=True) if x is None})
+                ids = [learned[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+                if len(self.known) + len(learned) > KNOWN_WORDS:
+                    self.known, self.older = {"": b""}, self.known
                 self.known.update((w, x) for w, x in learned.items() if len(w) <= WORD_LENGTH)
-                out.append(b"".join([learned[w] if w in learned else self.known[w] for w in words]))
-            else:
-                out.append(b"".join(map(self.known.__getitem__, words)))
+            out += ids
             at = end
         return b"".join(out)
 

@@ -1,10 +1,13 @@
 """Fingerprints, licenses, leaks, pages, personal data, language."""
 
+import dataclasses
 import hashlib
+from pathlib import Path
 import re
 
 import numpy as np
 import pytest
+import zstandard
 
 from dossierlake.llm import decontaminate, fingerprints, html, language, licenses, pii
 
@@ -85,6 +88,55 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.license_findings(odd_docs).count() == 0 and licenses.license_findings(no_docs).count() == 0
 
 
+def test_whole_license_texts_are_found():
+    """Each text is found by its own sections, also with a changed word, and nothing of it under another name."""
+    ready = licenses.prepared()
+    folder = Path(licenses.__file__).parent / "license_texts"
+    for file in sorted(folder.iterdir()):
+        text = file.read_text().replace(" any ", " whatever ", 1)
+        found = licenses.scan("A heading.\n\n" + text, ready)
+        covered = sum(f.end - f.start for f in found if f.license == file.name[:-4])
+        assert covered > 0.75 * len(text), (file.name, covered, len(text))
+        assert sum(f.end - f.start for f in found if f.license != file.name[:-4]) < 0.12 * len(text), file.name
+        assert any("any > whatever" in d for f in found for d in f.differences), file.name
+
+
+def all_compared(words, templates):
+    """The best template by comparing every one."""
+    found = [(*licenses.compared(t, words), t) for t in templates]
+    return max(((share, len(t.words), [-ord(c) for c in t.license]) for share, *_, t in found if share >= licenses.AGREEING), default=None)
+
+
+def test_the_ranking_decides_how_much_is_compared(spark, monkeypatch):
+    ready = licenses.prepared()
+    plain = zstandard.ZstdCompressor(level=9)
+    calls = []
+    compared = licenses.compared
+    monkeypatch.setattr(licenses, "compared", lambda *a: calls.append(1) or compared(*a))
+    texts = [t for t in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").toPandas()["text"] if licenses.CUE.search(t or "")]
+    samples = [licenses.canonical(t[a:b]).decode().split() for t in texts for a, b in licenses.blocks(t)]
+    samples += [list(t.words) for t in ready]
+    for words in samples:
+        best = licenses.best_of(words, ready, plain)
+        made, expected = len(calls), all_compared(words, ready)
+        assert (best and (best[2], len(best[1].words), [-ord(c) for c in best[1].license])) == expected
+        del calls[:]
+        assert made <= len(ready)
+
+    class Constant:
+        def compress(self, data):
+            return b"x" * 10
+
+    def comparisons(templates, words):
+        del calls[:]
+        licenses.best_of(words, templates, plain)
+        return len(calls)
+
+    blind = [dataclasses.replace(t, compressor=Constant()) for t in ready]
+    wholes = [list(t.words) for t in ready if len(t.words) > 100]
+    assert sum(comparisons(ready, w) for w in wholes) < sum(comparisons(blind, w) for w in wholes)
+
+
 PARAGRAPH = """You may not think so, but the use of the word without any of the conditions that are subject to the law in this form is, as far as
 we can see, not permitted in most of the countries that have signed the agreement, and to the extent that it is, the person who made the
 copy has to include a notice of the source, either in the text or in the files which are distributed with it, and to obtain the

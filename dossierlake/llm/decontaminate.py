@@ -40,7 +40,7 @@ from dossierlake.llm.common import checkpoint
 WINDOW = 8
 COVERED, RUN = 0.5, 13
 PIECE = 1 << 20
-LEAST_BITS, MOST_BITS = 16, 27
+LEAST_BITS, MOST_BITS = 21, 27
 KNOWN_CHUNKS, AT_ONCE = 1 << 20, 1 << 21
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 PLACEHOLDERS = frozenset((NUMBER, NAME, UNIT))
@@ -233,14 +233,16 @@ class Scanner:
         return words, ends
 
     def passing(self, texts: list[str], sizes: list[int], bits: int, filled: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(text, hash) of each different window whose place in the bit map is set."""
+        """(text, hash) of each different window whose places in the bit map are all set."""
         words, ends = self.numbers(texts)
         for size in sizes:
             found = []
             for form in range(2):
                 hashes = window_hashes(words[:, form], size)
-                place = hashes >> np.uint64(64 - bits)
-                at = np.flatnonzero(filled[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                at = np.arange(len(hashes))
+                for k in range(64 // bits):
+                    place = hashes[at] << np.uint64(k * bits) >> np.uint64(64 - bits)
+                    at = at[np.flatnonzero(filled[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)]
                 if len(at):
                     found.append(np.stack([np.searchsorted(ends, at).astype(np.uint64), hashes[at]], 1))
             if found:
@@ -375,9 +377,10 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def bit_map(windows: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each value of the first `bits` bits of a hash, put together in Spark in parts of 32,768 bits."""
-    place = F.shiftrightunsigned("hash", 64 - bits) + 1
-    parts = windows.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("filled"))
+    """Of each hash, the bits at the places that its first `bits` bits, its next ones and so on name; put together in Spark in parts of 32,768."""
+    places = F.array(*[F.shiftrightunsigned(F.shiftleft("hash", k * bits), 64 - bits) for k in range(64 // bits)])
+    place = F.col("place") + 1
+    parts = windows.select(F.explode(places).alias("place")).groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("filled"))
     filled = np.zeros((1 << bits) // 8, np.uint8)
     for row in parts.toLocalIterator():
         part = np.frombuffer(bytes(row["filled"]), np.uint8)

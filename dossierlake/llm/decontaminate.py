@@ -140,6 +140,8 @@ def hashed(words: list[str], sizes: list[int]) -> dict[int, np.ndarray]:
 
 
 BREAK, LINE = 0, 1  # chunks that stand for the end of a text and of a line
+# Of a chunk: its first word is a capital; it is a unit if a number goes before; a name may follow; it ends in a number; it is only a gap.
+CAPITAL_FIRST, UNIT_FIRST, NAME_FOLLOWS, OPEN_END, IS_GAP = 1, 2, 4, 8, 16
 
 
 class Scanner:
@@ -153,83 +155,89 @@ class Scanner:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        # For each chunk: how many words; is its first word a capital, or a unit if a number goes before; may a name follow;
-        # does it end in a number; is it only a gap. Words of all chunks lie in a row, in both forms.
-        self.count, self.begin = np.array([1, 0], np.int32), np.array([0, 1], np.int64)
-        self.flags = np.array([[False, False, False, False, False], [False, False, False, False, True]])
+        self.known: dict[str | None, int] = {None: BREAK, "\n": LINE}
+        # For each chunk: where its words begin and how many they are, in both forms, and what the chunks around it have to know.
+        self.begin, self.count, self.flags = np.array([0, 1], np.int64), np.array([1, 0], np.int64), np.array([0, IS_GAP], np.uint8)
         self.words = np.array([[word_number("\x00")] * 2], np.uint64)
 
     def learn(self, chunks: list[str]) -> None:
-        count, flags, words = [], [], []
+        counts, flags, first, second_form = [], [], [], []
+        number_of = xxhash.xxh3_64_intdigest
         for chunk in chunks:
-            stem = chunk if chunk.isalpha() else chunk[:-1]
-            last = chunk[-1:]
-            follows = bool(last) and last not in NO_NAME_AFTER and not last.isspace()
-            if stem and stem.isalpha() and (last in ",.;:!?)" or stem is chunk):
+            mark = "" if chunk.isalpha() else chunk[-1:]
+            stem = chunk if not mark else chunk[:-1]
+            if stem and mark in ",.;:!?)" and (not mark or stem.isalpha()) and "ſ" not in chunk:
                 low = stem.lower()
-                capital = CAPITALS.match(stem) is not None if not stem.islower() else False
-                unit = low in UNIT_SET if stem.isascii() else FIRST_UNIT.match(stem) is not None
-                number = word_number(low)
-                count.append(1)
-                flags.append((capital, unit, follows, False, False))
-                words.append((number, NUMBER_NUMBER if low in NUMBER_WORDS else NAME_NUMBER if capital else number))
+                number = number_of(low.encode())
+                capital = low != stem and is_capital(stem[0])
+                counts.append(1)
+                flags.append(CAPITAL_FIRST * capital | UNIT_FIRST * (low in UNIT_SET) | NAME_FOLLOWS * (mark not in NO_NAME_AFTER))
+                first.append(number)
+                second_form.append(NUMBER_NUMBER if low in NUMBER_WORDS else NAME_NUMBER if capital else number)
                 continue
-            first, other = forms(chunk)
-            both = list(zip(first.words, other.words, strict=True))
-            capital = bool(both) and first.places[0][0] == 0 and CAPITALS.match(chunk) is not None
-            count.append(len(both))
-            flags.append((capital, FIRST_UNIT.match(chunk) is not None, follows, OPEN_NUMBER.search(chunk) is not None, GAP.match(chunk) is not None))
-            shouting = chunk.isupper()  # of a chunk that says nothing yet about its text
-            words += [(word_number(a), NAME_NUMBER if shouting and b not in PLACEHOLDERS and CAPITALS.match(chunk, at) else word_number(b))
-                      for (a, b), (at, _) in zip(both, first.places, strict=True)]
+            n, capital = 0, False
+            for match in DETAILED.finditer(chunk):
+                group = match.group()
+                if match["number"]:
+                    pairs = [(NUMBER_NUMBER, NUMBER_NUMBER)] + [(UNIT_NUMBER, UNIT_NUMBER)] * bool(match["unit"])
+                elif match["sign"]:
+                    pairs = [(UNIT_NUMBER, UNIT_NUMBER)]
+                else:
+                    low, named = group.lower(), CAPITALS.match(chunk, match.start()) is not None
+                    number = word_number(low)
+                    capital = capital or (named and match.start() == 0)
+                    pairs = [(number, NUMBER_NUMBER if low in NUMBER_WORDS else NAME_NUMBER if named else number)]
+                n += len(pairs)
+                for x, y in pairs:
+                    first.append(x)
+                    second_form.append(y)
+            last = chunk[-1:]
+            counts.append(n)
+            flags.append(
+                CAPITAL_FIRST * capital | UNIT_FIRST * (FIRST_UNIT.match(chunk) is not None)
+                | NAME_FOLLOWS * (bool(last) and last not in NO_NAME_AFTER and not last.isspace())
+                | OPEN_END * (OPEN_NUMBER.search(chunk) is not None) | IS_GAP * (GAP.match(chunk) is not None))
         base = len(self.count)
         self.known.update(zip(chunks, range(base, base + len(chunks)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.words) + np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)])
-        self.count = np.concatenate([self.count, np.array(count, np.int32)])
-        self.flags = np.concatenate([self.flags, np.array(flags, bool).reshape(-1, 5)])
-        if words:
-            self.words = np.concatenate([self.words, np.array(words, np.uint64)])
+        self.begin = np.concatenate([self.begin, len(self.words) + np.cumsum([0, *counts[:-1]])])
+        self.count = np.concatenate([self.count, np.array(counts, np.int64)])
+        self.flags = np.concatenate([self.flags, np.array(flags, np.uint8)])
+        self.words = np.concatenate([self.words, np.stack([np.array(first, np.uint64), np.array(second_form, np.uint64)], 1)])
 
     def chunk_numbers(self, texts: list[str]) -> np.ndarray:
         """The chunks of the texts, a BREAK after each."""
-        out = []
-        lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        new = {chunk for text in lines for line in text for chunk in line if chunk not in self.known}
+        chunks: list[str | None] = []
+        for text in texts:
+            chunks += text.replace("\n", " \n ").split(" ")
+            chunks.append(None)
+        new = set(chunks).difference(self.known)
         if new:
             if len(self.known) + len(new) > KNOWN_CHUNKS:
                 self.forget()
-                new = {chunk for text in lines for line in text for chunk in line}
+                new = set(chunks).difference(self.known)
             self.learn(list(new))
-        get = self.known.__getitem__
-        for text in lines:
-            for line in text:
-                out += map(get, line)
-                out.append(LINE)
-            out[-1] = BREAK
-        return np.array(out, np.int64)
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in both forms (columns), and where each text ends."""
         chunks = self.chunk_numbers(texts)
-        capital, unit, follows, opened, gap = self.flags[chunks].T
-        before = np.concatenate([[BREAK], chunks[:-1]])
-        solid = np.maximum.accumulate(np.where(gap, -1, np.arange(len(chunks))))
+        flags = self.flags[chunks]
+        solid = np.maximum.accumulate(np.where(flags & IS_GAP, -1, np.arange(len(chunks))))
         solid = np.concatenate([[-1], solid[:-1]])
-        pending = (solid >= 0) & opened[solid]
-        count, begin = self.count[chunks].astype(np.int64), self.begin[chunks]
+        pending = (solid >= 0) & (flags[solid] & OPEN_END > 0)
+        count, begin = self.count[chunks], self.begin[chunks]
         first = np.cumsum(count) - count
         words = self.words[np.repeat(begin - first, count) + np.arange(count.sum())]
         ends = first[chunks == BREAK]
+        name = (flags & CAPITAL_FIRST > 0) & (np.concatenate([[0], flags[:-1]]) & NAME_FOLLOWS > 0)
         shouting = np.array([text.isupper() for text in texts])
-        name = capital & self.flags[before, 2]
         if shouting.any():
             loud = np.repeat(shouting, np.diff(np.concatenate([[-1], np.flatnonzero(chunks == BREAK)])))
             name &= ~loud
             low = np.repeat(loud, count) & (words[:, 1] == NAME_NUMBER)
             words[low, 1] = words[low, 0]
         words[first[name]] = NAME_NUMBER
-        words[first[unit & pending]] = UNIT_NUMBER
+        words[first[(flags & UNIT_FIRST > 0) & pending]] = UNIT_NUMBER
         return words, ends
 
     def passing(self, texts: list[str], sizes: list[int], bits: int, filled: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -249,6 +257,10 @@ class Scanner:
                 yield from map(tuple, np.unique(np.concatenate(found), axis=0).tolist())
 
 
+def is_capital(letter: str) -> bool:
+    return "A" <= letter <= "Z" or "À" <= letter <= "Þ" and letter != "×"
+
+
 UNIT_SET = frozenset(UNITS)
 NUMBER_NUMBER, NAME_NUMBER, UNIT_NUMBER = map(word_number, (NUMBER, NAME, UNIT))
 

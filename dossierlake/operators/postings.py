@@ -2,9 +2,8 @@
 
 A posting is (token, key, tf, size, places): where a token stands in a row, and how many tokens the row has.
 Postings are made for the tokens of a table of queries only, or for all tokens and kept in a folder, from which a search
-reads the partitions its tokens lie in. The best k are found in steps that rule rows out early: rare tokens give a
-bar for each query, tokens that cannot lift a row over the bar don't make candidates, and only rows that can still
-reach the bar are scored in full. All of it is exact.
+reads the partitions its tokens lie in. The best k are found without the postings of words that are nearly everywhere: they
+count only for rows that the other tokens bring near the best. That is exact.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from dossierlake.operators.keyword import BM25_B, BM25_IDF_FLOOR, BM25_K1, SCORE
 from dossierlake.session import checkpoint
 
 BUCKETS = 64
-PROBED = 50  # rows, for each row wanted, that set the first bar
+WEAK = 0.05  # share of a query's bounds
 MARGIN = 2e-6  # scores are compared as rounded
 
 # What the full-text index takes for a word, and what a query token may keep.
@@ -98,8 +97,9 @@ def phrase_postings(found: DataFrame, key: str, asked: DataFrame) -> DataFrame:
 def bm25_top(found: DataFrame, key: str, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, key, bm25, hits, rank), the best k rows of each query; `asked` has (query_id, token), each pair once.
 
-    A token's bound is the most it adds to any row. A row made of a query's weaker tokens alone stays below the bar if their
-    bounds together do.
+    A token's bound is the most it adds to any row. The weakest tokens of a query, with at most `WEAK` of its bounds together,
+    make no candidates: rows are summed up over the others, the k-th best sum is the query's bar, and only rows that the
+    weak tokens can still lift to the bar are scored in full. Where the weak tokens alone could reach it, all their rows are.
     """
     held = checkpoint(found.select(key, "token", "tf", "size"))
     total = held.where("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).first()
@@ -110,22 +110,22 @@ def bm25_top(found: DataFrame, key: str, asked: DataFrame, k: int) -> DataFrame:
     idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(BM25_IDF_FLOOR))
     tokens = weighed.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most")).select(
         "token", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound"))
-    strongest = Window.partitionBy("query_id").orderBy(F.desc("bound"), "token")
-    weakest = Window.partitionBy("query_id").orderBy("bound", F.desc("token"))
+    weakest = Window.partitionBy("query_id").orderBy("bound", "token")
     terms = checkpoint(asked.join(tokens, "token").select(
-        "query_id", "token", "idf", "bound", F.sum("bound").over(weakest).alias("rest"),
-        (F.sum("df").over(strongest) - F.col("df")).alias("before")))
+        "query_id", "token", "idf", (F.sum("bound").over(weakest) > WEAK * F.sum("bound").over(Window.partitionBy("query_id"))).alias("strong"), "bound"))
+    slack = terms.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("strong"), F.col("bound"))), F.lit(0.0)).alias("slack"))
 
     def scored(some: DataFrame) -> DataFrame:
         return weighed.join(some.select("query_id", "token", "idf"), "token").groupBy("query_id", key).agg(
             F.sum(F.col("idf") * F.col("weight")).alias("part"))
 
-    probe = top_rows_per(scored(terms.where(F.col("before") < PROBED * k)), "query_id", "part", key, k)
-    bars = probe.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("bar"))
-    barred = checkpoint(terms.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)) - MARGIN))
-    makes = F.col("rest") >= F.col("bar")
-    slack = barred.groupBy("query_id").agg(F.first("bar").alias("bar"), F.coalesce(F.max(F.when(~makes, F.col("rest"))), F.lit(0.0)).alias("slack"))
-    able = scored(barred.where(makes)).join(slack, "query_id").where(F.col("part") + F.col("slack") >= F.col("bar")).select("query_id", key)
-    full = able.join(weighed, key).join(terms.select("query_id", "token", "idf"), ["query_id", "token"]).groupBy("query_id", key).agg(
+    parts = checkpoint(scored(terms.where("strong")))
+    best = top_rows_per(parts, "query_id", "part", key, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).alias("bar"))
+    bars = checkpoint(slack.join(best, "query_id", "left").select("query_id", "slack", (F.coalesce("bar", F.lit(0.0)) - MARGIN).alias("bar")))
+    able = parts.join(bars, "query_id").where(F.col("part") + F.col("slack") >= F.col("bar")).select("query_id", key)
+    weak = terms.where("NOT strong").join(bars.where(F.col("slack") >= F.col("bar")), "query_id", "left_semi")
+    wide = weighed.join(weak.select("query_id", "token"), "token").select("query_id", key)
+    candidates = able.unionAll(wide).distinct()
+    full = candidates.join(weighed, key).join(terms.select("query_id", "token", "idf"), ["query_id", "token"]).groupBy("query_id", key).agg(
         F.round(F.sum(F.col("idf") * F.col("weight")), SCORE_DIGITS).alias("bm25"), F.count(F.lit(1)).alias("hits"))
     return top_rows_per(full, "query_id", "bm25", key, k)

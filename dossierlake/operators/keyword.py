@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossierlake.functions.text import bind, text_or_empty
 from dossierlake.functions.tokens import coverage, expand_synonyms, matched_tokens, query_terms
+from dossierlake.session import checkpoint
 
 # BM25 constants of the full-text index.
 BM25_K1 = 1.2
@@ -32,9 +33,10 @@ def one_value(rows: DataFrame, value: Column) -> Column:
     return rows.sparkSession.range(1).select(value.alias("value")).scalar()
 
 
-def coverage_scores(rows: DataFrame, query: str, hay: Column, within: Column | None = None) -> DataFrame:
+def coverage_scores(rows: DataFrame, query: str, hay: Column, within: Column | None = None, positive: bool = True) -> DataFrame:
     """R1 for one query: a narrow scan that keeps rows with at least one token.
 
+    Where the best rows are taken next, `positive` is better left to the rows taken: a filter here computes the score twice.
     F1: with `within` a row is a candidate only if a token occurs there; `hay` decides its score.
     """
     hits = bind(hay, lambda h: F.size(matched_tokens(F.col("query_terms"), h)))
@@ -42,7 +44,7 @@ def coverage_scores(rows: DataFrame, query: str, hay: Column, within: Column | N
     if within is not None:
         asked = asked.filter(bind(within, lambda h: F.exists("query_terms", lambda t: F.contains(h, t))))
     scored = asked.withColumn("keyword_score", F.round(coverage(hits, F.size("query_terms")), SCORE_DIGITS))
-    return scored.filter(F.col("keyword_score") > 0).drop("query_terms")
+    return (scored.filter(F.col("keyword_score") > 0) if positive else scored).drop("query_terms")
 
 
 def top_rows(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
@@ -50,6 +52,14 @@ def top_rows(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
     return rows.orderBy(F.desc(score), F.asc(key)).limit(k)
 
 
+def best_rows(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """W4 with positive scores, written down: what comes next sees k rows.
+
+    A Python function above a limit makes Spark sort all rows and call the function on each; a checkpoint of k rows stops that.
+    """
+    return checkpoint(top_rows(rows, score, key, k)).filter(F.col(score) > 0)
+
+
 def top_rows_per(rows: DataFrame, group: str, score: str, key: str, k: int, rank: str = "rank") -> DataFrame:
     """W1, W4 for a batch: row_number <= k is pushed below the shuffle, so no group arrives whole."""
     order = Window.partitionBy(group).orderBy(F.desc(score), F.asc(key))

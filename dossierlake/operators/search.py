@@ -84,8 +84,8 @@ def search(
 ) -> DataFrame:
     """R8 for one query: one scan with top-k, then everything runs on at most max(2k, 40) rows."""
     filtered = apply_filters(rows, filters)
-    scored = KW.coverage_scores(filtered, query, row_haystack(rows.columns), candidate_text(rows.columns))
-    top = with_item_columns(KW.top_rows(scored, "keyword_score", key, KW.candidate_limit(k)), body, scope, dimensions)
+    scored = KW.coverage_scores(filtered, query, row_haystack(rows.columns), candidate_text(rows.columns), positive=False)
+    top = with_item_columns(KW.best_rows(scored, "keyword_score", key, KW.candidate_limit(k)), body, scope, dimensions)
     asked = top.withColumns({
         "query_id": F.lit(0), "query_text": F.lit(query), "query_cells": KW.one_value(rows, V.sparse_cells(F.lit(query), dimensions)),
     })

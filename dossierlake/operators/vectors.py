@@ -13,18 +13,21 @@ from dossierlake.functions.tokens import tokenize
 
 # Fixed value: embedding width.
 DIMENSIONS = 384
+KNOWN_TOKENS = 1 << 18
 
 
 def sparse_cells(body: Column | str, dimensions: int = DIMENSIONS) -> Column:
     """array<struct(slot, weight)> of a text, integer weights before normalisation, by slot.
 
     The tokens of a text lie in its own row and are counted there, a batch of rows at a time; a worker
-    hashes every distinct token once. Nothing is shuffled.
+    hashes a token once while it is known (at most KNOWN_TOKENS are). Nothing is shuffled.
     """
     known: dict[str, tuple[int, int]] = {}
 
     def cell(token: str) -> tuple[int, int]:
         if token not in known:
+            if len(known) >= KNOWN_TOKENS:
+                known.clear()
             digest = hashlib.md5(token.encode("utf-8")).hexdigest()
             known[token] = (int(digest[:8], 16) % dimensions, 1 if digest[9] in "02468ace" else -1)
         return known[token]

@@ -178,8 +178,8 @@ results AS MATERIALIZED (SELECT * FROM scored WHERE score > 0 AND len(list_filte
 def chunk_results(spark, sf_dir, k=100):
     """R1 over the chunk table: the best k chunks for the topic."""
     chunks = report_chunks(spark, sf_dir)
-    scored = KW.coverage_scores(chunks, TOPIC, H.row_haystack(chunks.columns), H.candidate_text(chunks.columns))
-    top = KW.top_rows(scored, "keyword_score", "chunk_id", k)
+    scored = KW.coverage_scores(chunks, TOPIC, H.row_haystack(chunks.columns), H.candidate_text(chunks.columns), positive=False)
+    top = KW.best_rows(scored, "keyword_score", "chunk_id", k)
     return H.result_rows(top, F.lit(TOPIC)).withColumns({"score": F.col("keyword_score"), "query_id": F.lit(0).cast("bigint")})
 
 

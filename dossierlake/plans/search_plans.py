@@ -163,8 +163,8 @@ _TERMS = S.ordered_distinct(S.tokens(S.quote(TOPIC)))
     covers="R9, E6",
 )
 def search_result_rows(spark, sf_dir):
-    scored = KW.coverage_scores(searchable(spark, sf_dir), TOPIC, H.row_haystack(searchable(spark, sf_dir).columns))
-    top = KW.top_rows(scored, "keyword_score", "doc_id", 20).withColumn("page_no", F.lit(1))
+    scored = KW.coverage_scores(searchable(spark, sf_dir), TOPIC, H.row_haystack(searchable(spark, sf_dir).columns), positive=False)
+    top = KW.best_rows(scored, "keyword_score", "doc_id", 20).withColumn("page_no", F.lit(1))
     rows = H.result_rows(top, F.lit(TOPIC))
     return rows.select(
         "doc_id", F.concat_ws(",", "matched_keywords").alias("matched_keywords"),

@@ -54,6 +54,21 @@ def test_batch_equals_single(spark):
     assert got == want and len(want) >= 8
 
 
+def test_the_best_rows_are_taken_before_texts_are_embedded(spark, monkeypatch):
+    """The scan ends in a top-k without sorting all rows, and the Python function is above it, on k rows."""
+    plans = []
+    kept = KW.checkpoint
+    monkeypatch.setattr(KW, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("text", "chunk_text").withColumns(
+        {"file_mtime": F.lit(1.0), "file_path": F.col("source"), "document_title": F.col("lang"), "document_type": F.col("lang"), "project_name": F.col("source")})
+    ranked = H.search(docs, "the nicht", 5, key="doc_id", body="chunk_text")
+    (scan,) = plans
+    assert "TakeOrderedAndProject" in scan and "Python" not in scan and "rangepartitioning" not in scan and scan.count("Scan parquet") == 1
+    above = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Python" in above and "Scan parquet" not in above
+    assert ranked.count() == 5
+
+
 def test_fusion(spark):
     keyword = spark.createDataFrame([("keyword_hit", 0.5)], "id string, keyword_score double")
     vector = spark.createDataFrame([("vector_only", 1.0), ("keyword_hit", 0.2)], "id string, vector_score double")

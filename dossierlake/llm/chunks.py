@@ -4,11 +4,12 @@ A gear hash rolls over the UTF-8 bytes: shifted left by one bit and increased by
 in 16 bits, so it depends on the last 16 bytes alone. A chunk ends where the hash is the least of some
 `SPAN` places in a row, hence at the same places of a passage wherever the passage stands; no chunk is longer than
 `SPAN` bytes (but of text that repeats itself), so a repeated passage of `SURE` bytes always holds whole chunks, which
-reach to less than `MARGIN` bytes from its ends. Chunks are compared by a 64-bit digest. A chunk that another document
-has as well is a seed.
+reach to less than `MARGIN` bytes from its ends. From each chunk on, chunks are taken together until they have `LEAST`
+bytes, because a short chunk alone is shared by chance; such runs are compared by a 64-bit digest, and one that another
+document has as well is a seed.
 
 Chunks are cut by the ends of a passage, so seeds say only where to look: within `MARGIN` characters of a seed every
-window of `PASSAGE_WORDS` words is hashed and compared in the same way, byte for byte of its text. Windows that other
+window of `PASSAGE_WORDS` words is hashed over all its characters and compared by a 64-bit hash. Windows that other
 documents have as well and that overlap make a passage, which so reaches to its last whole words. Windows that
 occur in an earlier document and windows that occur here first make passages of their own, which may overlap.
 A passage of fewer than `SURE` bytes is found if a whole chunk of it or near it is shared.
@@ -34,7 +35,8 @@ import xxhash
 from dossierlake.llm.common import checkpoint
 
 WINDOW, SPAN = 16, 63
-SURE, MARGIN = WINDOW + 4 * SPAN, WINDOW + 2 * SPAN
+LEAST = 40
+SURE, MARGIN = WINDOW + 4 * SPAN, WINDOW + 2 * SPAN + LEAST
 PASSAGE_WORDS = 20
 BLOCK = 1 << 20
 GEAR = np.random.default_rng(11).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
@@ -116,8 +118,11 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = boundaries(data)
             starts = np.concatenate([[0], ends[:-1]])
             points = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-            digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            columns = (np.full(len(ends), doc_id), packed(points[starts], points[ends]), np.array(digests, np.uint64).view(np.int64))
+            stops = ends[np.minimum(np.searchsorted(ends, starts + LEAST), len(ends) - 1)]
+            long = (stops - starts >= LEAST) | (starts == 0)
+            starts, stops = starts[long], stops[long]
+            digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+            columns = (np.full(len(starts), doc_id), packed(points[starts], points[stops]), np.array(digests, np.uint64).view(np.int64))
             for held, column in zip(parts, columns, strict=True):
                 held.append(column)
         if parts[0]:

@@ -4,11 +4,14 @@ Documents with equal signatures fold into one class first. Between classes, only
 that share one of their rarest hashes, with enough of both sets behind it, can reach the
 threshold, so those are the only candidates. A fixed number of leader rounds compares every
 class with the newest open class of each posting list only: work linear in the postings,
-one round settles a crowd of copies. What is still open meets in pairs.
+one round settles a crowd of copies. What is still open meets by posting and size: the larger set of a pair looks only for
+sizes that its own place in the list still allows, so a crowd of texts around one passage, too different to be copies, never meets.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dossierlake.functions.text import as_col, bind, explode_rows
@@ -21,14 +24,15 @@ SIGNATURE_HASHES = 2000
 DUPLICATE_JACCARD = 0.8
 
 LEADER_ROUNDS = 2
+SIZE_BAND = 1.05
 
 
 def _short_sha(value: Column) -> Column:
     return F.substring(F.sha1(value), 1, 12)
 
 
-def signature(body: Column | str) -> Column:
-    """X11: sorted distinct hashes of five-token shingles, the first 2,000 of them."""
+def signature(body: Column | str, hashes: int = SIGNATURE_HASHES) -> Column:
+    """X11: sorted distinct hashes of five-token shingles, the first `hashes` of them; what sorts later is never compared."""
 
     def shingles(tokens: Column) -> Column:
         last = F.size(tokens) - SHINGLE_TOKENS
@@ -38,7 +42,7 @@ def signature(body: Column | str) -> Column:
         )
         return F.when(last >= 0, windows).otherwise(F.transform(tokens, _short_sha))
 
-    return F.slice(F.array_sort(F.array_distinct(bind(tokenize(as_col(body)), shingles))), 1, SIGNATURE_HASHES)
+    return F.slice(F.array_sort(F.array_distinct(bind(tokenize(as_col(body)), shingles))), 1, hashes)
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -118,10 +122,42 @@ def _can_reach(threshold: float) -> Column:
     return (small >= large * threshold - 1e-9) & (rest >= overlap - 1e-9)
 
 
+def _band(size: Column) -> Column:
+    """Sizes within about a twentieth of each other."""
+    return F.floor(F.log(size.cast("double")) / math.log(SIZE_BAND)).cast("int")
+
+
+def _seeking(postings: DataFrame, threshold: float) -> DataFrame:
+    """Each posting once for every band of sizes, up to its own, that a similar set found here can have.
+
+    A set with `before` rarer hashes in front has hashes - before left; together with a set of size n it needs a share of both sizes.
+    """
+    most = F.floor((F.col("hashes") - F.col("before")) * ((1 + threshold) / threshold) - F.col("hashes") + 1e-6)
+    low, high = F.ceil(F.col("hashes") * threshold - 1e-9), F.least(most, F.col("hashes"))
+    bands = F.when((high >= low) & (low > 0), F.sequence(_band(low), _band(high))).otherwise(F.array().cast("array<int>"))
+    return explode_rows(postings.withColumn("bands", bands), [c for c in postings.columns], F.col("bands"), "band").where("band IS NOT NULL")
+
+
+def _met(newer: DataFrame, older: DataFrame, project: str, threshold: float) -> DataFrame:
+    """Postings (p of newer, q of older) of one list and of sizes that suit each other, the larger set looking for the smaller."""
+    on = [project, "hash", "band"]
+    sized = F.col("hashes").alias("hashes")
+    found = []
+    for larger, smaller, names in ((newer, older, ("p", "q")), (older, newer, ("q", "p"))):
+        there = smaller.select("*", _band(sized).alias("band"))
+        pairs = _seeking(larger, threshold).alias(names[0]).join(there.alias(names[1]), on)
+        bigger = F.col(f"{names[0]}.hashes") >= F.col(f"{names[1]}.hashes")
+        if names[0] == "q":
+            bigger = F.col("q.hashes") > F.col("p.hashes")
+        columns = ("leader", "rank", "hashes", "before")
+        found.append(pairs.where(bigger).select(*[F.struct(*[F.col(f"{side}.{c}") for c in columns]).alias(side) for side in ("p", "q")]))
+    return found[0].unionAll(found[1])
+
+
 def _candidates(newer: DataFrame, older: DataFrame, project: str, threshold: float) -> DataFrame:
     """(newer, older) class pairs that share a posting list, each once."""
     return (
-        newer.alias("p").join(older.alias("q"), [project, "hash"])
+        _met(newer, older, project, threshold)
         .filter((F.col("p.rank") > F.col("q.rank")) & _can_reach(threshold))
         .select(F.col("p.leader").alias("newer"), F.col("q.leader").alias("older"), F.col("p.rank").alias("rank"))
         .distinct()

@@ -28,6 +28,11 @@ def entries(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
 
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders `name=number`, ascending."""
+    return sorted(int(n.split("=")[1]) for n in entries(spark, path) if n.startswith(f"{name}="))
+
+
 class Versions:
     """The tables below one path; `files` is the number of files of a bucket, to be raised with its size."""
 

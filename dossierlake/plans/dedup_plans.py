@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossierlake.operators import dedup as D
+from dossierlake.operators import dedup as D, delta as DL
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.registry import register
+from dossierlake.session import checkpoint, shared_folder
 from dossierlake.sources.tables import corpus_documents, table
 
 
@@ -75,6 +76,53 @@ def dedup_keepers(spark, sf_dir):
     return judged.select("doc_id", "kept", "duplicate_of")
 
 
+# The same walk over the first batch, then over what it kept and the second batch.
+TWO_RUNS_SQL = f"""{PAIRS_SQL.split("ord AS (")[0]}
+nbs_of AS (SELECT sg.doc_id, sg.source, coalesce(list(newer) FILTER (WHERE newer IS NOT NULL), []) AS nbs
+       FROM sg LEFT JOIN sim ON sim.older = sg.doc_id GROUP BY ALL),
+one AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS pos FROM nbs_of WHERE doc_id % 2 = 0),
+walk1 AS (
+  SELECT source, 1::BIGINT AS pos, [doc_id] AS kept FROM one WHERE pos = 1
+  UNION ALL
+  SELECT one.source, one.pos, CASE WHEN list_has_any(kept, nbs) THEN kept ELSE list_append(kept, one.doc_id) END
+  FROM walk1 JOIN one ON one.source = walk1.source AND one.pos = walk1.pos + 1),
+kept1 AS MATERIALIZED (SELECT unnest(kept) AS doc_id FROM (SELECT source, kept FROM walk1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos DESC) = 1)),
+two AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS pos FROM nbs_of
+        WHERE doc_id % 2 = 1 OR doc_id IN (SELECT doc_id FROM kept1)),
+walk2 AS (
+  SELECT source, 1::BIGINT AS pos, [doc_id] AS kept FROM two WHERE pos = 1
+  UNION ALL
+  SELECT two.source, two.pos, CASE WHEN list_has_any(kept, nbs) THEN kept ELSE list_append(kept, two.doc_id) END
+  FROM walk2 JOIN two ON two.source = walk2.source AND two.pos = walk2.pos + 1),
+kept2 AS MATERIALIZED (SELECT source, kept FROM walk2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY pos DESC) = 1)
+"""
+
+
+@register(
+    "dedup_incremental",
+    f"""WITH RECURSIVE {TWO_RUNS_SQL}
+    SELECT nbs_of.doc_id, CASE WHEN nbs_of.doc_id % 2 = 0 THEN nbs_of.doc_id IN (SELECT doc_id FROM kept1) END AS kept_first,
+      coalesce(list_contains(kept2.kept, nbs_of.doc_id), false) AS kept,
+      CASE WHEN (nbs_of.doc_id % 2 = 1 OR nbs_of.doc_id IN (SELECT doc_id FROM kept1)) AND NOT list_contains(kept2.kept, nbs_of.doc_id)
+        THEN list_max(list_intersect(kept2.kept, nbs)) END AS duplicate_of
+    FROM nbs_of LEFT JOIN kept2 USING (source)""",
+    covers="R16, R17, F9",
+)
+def dedup_incremental(spark, sf_dir):
+    """Documents of even number are indexed first, then those of odd number are added from kept postings."""
+    docs = checkpoint(corpus_documents(spark, sf_dir).select("doc_id", "project_id", "file_mtime", D.signature("text").alias("signature")))
+    names = ("doc_id", "project_id")
+    first, second = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    judged = checkpoint(D.keep_newest(first, "doc_id", "signature", "project_id", "file_mtime", signed=True).select("doc_id", F.col("kept").alias("kept_first")))
+    indexed = first.join(judged.where("kept_first"), "doc_id", "left_semi")
+    common, path = checkpoint(DL.common_hashes(indexed, *names)), shared_folder(spark, "postings")
+    DL.save(DL.prefixes(indexed, *names, common), path)
+    added = checkpoint(DL.prefixes(second, *names, common))
+    again = DL.keep_newest(second, indexed, added, DL.kept(spark, path, added), *names, "file_mtime").select("doc_id", "kept", "duplicate_of")
+    rest = F.coalesce("kept", "kept_first")
+    return docs.select("doc_id").join(judged, "doc_id", "left").join(again, "doc_id", "left").select("doc_id", "kept_first", rest.alias("kept"), "duplicate_of")
+
+
 @register(
     "turn_similarity",
     f"""WITH st AS (SELECT conv_id, turn, {S.tokens('text')} AS toks FROM conversations),

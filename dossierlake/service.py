@@ -11,10 +11,10 @@ from dossierlake.config import Settings
 from dossierlake.functions import headings as HD
 from dossierlake.functions.text import first_filled, text_or_empty
 from dossierlake.operators import (
-    dedup as D, ingest as IN, intents as Q, keyword as KW, reports as RP, requests as RQ, rerank as RR, search as H, state as ST,
+    dedup as D, delta as DL, ingest as IN, intents as Q, keyword as KW, reports as RP, requests as RQ, rerank as RR, search as H, state as ST,
     tagging as TG, taxonomy as TX,
 )
-from dossierlake.operators.versions import Versions, buckets_of
+from dossierlake.operators.versions import Versions, buckets_of, numbered_folders
 from dossierlake.session import checkpoint
 from dossierlake.sources.files import scan_folder, with_metadata
 from dossierlake.sources.parsers import parse_files, units_of_files
@@ -114,7 +114,7 @@ class Dossiers:
             F.array_sort(F.collect_list(F.struct("page_no", "unit_text"))).alias("pages")
         ).select("file_path", F.array_join(F.transform("pages", lambda p: p["unit_text"]), "\n").alias("text"))
         fresh = checkpoint(meta.join(texts, "file_path").withColumn("signature", D.signature("text")))
-        judged = checkpoint(self._newest(fresh, before))
+        judged = checkpoint(self._newest(fresh, before, version))
         documents = fresh.join(judged.filter("kept").select("document_id"), "document_id", "left_semi")
         described = units.join(documents.drop("text", "signature"), "file_path")
         chunks = IN.chunks_of_units(described, size=s.chunk_size, overlap=s.chunk_overlap)
@@ -147,19 +147,35 @@ class Dossiers:
         new["documents"] = ST.upsert(left["documents"], new["documents"], "document_id")
         return touched
 
-    def _newest(self, fresh: DataFrame, before: IndexTables | None) -> DataFrame:
-        """document_id, kept and duplicate_document_id of the new documents and the indexed ones of their projects.
+    def _newest(self, fresh: DataFrame, before: IndexTables | None, version: int) -> DataFrame:
+        """document_id, kept and duplicate_document_id of the new documents and the indexed ones they meet in the kept postings.
 
-        The duplicate rule needs a number as key; it is the leading part of the document id.
+        The duplicate rule needs a number as key; it is the leading part of the document id. Postings of documents
+        that have gone since, or of a run that failed, find no document.
         """
-        columns = ("document_id", "project_id", "file_mtime", "signature")
-        every = fresh.select(*columns)
-        if before is not None:
-            own = before.documents.join(every.select("project_id").distinct(), "project_id", "left_semi")
-            every = every.unionByName(ST.not_indexed(own, every, "document_id").select(*columns))
-        keyed = every.withColumn("number", F.conv(F.substring("document_id", 5, 15), 16, 10).cast("bigint"))
-        judged = D.keep_newest(keyed, "number", "signature", "project_id", "file_mtime", signed=True)
-        named = keyed.select("number", "document_id")
+        def keyed(rows: DataFrame) -> DataFrame:
+            number = F.conv(F.substring("document_id", 5, 15), 16, 10).cast("bigint").alias("number")
+            return rows.select("document_id", "project_id", "file_mtime", "signature", number)
+
+        new, names = keyed(fresh), ("number", "project_id")
+        indexed = None if before is None else keyed(ST.not_indexed(before.documents, fresh, "document_id"))
+        bases = [b for b in numbered_folders(self.spark, self._path("postings"), "base") if b in self.versions.numbers()]
+        base = self._path(f"postings/base={(bases[-1] if indexed is not None and bases else version):010d}")
+        if indexed is None or not bases:
+            built = new if indexed is None else indexed
+            DL.common_hashes(built, *names).write.mode("overwrite").parquet(f"{base}/common")
+        common = self.spark.read.parquet(f"{base}/common")
+        added = checkpoint(DL.prefixes(new, *names, common))
+        if indexed is None:
+            judged = D.keep_newest(new, "number", "signature", "project_id", "file_mtime", signed=True)
+        else:
+            if not bases:
+                DL.save(DL.prefixes(indexed, *names, common), f"{base}/lists")
+            judged = DL.keep_newest(new, indexed, added, DL.kept(self.spark, f"{base}/lists", added), *names, "file_mtime")
+        judged = checkpoint(judged.select("number", "kept", "duplicate_of"))
+        DL.save(added.join(judged.where("kept").select(F.col("number").alias("leader")), "leader", "left_semi"), f"{base}/lists")
+        named = new.select("number", "document_id")
+        named = named if indexed is None else named.unionAll(indexed.select("number", "document_id"))
         other = named.select(F.col("number").alias("duplicate_of"), F.col("document_id").alias("duplicate_document_id"))
         return named.join(judged.select("number", "kept", "duplicate_of"), "number").join(other, "duplicate_of", "left").select(
             "document_id", "kept", "duplicate_document_id")

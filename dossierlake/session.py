@@ -1,9 +1,10 @@
-"""Session defaults and the reliable checkpoint folder."""
+"""Session defaults, the reliable checkpoint folder and folders next to it."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,16 @@ def build_session(app_name: str = "dossierlake", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below `spark.checkpoint.dir`; only a local master without that setting gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="dossierlake-", dir=os.environ.get("TMPDIR"))
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared folder named by `spark.checkpoint.dir`.
 

@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
 import pytest
 
-from dossierlake.operators import dedup as D
+from dossierlake.operators import dedup as D, delta as DL
 
 
 def shingles(text):
@@ -75,3 +76,39 @@ def test_near_copies(spark):
     )
     a, b = [r.s for r in docs.orderBy("id").collect()]
     assert len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8
+
+
+def test_a_crowd_around_one_passage_never_meets_in_pairs(spark):
+    """20,000 texts that share a passage and are no copies, and a copy of every tenth: what meets grows with the texts."""
+    n = 20_000
+    own = F.sequence(F.lit(1000) + F.col("id") * 50, F.lit(1019) + F.col("id") * 50 + F.col("id") % 5)
+    numbers = F.concat(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint")), own)
+    texts = spark.range(n).select(F.lit("p").alias("project"), F.col("id").alias("leader"), numbers.alias("numbers"))
+    copies = texts.where("leader % 10 = 0").select("project", (F.col("leader") + n).alias("leader"), F.array_append("numbers", F.lit(-1) - F.col("leader")).alias("numbers"))
+    classes = texts.unionAll(copies).select("*", F.struct(F.col("leader").alias("m"), (-F.col("leader")).alias("k")).alias("rank"), F.size("numbers").alias("hashes"))
+    postings = D.checkpoint(D.prefix_postings(classes, "project", 0.8))
+    assert postings.where("hash < 100").groupBy("hash").count().agg(F.max("count")).first()[0] >= n  # the lists are as long as the crowd
+    met = D._met(postings, postings, "project", 0.8)
+    assert n // 10 <= met.count() <= 60 * n
+    pairs = D._similar(D._candidates(postings, postings, "project", 0.8), classes, 0.8)
+    assert {(r["newer"], r["older"]) for r in pairs.collect()} == {(i + n, i) for i in range(0, n, 10)}
+
+
+@pytest.mark.parametrize("make,seed", [(corpus, 1), (corpus, 5), (crowd, 3)])
+def test_a_further_run_compares_only_what_meets_in_the_kept_postings(spark, tmp_path, make, seed):
+    rows = make(seed)
+    half = [r for r in rows if r[0] % 2 == 0]
+    docs = spark.createDataFrame(rows, "doc bigint, project string, text string, mtime double").withColumn("signature", D.signature("text"))
+    first = {d: k for d, (k, _) in sequential(half).items()}
+    expected = sequential([r for r in rows if r[0] % 2 or first[r[0]]])
+    ids = spark.createDataFrame([(d,) for d, k in first.items() if k], "doc bigint")
+    indexed, new = D.checkpoint(docs.join(ids, "doc", "left_semi")), docs.where("doc % 2 = 1")
+    common, path = DL.common_hashes(indexed, "doc", "project"), str(tmp_path / "postings")
+    for _ in range(2):  # a repeated run only repeats postings
+        DL.save(DL.prefixes(indexed, "doc", "project", common), path)
+    added = D.checkpoint(DL.prefixes(new, "doc", "project", common))
+    old = DL.kept(spark, path, added)
+    got = {r["doc"]: (r["kept"], r["duplicate_of"]) for r in DL.keep_newest(new, indexed, added, old, "doc", "project", "mtime").collect()}
+    assert got == {d: v for d, v in expected.items() if d in got} and {r[0] for r in rows if r[0] % 2} <= set(got)
+    assert all(kept for d, (kept, _) in expected.items() if d not in got)
+    assert make is crowd or len(got) < len(expected)

@@ -8,6 +8,7 @@ import re
 import sys
 import zlib
 
+import duckdb
 import pytest
 
 from dossierlake.llm import queries, turns
@@ -136,3 +137,12 @@ def test_odd_conversations(spark):
     assert turns.repaired(spark.createDataFrame([], schema)).count() == 0
     named = spark.createDataFrame([("a", 1, "user", "x."), ("a", 2, "assistant", "y."), (None, 1, "user", "z.")], schema.replace("conv_id bigint", "conv_id string"))
     assert {r["conv_id"] for r in turns.repaired(named).collect()} == {"a", None}
+
+
+def test_sql_gives_the_plain_result():
+    """The checking SQL against the plain loop."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    found = con.execute(queries.ORACLES["op13_wagner_fischer"])
+    assert tuple(d[0] for d in found.description) == COLUMNS
+    assert sorted(found.fetchall()) == sorted(plain(con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()))

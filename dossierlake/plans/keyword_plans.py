@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossierlake.functions import tokens as K
-from dossierlake.operators import batch as B, keyword as KW, postings as P
+from dossierlake.operators import batch as B, keyword as KW, postings as P, substrings as SB
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.registry import register
-from dossierlake.session import checkpoint
+from dossierlake.session import checkpoint, shared_folder
 from dossierlake.sources.tables import corpus_documents, table
 
 TOPIC = "entre nicht than ai"
@@ -50,6 +50,25 @@ def keyword_coverage_topk(spark, sf_dir):
     )
 
 
+RARE = "onesen hahahe lyndre ndanding"
+RARE_TERMS = S.ordered_distinct(S.tokens(S.quote(RARE)))
+
+
+@register(
+    "substring_index_search",
+    f"""WITH {S.DOCS}, scored AS (SELECT doc_id, {HAY_SQL} AS hay FROM docs)
+    SELECT doc_id, round(CAST(len(list_filter({RARE_TERMS}, lambda t: contains(hay, t))) AS DOUBLE) / len({RARE_TERMS}), 6) AS keyword_score
+    FROM scored WHERE len(list_filter({RARE_TERMS}, lambda t: contains(hay, t))) > 0""",
+    covers="F1, R1 over a substring index",
+)
+def substring_index_search(spark, sf_dir):
+    """The corpus as a table of files with their filters; all matches of a query of rare words, found in the files that can have them."""
+    folder = shared_folder(spark, "substrings")
+    SB.add(searchable(spark, sf_dir), doc_haystack(), f"{folder}/rows", f"{folder}/filters", 32)
+    rows = SB.candidates(spark, f"{folder}/rows", f"{folder}/filters", RARE)
+    return KW.coverage_scores(rows, RARE, doc_haystack()).select("doc_id", "keyword_score")
+
+
 @register(
     "matched_missing_keywords",
     f"""WITH {S.DOCS}, {SCORED_SQL}, u AS (SELECT *, {S.ordered_distinct(S.tokens(S.quote(TOPIC)))} AS ts FROM cov)

@@ -305,13 +305,21 @@ def aggregate_projects(results: DataFrame, request: str, item: str, k: int = 10)
     return top_rows_per(grouped, request, "similarity_score", "project_id", k)
 
 
+def point(value: Column | str, limit: int = 180) -> Column:
+    """A text on one line, cut to `limit` characters with an ellipsis."""
+    flat = F.trim(F.regexp_replace(text_or_empty(value), "\\s+", " "))
+    return bind(flat, lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 1)), F.lit("…"))))
+
+
 def map_requirements(requirements: DataFrame, results: DataFrame, request: str, item: str, k: int = 3) -> DataFrame:
-    """The results that share most words with each requirement.
+    """The results that share most words with each requirement, with project, page, evidence and use.
 
     `requirements` (request, number, requirement) and `results` are bounded lists of one
-    request, so they meet on the request key.
+    request, so they meet on the request key. A request without any has a single requirement of null. Where a requirement has
+    no usable word, the first results stand for it; what is not known is marked as such.
     """
-    tokens = F.filter(F.array_distinct(F.split("requirement", "\\s+")), lambda t: F.length(t) >= 2)
+    requirements = requirements.withColumn("requirement", F.coalesce("requirement", F.lit(UNKNOWN)))
+    tokens = F.filter(F.array_distinct(F.split("requirement", "\\s+")), lambda t: (F.length(t) >= 2) & (F.col("requirement") != UNKNOWN))
     wanted = requirements.withColumn("tokens", tokens)
     columns = [c for c in ("document_title", "project_name", "canonical_heading_path", "matched_text") if c in results.columns]
     described = results.withColumn("seen", F.concat_ws(" ", *[text_or_empty(c) for c in columns]))
@@ -319,8 +327,13 @@ def map_requirements(requirements: DataFrame, results: DataFrame, request: str,
         "overlap", F.size(F.filter("tokens", lambda t: F.contains(F.col("seen"), t)))
     )
     order = Window.partitionBy(request, "number").orderBy(F.desc("overlap"), F.desc("score"), F.asc(item))
-    best = pairs.filter(F.col("overlap") > 0).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-    found = best.select(request, "number", item, "document_title", "overlap", "place")
-    return wanted.select(request, "number", "requirement").join(found, [request, "number"], "left").withColumn(
-        "document_title", first_filled("document_title", F.lit(UNKNOWN))
-    )
+    able = (F.col("overlap") > 0) | (F.size("tokens") == 0)
+    best = pairs.filter(able).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    pages = [F.col(c).cast("string") for c in ("display_page", "page_no") if c in results.columns]
+    known = {
+        "document_title": F.col("document_title"), "project_name": F.col("project_name"), "page": first_filled(*pages, F.lit("")),
+        "evidence": point("matched_text"), "usage_point": point("matched_text"),
+    }
+    found = best.select(request, "number", item, "overlap", "place", *[c.alias(name) for name, c in known.items()])
+    return wanted.select(request, "number", "requirement").join(found, [request, "number"], "left").withColumns(
+        {name: first_filled(name, F.lit(UNKNOWN)) for name in known})

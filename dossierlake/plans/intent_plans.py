@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossierlake.lexicons.corpus import CORPUS_CHAPTERS
-from dossierlake.operators import batch as B, intents as Q, keyword as KW, rerank as RR
+from dossierlake.operators import batch as B, intents as Q, keyword as KW, rerank as RR, state as ST
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.keyword_plans import BATCH_COVERAGE_SQL, benchmark_queries, doc_haystack, searchable
 from dossierlake.plans.registry import register
@@ -150,6 +150,25 @@ def query_expansion(spark, sf_dir):
     )
 
 
+@register(
+    "saved_search_rows",
+    f"""WITH {intents_sql(_USER_SQL)}, {expansion_sql()}
+    SELECT 'ss_' || substr(sha1('saved:' || query_text || ':2024-01-01 00:00:00'), 1, 16) AS saved_search_id, query_text, e.search_domain, e.target_chapter, e.topic,
+      e.confidence, len(conds) AS conditions, array_to_string(kw, '|') AS keywords, CAST(query_id % 100 AS BIGINT) AS result_count FROM expanded e""",
+    covers="K6, X24: parsed queries as JSON, read back",
+)
+def saved_search_rows(spark, sf_dir):
+    """Each user turn saved as a search; the JSON is read again, so every field has survived it."""
+    parsed = Q.expand_queries(Q.parse_queries(user_queries(spark, sf_dir), CORPUS_INTENTS, taxonomy=False))
+    saved = ST.saved_searches(parsed.withColumn("result_count", F.col("query_id") % 100), F.lit("2024-01-01 00:00:00"))
+    kind = "struct<search_domain:string,target_chapter:string,topic:string,conditions:map<string,string>,expanded_keywords:array<string>,confidence:double>"
+    read = saved.withColumn("read", F.from_json("parsed_query_json", kind))
+    return read.select(
+        "saved_search_id", "query_text", "read.search_domain", "read.target_chapter", "read.topic", "read.confidence",
+        F.size("read.conditions").cast("bigint").alias("conditions"), F.concat_ws("|", "read.expanded_keywords").alias("keywords"),
+        F.col("result_count").cast("bigint").alias("result_count"))
+
+
 @register("query_intent_korean_lexicon", covers="Q2-Q10 with the fuzzy section match, which has no SQL form")
 def query_intent_korean_lexicon(spark, sf_dir):
     expanded = Q.expand_queries(Q.parse_queries(user_queries(spark, sf_dir)))

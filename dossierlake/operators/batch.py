@@ -6,7 +6,7 @@ reaches the shuffle is at most k rows for each query and task, however common a
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossierlake.functions.text import as_col
-from dossierlake.functions.tokens import coverage, query_terms, tokenize
-from dossierlake.operators.keyword import BM25_B, BM25_IDF_FLOOR, BM25_K1, SCORE_DIGITS, top_rows_per
+from dossierlake.functions.tokens import coverage, query_terms
+from dossierlake.operators.keyword import SCORE_DIGITS, top_rows_per
 
 QUERIES_IN_BLOCK = 2000
 
@@ -153,51 +152,6 @@ def coverage_top(
     return top_rows_per(scored, "query_id", "keyword_score", key, k)
 
 
-def bm25_top(rows: DataFrame, key: str, body: Column | str, queries: DataFrame, k: int) -> DataFrame:
-    """R2 for many queries: (query_id, key, bm25, hits, rank), the best k rows of each query.
-
-    Term frequency and length come from the row's own tokens; a first scan counts in how many rows each
-    query token occurs. The driver gets one number for each query token.
-    """
-    asked = queries.select("query_id", F.array_distinct(tokenize("query_text")).alias("terms"))
-    texts = rows.select(key, tokenize(as_col(body)).alias("tokens")).filter(F.size("tokens") > 0)
-    totals = texts.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
-    n, mean = totals["n"], totals["mean"]
-    wanted = asked.select(F.explode("terms").alias("token")).distinct()
-    words = texts.select(F.explode(F.array_distinct("tokens")).alias("token"))
-    counted = words.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")).collect()
-    idf = {r["token"]: max(np.log((n - r["df"] + 0.5) / (r["df"] + 0.5)), BM25_IDF_FLOOR) for r in counted}
-
-    def start(block: list):
-        terms, owners = queries_by_term(block)
-        place = {t: i for i, t in enumerate(terms)}
-
-        def add(batch: pd.DataFrame, best: Best) -> None:
-            query, keys, scores, counts = [], [], [], []
-            for value, tokens in zip(batch[key], batch["tokens"], strict=True):
-                found = Counter(t for t in tokens if t in place)
-                if not found:
-                    continue
-                total, hit = np.zeros(len(block)), np.zeros(len(block), np.int64)
-                scale = BM25_K1 * (1 - BM25_B + BM25_B * len(tokens) / mean)
-                for token, tf in found.items():
-                    of = owners[place[token]]
-                    total[of] += idf[token] * (tf * (BM25_K1 + 1) / (tf + scale))
-                    hit[of] += 1
-                mine = np.flatnonzero(hit)
-                query.append(mine)
-                keys += [value] * len(mine)
-                scores.append(np.round(total[mine], SCORE_DIGITS))
-                counts.append(hit[mine])
-            if query:
-                best.add(np.concatenate(query), keys, np.concatenate(scores), hits=np.concatenate(counts))
-
-        return add
-
-    found = scanned(texts, asked, key, ", hits bigint", start, k)
-    return top_rows_per(found.select("query_id", key, F.col("score").alias("bm25"), "hits"), "query_id", "bm25", key, k)
-
-
 def vector_top(
     vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int
 ) -> DataFrame:

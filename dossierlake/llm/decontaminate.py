@@ -449,6 +449,18 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def side_by_side(asked: DataFrame, once: DataFrame) -> DataFrame:
+    """The text of every piece in one row without an item, followed in the same task by the items it may leak.
+
+    Dealt out by a column of its own: both sides may come dealt out by the keys, so a repartition by them is dropped from the
+    plan, and adaptive execution then merges the partitions of each side differently; a text would miss its items.
+    """
+    key = ("digest", "begin")
+    both = asked.unionByName(once.select(*key, F.col("piece").alias("text")), allowMissingColumns=True)
+    home = both.withColumn("home", F.xxhash64(*key)).repartition("home")
+    return home.sortWithinPartitions("home", *key, F.asc_nulls_first("item")).select(*key, "item", "item_id", "text")
+
+
 def leaking(docs: DataFrame, items: DataFrame) -> DataFrame:
     """digest, item_id and what was found, for each different text of `docs` and each item that it leaks."""
     spark = docs.sparkSession
@@ -464,8 +476,7 @@ def leaking(docs: DataFrame, items: DataFrame) -> DataFrame:
     hashes = once.select(*key, F.explode("hashes").alias("hash"))
     pairs = hashes.join(windows.select("item", "hash"), "hash").select(*key, "item").distinct()
     asked = pairs.join(listed, "item").select(*key, "item", "item_id", "text")
-    both = asked.unionByName(once.select(*key, F.col("piece").alias("text")), allowMissingColumns=True)
-    stream = both.repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("item")).select(*key, "item", "item_id", "text")
+    stream = side_by_side(asked, once)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, compared = "", None

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 import corpus_pipeline
@@ -282,3 +283,24 @@ def test_pipeline_of_odd_rows(spark, odd_docs, no_docs):
             docs = stage(spark, docs, SF)
             assert docs.columns == odd_docs.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_texts_meet_their_items_when_partitions_are_merged(spark):
+    """Both sides come dealt out by the keys; the texts fill their partitions, the items do not and are merged."""
+    keys = spark.range(400, numPartitions=4).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("digest"), (F.col("id") % 2).alias("begin"), "id")
+    once = keys.groupBy("digest", "begin").agg(F.first(F.concat_ws("-", *[F.sha2(F.concat("id", F.lit(f"-{i}")), 512) for i in range(40)])).alias("piece"))
+    asked = keys.groupBy("digest", "begin").agg(F.first("id").alias("item")).select(
+        "digest", "begin", "item", F.col("item").alias("item_id"), F.lit("x").alias("text"))
+    settings = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = rows(decontaminate.side_by_side(asked, once).select("digest", "item", F.spark_partition_id(), F.length("text")))
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert len(found) == 800
+    plan = decontaminate.side_by_side(asked, once)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "hashpartitioning(home" in plan.split("Union")[0]  # by the keys alone no exchange is left above the union
+    for (digest, item, part, _), after in zip(found[::2], found[1::2]):
+        assert item is None and after[0] == digest and after[1] is not None and after[2] == part

@@ -60,8 +60,11 @@ class Lexicon:
         table[2] = np.where(apart & (shared >= 0.5), np.minimum(0.88, 0.60 + 0.35 * shared), 0)
         matcher = SequenceMatcher(None, norm, "")
         for i in np.flatnonzero(apart & (table.max() < 1)):
+            # two bounds, the cheap one first: lengths rule out a long line before its characters are counted
+            if 2 * min(len(norm), len(self.norms[i])) / (len(norm) + len(self.norms[i])) < self.threshold:
+                continue
             matcher.set_seq2(self.norms[i])
-            if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= self.threshold:
+            if matcher.quick_ratio() >= self.threshold:
                 # the ratio depends on which side is indexed, so the alias is the second sequence
                 ratio = SequenceMatcher(None, norm, self.norms[i]).ratio()
                 table[3, i] = min(0.91, ratio) if ratio >= self.threshold else 0

@@ -124,3 +124,17 @@ def test_recency_boost(spark):
     rows = spark.createDataFrame([(1, 100.0), (2, 200.0), (3, 0.0)], "id int, m double").withColumn("q", F.lit(1))
     got = {r.id: r.b for r in rows.select("id", recency_factor(F.col("m"), "q").alias("b")).collect()}
     assert got[1] == 1.0 and got[2] == pytest.approx(MAX_RECENCY_BOOST) and got[3] == 1.0
+
+
+def test_long_headings_are_not_compared_letter_by_letter(monkeypatch):
+    from dossierlake.lexicons.corpus import CORPUS_CHAPTERS
+    from dossierlake.operators import taxonomy
+
+    asked = []
+    counted = taxonomy.SequenceMatcher.quick_ratio
+    monkeypatch.setattr(taxonomy.SequenceMatcher, "quick_ratio", lambda self: asked.append(len(self.a)) or counted(self))
+    lexicon = taxonomy.Lexicon(CORPUS_CHAPTERS, taxonomy.HEADING_THRESHOLD)
+    lexicon.match("zqj " * 1000)
+    assert not asked
+    lexicon.match(lexicon.aliases[0][:-1] + "zq")
+    assert asked

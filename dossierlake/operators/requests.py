@@ -15,6 +15,7 @@ from dossierlake.lexicons import fixed_values as V
 from dossierlake.operators.keyword import SCORE_DIGITS, top_rows_per
 from dossierlake.operators.tagging import design_votes
 from dossierlake.operators.reports import UNKNOWN
+from dossierlake.session import checkpoint
 
 # Patterns, scores, limits and labels.
 MONEY_OR_PERIOD = "(?:\\d[\\d,]*(?:원|천원|만원|백만원|억원)|\\d+\\s*(?:개월|일|년)|\\d{4}[./-]\\d{1,2}(?:[./-]\\d{1,2})?)"
@@ -158,9 +159,11 @@ def request_keywords(
 ) -> DataFrame:
     """(key, keyword, votes, place) from priority phrases, design keywords and section tokens."""
     joined = F.array_join(sections, "\n")
-    rows = requests.select(
-        key, sections, body, F.when(F.size(sections) > 0, joined).otherwise(clean_text(body)).alias("source")
-    )
+    # Written down: all branches read the sections, and the fold over the paragraphs would run in each of them.
+    rows = checkpoint(requests.select(
+        key, sections, F.when(F.size(sections) > 0, F.col(body)).alias(body),
+        F.when(F.size(sections) > 0, joined).otherwise(clean_text(body)).alias("source"),
+    ))
     low = F.lower("source")
     phrases = F.array(*[
         F.when(contains_any(low, [v.lower() for v in variants]), F.struct(F.lit(word).alias("keyword"), F.lit(i).alias("at")))
@@ -180,7 +183,7 @@ def request_keywords(
         (F.col("at") + 1_000_000).cast("bigint").alias("at"),
     )
     ballots = fixed.unionByName(design).unionByName(spoken).filter(is_valid_keyword(F.col("keyword"), lexicon))
-    counted = ballots.groupBy(key, "keyword").agg(F.sum("votes").cast("bigint").alias("votes"), F.min("at").alias("at"))
+    counted = checkpoint(ballots.groupBy(key, "keyword").agg(F.sum("votes").cast("bigint").alias("votes"), F.min("at").alias("at")))
     silent = rows.filter(F.size(sections) > 0).join(counted.select(key).distinct(), key, "left_anti")
     fallback = design_places(silent, key, body, limit * 2).filter(is_valid_keyword(F.col("keyword"), lexicon)).select(
         key, "keyword", F.lit(1).cast("bigint").alias("votes"), F.col("place").alias("at")

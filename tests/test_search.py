@@ -179,3 +179,12 @@ def test_batch_coverage_joins_nothing(spark):
 def test_top_k_per_query_is_cut_before_the_shuffle(spark):
     rows = spark.range(1000).selectExpr("id % 3 as q", "id", "cast(id as double) as s")
     assert "WindowGroupLimit" in plan_of(KW.top_rows_per(rows, "q", "s", "id", 5))
+
+
+def test_request_keywords_read_their_sections_once(spark):
+    """The plan of the result starts at what was written down, so no branch works out the sections again."""
+    rows = spark.createDataFrame([(1, "alpha beta. gamma delta")], "id bigint, text string")
+    rows = rows.withColumn("sections", F.split(F.concat("text", F.lit(" zzmark")), "[.]"))
+    words = RQ.request_keywords(rows, "id", "sections", "text")
+    assert "zzmark" not in words._jdf.queryExecution().optimizedPlan().toString()
+    assert {"alpha", "zzmark"} <= {r["keyword"] for r in words.collect()}

@@ -129,7 +129,7 @@ def batch_keyword_coverage(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     queries = benchmark_queries(spark, sf_dir)
     asked = checkpoint(queries.select("query_id", F.explode(K.unique_tokens("query_text")).alias("token")))
-    found = P.postings(table(spark, sf_dir, "documents"), "doc_id", K.tokenize("text"), asked)
+    found = P.postings(table(spark, sf_dir, "documents"), "doc_id", K.tokenize("text"), asked, places=False)
     top = P.bm25_top(found, "doc_id", asked, 20)
     sizes = queries.select("query_id", F.size(K.unique_tokens("query_text")).alias("term_count"))
     scored = KW.rank_discount(top.join(sizes, "query_id"), "rank", K.coverage(F.col("hits"), F.col("term_count")))

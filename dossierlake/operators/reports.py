@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dossierlake.functions.headings import DEFAULT_CHAPTER
 from dossierlake.functions.text import explode_rows, first_filled, is_blank, text_or_empty
 from dossierlake.operators.keyword import top_rows_per
+from dossierlake.session import checkpoint
 
 # Limits of the reports and the confidence below which a heading is doubtful.
 CHAPTER_LIMIT = 500
@@ -93,8 +94,8 @@ def heading_tree(chunks: DataFrame, document: str = "document_id", subsection: C
     rows = explode_rows(chunks, [document, "page_no", "domain_keywords"], levels, "h").select(
         F.col("h.level").alias("level"), F.col("h.label").alias("label"), document, "page_no", "domain_keywords"
     ).filter(F.col("label") != "")
-    # One shuffle of combined rows feeds the counts and the keywords alike.
-    cells = rows.groupBy("level", "label", document, "page_no", "domain_keywords").agg(F.count("*").alias("n"))
+    # Combined rows, written down once, feed the counts and the keywords alike; otherwise each reads and derives all chunks.
+    cells = checkpoint(rows.groupBy("level", "label", document, "page_no", "domain_keywords").agg(F.count("*").alias("n")))
     pages = cells.groupBy("level", "label", document, "page_no").agg(F.sum("n").alias("n"))
     documents = pages.groupBy("level", "label", document).agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
     counted = documents.groupBy("level", "label").agg(

@@ -34,10 +34,23 @@ Groups = Mapping[str, Sequence[str]]
 
 def normalize_chapter(value: Column | str) -> Column:
     """Numbering and the words for chapter removed, letters and digits only."""
+    return bind(F.lower(_unnumbered(value)), _title_norm)
+
+
+def _unnumbered(value: Column | str) -> Column:
     text = F.trim(text_or_empty(value))
     for prefix in (CHAPTER_PREFIX, NUMERAL_PREFIX, NUMBER_PREFIX):
         text = F.regexp_replace(text, prefix, "")
-    return F.regexp_replace(F.regexp_replace(F.lower(text), DROPPED_WORDS, ""), NOT_TITLE_CHARS, "")
+    return text
+
+
+def _title_norm(low: Column) -> Column:
+    return _title_chars(F.when(contains_any(low, DROPPED_WORDS.split("|")), F.regexp_replace(low, DROPPED_WORDS, "")).otherwise(low))
+
+
+def _title_chars(low: Column) -> Column:
+    """Blanks, the most frequent by far, go by plain replacement; a Latin letter is passed over before the ranges are tried."""
+    return F.regexp_replace(F.replace(low, F.lit(" "), F.lit("")), f"(?![a-z]){NOT_TITLE_CHARS}", "")
 
 
 def normalize_taxonomy(value: Column | str) -> Column:
@@ -62,10 +75,9 @@ def _distinct(values) -> list[str]:
 def canonical_chapter(value: Column | str, groups: Groups = CHAPTER_SYNONYMS) -> Column:
     """The first group one of whose aliases is contained in the heading, else ''."""
     text = text_or_empty(value)
-    compact = F.regexp_replace(F.lower(text), NOT_TITLE_CHARS, "")
 
     def choose(pair: Column) -> Column:
-        choice = F.when(F.trim(text) == DEFAULT_CHAPTER, F.lit(DEFAULT_CHAPTER))
+        choice = F.when(pair["trimmed"] == DEFAULT_CHAPTER, F.lit(DEFAULT_CHAPTER))
         for name, aliases in groups.items():
             hit = contains_any(pair["norm"], _distinct(plain_norm(a) for a in aliases)) | contains_any(
                 pair["compact"], _distinct(plain_compact(a) for a in aliases)
@@ -73,7 +85,14 @@ def canonical_chapter(value: Column | str, groups: Groups = CHAPTER_SYNONYMS) ->
             choice = choice.when(hit, F.lit(name))
         return choice.otherwise(F.lit(""))
 
-    return bind(F.struct(normalize_chapter(text).alias("norm"), compact.alias("compact")), choose)
+    def forms(bare: Column) -> Column:
+        # without a numbering both forms start from the same lower-case text
+        low = bind(F.lower(bare["bare"]), lambda l: F.struct(bare["trimmed"].alias("trimmed"), l.alias("low"), F.when(
+            bare["bare"] == bare["trimmed"], l).otherwise(F.lower(bare["trimmed"])).alias("whole")))
+        return bind(low, lambda l: F.struct(l["trimmed"].alias("trimmed"), _title_norm(l["low"]).alias("norm"), _title_chars(l["whole"]).alias("compact")))
+
+    trimmed = bind(F.trim(text), lambda t: F.struct(t.alias("trimmed"), _unnumbered(t).alias("bare")))
+    return bind(bind(trimmed, forms), choose)
 
 
 def chapter_norms(chapter: str, groups: Groups = CHAPTER_SYNONYMS) -> list[str]:
@@ -110,7 +129,7 @@ def detect_heading(line: Column, groups: Groups = CHAPTER_SYNONYMS) -> Column:
     `chapter` is NULL where the line leaves the chapter as it is. What a heading sets does
     not depend on what came before, so the carry-forward only needs the last one.
     """
-    title = F.regexp_replace(squeeze(line), "^[ .\t]+|[ .\t]+$", "")
+    title = F.trim(squeeze(line), F.lit(" ."))
 
     def decide(t: Column) -> Column:
         canonical = canonical_chapter(t, groups)
@@ -119,7 +138,7 @@ def detect_heading(line: Column, groups: Groups = CHAPTER_SYNONYMS) -> Column:
             long_enough = F.length(F.replace(t, F.lit(" "), F.lit(""))) >= 3
             prefixed = F.rlike(t, F.lit(HEADING_PREFIX))
             short = (F.length(t) <= 45) | ((F.length(t) <= 90) & ~contains_any(t, SENTENCE_MARKERS))
-            is_heading = long_enough & ((c != "") | (prefixed & short))
+            is_heading = ((c != "") | (short & prefixed)) & long_enough
             norm, own = normalize_chapter(t), normalize_chapter(c)
             same = (norm == own) | norm.isin(*[F.concat(own, F.lit(e)) for e in SAME_TITLE_ENDINGS])
             document_level = F.rlike(t, F.lit(CHAPTER_PREFIX)) | F.rlike(t, F.lit(NUMERAL_PREFIX))

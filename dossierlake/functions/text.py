@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 # by Java and by RE2 alike (both treat only ASCII blanks as \s by default).
 BLANKS = "\t\n\x0b\x0c\r\x1c-\x1f \x85   -     　"
 EDGE_BLANKS = f"^[{BLANKS}]+|[{BLANKS}]+$"
+# A character in front of a class decides at once for most of a text: printing ASCII is no blank.
+NOT_PRINTED = "(?![!-~])"
+OTHER_BLANKS = BLANKS.replace(" ", "")
 SENTENCE_END = f"(?:[.!?。][{BLANKS}]+|다\\.[{BLANKS}]+)"
 
 
@@ -47,19 +50,19 @@ def first_filled(*values: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(as_col(value), EDGE_BLANKS, "")
+    return F.regexp_replace(as_col(value), f"{NOT_PRINTED}(?:{EDGE_BLANKS})", "")
 
 
 def squeeze(value: Column | str) -> Column:
     """Every blank run becomes one space; ends trimmed."""
-    return F.trim(F.regexp_replace(text_or_empty(value), f"[{BLANKS}]+", " "))
+    return F.trim(F.regexp_replace(text_or_empty(value), f"{NOT_PRINTED}(?: [{BLANKS}]|[{OTHER_BLANKS}])[{BLANKS}]*", " "))
 
 
 def clean_text(value: Column | str) -> Column:
     """One space between words, trimmed lines, no empty lines."""
     unix = F.regexp_replace(text_or_empty(value), "\r\n?", "\n")
-    single = F.regexp_replace(unix, "[ \t]+", " ")
-    return strip(F.regexp_replace(single, f"[{BLANKS}]*\n[{BLANKS}]*", "\n"))
+    single = F.regexp_replace(unix, "(?: [ \t]|\t)[ \t]*", " ")
+    return strip(F.regexp_replace(single, f"{NOT_PRINTED}[{BLANKS}]*\n[{BLANKS}]*", "\n"))
 
 
 def clean_lines(value: Column | str) -> Column:

@@ -26,7 +26,8 @@ HEADING_LINES = 16
 PARENT_CHARS = 1800
 INDEX_VERSION = "hierarchy-embedding-v2"
 SOFT_BREAKS = ("\n", ". ", "다.")
-STATUTE = "[가-힣A-Za-z0-9·ㆍ\\s]{2,80}(?:법률|시행령|시행규칙|고시|지침|규정|훈령|예규|조례|법)"
+STATUTE_END = "(?:법률|시행령|시행규칙|고시|지침|규정|훈령|예규|조례|법)"
+STATUTE = f"[가-힣A-Za-z0-9·ㆍ\\s]{{2,80}}{STATUTE_END}"
 
 
 def paragraphs_of(body: Column | str) -> Column:
@@ -159,6 +160,7 @@ def _cuts(text: str, size: int, overlap: int, breaks: tuple[str, ...], statute:
 
     All breaks are found at once; the last one before a cut is then a binary search.
     """
+    named = re.compile(STATUTE_END)
     marks = sorted((m.end(), m.start()) for mark in breaks for m in re.finditer(re.escape(mark), text))
     ends, latest = [e for e, _ in marks], list(accumulate((s for _, s in marks), max))
 
@@ -168,7 +170,9 @@ def _cuts(text: str, size: int, overlap: int, breaks: tuple[str, ...], statute:
         return at + 1 if at - begin > size * SOFT_SHARE else stop
 
     def unbroken(stop: int) -> int:
-        near = statute.finditer(text, max(0, stop - STATUTE_REACH), min(len(text), stop + STATUTE_REACH))
+        low, high = max(0, stop - STATUTE_REACH), min(len(text), stop + STATUTE_REACH)
+        # the whole pattern tries up to eighty characters from each place: only where one of its last words stands
+        near = statute.finditer(text, low, high) if named.search(text, low, high) else ()
         return next((m.end() for m in near if m.start() < stop < m.end()), stop)
 
     begin, stop = 0, 0

@@ -138,3 +138,39 @@ def test_long_headings_are_not_compared_letter_by_letter(monkeypatch):
     assert not asked
     lexicon.match(lexicon.aliases[0][:-1] + "zq")
     assert asked
+
+
+ODD = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x85", "\u00a0", "\u2028", "\u3000", ".", "a", "Ai", "인공지능", "R & D", "r-d", "xrnd", "𝐀rnd", "é", "İ",
+       "Chapter 3", "chap ter", "장", "챕터", "제 3 장", "Ⅲ. ", "IV. ", "1.2 ", "Ni-cht", "목표모델", "기타", "99", "_", "~", "{", "\x00"]
+
+
+def test_guarded_patterns_do_what_the_plain_ones_do(spark):
+    import random
+
+    from dossierlake.functions import headings as HD, text as T, tokens as K
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([("".join(rng.choice(ODD) for _ in range(rng.randint(0, 12))),) for _ in range(4000)], "t string")
+    text = F.col("t")
+    words = F.regexp_replace(text, f"(?i)(?<![{K.WORD}])(?:r\\s*&\\s*d|r\\s*[-_/]\\s*d|rnd)(?![{K.WORD}])", " RND 연구개발 ")
+    blank = f"[{T.BLANKS}]"
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " "), f"{blank}*\n{blank}*", "\n")
+    norm = F.trim(text)
+    for prefix in (HD.CHAPTER_PREFIX, HD.NUMERAL_PREFIX, HD.NUMBER_PREFIX):
+        norm = F.regexp_replace(norm, prefix, "")
+    pairs = [
+        (T.strip(text), F.regexp_replace(text, T.EDGE_BLANKS, "")), (T.squeeze(text), F.trim(F.regexp_replace(text, f"{blank}+", " "))),
+        (T.clean_text(text), F.regexp_replace(lines, T.EDGE_BLANKS, "")),
+        (F.regexp_replace(text, K.RND_PATTERN, " RND 연구개발 "), words),
+        (F.rlike(text, F.lit(K.AI_PATTERN)), F.rlike(text, F.lit(f"(?i)(?<![{K.WORD}])ai(?![{K.WORD}])"))),
+        (HD.normalize_chapter(text), F.regexp_replace(F.regexp_replace(F.lower(norm), HD.DROPPED_WORDS, ""), HD.NOT_TITLE_CHARS, "")),
+    ]
+    different = rows.select(*[F.sum((a != b).cast("int")).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
+    assert list(different) == [0] * len(pairs)
+
+
+def test_the_title_marks_of_a_long_line_are_not_replaced_one_by_one():
+    from dossierlake.functions import headings as HD, text as T
+
+    # blanks between words, the most frequent match by far, are no work for a pattern any more
+    assert "replace(" in str(HD._title_chars(F.col("t"))) and T.NOT_PRINTED in str(T.squeeze("t"))

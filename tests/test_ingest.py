@@ -72,3 +72,30 @@ def test_ingestion_never_shuffles(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc int, text string").coalesce(1)
     plan = IN.with_chunks(IN.units_of(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_the_heading_tree_derives_its_chunks_once(spark):
+    from dossierlake.operators import reports as RP
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        reads.add(1)
+        return value
+
+    rows = [(f"d{i}", 1, "A", "s", "x, y", "") for i in range(20)]
+    chunks = spark.createDataFrame(rows, "document_id string, page_no int, chapter_title string, section_title string, domain_keywords string, third string")
+    chunks = chunks.withColumn("chapter_title", counted("chapter_title")).withColumns(
+        {c: F.lit(None).cast("string") for c in ("canonical_chapter_title", "canonical_section_title", "canonical_subsection_title")})
+    tree = RP.heading_tree(chunks).collect()
+    assert {(r.level, r.label, r.chunk_count, r.top_keywords) for r in tree} == {(1, "A", 20, "x, y"), (2, "s", 20, "x, y")}
+    assert reads.value == 20
+
+
+def test_texts_without_a_statute_word_do_not_try_the_statute_pattern():
+    class Never:
+        def finditer(self, *_):
+            raise AssertionError("tried")
+
+    assert list(IN._cuts("word " * 900, 1000, 150, IN.SOFT_BREAKS, Never()))

@@ -9,9 +9,11 @@ from dossierlake.lexicons.fixed_values import KOREAN_SUFFIXES, TOKEN_STOPWORDS
 
 # Patterns that decide what a token is.
 TOKEN_PATTERN = "[가-힣A-Za-z0-9][가-힣A-Za-z0-9_+#.-]{1,}"
+PLAIN_WORD = "^[A-Za-z]{3,}$"
 WORD = "\\p{L}\\p{N}_"
-RND_PATTERN = f"(?i)(?<![{WORD}])(?:r\\s*&\\s*d|r\\s*[-_/]\\s*d|rnd)(?![{WORD}])"
-AI_PATTERN = f"(?i)(?<![{WORD}])ai(?![{WORD}])"
+# The letters are tried first and what stands in front of them afterwards: most places of a text fail on the letter.
+RND_PATTERN = f"(?i)r(?<![{WORD}]r)(?:\\s*&\\s*d|\\s*[-_/]\\s*d|nd)(?![{WORD}])"
+AI_PATTERN = f"(?i)ai(?<![{WORD}]ai)(?![{WORD}])"
 SUFFIX_PATTERN = "^(.{2,}?)(?:" + "|".join(KOREAN_SUFFIXES) + ")$"
 EXPANSIONS = {
     "rnd": ("rnd", "연구개발", "연구"),
@@ -50,9 +52,14 @@ def _expansion(token: Column) -> Column:
     return choice.otherwise(F.array(token))
 
 
-def tokenize(value: Column | str) -> Column:
-    """Ordered tokens, synonyms expanded, stop words and one-letter tokens dropped."""
+def tokenize(value: Column | str, plain_words: tuple[str, ...] | None = None) -> Column:
+    """Ordered tokens, synonyms expanded, stop words and one-letter tokens dropped.
+
+    With `plain_words`, of words of three and more Latin letters only these; the others go before anything else is done.
+    """
     raw = F.regexp_extract_all(expand_synonyms(value), F.lit(TOKEN_PATTERN), F.lit(0))
+    if plain_words is not None:
+        raw = F.filter(raw, lambda t: ~F.rlike(t, F.lit(PLAIN_WORD)) | F.lower(t).isin(*plain_words, *EXPANSIONS))
     plain = F.transform(raw, lambda t: normalize_token(F.lower(t)))
     expanded = bind(
         plain,

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dossierlake.functions.text import bind, contains_any, text_or_empty
-from dossierlake.functions.tokens import expand_synonyms, tokenize
+from dossierlake.functions.tokens import PLAIN_WORD, expand_synonyms, tokenize
 from dossierlake.lexicons import fixed_values as V
 
 # Vote weights, limits and word shapes.
@@ -59,7 +59,7 @@ def domain_tags(text: Column, groups: Mapping[str, Sequence[str]] = KOREAN_TAGS)
 
 
 def compact_generic(value: Column) -> Column:
-    return F.translate(F.lower(value), GENERIC_MARKS, "")
+    return bind(F.lower(value), lambda low: F.when(contains_any(low, tuple(GENERIC_MARKS)), F.translate(low, GENERIC_MARKS, "")).otherwise(low))
 
 
 def _compact(word: str) -> str:
@@ -72,15 +72,15 @@ def _ends_with(value: Column, endings: Sequence[str]) -> Column:
 
 def is_stop_token(token: Column, more: Sequence[str] = ()) -> Column:
     """P20: tokens that never name a design topic; `more` are parts the caller adds, such as names of vendors."""
-    compact = compact_generic(token)
-    plain_word = F.rlike(token, F.lit("^[A-Za-z]{3,}$")) & ~F.lower(token).isin(*V.ALLOWED_ACRONYMS)
-    return (
+    # The plain words come first: they are most of a Latin text, and nothing else needs to be known of them.
+    plain_word = F.rlike(token, F.lit(PLAIN_WORD)) & ~F.lower(token).isin(*V.ALLOWED_ACRONYMS)
+    return plain_word | bind(compact_generic(token), lambda compact: (
         compact.isin(*sorted({_compact(w) for w in V.DOMAIN_STOPWORDS}))
         | F.rlike(token, F.lit("^\\d+$")) | F.rlike(compact, F.lit("^\\d+$")) | (F.length(compact) > 14)
-        | _ends_with(compact, ORGANIZATION_ENDINGS + VENDOR_ENDINGS) | plain_word
+        | _ends_with(compact, ORGANIZATION_ENDINGS + VENDOR_ENDINGS)
         | F.rlike(compact, F.lit("[가-힣]{3,}r$")) | _ends_with(token, PREDICATE_ENDINGS)
         | contains_any(compact, STOP_PARTS + tuple(_compact(w) for w in more if _compact(w)))
-    )
+    ))
 
 
 def is_generic_token(token: Column) -> Column:
@@ -106,8 +106,14 @@ def design_votes(
     source = source.withColumn("hay", F.concat_ws(" ", "body", "context_words"))
     hay = F.col("hay")
     lowered = F.lower(F.concat_ws(" ", hay, F.col("context")))
-    fixed = lambda low: [
-        F.when(contains_any(low, [v.lower() for v in variants]), F.struct(F.lit(word).alias("keyword"), F.lit(vote).alias("votes")))
+    def holds(text: Column, variants: Sequence[str]) -> Column:
+        """Spellings with Hangul are looked for only in texts that have any."""
+        lows = [v.lower() for v in variants]
+        korean = [v for v in lows if any("가" <= c <= "힣" for c in v)]
+        return contains_any(text["low"], [v for v in lows if v not in korean]) | (text["hangul"] & contains_any(text["low"], korean))
+
+    fixed = lambda text: [
+        F.when(holds(text, variants), F.struct(F.lit(word).alias("keyword"), F.lit(vote).alias("votes")))
         for phrases, vote in PHRASE_VOTES for word, variants in phrases
     ]
     from_context = F.slice(
@@ -119,14 +125,15 @@ def design_votes(
         ),
         1, CONTEXT_TOKENS,
     )
-    from_text = F.filter(tokenize(hay), lambda t: ~(is_generic_token(t) | is_variant_token(t) | is_stop_token(t, more_stops)))
+    from_text = F.filter(tokenize(hay, tuple(V.ALLOWED_ACRONYMS)), lambda t: ~(is_stop_token(t, more_stops) | is_generic_token(t) | is_variant_token(t)))
 
     def vote(votes: Column):
         return lambda t: F.struct(t.alias("keyword"), votes.alias("votes"))
 
     technical = lambda t: F.when(contains_any(t, TECHNICAL_PARTS), TECHNICAL_VOTE + 1).otherwise(1)
     ballots = F.concat(
-        bind(lowered, lambda low: F.filter(F.array(*fixed(low)), lambda b: b.isNotNull())),
+        bind(bind(lowered, lambda low: F.struct(low.alias("low"), F.rlike(low, F.lit("[가-힣]")).alias("hangul"))),
+             lambda text: F.filter(F.array(*fixed(text)), lambda b: b.isNotNull())),
         F.transform(from_context, vote(F.lit(CONTEXT_VOTE))),
         F.transform(from_text, lambda t: F.struct(t.alias("keyword"), technical(t).alias("votes"))),
     )

@@ -18,6 +18,8 @@ from dossierlake.functions.tokens import coverage, query_terms
 from dossierlake.operators.keyword import SCORE_DIGITS, top_rows_per
 
 QUERIES_IN_BLOCK = 2000
+PAIRS_WAITING = 50_000
+ROWS_IN_SLICE = 100
 
 
 def blocks_of(queries: DataFrame) -> Iterator[list]:
@@ -128,7 +130,12 @@ def coverage_top(
             return np.bincount(np.concatenate([owners[i] for i in ids]), minlength=len(block)) if ids else None
 
         def add(batch: pd.DataFrame, best: Best) -> None:
-            query, keys, counts = [], [], []
+            query, keys, counts, waiting = [], [], [], 0
+
+            def hand_over() -> None:
+                of, n = np.concatenate(query), np.concatenate(counts)
+                best.add(of, keys, n / sizes[of], hits=n, total=sizes[of])
+
             for value, text, part in zip(batch[key], batch["hay"], batch["within"], strict=True) if terms else ():
                 found = hits(text)
                 if found is None:
@@ -137,12 +144,17 @@ def coverage_top(
                 if part is not None:
                     near = hits(part)
                     mine = mine[near[mine] > 0] if near is not None else mine[:0]
+                # a common word makes a pair of every row and query: those below the best so far are not kept
+                mine = mine[found[mine] / sizes[mine] >= best.bar[mine]]
                 query.append(mine)
                 keys += [value] * len(mine)
                 counts.append(found[mine])
+                waiting += len(mine)
+                if waiting > PAIRS_WAITING:
+                    hand_over()
+                    query, keys, counts, waiting = [], [], [], 0
             if query:
-                of, n = np.concatenate(query), np.concatenate(counts)
-                best.add(of, keys, n / sizes[of], hits=n, total=sizes[of])
+                hand_over()
 
         return add
 
@@ -168,9 +180,11 @@ def vector_top(
             good = batch[batch[vector].notna()]
             if not len(good):
                 return
-            scores = np.round(np.stack(good[vector].to_numpy()).astype(float) @ matrix.T, SCORE_DIGITS)
-            row, query = np.nonzero(scores > 0)
-            best.add(query, good[key].to_numpy(object)[row].tolist(), scores[row, query])
+            values, keys = good[vector].to_numpy(), good[key].to_numpy(object)
+            for at in range(0, len(values), ROWS_IN_SLICE):
+                scores = np.round(np.stack(values[at : at + ROWS_IN_SLICE]).astype(float) @ matrix.T, SCORE_DIGITS)
+                row, query = np.nonzero((scores > 0) & (scores >= best.bar))
+                best.add(query, keys[at + row].tolist(), scores[row, query])
 
         return add
 

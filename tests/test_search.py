@@ -188,3 +188,19 @@ def test_request_keywords_read_their_sections_once(spark):
     words = RQ.request_keywords(rows, "id", "sections", "text")
     assert "zzmark" not in words._jdf.queryExecution().optimizedPlan().toString()
     assert {"alpha", "zzmark"} <= {r["keyword"] for r in words.collect()}
+
+
+def test_pairs_of_a_common_word_do_not_wait_for_the_end_of_a_batch(spark, monkeypatch):
+    import pandas as pd
+    from dossierlake.operators import batch as B
+
+    sizes, taken = [], {}
+    monkeypatch.setattr(B.Best, "add", lambda self, query, key, score, **more: sizes.append(len(query)))
+    monkeypatch.setattr(B, "scanned", lambda rows, queries, key, columns, start, k: taken.update(start=start) or (_ for _ in ()).throw(StopIteration))
+    rows = spark.createDataFrame([(1, "common")], "id bigint, body string")
+    asked = spark.createDataFrame([(1, "common")], "query_id bigint, query_text string")
+    with pytest.raises(StopIteration):
+        B.coverage_top(rows, "id", F.col("body"), asked, 5)
+    add = taken["start"]([{"query_id": i, "terms": ["common"]} for i in range(1000)])
+    add(pd.DataFrame({"id": range(2000), "hay": ["a common word"] * 2000, "within": [None] * 2000}), B.Best(1000, 5))
+    assert sum(sizes) == 2_000_000 and max(sizes) <= B.PAIRS_WAITING + 1000

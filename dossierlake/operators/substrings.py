@@ -35,7 +35,8 @@ def write_filters(spark: SparkSession, table: str, hay: Column, path: str) -> No
     found = spark.read.parquet(table).select(F.input_file_name().alias("file"), groups(hay).alias("groups"))
     places = explode_rows(explode_rows(found, ["file"], F.col("groups"), "group").select("file", bits_of(F.col("group")).alias("places")), ["file"],
                           F.col("places"), "place")
-    filled = places.groupBy("file", F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("filled"))
+    # each place once before the bitmaps, which Spark aggregates sorted: what a task holds is bounded by the bits of its files, not by its texts
+    filled = places.groupBy("file", "place").agg(F.count(F.lit(1)).alias("rows")).groupBy("file", F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("filled"))
     filled.write.mode("append").parquet(path)
 
 

@@ -41,3 +41,14 @@ def test_a_rare_token_reads_few_files(spark, table):
     rows = SB.candidates(spark, f"{folder}/rows", f"{folder}/filters", "needle-in")
     assert len(rows.inputFiles()) == 1 and rows.count() < docs.count() / 4
     assert rows.where(F.contains("body", F.lit("needle"))).count() == 1
+
+
+def test_places_are_told_apart_before_they_are_sorted_into_bitmaps(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    docs, plans = spark.createDataFrame([(1, "abcabcabc")], "id int, body string"), []
+    docs.write.parquet(f"{tmp_path}/rows")
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: plans.append(self._df._jdf.queryExecution().executedPlan().toString()))
+    SB.write_filters(spark, f"{tmp_path}/rows", hay(), f"{tmp_path}/filters")
+    below = plans[0][plans[0].rindex("SortAggregate"):]
+    assert "HashAggregate" in below

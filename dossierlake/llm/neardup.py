@@ -42,6 +42,7 @@ COORDINATES, MINIMA = 36, 4
 MATCHES = 1
 DIRECT, ENOUGH = 32, 32
 HUBS = 16
+NODES = 1 << 20
 BLOCK = 1 << 22
 COLUMNS_AT_ONCE = 4096
 
@@ -168,15 +169,47 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of a task as stars: (least node, other node) for each tree that they make, over `NODES` nodes at a time."""
+    up: dict[int, int] = {}
+
+    def top(node: int) -> int:
+        while (above := up.setdefault(node, node)) != node:
+            up[node] = node = up[above]
+        return node
+
+    def stars() -> pa.RecordBatch:
+        nodes = np.fromiter(up, np.int64, len(up))
+        tops = np.fromiter(map(top, nodes.tolist()), np.int64, len(nodes))
+        below = nodes != tops
+        return pa.RecordBatch.from_arrays([pa.array(tops[below]), pa.array(nodes[below])], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+        if len(up) >= NODES:
+            yield stars()
+            up.clear()
+    if up:
+        yield stars()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and the smallest node it is connected with, for every node of `links` (a, b).
 
-    Each round takes the least label among the neighbours, then the label of that label; rounds end
+    Each task first makes stars of its links. If these are no stars together, as a node lies in those of several tasks,
+    each round takes the least label among the neighbours, then the label of that label; rounds end
     when nothing changes. Every round is written to the checkpoint folder.
     """
-    both = checkpoint(links.union(links.select("b", "a")).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("x")).select(
-        "node", F.least("node", "x").alias("label")))
+    stars = checkpoint(links.distinct().mapInArrow(forest, "a bigint, b bigint"))
+    both = stars.union(stars.select("b", "a"))
+    # a node with a smaller neighbour and another one is the middle of a path, or of two stars
+    begun = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("x"), F.max("b").alias("y")).select(
+        "node", F.least("node", "x").alias("label"), (F.col("x") < F.least("node", "y")).alias("open")))
+    labels = begun.select("node", "label")
+    if begun.where("open").isEmpty():
+        return labels
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, F.col("node") == F.col("a")).select(

@@ -13,6 +13,8 @@ window of `PASSAGE_WORDS` words is hashed over all its characters and compared b
 documents have as well and that overlap make a passage, which so reaches to its last whole words. Windows that
 occur in an earlier document and windows that occur here first make passages of their own, which may overlap.
 A passage of fewer than `SURE` bytes is found if a whole chunk of it or near it is shared.
+Windows are hashed once and written down, and are compared in `PARTS` parts by their hash, one after the other, so that the
+shuffle files of one part only are on disk.
 
 A word is what stands between white space; in scripts written without it (Chinese, Japanese, Thai, Lao, Khmer,
 Burmese) every character counts as a word.
@@ -32,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 import xxhash
 
-from dossierlake.llm.common import checkpoint
+from dossierlake.llm.common import checkpoint, shared_folder, stored
 
 WINDOW, SPAN = 16, 63
 LEAST = 40
 SURE, MARGIN = WINDOW + 4 * SPAN, WINDOW + 2 * SPAN + LEAST
 PASSAGE_WORDS = 20
+PARTS = 4
 BLOCK = 1 << 20
 GEAR = np.random.default_rng(11).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
 
@@ -204,10 +207,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     the documents in which its windows first occur.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    path = shared_folder(docs.sparkSession, "passages")
     chunks = rows.mapInArrow(chunks_of, CHUNKS)
-    seeds = checkpoint(chunks.join(shared(chunks).select("digest"), "digest").groupBy("doc_id").agg(F.collect_list("place").alias("seeds")))
-    windows = rows.join(seeds, "doc_id").mapInArrow(windows_of, WINDOWS)
-    found = windows.join(shared(windows), "digest").withColumn("kept", F.col("first_doc_id") == F.col("doc_id"))
+    seeds = stored(chunks.join(shared(chunks).select("digest"), "digest").groupBy("doc_id").agg(F.collect_list("place").alias("seeds")), f"{path}/seeds")
+    hashed = rows.join(seeds, "doc_id").mapInArrow(windows_of, WINDOWS)
+    windows = stored(hashed.withColumn("part", F.pmod("digest", F.lit(PARTS)).cast("int")), f"{path}/windows", "part")
+    for part in range(PARTS):
+        some = windows.where(F.col("part") == part).drop("part")
+        found = stored(some.join(shared(some), "digest").drop("digest"), f"{path}/found", mode="append")
+    found = found.withColumn("kept", F.col("first_doc_id") == F.col("doc_id"))
     order = Window.partitionBy("doc_id", "kept").orderBy("word")
     apart = F.col("word") >= F.lag("word").over(order) + PASSAGE_WORDS
     runs = found.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("run", F.sum("apart").over(order))

@@ -1,8 +1,8 @@
 """Near-duplicate removal: shingle signatures, exact Jaccard matching, newest document kept.
 
 Documents with equal signatures fold into one class first. Between classes, only signatures
-that share one of their rarest hashes, with enough of both sets behind it, can reach the
-threshold, so those are the only candidates. A fixed number of leader rounds compares every
+that share one of their first hashes in one order, common hashes last, with enough of both sets
+behind it, can reach the threshold, so those are the only candidates. A fixed number of leader rounds compares every
 class with the newest open class of each posting list only: work linear in the postings,
 one round settles a crowd of copies. What is still open meets by posting and size: the larger set of a pair looks only for
 sizes that its own place in the list still allows, so a crowd of texts around one passage, too different to be copies, never meets.
@@ -10,39 +10,84 @@ sizes that its own place in the list still allows, so a crowd of texts around on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha1, sha256
+from itertools import chain
 import math
+import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
-from dossierlake.functions.text import as_col, bind, explode_rows
-from dossierlake.functions.tokens import tokenize
-from dossierlake.session import checkpoint
+from dossierlake.functions.text import as_col, explode_rows
+from dossierlake.functions.tokens import EXPANSIONS, SUFFIX_PATTERN, TOKEN_PATTERN, TOKEN_STOPWORDS, expand_synonyms
+from dossierlake.session import checkpoint, written
 
 # Shingle length, signature cut and similarity threshold.
 SHINGLE_TOKENS = 5
 SIGNATURE_HASHES = 2000
 DUPLICATE_JACCARD = 0.8
 
+COMMON = 8  # sets that make a hash common
+WORDS_KEPT = 200_000  # words a task remembers
 LEADER_ROUNDS = 2
 SIZE_BAND = 1.05
 
 
-def _short_sha(value: Column) -> Column:
-    return F.substring(F.sha1(value), 1, 12)
+class _Words(dict):
+    """Raw token -> the tokens it stands for, as `tokenize` has them, with blanks between; a task works out each word once."""
 
+    suffix, stopwords = re.compile(SUFFIX_PATTERN), frozenset(TOKEN_STOPWORDS)
 
-def signature(body: Column | str, hashes: int = SIGNATURE_HASHES) -> Column:
-    """X11: sorted distinct hashes of five-token shingles, the first `hashes` of them; what sorts later is never compared."""
+    def __missing__(self, raw: str) -> str:
+        token = raw.lower().rstrip(".")
+        if token[-1:] >= "가":
+            token = self.suffix.sub(r"\1", token).rstrip(".")
+        known = self[raw] = " ".join(t for t in EXPANSIONS.get(token, (token,)) if len(t) > 1 and t not in self.stopwords)
+        return known
 
-    def shingles(tokens: Column) -> Column:
-        last = F.size(tokens) - SHINGLE_TOKENS
-        windows = F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: _short_sha(F.array_join(F.slice(tokens, i + 1, SHINGLE_TOKENS), " ")),
-        )
-        return F.when(last >= 0, windows).otherwise(F.transform(tokens, _short_sha))
 
-    return F.slice(F.array_sort(F.array_distinct(bind(tokenize(as_col(body)), shingles))), 1, hashes)
+def _smallest(text: str, words: _Words, pattern: re.Pattern, hashes: int) -> np.ndarray:
+    """The first `hashes` distinct numbers, the leading 48 bits of each shingle's SHA-1; shorter texts count their tokens."""
+    line = " ".join(filter(None, map(words.__getitem__, pattern.findall(text)))).encode()
+    if not line:
+        return np.empty(0, np.int64)
+    ends = np.append(np.flatnonzero(np.frombuffer(line, np.uint8) == ord(" ")), len(line))
+    span = SHINGLE_TOKENS if len(ends) >= SHINGLE_TOKENS else 1
+    starts = np.append(0, ends[:-1] + 1)[: len(ends) - span + 1]
+    digests = b"".join([sha1(line[i:j]).digest() for i, j in zip(starts.tolist(), ends[span - 1:].tolist())])
+    leading = np.frombuffer(digests, [("top", ">u8"), ("rest", "V12")])["top"].astype(np.uint64) >> np.uint64(16)
+    return np.unique(leading.astype(np.int64))[:hashes]
+
+
+def signed_numbers(body: Column | str, hashes: int = SIGNATURE_HASHES) -> Column:
+    """The signature as `numbers` (twelve hex digits are 48 bits, and numbers sort as their digits do) and the SHA-256 of these."""
+
+    @F.arrow_udf("numbers array<bigint>, digest string")
+    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, pattern = _Words(), re.compile(TOKEN_PATTERN)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                if len(words) > WORDS_KEPT:
+                    words.clear()
+                rows.append(_smallest(text.as_py(), words, pattern, hashes))
+            offsets = pa.array(np.cumsum([0] + [len(r) for r in rows], dtype=np.int32))
+            numbers = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+            yield pa.StructArray.from_arrays([numbers, pa.array([sha256(r.tobytes()).hexdigest() for r in rows], pa.string())], ["numbers", "digest"])
+
+    return signed(expand_synonyms(body))
+
+
+def signature_numbers(body: Column | str, hashes: int = SIGNATURE_HASHES) -> Column:
+    return signed_numbers(body, hashes)["numbers"]
+
+
+def signature(body: Column | str, hashes: int = SIGNATURE_HASHES) -> Column:
+    """X11: sorted distinct hashes of five-token shingles, the first `hashes` of them; what sorts later is never compared."""
+    return F.transform(signature_numbers(body, hashes), lambda n: F.lower(F.lpad(F.hex(n), 12, "0")))
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -51,9 +96,10 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.coalesce(F.try_divide(shared.cast("double"), F.size(left) + F.size(right) - shared), F.lit(0.0))
 
 
-def _as_numbers(hashes: Column) -> Column:
-    """Twelve hex digits fit a bigint, half the bytes in every shuffle."""
-    return F.transform(hashes, lambda h: F.conv(h, 16, 10).cast("bigint"))
+def numbers_of(docs: DataFrame, stored: Column | str) -> Column:
+    """A stored signature as numbers, whether it was stored as these or as hex digits."""
+    held = docs.select(as_col(stored)).schema[0].dataType.elementType
+    return as_col(stored) if isinstance(held, LongType) else F.transform(as_col(stored), lambda h: F.conv(h, 16, 10).cast("bigint"))
 
 
 def signature_classes(profiles: DataFrame, project: str, key: str, mtime: str) -> tuple[DataFrame, DataFrame]:
@@ -63,41 +109,76 @@ def signature_classes(profiles: DataFrame, project: str, key: str, mtime: str) -
     """
     # MAX over a struct takes the largest mtime and, for equal ones, the smallest key.
     order = F.struct(F.col(mtime).alias("m"), (-F.col(key)).alias("k"))
-    digest = F.sha2(F.array_join("signature", " "), 256)
-    members = profiles.filter(F.size("signature") > 0).select(
-        project, key, mtime, digest.alias("digest"), F.size("signature").alias("hashes"), order.alias("rank")
-    )
+    members = profiles.filter(F.col("hashes") > 0).select(project, key, mtime, "digest", "hashes", order.alias("rank"))
     leaders = members.groupBy(project, "digest").agg(F.max("rank").alias("rank"), F.max("hashes").alias("hashes"))
     leaders = leaders.select(project, "digest", "rank", "hashes", (-F.col("rank.k")).alias("leader"))
     return members, leaders
 
 
-def prefix_postings(classes: DataFrame, project: str, threshold: float) -> DataFrame:
-    """(project, hash, leader, rank, hashes, before) for the rarest hashes of each class; `before` counts the rarer ones.
+def _prefix(threshold: float) -> Column:
+    """Two sets with Jaccard >= t share an element among the first n - ceil(t n) + 1 of either set under one global order."""
+    return F.col("hashes") - F.ceil(F.col("hashes") * threshold - 1e-9).cast("int") + 1
 
-    Two sets with Jaccard >= t share an element among the first n - ceil(t n) + 1 of either
-    set under one global order; rarest first keeps the lists short. Hashes no other prefix
-    holds cannot connect anything and go.
+
+def _cells(classes: DataFrame, project: str, start: Column | int, length: Column) -> DataFrame:
+    """(hash, project, leader) of `length` hashes from place `start` in the order of the numbers."""
+    return explode_rows(classes, [project, "leader"], F.slice("numbers", start, F.greatest(length, F.lit(0))), "hash")
+
+
+def _crowded(cells: DataFrame, project: str) -> DataFrame:
+    return cells.groupBy("hash", project).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= COMMON)
+
+
+def _found(cells: DataFrame, project: str, common: DataFrame) -> DataFrame:
+    """(leader, found): the common ones among a set's cells."""
+    hits = cells.join(common, ["hash", project]).groupBy("leader").agg(F.collect_list(F.struct("df", "hash")).alias("found"))
+    return written(hits, "found")
+
+
+def common_hashes(classes: DataFrame, project: str, threshold: float) -> DataFrame:
+    """(hash, project, df) of the hashes that make long lists; `numbers` are sorted.
+
+    All sets are looked at with their smallest hashes, those of a prefix. For each hash there that `COMMON` sets have, a set
+    is looked at one hash further. Sets with such a hash there, too, are counted with all their hashes.
     """
-    cells = explode_rows(classes, [project, "leader", "rank", "hashes"], F.col("numbers"), "hash")
-    frequency = cells.groupBy(project, "hash").agg(F.count("*").alias("df"))
-    repeated = frequency.filter(F.col("df") > 1)
-    # A hash seen once sorts first and never joins: only the repeated ones need a place, and
-    # a class keeps those that fall inside its prefix after its unique hashes.
-    shared = cells.join(repeated, [project, "hash"])
-    gathered = shared.groupBy(project, "leader", "rank", "hashes").agg(
-        F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("ordered")
-    )
-    prefix = F.col("hashes") - F.ceil(F.col("hashes") * threshold - 1e-9).cast("int") + 1
-    unique = F.col("hashes") - F.size("ordered")
-    room = F.greatest(prefix - unique, F.lit(0))
-    numbered = F.transform(F.slice("ordered", 1, room), lambda c, i: F.struct(c["hash"].alias("hash"), (unique + i).alias("before")))
-    kept = gathered.withColumn("kept", numbered).drop("ordered")
-    postings = explode_rows(kept, [project, "leader", "rank", "hashes"], F.col("kept"), "cell").select(
-        project, F.col("cell.hash").alias("hash"), "leader", "rank", "hashes", F.col("cell.before").alias("before")
-    )
-    crowded = postings.groupBy(project, "hash").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    return postings.join(crowded.drop("n"), [project, "hash"])
+    first = _prefix(threshold)
+    crowded = written(_crowded(_cells(classes, project, 1, first), project), "crowded")
+    further = classes.join(_found(_cells(classes, project, 1, first), project, crowded), "leader")
+    there = _cells(further, project, first + 1, F.size("found"))
+    beyond = written(_crowded(there, project), "crowded")
+    both = crowded.unionByName(beyond)
+    again = there.join(both.select("hash", project), ["hash", project], "left_semi").select("leader").distinct()
+    everything = _crowded(_cells(classes.join(again, "leader", "left_semi"), project, 1, F.col("hashes")), project)
+    return written(both.unionByName(everything).groupBy("hash", project).agg(F.max("df").alias("df")), "common")
+
+
+def prefixes(classes: DataFrame, project: str, common: DataFrame, threshold: float) -> DataFrame:
+    """(hash, project, leader, hashes, before): each set's prefix in one order; `before` counts the hashes in front.
+
+    Common hashes come last, by how common they are, the others by their number; `numbers` are sorted. A set with k common
+    hashes among its smallest is looked at k hashes further, and as a whole if there are common ones again: what is found
+    then holds every common hash in front of the prefix's end.
+    """
+    first = _prefix(threshold)
+    near = _found(_cells(classes, project, 1, first), project, common)
+    further = classes.join(near.select("leader", F.size("found").alias("k")), "leader")
+    beyond = _found(_cells(further, project, first + 1, F.col("k")), project, common)
+    again = further.join(beyond.select("leader"), "leader", "left_semi")
+    rest = _found(_cells(again, project, first + F.col("k") + 1, F.col("hashes")), project, common)
+    found = near.unionByName(beyond).unionByName(rest).groupBy("leader").agg(F.flatten(F.collect_list("found")).alias("found"))
+    last = F.sort_array(F.coalesce("found", F.array().cast("array<struct<df:bigint,hash:bigint>>")))["hash"]
+    sets = classes.join(found, "leader", "left").select(project, "leader", "hashes", "numbers", last.alias("last"))
+    own = F.when(F.size("last") == 0, F.slice("numbers", 1, first)).otherwise(
+        F.slice(F.concat(F.array_except(F.slice("numbers", 1, first + F.size("last")), "last"), "last"), 1, first))
+    return sets.select(project, "leader", "hashes", F.posexplode(own).alias("before", "hash")).select("hash", project, "leader", "hashes", "before")
+
+
+def prefix_postings(classes: DataFrame, project: str, threshold: float) -> DataFrame:
+    """(project, hash, leader, rank, hashes, before) for the prefix of each class; a hash that no other prefix holds goes."""
+    classes = classes.withColumn("numbers", F.sort_array("numbers"))
+    postings = prefixes(classes, project, common_hashes(classes, project, threshold), threshold)
+    shared = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash", project))).where(F.col("n") > 1).drop("n")
+    return shared.join(classes.select("leader", "rank"), "leader").select(project, "hash", "leader", "rank", "hashes", "before")
 
 
 def _similar(candidates: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -140,7 +221,7 @@ def _seeking(postings: DataFrame, threshold: float) -> DataFrame:
 
 def _met(newer: DataFrame, older: DataFrame, project: str, threshold: float) -> DataFrame:
     """Postings (p of newer, q of older) of one list and of sizes that suit each other, the larger set looking for the smaller."""
-    on = [project, "hash", "band"]
+    on = ["hash", "band", project]
     sized = F.col("hashes").alias("hashes")
     found = []
     for larger, smaller, names in ((newer, older, ("p", "q")), (older, newer, ("q", "p"))):
@@ -184,19 +265,24 @@ def keep_newest(
     document kept before it, of the same project, reaches the threshold. With `signed`, `body` is the
     stored signature.
     """
-    own = as_col(body) if signed else signature(body)
-    profiles = docs.select(F.col(project), F.col(key), F.col(mtime), own.alias("signature"))
-    profiles = checkpoint(profiles)
+    columns = [F.col(project), F.col(key), F.col(mtime)]
+    if signed:
+        numbers = docs.select(*columns, numbers_of(docs, body).alias("numbers"))
+        own = numbers.withColumn("digest", F.sha2(F.array_join(F.col("numbers").cast("array<string>"), " "), 256))
+    else:
+        own = docs.select(*columns, signed_numbers(body).alias("s")).select(project, key, mtime, "s.numbers", "s.digest")
+    profiles = written(own.withColumn("hashes", F.size("numbers")), "profiles")
     members, leaders = signature_classes(profiles, project, key, mtime)
-    numbers = profiles.select(F.col(key).alias("leader"), _as_numbers(F.col("signature")).alias("numbers"))
-    classes = checkpoint(leaders.join(numbers, "leader"))
+    numbers = profiles.select(F.col(key).alias("leader"), "numbers")
+    classes = written(leaders.join(numbers, "leader"), "classes")
     postings = checkpoint(prefix_postings(classes, project, threshold))
+    classes = written(classes.select("leader", "numbers").join(postings.select("leader").distinct(), "leader", "left_semi"), "met")
 
     kept_parts: list[DataFrame] = []
     open_postings = postings
     for _ in range(leader_rounds):
-        lists = open_postings.groupBy(project, "hash").agg(F.max("rank").alias("top"))
-        headed = open_postings.join(lists.select(project, "hash", "top"), [project, "hash"])
+        lists = open_postings.groupBy("hash", project).agg(F.max("rank").alias("top"))
+        headed = open_postings.join(lists, ["hash", project])
         state = headed.groupBy("leader").agg(F.bool_and(F.col("rank") == F.col("top")).alias("leads"))
         kept = checkpoint(state.filter("leads").select("leader"))
         heads = open_postings.join(kept, "leader", "left_semi")

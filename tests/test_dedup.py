@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 import pytest
 
+from dossierlake.functions.tokens import tokenize
 from dossierlake.operators import dedup as D, delta as DL
 
 
@@ -112,3 +113,65 @@ def test_a_further_run_compares_only_what_meets_in_the_kept_postings(spark, tmp_
     assert got == {d: v for d, v in expected.items() if d in got} and {r[0] for r in rows if r[0] % 2} <= set(got)
     assert all(kept for d, (kept, _) in expected.items() if d not in got)
     assert make is crowd or len(got) < len(expected)
+
+
+ODD_TEXTS = [
+    None, "", " \n", "a b c", "one", "클라우드는", "R&D 사업의 R & D, r/d rnd.", "AI 인공지능 ai. 연구를 연구개발은", "the and of 및 등", "a.. b-- c## x.y.. 가.. 나는.",
+    "Größe naïve ＡＩ K ſ 漢字 кот \u0130stanbul 한글ABC는 abc을 \U0001f600 tail", "w. " * 30, " ".join(f"Wort{i % 37}에서 term{i}. R&D" for i in range(3000)),
+]
+
+
+def test_signatures_are_made_from_the_tokens_of_the_tokenizer(spark):
+    texts = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id int, text string")
+    got = {r["id"]: r for r in texts.select("id", tokenize("text").alias("t"), D.signature("text").alias("s"), D.signed_numbers("text").alias("n")).collect()}
+    for i, r in got.items():
+        expected = sorted(shingles(" ".join(r["t"])))[:D.SIGNATURE_HASHES]
+        assert r["s"] == expected and r["n"]["numbers"] == [int(h, 16) for h in expected], i
+    assert max(len(r["s"]) for r in got.values()) == D.SIGNATURE_HASHES and got[0]["n"]["digest"] == got[1]["n"]["digest"]
+
+
+def in_one_order(sets, common, threshold=0.8):
+    """(hash, project, leader, before) of each set's prefix, from all its hashes."""
+    out = set()
+    for (project, leader), numbers in sets.items():
+        ordered = sorted(numbers, key=lambda h: (common.get((h, project), 0), h))
+        room = len(ordered) + 1 - -(-len(ordered) * 4 // 5)
+        out |= {(h, project, leader, i) for i, h in enumerate(ordered[:room])}
+    return out
+
+
+def test_prefixes_are_those_of_all_hashes_in_one_order(spark):
+    """Common hashes at the start, at the end, throughout and in runs that reach past the smallest hashes."""
+    random.seed(7)
+    sets = {}
+    for leader in range(150):
+        own = random.sample(range(10_000), random.choice([1, 2, 5, 40, 120]))
+        shared = random.choice([[], range(0, 30), range(0, 300, 5), range(9_900, 9_950), range(2_000, 2_060), range(0, 400)])
+        sets[(f"p{leader % 2}", leader)] = sorted(set(own) | set(random.sample(list(shared), len(shared) * 4 // 5)))
+    rows = [(p, i, float(i), n, len(n)) for (p, i), n in sets.items()]
+    classes = spark.createDataFrame(rows, "project string, leader bigint, rank double, numbers array<bigint>, hashes int")
+    common = D.common_hashes(classes, "project", 0.8)
+    known = {(r["hash"], r["project"]): r["df"] for r in common.collect()}
+    got = [tuple(r) for r in D.prefixes(classes, "project", common, 0.8).select("hash", "project", "leader", "before").collect()]
+    assert known and len(got) == len(set(got)) and set(got) == in_one_order(sets, known)
+    lists = {}
+    for h, p, i, _ in got:
+        lists.setdefault((h, p), []).append(i)
+    assert all(len(x) < 2 * D.COMMON for k, x in lists.items() if k not in known)
+    assert all(known[h, p] <= sum(h in n for (q, _), n in sets.items() if q == p) for h, p in known)
+
+
+def shuffled(spark):
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_only_the_prefixes_of_the_signatures_are_shuffled(spark):
+    sets = spark.range(400).select(
+        F.lit("p").alias("project"), F.col("id").alias("leader"), F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.xxhash64(i, "id")).alias("numbers"))
+    classes = D.checkpoint(sets.select("*", F.struct(F.col("leader").alias("m"), (-F.col("leader")).alias("k")).alias("rank"), F.size("numbers").alias("hashes")))
+    before = shuffled(spark)
+    assert D.prefix_postings(classes, "project", 0.8).count() == 0
+    assert 400 * 200 < shuffled(spark) - before < 400 * 500  # of 400,000 hashes

@@ -263,12 +263,13 @@ def keep_newest(
 
     The rule is the sequential one: from newest to oldest, a document is dropped when a
     document kept before it, of the same project, reaches the threshold. With `signed`, `body` is the
-    stored signature.
+    stored signature; a `digest` stored with it is used.
     """
     columns = [F.col(project), F.col(key), F.col(mtime)]
     if signed:
-        numbers = docs.select(*columns, numbers_of(docs, body).alias("numbers"))
-        own = numbers.withColumn("digest", F.sha2(F.array_join(F.col("numbers").cast("array<string>"), " "), 256))
+        numbers = numbers_of(docs, body)
+        digest = F.col("digest") if "digest" in docs.columns else F.sha2(F.array_join(numbers.cast("array<string>"), " "), 256)
+        own = docs.select(*columns, numbers.alias("numbers"), digest.alias("digest"))
     else:
         own = docs.select(*columns, signed_numbers(body).alias("s")).select(project, key, mtime, "s.numbers", "s.digest")
     profiles = written(own.withColumn("hashes", F.size("numbers")), "profiles")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierlake.operators import dedup as D
+from dossierlake.session import written
 
 BUCKETS = 64
 POSTING = ("project", "hash", "leader", "rank", "hashes", "before")
@@ -46,8 +47,14 @@ def kept(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
 
 def near(new: DataFrame, old: DataFrame, threshold: float = D.DUPLICATE_JACCARD) -> DataFrame:
-    """`leader` of the old postings' documents that a new one may repeat or be repeated by."""
-    met = D._met(new.select(*POSTING), old.select(*POSTING), "project", threshold)
+    """`leader` of the old postings' documents that a new one may repeat or be repeated by.
+
+    Lists that only one side has go before each posting is put into its bands of sizes: they are nearly all of them.
+    """
+    on = ["hash", "project"]
+    mine = written(new.select(*POSTING).join(old.select(*on).distinct(), on, "left_semi"), "mine")
+    theirs = old.select(*POSTING).join(written(mine.select(*on).distinct(), "lists"), on, "left_semi")
+    met = D._met(mine, theirs, "project", threshold)
     return met.where(D._can_reach(threshold)).select(F.col("q.leader").alias("leader")).distinct()
 
 
@@ -61,5 +68,5 @@ def keep_newest(
     """
     again = near(new_postings, old_postings, threshold)
     met = indexed.join(again, F.col(key) == F.col("leader"), "left_semi")
-    columns = (key, project, mtime, "signature")
+    columns = [c for c in (key, project, mtime, "signature", "digest") if c in new.columns]
     return D.keep_newest(new.select(*columns).unionByName(met.select(*columns)), key, "signature", project, mtime, threshold, signed=True)

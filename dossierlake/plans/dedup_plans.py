@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dossierlake.operators import dedup as D, delta as DL
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.registry import register
-from dossierlake.session import checkpoint, shared_folder
+from dossierlake.session import checkpoint, shared_folder, written
 from dossierlake.sources.tables import corpus_documents, table
 
 
@@ -110,12 +110,13 @@ kept2 AS MATERIALIZED (SELECT source, kept FROM walk2 QUALIFY row_number() OVER
 )
 def dedup_incremental(spark, sf_dir):
     """Documents of even number are indexed first, then those of odd number are added from kept postings."""
-    docs = checkpoint(corpus_documents(spark, sf_dir).select("doc_id", "project_id", "file_mtime", D.signature("text").alias("signature")))
+    signed = corpus_documents(spark, sf_dir).select("doc_id", "project_id", "file_mtime", D.signed_numbers("text").alias("s"))
+    docs = written(signed.select("doc_id", "project_id", "file_mtime", F.col("s.numbers").alias("signature"), "s.digest"), "signed")
     names = ("doc_id", "project_id")
     first, second = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
     judged = checkpoint(D.keep_newest(first, "doc_id", "signature", "project_id", "file_mtime", signed=True).select("doc_id", F.col("kept").alias("kept_first")))
-    indexed = first.join(judged.where("kept_first"), "doc_id", "left_semi")
-    common, path = checkpoint(DL.common_hashes(indexed, *names)), shared_folder(spark, "postings")
+    indexed = written(first.join(judged.where("kept_first"), "doc_id", "left_semi"), "indexed")
+    common, path = DL.common_hashes(indexed, *names), shared_folder(spark, "postings")
     DL.save(DL.prefixes(indexed, *names, common), path)
     added = checkpoint(DL.prefixes(second, *names, common))
     again = DL.keep_newest(second, indexed, added, DL.kept(spark, path, added), *names, "file_mtime").select("doc_id", "kept", "duplicate_of")

@@ -175,3 +175,15 @@ def test_only_the_prefixes_of_the_signatures_are_shuffled(spark):
     before = shuffled(spark)
     assert D.prefix_postings(classes, "project", 0.8).count() == 0
     assert 400 * 200 < shuffled(spark) - before < 400 * 500  # of 400,000 hashes
+
+
+def test_postings_that_meet_none_are_not_put_into_bands(spark, tmp_path):
+    sets = spark.range(800).select(
+        F.lit("p").alias("project"), F.col("id").alias("leader"), F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.xxhash64(i, F.col("id") % 790)).alias("numbers"))
+    classes = sets.select("*", F.size("numbers").alias("hashes"))
+    none = spark.createDataFrame([], "hash bigint, project string, df bigint")
+    postings = D.checkpoint(D.prefixes(classes, "project", none, 0.8).withColumn("rank", F.lit(0)))
+    before = shuffled(spark)
+    met = DL.near(postings.where("leader >= 400"), postings.where("leader < 400"))
+    assert sorted(r["leader"] for r in met.collect()) == list(range(10))
+    assert shuffled(spark) - before < 3 * postings.count()

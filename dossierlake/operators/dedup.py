@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType
 
 from dossierlake.functions.text import as_col, explode_rows
 from dossierlake.functions.tokens import EXPANSIONS, SUFFIX_PATTERN, TOKEN_PATTERN, TOKEN_STOPWORDS, expand_synonyms
-from dossierlake.session import checkpoint, written
+from dossierlake.session import checkpoint, written  # noqa: F401 (checkpoint: for the tests)
 
 # Shingle length, signature cut and similarity threshold.
 SHINGLE_TOKENS = 5
@@ -135,57 +135,66 @@ def _found(cells: DataFrame, project: str, common: DataFrame) -> DataFrame:
     return written(hits, "found")
 
 
-def common_hashes(classes: DataFrame, project: str, threshold: float) -> DataFrame:
+def _further(classes: DataFrame, found: DataFrame, whole: DataFrame | None) -> DataFrame:
+    """The classes in `found` with all their numbers, picked out of `whole` before anything else meets them."""
+    return classes.join(found, "leader") if whole is None else whole.join(found, "leader").join(classes.drop("numbers"), "leader")
+
+
+def common_hashes(classes: DataFrame, project: str, threshold: float, whole: DataFrame | None = None) -> DataFrame:
     """(hash, project, df) of the hashes that make long lists; `numbers` are sorted.
 
     All sets are looked at with their smallest hashes, those of a prefix. For each hash there that `COMMON` sets have, a set
-    is looked at one hash further. Sets with such a hash there, too, are counted with all their hashes.
+    is looked at one hash further. Sets with such a hash there, too, are counted with all their hashes. Where the classes
+    have only the numbers of their prefix, `whole` (leader, numbers) has the others; only sets looked at further are read there.
     """
     first = _prefix(threshold)
     crowded = written(_crowded(_cells(classes, project, 1, first), project), "crowded")
-    further = classes.join(_found(_cells(classes, project, 1, first), project, crowded), "leader")
+    further = _further(classes, _found(_cells(classes, project, 1, first), project, crowded), whole)
     there = _cells(further, project, first + 1, F.size("found"))
     beyond = written(_crowded(there, project), "crowded")
     both = crowded.unionByName(beyond)
-    again = there.join(both.select("hash", project), ["hash", project], "left_semi").select("leader").distinct()
-    everything = _crowded(_cells(classes.join(again, "leader", "left_semi"), project, 1, F.col("hashes")), project)
+    again = written(there.join(both.select("hash", project), ["hash", project], "left_semi").select("leader").distinct(), "again")
+    everything = _crowded(_cells(_further(classes, again, whole), project, 1, F.col("hashes")), project)
     return written(both.unionByName(everything).groupBy("hash", project).agg(F.max("df").alias("df")), "common")
 
 
-def prefixes(classes: DataFrame, project: str, common: DataFrame, threshold: float) -> DataFrame:
+def prefixes(classes: DataFrame, project: str, common: DataFrame, threshold: float, whole: DataFrame | None = None) -> DataFrame:
     """(hash, project, leader, hashes, before): each set's prefix in one order; `before` counts the hashes in front.
 
     Common hashes come last, by how common they are, the others by their number; `numbers` are sorted. A set with k common
     hashes among its smallest is looked at k hashes further, and as a whole if there are common ones again: what is found
-    then holds every common hash in front of the prefix's end.
+    then holds every common hash in front of the prefix's end. `whole` as for the common hashes.
     """
     first = _prefix(threshold)
     near = _found(_cells(classes, project, 1, first), project, common)
-    further = classes.join(near.select("leader", F.size("found").alias("k")), "leader")
+    further = _further(classes, near.select("leader", F.size("found").alias("k")), whole)
     beyond = _found(_cells(further, project, first + 1, F.col("k")), project, common)
     again = further.join(beyond.select("leader"), "leader", "left_semi")
     rest = _found(_cells(again, project, first + F.col("k") + 1, F.col("hashes")), project, common)
     found = near.unionByName(beyond).unionByName(rest).groupBy("leader").agg(F.flatten(F.collect_list("found")).alias("found"))
-    last = F.sort_array(F.coalesce("found", F.array().cast("array<struct<df:bigint,hash:bigint>>")))["hash"]
-    sets = classes.join(found, "leader", "left").select(project, "leader", "hashes", "numbers", last.alias("last"))
-    own = F.when(F.size("last") == 0, F.slice("numbers", 1, first)).otherwise(
-        F.slice(F.concat(F.array_except(F.slice("numbers", 1, first + F.size("last")), "last"), "last"), 1, first))
-    return sets.select(project, "leader", "hashes", F.posexplode(own).alias("before", "hash")).select("hash", project, "leader", "hashes", "before")
+    found = written(found.select("leader", F.sort_array("found")["hash"].alias("last")), "found")
+    start = F.slice("numbers", 1, first + F.size("last"))
+    mixed = F.slice(F.concat(F.array_except(start, "last"), "last"), 1, first)
+    sets = classes.join(found, "leader", "left_anti").select(project, "leader", "hashes", F.slice("numbers", 1, first).alias("own"))
+    sets = sets.unionByName(_further(classes, found, whole).select(project, "leader", "hashes", mixed.alias("own")))
+    return sets.select(project, "leader", "hashes", F.posexplode("own").alias("before", "hash")).select("hash", project, "leader", "hashes", "before")
 
 
-def prefix_postings(classes: DataFrame, project: str, threshold: float) -> DataFrame:
+def prefix_postings(classes: DataFrame, project: str, threshold: float, whole: DataFrame | None = None) -> DataFrame:
     """(project, hash, leader, rank, hashes, before) for the prefix of each class; a hash that no other prefix holds goes."""
     classes = classes.withColumn("numbers", F.sort_array("numbers"))
-    postings = prefixes(classes, project, common_hashes(classes, project, threshold), threshold)
+    postings = prefixes(classes, project, common_hashes(classes, project, threshold, whole), threshold, whole)
     shared = postings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash", project))).where(F.col("n") > 1).drop("n")
     return shared.join(classes.select("leader", "rank"), "leader").select(project, "hash", "leader", "rank", "hashes", "before")
 
 
 def _similar(candidates: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Exact check of (newer, older) candidate classes."""
-    body = classes.select("leader", "numbers")
+    """Exact check of (newer, older) candidate classes; only the sets of candidates leave the place where they are stored."""
+    pairs = written(candidates, "candidates")
+    asked = written(pairs.select(F.explode(F.array("newer", "older")).alias("leader")).distinct(), "asked")
+    body = classes.select("leader", "numbers").join(asked, "leader", "left_semi")
     return (
-        candidates.join(body.select(F.col("leader").alias("newer"), F.col("numbers").alias("a")), "newer")
+        pairs.join(body.select(F.col("leader").alias("newer"), F.col("numbers").alias("a")), "newer")
         .join(body.select(F.col("leader").alias("older"), F.col("numbers").alias("b")), "older")
         .filter(jaccard(F.col("a"), F.col("b")) >= threshold)
         .drop("a", "b")
@@ -263,21 +272,25 @@ def keep_newest(
 
     The rule is the sequential one: from newest to oldest, a document is dropped when a
     document kept before it, of the same project, reaches the threshold. With `signed`, `body` is the
-    stored signature; a `digest` stored with it is used.
+    stored signature; a `digest` stored with it is used. Signatures lie on disk once: those stored as numbers with a digest are
+    read again where they are, others are written down here, and every step moves only what it needs of them.
     """
     columns = [F.col(project), F.col(key), F.col(mtime)]
     if signed:
-        numbers = numbers_of(docs, body)
+        numbers = F.sort_array(numbers_of(docs, body))
         digest = F.col("digest") if "digest" in docs.columns else F.sha2(F.array_join(numbers.cast("array<string>"), " "), 256)
-        own = docs.select(*columns, numbers.alias("numbers"), digest.alias("digest"))
+        held = docs.select(*columns, numbers.alias("numbers"), digest.alias("digest"))
     else:
-        own = docs.select(*columns, signed_numbers(body).alias("s")).select(project, key, mtime, "s.numbers", "s.digest")
-    profiles = written(own.withColumn("hashes", F.size("numbers")), "profiles")
+        held = docs.select(*columns, signed_numbers(body).alias("s")).select(project, key, mtime, "s.numbers", "s.digest")
+    if not signed or "digest" not in docs.columns or not isinstance(docs.select(as_col(body)).schema[0].dataType.elementType, LongType):
+        held = written(held, "signed")
+    sized = held.withColumn("hashes", F.size("numbers"))
+    profiles = written(sized.drop("numbers"), "profiles")
     members, leaders = signature_classes(profiles, project, key, mtime)
-    numbers = profiles.select(F.col(key).alias("leader"), "numbers")
-    classes = written(leaders.join(numbers, "leader"), "classes")
-    postings = checkpoint(prefix_postings(classes, project, threshold))
-    classes = written(classes.select("leader", "numbers").join(postings.select("leader").distinct(), "leader", "left_semi"), "met")
+    start = sized.select(F.col(key).alias("leader"), "digest", F.slice("numbers", 1, F.greatest(_prefix(threshold), F.lit(0))).alias("numbers"))
+    classes = written(leaders.join(start.dropDuplicates(["leader", "digest"]), ["leader", "digest"]), "classes")
+    sets = held.select(F.col(key).alias("leader"), "numbers")
+    postings = written(prefix_postings(classes, project, threshold, sets), "postings")
 
     kept_parts: list[DataFrame] = []
     open_postings = postings
@@ -285,39 +298,40 @@ def keep_newest(
         lists = open_postings.groupBy("hash", project).agg(F.max("rank").alias("top"))
         headed = open_postings.join(lists, ["hash", project])
         state = headed.groupBy("leader").agg(F.bool_and(F.col("rank") == F.col("top")).alias("leads"))
-        kept = checkpoint(state.filter("leads").select("leader"))
+        kept = written(state.filter("leads").select("leader"), "kept")
         heads = open_postings.join(kept, "leader", "left_semi")
         rest = open_postings.join(kept, "leader", "left_anti")
-        dropped = _similar(_candidates(heads, rest, project, threshold), classes, threshold).select(
+        dropped = _similar(_candidates(heads, rest, project, threshold), sets, threshold).select(
             F.col("older").alias("leader")
         ).distinct()
-        open_postings = checkpoint(rest.join(dropped, "leader", "left_anti"))
+        open_postings = written(rest.join(dropped, "leader", "left_anti"), "open")
         kept_parts.append(kept)
     # All similar pairs among the open classes, then greedy rounds over them: as many as a chain of copies is long.
-    pairs = checkpoint(_similar(_candidates(open_postings, open_postings, project, threshold), classes, threshold))
+    pairs = written(_similar(_candidates(open_postings, open_postings, project, threshold), sets, threshold), "pairs")
     undecided = open_postings.select("leader").distinct()
     while not pairs.isEmpty():
         kept, dropped = _settle(pairs, undecided)
-        kept, dropped = checkpoint(kept), checkpoint(dropped)
+        kept, dropped = written(kept, "kept"), written(dropped, "dropped")
         kept_parts.append(kept)
         gone = kept.unionByName(dropped)
-        undecided = checkpoint(undecided.join(gone, "leader", "left_anti"))
-        pairs = checkpoint(
+        undecided = written(undecided.join(gone, "leader", "left_anti"), "undecided")
+        pairs = written(
             pairs.join(gone.select(F.col("leader").alias("newer")), "newer", "left_anti").join(
                 gone.select(F.col("leader").alias("older")), "older", "left_anti"
-            )
+            ),
+            "pairs",
         )
     kept_parts.append(undecided)
     connected_kept = kept_parts[0]
     for part in kept_parts[1:]:
         connected_kept = connected_kept.unionByName(part)
-    connected_kept = checkpoint(connected_kept)
+    connected_kept = written(connected_kept, "kept")
 
     dropped = postings.select("leader").distinct().join(connected_kept, "leader", "left_anti")
     against = _candidates(
         postings.join(connected_kept, "leader", "left_semi"), postings.join(dropped, "leader", "left_semi"), project, threshold
     )
-    newest = _similar(against, classes, threshold).groupBy("older").agg(F.max_by("newer", "rank").alias("duplicate_of"))
+    newest = _similar(against, sets, threshold).groupBy("older").agg(F.max_by("newer", "rank").alias("duplicate_of"))
     outcome = leaders.join(newest.withColumnRenamed("older", "leader"), "leader", "left").select(
         project, "digest", "leader", "duplicate_of"
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dossierlake.operators import dedup as D
-from dossierlake.session import written
+from dossierlake.session import tidy, written
 
 BUCKETS = 64
 POSTING = ("project", "hash", "leader", "rank", "hashes", "before")
@@ -37,7 +37,9 @@ def prefixes(profiles: DataFrame, key: str, project: str, common: DataFrame, thr
 
 def save(postings: DataFrame, path: str) -> None:
     """Add postings to the kept ones; a run that is repeated only repeats postings."""
-    postings.repartition("bucket", F.pmod("leader", F.lit(4))).write.mode("append").partitionBy("bucket").parquet(path)
+    dealt = postings.repartition("bucket", F.pmod("leader", F.lit(4)))
+    with tidy(postings.sparkSession):
+        dealt.write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def kept(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def keep_newest(
 
     Indexed documents are no copies of each other, so one that meets no new document neither goes nor makes another go.
     """
-    again = near(new_postings, old_postings, threshold)
+    again = written(near(new_postings, old_postings, threshold), "again")
     met = indexed.join(again, F.col(key) == F.col("leader"), "left_semi")
     columns = [c for c in (key, project, mtime, "signature", "digest") if c in new.columns]
     return D.keep_newest(new.select(*columns).unionByName(met.select(*columns)), key, "signature", project, mtime, threshold, signed=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dossierlake.operators import dedup as D, delta as DL
 from dossierlake.plans import sqltext as S
 from dossierlake.plans.registry import register
-from dossierlake.session import checkpoint, shared_folder, written
+from dossierlake.session import shared_folder, written
 from dossierlake.sources.tables import corpus_documents, table
 
 
@@ -114,11 +114,13 @@ def dedup_incremental(spark, sf_dir):
     docs = written(signed.select("doc_id", "project_id", "file_mtime", F.col("s.numbers").alias("signature"), "s.digest"), "signed")
     names = ("doc_id", "project_id")
     first, second = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
-    judged = checkpoint(D.keep_newest(first, "doc_id", "signature", "project_id", "file_mtime", signed=True).select("doc_id", F.col("kept").alias("kept_first")))
-    indexed = written(first.join(judged.where("kept_first"), "doc_id", "left_semi"), "indexed")
+    judged = written(D.keep_newest(first, "doc_id", "signature", "project_id", "file_mtime", signed=True).select("doc_id", F.col("kept").alias("kept_first")), "judged")
+    # The signatures stay where they are; what is not indexed, the smaller part, is left out of each reading.
+    gone = written(judged.groupBy("doc_id").agg(F.bool_or("kept_first").alias("kept_first")).where("NOT kept_first").select("doc_id"), "gone")
+    indexed = first.join(gone, "doc_id", "left_anti")
     common, path = DL.common_hashes(indexed, *names), shared_folder(spark, "postings")
     DL.save(DL.prefixes(indexed, *names, common), path)
-    added = checkpoint(DL.prefixes(second, *names, common))
+    added = written(DL.prefixes(second, *names, common), "added")
     again = DL.keep_newest(second, indexed, added, DL.kept(spark, path, added), *names, "file_mtime").select("doc_id", "kept", "duplicate_of")
     rest = F.coalesce("kept", "kept_first")
     return docs.select("doc_id").join(judged, "doc_id", "left").join(again, "doc_id", "left").select("doc_id", "kept_first", rest.alias("kept"), "duplicate_of")

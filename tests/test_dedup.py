@@ -1,11 +1,14 @@
 """Duplicate removal against the sequential rule written out row by row."""
 
 import hashlib
+import os
 import random
+import uuid
 
 from pyspark.sql import functions as F
 import pytest
 
+from dossierlake import session
 from dossierlake.functions.tokens import tokenize
 from dossierlake.operators import dedup as D, delta as DL
 
@@ -187,3 +190,24 @@ def test_postings_that_meet_none_are_not_put_into_bands(spark, tmp_path):
     met = DL.near(postings.where("leader >= 400"), postings.where("leader < 400"))
     assert sorted(r["leader"] for r in met.collect()) == list(range(10))
     assert shuffled(spark) - before < 3 * postings.count()
+
+
+def test_stored_signatures_are_neither_copied_nor_shuffled_and_no_shuffle_file_stays(spark, tmp_path, monkeypatch):
+    def files(top):
+        return {os.path.join(at, n): os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(str(top)) for n in names}
+
+    def shuffle_files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for top in disk.localDirs() for f in files(top) if os.path.basename(f).startswith("shuffle_")}
+
+    common = F.when(F.col("id") % 3 == 0, F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.xxhash64(i, F.col("id") % 1990).bitwiseAND(2**48 - 1))
+    sets = spark.range(2000).select("id", F.lit("p").alias("project"), F.col("id").cast("double").alias("mtime"), F.array_sort(F.array_distinct(F.concat(common, own))).alias("signature"))
+    sets.withColumn("digest", F.sha2(F.array_join(F.col("signature").cast("array<string>"), " "), 256)).write.parquet(f"{tmp_path}/stored")
+    stored, before = spark.read.parquet(f"{tmp_path}/stored"), shuffle_files()
+    monkeypatch.setattr(session, "shared_folder", lambda spark, name: f"{tmp_path}/kept/{name}-{uuid.uuid4().hex}")
+    judged = D.keep_newest(stored, "id", "signature", "project", "mtime", signed=True)
+    assert shuffle_files() <= before
+    assert sum(files(f"{tmp_path}/kept").values()) < sum(files(f"{tmp_path}/stored").values()) / 2
+    got = {r["id"]: (r["kept"], r["duplicate_of"]) for r in judged.collect()}
+    assert got == {i: (i >= 10, i + 1990 if i < 10 else None) for i in range(2000)}

@@ -72,27 +72,38 @@ def _distinct(values) -> list[str]:
     return [v for v in dict.fromkeys(values) if v]
 
 
-def canonical_chapter(value: Column | str, groups: Groups = CHAPTER_SYNONYMS) -> Column:
-    """The first group one of whose aliases is contained in the heading, else ''."""
-    text = text_or_empty(value)
+def chapter_and_norm(value: Column | str, groups: Groups = CHAPTER_SYNONYMS) -> Column:
+    """struct(name, norm), what `canonical_chapter` and `normalize_chapter` say, from one reading of the text."""
 
     def choose(pair: Column) -> Column:
         choice = F.when(pair["trimmed"] == DEFAULT_CHAPTER, F.lit(DEFAULT_CHAPTER))
         for name, aliases in groups.items():
-            hit = contains_any(pair["norm"], _distinct(plain_norm(a) for a in aliases)) | contains_any(
-                pair["compact"], _distinct(plain_compact(a) for a in aliases)
-            )
-            choice = choice.when(hit, F.lit(name))
-        return choice.otherwise(F.lit(""))
+            by_norm, by_compact = _distinct(plain_norm(a) for a in aliases), _distinct(plain_compact(a) for a in aliases)
+            hit = contains_any(pair["norm"], by_norm) | (~pair["same"] & contains_any(pair["compact"], by_compact))
+            others = [a for a in by_compact if a not in by_norm]
+            choice = choice.when(hit | (pair["same"] & contains_any(pair["norm"], others)) if others else hit, F.lit(name))
+        return F.struct(choice.otherwise(F.lit("")).alias("name"), pair["norm"].alias("norm"))
+
+    def lowered(t: Column) -> Column:
+        return bind(F.lower(t["bare"]), lambda l: F.struct(
+            t["trimmed"].alias("trimmed"), t["bare"].alias("bare"), l.alias("low"),
+            (~contains_any(l, DROPPED_WORDS.split("|")) & (t["bare"] == t["trimmed"])).alias("same")))
+
+    def compacted(l: Column) -> Column:
+        # without a numbering and a word for chapter both forms are the same
+        whole = F.when(l["bare"] == l["trimmed"], l["low"]).otherwise(F.lower(l["trimmed"]))
+        norm = F.when(l["same"], _title_chars(l["low"])).otherwise(_title_norm(l["low"]))
+        return F.struct(
+            l["trimmed"].alias("trimmed"), l["same"].alias("same"), norm.alias("norm"),
+            F.when(~l["same"], bind(whole, _title_chars)).alias("compact"))
+
+    trimmed = bind(F.trim(text_or_empty(value)), lambda t: F.struct(t.alias("trimmed"), _unnumbered(t).alias("bare")))
+    return bind(bind(bind(trimmed, lowered), compacted), choose)
 
-    def forms(bare: Column) -> Column:
-        # without a numbering both forms start from the same lower-case text
-        low = bind(F.lower(bare["bare"]), lambda l: F.struct(bare["trimmed"].alias("trimmed"), l.alias("low"), F.when(
-            bare["bare"] == bare["trimmed"], l).otherwise(F.lower(bare["trimmed"])).alias("whole")))
-        return bind(low, lambda l: F.struct(l["trimmed"].alias("trimmed"), _title_norm(l["low"]).alias("norm"), _title_chars(l["whole"]).alias("compact")))
 
-    trimmed = bind(F.trim(text), lambda t: F.struct(t.alias("trimmed"), _unnumbered(t).alias("bare")))
-    return bind(bind(trimmed, forms), choose)
+def canonical_chapter(value: Column | str, groups: Groups = CHAPTER_SYNONYMS) -> Column:
+    """The first group one of whose aliases is contained in the heading, else ''."""
+    return chapter_and_norm(value, groups)["name"]
 
 
 def chapter_norms(chapter: str, groups: Groups = CHAPTER_SYNONYMS) -> list[str]:
@@ -106,15 +117,19 @@ def chapter_norms(chapter: str, groups: Groups = CHAPTER_SYNONYMS) -> list[str]:
 
 def search_norm(chapter: Column, section: Column, path: Column, groups: Groups = CHAPTER_SYNONYMS) -> Column:
     """Norms of the three heading texts and of the chapters they belong to, each once."""
+    return known_norms([chapter_and_norm(value, groups) for value in (chapter, section, path)], groups)
+
 
-    def of(value: Column) -> Column:
-        name = canonical_chapter(value, groups)
+def known_norms(known: Sequence[Column], groups: Groups = CHAPTER_SYNONYMS) -> Column:
+    """P9 from what `chapter_and_norm` says of each heading text."""
+
+    def of(pair: Column) -> Column:
         related = F.array().cast("array<string>")
         for group in groups:
-            related = F.when(name == group, literal_array(chapter_norms(group, groups))).otherwise(related)
-        return F.concat(F.array(normalize_chapter(value)), related)
+            related = F.when(pair["name"] == group, literal_array(chapter_norms(group, groups))).otherwise(related)
+        return F.concat(F.array(pair["norm"]), related)
 
-    norms = F.array_distinct(F.concat(of(chapter), of(section), of(path)))
+    norms = F.array_distinct(F.concat(*[bind(pair, of) for pair in known]))
     return F.concat_ws(" ", F.filter(norms, lambda n: n != ""))
 
 
@@ -132,20 +147,18 @@ def detect_heading(line: Column, groups: Groups = CHAPTER_SYNONYMS) -> Column:
     title = F.trim(squeeze(line), F.lit(" ."))
 
     def decide(t: Column) -> Column:
-        canonical = canonical_chapter(t, groups)
-
-        def event(c: Column) -> Column:
+        def event(known: Column) -> Column:
+            c, norm = known["name"], known["norm"]
             long_enough = F.length(F.replace(t, F.lit(" "), F.lit(""))) >= 3
             prefixed = F.rlike(t, F.lit(HEADING_PREFIX))
             short = (F.length(t) <= 45) | ((F.length(t) <= 90) & ~contains_any(t, SENTENCE_MARKERS))
             is_heading = ((c != "") | (short & prefixed)) & long_enough
-            norm, own = normalize_chapter(t), normalize_chapter(c)
-            same = (norm == own) | norm.isin(*[F.concat(own, F.lit(e)) for e in SAME_TITLE_ENDINGS])
+            same = bind(normalize_chapter(c), lambda own: (norm == own) | norm.isin(*[F.concat(own, F.lit(e)) for e in SAME_TITLE_ENDINGS]))
             document_level = F.rlike(t, F.lit(CHAPTER_PREFIX)) | F.rlike(t, F.lit(NUMERAL_PREFIX))
             chapter = F.when(c != "", c).when(document_level, F.lit(DEFAULT_CHAPTER))
             section = F.when((c != "") & same, F.lit("")).otherwise(t)
             return F.when(is_heading, F.struct(chapter.alias("chapter"), section.alias("section")))
 
-        return bind(canonical, event)
+        return bind(chapter_and_norm(t, groups), event)
 
     return bind(title, decide)

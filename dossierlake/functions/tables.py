@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dossierlake.functions.text import contains_any, count_contained, text_or_empty
+from dossierlake.functions.text import bind, contains_any, count_contained, text_or_empty
 
 # Terms that tell a table and its kind.
 HEADER_TERMS = ("성명", "등급", "역할", "단가", "수량", "금액", "요구사항", "일정", "기간")
@@ -22,9 +22,14 @@ TITLE_CHARS = 160
 
 def looks_like_table(body: Column) -> Column:
     """Two lines with a cell bar, or two different header terms. `body` is cleaned text."""
-    lines = F.filter(F.split(body, "\n"), lambda l: F.trim(l) != "")
-    barred = F.filter(lines, lambda l: F.contains(l, F.lit("|")))
-    return (F.size(lines) >= 2) & ((F.size(barred) >= 2) | (count_contained(body, HEADER_TERMS) >= 2))
+
+    def laid_out(lines: Column) -> Column:
+        barred = F.filter(lines, lambda l: F.contains(l, F.lit("|")))
+        return (F.size(lines) >= 2) & ((F.size(barred) >= 2) | (count_contained(body, HEADER_TERMS) >= 2))
+
+    # most texts have neither a bar nor a term, and are not split
+    able = contains_any(body, ("|", *HEADER_TERMS))
+    return F.when(~able, F.lit(False)).otherwise(bind(F.filter(F.split(body, "\n"), lambda l: F.trim(l) != ""), laid_out))
 
 
 def table_type(hay: Column, kinds=TABLE_TYPES) -> Column:

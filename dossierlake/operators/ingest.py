@@ -224,13 +224,14 @@ def chunk_id(document_id: str, file_name: str, page: str, part: str, body: str)
     )
 
 
-def major_chapter(groups: HD.Groups) -> Column:
-    """The first of chapter, section and path that names a known chapter."""
-    named = [
-        F.nullif(F.nullif(HD.canonical_chapter(F.col(c), groups), F.lit("")), F.lit(HD.DEFAULT_CHAPTER))
-        for c in ("chapter_title", "section_title", "heading_path")
-    ]
-    return F.coalesce(*named, F.lit(HD.DEFAULT_CHAPTER))
+def major_chapter(section: Column, groups: HD.Groups) -> Column:
+    """The first of chapter, section and path that names a known chapter; `section` is the name that the section's title has."""
+
+    def named(name: Column) -> Column:
+        return bind(name, lambda n: F.when((n != "") & (n != HD.DEFAULT_CHAPTER), n))
+
+    chapter, path = HD.canonical_chapter("chapter_title", groups), HD.canonical_chapter("heading_path", groups)
+    return F.coalesce(named(chapter), named(section), named(path), F.lit(HD.DEFAULT_CHAPTER))
 
 
 def embedding_text() -> Column:
@@ -260,13 +261,18 @@ def chunks_of_units(
     """Units with headings, document and project columns -> the chunk table."""
     from dossierlake.operators import tagging, taxonomy as TX
 
-    units = units.withColumns({
+    # A section's title can be a long line; it is read once for all that follows.
+    units = units.withColumn("section_known", HD.chapter_and_norm("section_title", groups)).withColumns({
         "raw_chapter_title": F.col("chapter_title"), "raw_section_title": F.col("section_title"),
-        "raw_heading_path": F.col("heading_path"), "major": major_chapter(groups),
-    }).withColumn("chapter_title", F.col("major"))
-    same = HD.normalize_chapter("section_title") == HD.normalize_chapter("chapter_title")
-    units = units.withColumn("section_title", F.when(same, F.lit("")).otherwise(F.col("section_title")))
-    units = units.withColumn("heading_path", HD.heading_path(F.col("chapter_title"), F.col("section_title"))).drop("major")
+        "raw_heading_path": F.col("heading_path"), "chapter_title": major_chapter(F.col("section_known.name"), groups),
+    })
+    units = units.withColumn("repeats", F.col("section_known.norm") == HD.normalize_chapter("chapter_title"))
+    none = F.struct(F.lit("").alias("name"), F.lit("").alias("norm"))
+    units = units.withColumns({
+        "section_title": F.when(F.col("repeats"), F.lit("")).otherwise(F.col("section_title")),
+        "section_known": F.when(F.col("repeats"), none).otherwise(F.col("section_known")),
+    })
+    units = units.withColumn("heading_path", HD.heading_path(F.col("chapter_title"), F.col("section_title"))).drop("repeats")
     units = TX.classify(units, taxonomy or TX.KOREAN_TAXONOMY)
     units = units.withColumns({
         "canonical_heading_path": first_filled(
@@ -275,17 +281,13 @@ def chunks_of_units(
         ),
         "canonical_chapter_title": first_filled("canonical_chapter_title", "chapter_title"),
         "normalized_chapter_title": HD.normalize_chapter("chapter_title"),
-        "normalized_section_title": HD.normalize_chapter("section_title"),
+        "normalized_section_title": F.col("section_known.norm"),
         "normalized_heading_path": HD.normalize_chapter("heading_path"),
         "parent_chunk_id": stable_id(F.concat_ws(":", "document_id", "raw_heading_path"), "parent"),
     })
-    units = units.withColumn(
-        "heading_norm",
-        HD.search_norm(
-            F.col("canonical_chapter_title"), F.col("section_title"),
-            F.concat_ws(" ", "heading_path", "canonical_heading_path"), groups,
-        ),
-    )
+    path = F.concat_ws(" ", "heading_path", "canonical_heading_path")
+    known = [HD.chapter_and_norm("canonical_chapter_title", groups), F.col("section_known"), HD.chapter_and_norm(path, groups)]
+    units = units.withColumn("heading_norm", HD.known_norms(known, groups)).drop("section_known")
     units = TB.with_table_columns(units)
     units = units.withColumn(
         "domain_keywords",

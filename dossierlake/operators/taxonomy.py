@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,63 +24,78 @@ KOREAN_TAXONOMY = (V.CANONICAL_CHAPTER_ALIASES, V.CANONICAL_SECTION_ALIASES, V.C
 Aliases = Mapping[str, Sequence[str]]
 
 
+_numbering = re.compile(TAXONOMY_PREFIX)
+_parts = re.compile(r"[^\s/|,()\-_.]+")
+
+
 def _norm(text: str) -> str:
-    return plain_compact(re.sub(TAXONOMY_PREFIX, "", (text or "").strip()))
+    text = (text or "").strip()
+    numbered = _numbering.match(text)
+    return plain_compact(text[numbered.end():] if numbered else text)
 
 
-def _words(text: str) -> frozenset[str]:
-    norms = (_norm(part) for part in re.split(r"[\s/|,()\-_.]+", text or ""))
-    return frozenset(n for n in norms if len(n) >= 2)
+def _words(text: str, most: int | None = None) -> frozenset[str]:
+    """The distinct words; of a text that has more than `most` only the first ones, just one too many."""
+    found: set[str] = set()
+    for part in _parts.finditer(text or ""):
+        word = _norm(part.group())
+        if len(word) >= 2:
+            found.add(word)
+            if most is not None and len(found) > most:
+                break
+    return frozenset(found)
 
 
 EVIDENCE = ("exact", "alias_contains", "token_overlap", "similarity")
 
 
 class Lexicon:
-    """P10: one level of the taxonomy as columns, an alias each; a title is weighed against all of them at once."""
+    """P10: one level of the taxonomy, an alias each; a title is weighed against all of them at once."""
 
     def __init__(self, aliases: Aliases, threshold: float):
         pairs = [(name, alias) for name, values in aliases.items() for alias in (name, *values) if _norm(alias)]
         self.names, self.aliases = [n for n, _ in pairs], [a for _, a in pairs]
         self.norms, self.words = [_norm(a) for a in self.aliases], [_words(a) for a in self.aliases]
+        self.most = 2 * max(map(len, self.words), default=0)
         self.threshold = threshold
         self.seen: dict[str, tuple[str, float, str]] = {}
 
-    def evidence(self, title: str) -> np.ndarray:
-        """Confidences by kind of evidence (rows) and alias (columns); overlap and ratio count where nothing is contained."""
-        norm, words = _norm(title), _words(title)
-        table = np.zeros((len(EVIDENCE), len(self.norms)))
+    def evidence(self, title: str, norm: str | None = None) -> list[tuple[float, float, float, float]]:
+        """Confidences by alias and kind of evidence; overlap and ratio count where nothing is contained."""
+        norm = _norm(title) if norm is None else norm
         if not norm:
-            return table
-        table[0] = [norm == n for n in self.norms]
-        table[1] = [CONTAINS_ALIAS if n in norm else INSIDE_ALIAS if norm in n else 0 for n in self.norms]
-        apart = table[1] == 0
-        shared = np.array([len(words & w) / max(1, len(words | w)) for w in self.words])
-        table[2] = np.where(apart & (shared >= 0.5), np.minimum(0.88, 0.60 + 0.35 * shared), 0)
-        matcher = SequenceMatcher(None, norm, "")
-        for i in np.flatnonzero(apart & (table.max() < 1)):
-            # two bounds, the cheap one first: lengths rule out a long line before its characters are counted
-            if 2 * min(len(norm), len(self.norms[i])) / (len(norm) + len(self.norms[i])) < self.threshold:
-                continue
-            matcher.set_seq2(self.norms[i])
-            if matcher.quick_ratio() >= self.threshold:
-                # the ratio depends on which side is indexed, so the alias is the second sequence
-                ratio = SequenceMatcher(None, norm, self.norms[i]).ratio()
-                table[3, i] = min(0.91, ratio) if ratio >= self.threshold else 0
-        return table
-
-    def match(self, title: str) -> tuple[str, float, str]:
+            return []
+        # a title of more than twice an alias' words shares less than half of them
+        words = _words(title, self.most)
+        exact, matcher, rows = norm in self.norms, None, []
+        for n, w in zip(self.norms, self.words):
+            contained = CONTAINS_ALIAS if n in norm else INSIDE_ALIAS if norm in n else 0.0
+            overlap = ratio = 0.0
+            if not contained:
+                shared = len(words & w) / max(1, len(words | w))
+                overlap = min(0.88, 0.60 + 0.35 * shared) if shared >= 0.5 else 0.0
+                # two bounds, the cheap one first: lengths rule out a long line before its characters are counted
+                if not exact and 2 * min(len(norm), len(n)) / (len(norm) + len(n)) >= self.threshold:
+                    matcher = matcher or SequenceMatcher(None, norm, "")
+                    matcher.set_seq2(n)
+                    if matcher.quick_ratio() >= self.threshold:
+                        # the ratio depends on which side is indexed, so the alias is the second sequence
+                        found = SequenceMatcher(None, norm, n).ratio()
+                        ratio = min(0.91, found) if found >= self.threshold else 0.0
+            rows.append((float(norm == n), contained, overlap, ratio))
+        return rows
+
+    def match(self, title: str, norm: str | None = None) -> tuple[str, float, str]:
         """Name, confidence and reason of the strongest evidence; earlier aliases, then stronger kinds, win ties."""
         if title not in self.seen:
-            by_alias = self.evidence(title).T
-            at = int(by_alias.argmax()) if by_alias.size else 0
-            alias, kind = divmod(at, len(EVIDENCE))
-            confidence = float(by_alias.flat[at]) if by_alias.size else 0.0
-            if not confidence:
-                self.seen[title] = ("", 0.0, "")
-            else:
-                name = self.names[alias] if confidence >= self.threshold else ""
-                self.seen[title] = (name, round(confidence, 2), f"{EVIDENCE[kind]}:{self.aliases[alias]}")
+            confidence, found = 0.0, ("", 0.0, "")
+            for alias, row in enumerate(self.evidence(title, norm)):
+                for kind, value in enumerate(row):
+                    if value > confidence:
+                        confidence = value
+                        name = self.names[alias] if value >= self.threshold else ""
+                        found = (name, round(value, 2), f"{EVIDENCE[kind]}:{self.aliases[alias]}")
+            self.seen[title] = found
         return self.seen[title]
 
 
@@ -99,29 +113,51 @@ def best_of(aliases: Aliases, threshold: float = HEADING_THRESHOLD):
     return choose
 
 
+def _placed(hits: list[tuple[str, float, str]]) -> tuple:
+    """The canonical names by level, then path, confidence and reason over those that were found."""
+    found = [h for h in hits if h[0]]
+    return (*(h[0] for h in hits), " > ".join(h[0] for h in found), max((h[1] for h in found), default=0.0), " | ".join(h[2] for h in found if h[2]))
+
+
+PLACED = (
+    "canonical_chapter_title", "canonical_section_title", "canonical_subsection_title", "canonical_heading_path",
+    "heading_classification_confidence", "heading_classification_reason",
+)
+
+
+def best_of_levels(taxonomy: Sequence[Aliases], threshold: float = HEADING_THRESHOLD):
+    """`best_of` for all levels at once: the first weighs the chapter, the others the section; the path and its parts count for all.
+
+    Each text comes once, and its norm is made once for all levels.
+    """
+
+    @F.pandas_udf(", ".join(f"{c} {'double' if c.endswith('confidence') else 'string'}" for c in PLACED))
+    def choose(chapters: pd.Series, sections: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        lexicons, norms = [Lexicon(aliases, threshold) for aliases in taxonomy], {}
+
+        def strongest(lexicon: Lexicon, texts: list[str]) -> tuple[str, float, str]:
+            for t in texts:
+                if t not in norms:
+                    norms[t] = _norm(t)
+            return max((lexicon.match(t, norms[t]) for t in texts), key=lambda m: m[1])
+
+        rows = []
+        for chapter, section, path in zip(chapters, sections, paths):
+            shared = None if path is None else [path, *filter(None, (p.strip(" ") for p in path.split(">")))]
+            owners = (chapter, section, section)
+            rows.append(_placed([strongest(lexicon, [""] if shared is None else [own or "", *shared]) for lexicon, own in zip(lexicons, owners, strict=True)]))
+        return pd.DataFrame(rows, columns=PLACED)
+
+    return choose
+
+
 def classify(
     units: DataFrame, taxonomy: Sequence[Aliases] = KOREAN_TAXONOMY, chapter: str = "raw_chapter_title",
     section: str = "section_title", path: str = "raw_heading_path",
 ) -> DataFrame:
     """Canonical chapter, section, subsection, path, confidence and reason."""
-    parts = F.filter(F.transform(F.split(F.col(path), ">"), lambda p: F.trim(p)), lambda p: p != "")
-    by_chapter = F.concat(F.array(F.col(chapter), F.col(path)), parts)
-    by_section = F.concat(F.array(F.col(section), F.col(path)), parts)
-    matched = units.withColumns({
-        "m1": best_of(taxonomy[0])(by_chapter), "m2": best_of(taxonomy[1])(by_section), "m3": best_of(taxonomy[2])(by_section),
-    })
-    hits = F.filter(F.array("m1", "m2", "m3"), lambda m: m["canonical"] != "")
-    return matched.withColumns({
-        "canonical_chapter_title": F.col("m1.canonical"), "canonical_section_title": F.col("m2.canonical"),
-        "canonical_subsection_title": F.col("m3.canonical"),
-        "canonical_heading_path": F.concat_ws(" > ", F.transform(hits, lambda m: m["canonical"])),
-        "heading_classification_confidence": F.coalesce(
-            F.array_max(F.transform(hits, lambda m: m["confidence"])), F.lit(0.0)
-        ),
-        "heading_classification_reason": F.concat_ws(
-            " | ", F.filter(F.transform(hits, lambda m: m["reason"]), lambda r: r != "")
-        ),
-    }).drop("m1", "m2", "m3")
+    matched = units.withColumn("m", best_of_levels(taxonomy)(F.col(chapter), F.col(section), F.col(path)))
+    return matched.withColumns({c: F.col(f"m.{c}") for c in PLACED}).drop("m")
 
 
 def suggest_chapters(chapters: DataFrame, label: str, norms: list[str], limit: int = 5) -> DataFrame:

@@ -99,3 +99,39 @@ def test_texts_without_a_statute_word_do_not_try_the_statute_pattern():
             raise AssertionError("tried")
 
     assert list(IN._cuts("word " * 900, 1000, 150, IN.SOFT_BREAKS, Never()))
+
+
+def test_headings_are_read_once_for_their_names_and_norms(spark):
+    from dossierlake.functions import headings as HD
+    from dossierlake.lexicons.corpus import CORPUS_CHAPTERS
+
+    def steps(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    titles = spark.createDataFrame([("a", "b", "c")], "chapter string, section string, path string")
+    norms = steps(titles.select(HD.search_norm(F.col("chapter"), F.col("section"), F.col("path"), CORPUS_CHAPTERS).alias("x")))
+    assert norms.count(HD.CHAPTER_PREFIX) == 3
+    from dossierlake.operators import taxonomy as TX
+
+    weighed = steps(TX.classify(titles, (CORPUS_CHAPTERS,) * 3, "chapter", "section", "path"))
+    assert weighed.count("choose(") == 1
+
+
+def test_levels_are_weighed_as_one_by_one(spark):
+    from dossierlake.operators import taxonomy as TX
+
+    titles = ["목표모델", "3. 목표 아키텍처 수립", "사업 개요 / 추진 배경", "", None, "현황분석 결과 요약", "a > b > 목표모델", " > 기대효과 >", "word " * 400 + "추진 방안"]
+    rows = [(i, c, s, p) for i, (c, s, p) in enumerate((c, s, p) for c in titles[:4] for s in titles for p in titles)]
+    units = spark.createDataFrame(rows, "id int, chapter string, section string, path string")
+    parts = F.filter(F.transform(F.split("path", ">"), lambda p: F.trim(p)), lambda p: p != "")
+    texts = [F.concat(F.array(own, "path"), parts) for own in ("chapter", "section", "section")]
+    single = units.select("id", *[TX.best_of(level)(t).alias(f"m{i}") for i, (level, t) in enumerate(zip(TX.KOREAN_TAXONOMY, texts))])
+    got = {r["id"]: r for r in TX.classify(units, TX.KOREAN_TAXONOMY, "chapter", "section", "path").collect()}
+    for r in single.collect():
+        hits = [m for m in (r["m0"], r["m1"], r["m2"]) if m["canonical"]]
+        now = got[r["id"]]
+        assert (now["canonical_chapter_title"], now["canonical_section_title"], now["canonical_subsection_title"]) == tuple(r[f"m{i}"]["canonical"] for i in range(3))
+        assert now["canonical_heading_path"] == " > ".join(m["canonical"] for m in hits)
+        assert now["heading_classification_confidence"] == max((m["confidence"] for m in hits), default=0.0)
+        assert now["heading_classification_reason"] == " | ".join(m["reason"] for m in hits if m["reason"])
+    assert any(r["canonical_heading_path"] for r in got.values())

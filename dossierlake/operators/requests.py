@@ -15,13 +15,16 @@ from dossierlake.lexicons import fixed_values as V
 from dossierlake.operators.keyword import SCORE_DIGITS, top_rows_per
 from dossierlake.operators.tagging import design_votes
 from dossierlake.operators.reports import UNKNOWN
-from dossierlake.session import checkpoint
+from dossierlake.session import written
 
 # Patterns, scores, limits and labels.
 MONEY_OR_PERIOD = "(?:\\d[\\d,]*(?:원|천원|만원|백만원|억원)|\\d+\\s*(?:개월|일|년)|\\d{4}[./-]\\d{1,2}(?:[./-]\\d{1,2})?)"
+# Every form starts with a digit; most places of a text fail on that one test.
+MONEY_FOUND = f"(?=\\d){MONEY_OR_PERIOD}"
 SECTION_NUMBER = "(?i)^\\s*(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+|[IVX]+|\\d+(?:\\.\\d+)*)[.)]?\\s+"
 # Words that mark a line as a title.
 TITLE_MARKERS = ("한다", "하여", "하고", "위해", "통해", "방안", "체계")
+LETTERS = "^[A-Za-z가-힣]+$"
 COMPACT_MARKS = " \t\n./\\-_,·:：()[]"
 TITLE_CHARS = 32
 CONTEXT_AFTER_HEADING = 6
@@ -88,7 +91,7 @@ def judge_paragraph(paragraph: Column, lexicon: RequestLexicon) -> Column:
     def judged(c: Column) -> Column:
         heading = contains_any(c, _compacts(lexicon.headings))
         content = contains_any(c, _compacts(lexicon.content))
-        money = F.rlike(paragraph, F.lit(MONEY_OR_PERIOD))
+        money = F.rlike(paragraph, F.lit(MONEY_FOUND))
         noise = (money & ~content) | contains_any(c, _compacts(lexicon.administrative))
         flags = F.struct(
             heading.alias("heading"), content.alias("content"), money.alias("money"), noise.alias("noise"),
@@ -146,11 +149,21 @@ def requirement_sections(body: Column, lexicon: RequestLexicon = KOREAN_REQUESTS
 
 def is_valid_keyword(word: Column, lexicon: RequestLexicon = KOREAN_REQUESTS) -> Column:
     """Two to twenty compact characters, no amount, no number, no noise word."""
-    return bind(
-        compact(word),
-        lambda c: (F.length(c) >= 2) & (F.length(c) <= 20) & ~F.rlike(word, F.lit(MONEY_OR_PERIOD))
-        & ~F.rlike(c, F.lit("^\\d+$")) & ~contains_any(c, _compacts(lexicon.noise)),
-    )
+    def named(c: Column) -> Column:
+        return (F.length(c) >= 2) & (F.length(c) <= 20) & ~contains_any(c, _compacts(lexicon.noise))
+
+    # letters alone hold no mark and are no amount and no number
+    other = bind(compact(word), lambda c: named(c) & ~F.rlike(word, F.lit(MONEY_FOUND)) & ~F.rlike(c, F.lit("^\\d+$")))
+    return F.when(F.rlike(word, F.lit(LETTERS)), named(F.lower(word))).otherwise(other)
+
+
+def _sources(requests: DataFrame, key: str, sections: str, body: str) -> DataFrame:
+    """Key, sections, body and the text that is searched, written down: many branches read them, and each would fold over the paragraphs."""
+    joined = F.array_join(sections, "\n")
+    return written(requests.select(
+        key, sections, F.when(F.size(sections) > 0, F.col(body)).alias(body),
+        F.when(F.size(sections) > 0, joined).otherwise(clean_text(body)).alias("source"),
+    ), "requests")
 
 
 def request_keywords(
@@ -158,12 +171,10 @@ def request_keywords(
     lexicon: RequestLexicon = KOREAN_REQUESTS,
 ) -> DataFrame:
     """(key, keyword, votes, place) from priority phrases, design keywords and section tokens."""
-    joined = F.array_join(sections, "\n")
-    # Written down: all branches read the sections, and the fold over the paragraphs would run in each of them.
-    rows = checkpoint(requests.select(
-        key, sections, F.when(F.size(sections) > 0, F.col(body)).alias(body),
-        F.when(F.size(sections) > 0, joined).otherwise(clean_text(body)).alias("source"),
-    ))
+    return _keywords(_sources(requests, key, sections, body), key, sections, body, limit, lexicon)
+
+
+def _keywords(rows: DataFrame, key: str, sections: str, body: str, limit: int, lexicon: RequestLexicon) -> DataFrame:
     low = F.lower("source")
     phrases = F.array(*[
         F.when(contains_any(low, [v.lower() for v in variants]), F.struct(F.lit(word).alias("keyword"), F.lit(i).alias("at")))
@@ -183,13 +194,19 @@ def request_keywords(
         (F.col("at") + 1_000_000).cast("bigint").alias("at"),
     )
     ballots = fixed.unionByName(design).unionByName(spoken).filter(is_valid_keyword(F.col("keyword"), lexicon))
-    counted = checkpoint(ballots.groupBy(key, "keyword").agg(F.sum("votes").cast("bigint").alias("votes"), F.min("at").alias("at")))
-    silent = rows.filter(F.size(sections) > 0).join(counted.select(key).distinct(), key, "left_anti")
+    order = [F.desc("votes"), F.asc("at")]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    # Dealt by key once, for the sums and the places; only the best are written down.
+    counted = ballots.repartition(key).groupBy(key, "keyword").agg(F.sum("votes").cast("bigint").alias("votes"), F.min("at").alias("at"))
+    best = written(counted.withColumn("p", place).filter(F.col("p") <= limit * 2).drop("p"), "best")
+    # Keys meet keys first: the texts of the few rows without a word are looked up, the others stay where they are.
+    asked = rows.filter(F.size(sections) > 0)
+    without = written(asked.select(key).distinct().join(best.select(key).distinct(), key, "left_anti").select(F.col(key).alias("without")), "without")
+    silent = asked.join(without, F.col(key).eqNullSafe(F.col("without")), "left_semi")
     fallback = design_places(silent, key, body, limit * 2).filter(is_valid_keyword(F.col("keyword"), lexicon)).select(
         key, "keyword", F.lit(1).cast("bigint").alias("votes"), F.col("place").alias("at")
     )
-    order = [F.desc("votes"), F.asc("at")]
-    ranked = counted.unionByName(fallback).withColumn("p", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    ranked = best.unionByName(fallback).withColumn("p", place)
     ranked = ranked.filter(F.col("p") <= limit * 2).withColumn("same", compact(F.col("keyword")))
     first = F.row_number().over(Window.partitionBy(key, "same").orderBy("p"))
     kept = ranked.withColumn("first", first).filter(F.col("first") == 1)
@@ -243,14 +260,15 @@ def weighted_queries(
     requests: DataFrame, key: str, sections: str, body: str, lexicon: RequestLexicon = KOREAN_REQUESTS
 ) -> DataFrame:
     """(key, position, query_text, weight): keywords in fours, then the keywords of each requirement."""
-    words = request_keywords(requests, key, sections, body, KEYWORD_LIMIT, lexicon)
+    rows = _sources(requests, key, sections, body)
+    words = _keywords(rows, key, sections, body, KEYWORD_LIMIT, lexicon)
     fours = words.groupBy(key, F.floor((F.col("place") - 1) / KEYWORDS_PER_QUERY).alias("position")).agg(
         F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("w")
     ).select(
         key, "position", F.concat_ws(" ", F.transform("w", lambda x: x["keyword"])).alias("query_text"),
         F.lit(KEYWORD_QUERY_WEIGHT).alias("weight"),
     )
-    single = requests.select(
+    single = rows.select(
         key, F.posexplode_outer(F.slice(sections, 1, REQUIREMENT_QUERIES)).alias("number", "section")
     ).filter(F.col("section").isNotNull())
     single = single.select(

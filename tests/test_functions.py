@@ -1,5 +1,7 @@
 """Literal cases of the text, token, label and heading functions."""
 
+import re
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -174,3 +176,33 @@ def test_the_title_marks_of_a_long_line_are_not_replaced_one_by_one():
 
     # blanks between words, the most frequent match by far, are no work for a pattern any more
     assert "replace(" in str(HD._title_chars(F.col("t"))) and T.NOT_PRINTED in str(T.squeeze("t"))
+
+
+def test_requirements_are_worked_out_once_for_all_queries_of_a_request(spark):
+    from dossierlake.operators import requests as RQ
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(body):
+        reads.add(1)
+        return [s for s in body.split("|") if s]
+
+    texts = ["클라우드 전환 전략 수립|데이터 이관 방안 수립", "", "api 연계 구축 1,000만원", "요구사항 3.5 분석|api 연계 구축"]
+    rows = [(i, texts[i % 4]) for i in range(20)] + [(0, texts[1]), (None, texts[0]), (None, texts[3])]
+    requests = spark.createDataFrame(rows, "id int, body string").coalesce(1).withColumn("sections", counted("body"))
+    found = RQ.weighted_queries(requests, "id", "sections", "body").collect()
+    assert reads.value == len(rows)
+    assert {r["query_text"] for r in found if r["id"] == 2} and {r["position"] for r in found if r["id"] == 3} >= {0, 100, 101}
+
+
+def test_words_of_letters_alone_are_judged_as_the_others(one):
+    from dossierlake.operators import requests as RQ
+
+    def judged(word):
+        c = RQ.plain_compact(word)
+        money = re.search(RQ.MONEY_OR_PERIOD, word)
+        return 2 <= len(c) <= 20 and not money and not c.isdigit() and not any(n in c for n in RQ._compacts(RQ.KOREAN_REQUESTS.noise))
+
+    words = ["a", "ab", "Api", "클라우드", "x" * 20, "x" * 21, "가" * 21, "10개월", "2024.01", "1,000원", "12", "1.2", "a.b", "a-", "c++", "r&d", "é", "éa", "3d", *RQ.KOREAN_REQUESTS.noise]
+    assert one(F.array(*[RQ.is_valid_keyword(F.lit(w)) for w in words])) == [judged(w) for w in words]
